@@ -123,7 +123,9 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc", rounds: int
     for step in range(1, rounds + 1):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = scratch.save(least, f"{name}-least")
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        large = scratch.save(large, f"{name}-large")
         small_min = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(small_min, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         following = scratch.save(small, f"{name}-{step}")

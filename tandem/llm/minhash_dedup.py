@@ -167,10 +167,10 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(node[base[b]]), pa.array(node[some[p]])], ["node", "lead"])
 
 
-def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _links(scratch: Scratch, name: str, pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) of the pairs (lead, node)."""
-    sizes = pairs.groupBy("lead").agg(F.count("*").alias("c"))
-    dealt = pairs.join(sizes, "lead").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / 256)))
+    sizes = scratch.save(pairs.groupBy("lead").agg(F.count("*").alias("c")), f"{name}-sizes")
+    dealt = scratch.save(pairs.join(sizes, "lead").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / 256))), f"{name}-dealt")
     members = dealt.select("lead", "block", F.lit(1).alias("role"), "node").join(texts, "node").select("lead", "block", "role", "node", "text")
     leaders = dealt.select("lead", "block").distinct().join(texts.withColumnRenamed("node", "lead"), "lead").select("lead", "block", F.lit(0).alias("role"), F.col("lead").alias("node"), "text")
     return members.unionByName(leaders).repartition("lead", "block").sortWithinPartitions("lead", "block", "role", "node").mapInArrow(_confirm(width, percent), "a long, b long")
@@ -185,18 +185,21 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     # the first 64 bits of the set's 128-bit hash name its class as a node of the graph
     classes = scratch.save(named.groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.min(F.struct("k1", "k2")).alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumnRenamed("c1", "node"), "classes")
     keys = scratch.save(classes.select("node", "n", "sig").mapInArrow(_keys, "key long, ki int, node long, n long"), "keys")
+    # tables of one row a key are written first: a join of two plain shuffles is one whose hot keys Spark can split
     heads = keys.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", F.col("ki") % 3).alias("o"), F.col("node"), F.col("n"))).alias("h")).where("c > 1").select("key", F.col("h.node").alias("lead"), F.col("h.n").alias("m"))
+    heads = scratch.save(heads, "heads")
     pairs = scratch.save(keys.join(heads, "key").where(f"node <> lead and 100 * least(n, m) >= {percent} * greatest(n, m)").select("lead", "node").distinct(), "pairs")
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    shared = heads.select("key")
     met = keys.join(shared, "key").select("node").distinct()
     at = classes.join(met, "node").select("node", F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"))
     texts = scratch.save(rows.select("k1", "k2", "text").join(at, ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
-    first = scratch.save(_links(pairs, texts, width, percent), "links-1")
+    first = scratch.save(_links(scratch, "links-1", pairs, texts, width, percent), "links-1")
     parts = components(scratch, first, "cc-1")
     member = keys.join(shared, "key").join(parts.withColumnRenamed("id", "node"), "node", "left").select("key", "ki", "node", "n", F.coalesce("component", "node").alias("comp"))
     member = scratch.save(member, "members")
     sizes = member.groupBy("key", "comp").agg(F.count("*").alias("c"))
     open_keys = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("m")).where("comps > 1 and c > 2").select("key", F.col("m.comp").alias("main"), F.ceil(F.col("c") / BLOCK).alias("nb"))
+    open_keys = scratch.save(open_keys, "open-keys")
     live = member.join(open_keys, "key").join(classes.select("node", "sig"), "node").withColumn("own", F.pmod(F.xxhash64("node"), "nb"))
     live = scratch.save(live, "open")
     strays = live.where("comp <> main")
@@ -209,7 +212,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     again = scratch.save(again.join(pairs, ["lead", "node"], "left_anti").join(pairs.select(F.col("node").alias("lead"), F.col("lead").alias("node")), ["lead", "node"], "left_anti"), "pairs-2")
     links = first
     if not again.isEmpty():
-        second = scratch.save(_links(again, texts, width, percent), "links-2")
+        second = scratch.save(_links(scratch, "links-2", again, texts, width, percent), "links-2")
         if not second.isEmpty():
             links = parts.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(second)
             parts = components(scratch, links, "cc-2")
