@@ -9,11 +9,12 @@ components left out (8 chunks of 3 with 1 error: 24 keys, all pairs within dista
 similarity 0.8 a component differs with probability 0.2; more than 15 of 24 do with probability 1e-6, and
 a pair beyond the threshold is still met with all but 1e-8.
 
-Groups of one key aren't compared pair by pair. First every member is held against one of three
-pseudo-random leaders of its key, and links are confirmed on full shingle sets. Components of these links
+Groups of one key aren't compared pair by pair. First every member is held against the leader of its key,
+its most central member by the sizes of its own keys, and links are confirmed on full shingle sets. Components of these links
 follow. Only keys whose members are then in several components are taken up again: members outside the
 key's largest component are compared with all others of the key, in blocks, by signature; pairs within the
-threshold and of different components are confirmed on full sets. So no link between components is lost,
+threshold, of different components and not ruled out by size or by bitmaps of their shingles (an exact bound)
+are confirmed on full sets. So no link between components is lost,
 while a group of n copies costs about n comparisons.
 
 Null text, and text without words, has an empty set and is linked with nothing. A row with null doc_id is
@@ -39,6 +40,8 @@ COMPONENTS = CHUNKS * CHUNK
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Members of a key in one block, and members held against one leader in one task.
 BLOCK = 4096
+#: Bits of the bitmap of a shingle set.
+BITS = 2048
 _rng = np.random.default_rng(1234567)
 _FACTORS = _rng.integers(1, 1 << 63, COMPONENTS, dtype=np.uint64) | np.uint64(1)
 _SHIFTS = _rng.integers(0, 1 << 63, COMPONENTS, dtype=np.uint64)
@@ -109,15 +112,29 @@ def _keyed(signs: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bitmaps(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A bit for the hash of each shingle, in ``BITS``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batch_slices(batches, "text", SLICE_BYTES // 2):
+            grams, edges = shingle_sets(*text_buffers(batch.column("text")), width)
+            places = (grams % np.uint64(BITS)).astype(np.int64)
+            out = []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                bit = np.zeros(BITS, bool)
+                bit[places[a:b]] = True
+                out.append(np.packbits(bit).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], ["node", "bits"])
+
+    return run
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        signs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, COMPONENTS)
-        keys = _keyed(signs)
+        keys = _keyed(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, COMPONENTS))
         node = batch.column("node").to_numpy()
-        n = batch.column("n").to_numpy()
         for at in range(0, len(node), 2000):
-            part = keys[at : at + 2000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), pa.array(np.tile(np.arange(COMPONENTS, dtype=np.int32), len(part))), pa.array(np.repeat(node[at : at + 2000], COMPONENTS)), pa.array(np.repeat(n[at : at + 2000], COMPONENTS))], ["key", "ki", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 2000].ravel()), pa.array(np.repeat(node[at : at + 2000], COMPONENTS))], ["key", "node"])
 
 
 def _confirm(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -147,24 +164,35 @@ def _confirm(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], I
     return run
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one block of a key within the signature distance and of different components, each under its first common key."""
-    for table in by_group(batches, ["key", "pb", "bb"], 4 * BLOCK):
-        key, pb, bb, probe, node, comp, n, ki = (table.column(c).to_numpy() for c in ("key", "pb", "bb", "probe", "node", "comp", "n", "ki"))
-        signs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, COMPONENTS)
-        keys = _keyed(signs)
-        edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (pb[1:] != pb[:-1]) | (bb[1:] != bb[:-1]), True])
-        for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            rows = np.arange(low, high)
-            probes, base = rows[probe[rows]], rows[~probe[rows]]
-            for at in range(0, len(probes), 64):
-                some = probes[at : at + 64]
-                far = (signs[some][:, None, :] != signs[base][None, :, :]).sum(2) > DISTANCE
-                shared = (keys[some][:, None, :] == keys[base][None, :, :]).argmax(2)
-                ratio = np.minimum(n[some][:, None], n[base][None]) * 100 < 80 * np.maximum(n[some][:, None], n[base][None])
-                p, b = np.nonzero(~far & ~ratio & (comp[some][:, None] != comp[base][None]) & (shared == ki[low]))
-                if len(p):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[base[b]]), pa.array(node[some[p]])], ["node", "lead"])
+def _near(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of one block of a key within the signature distance, of different components and not ruled out by
+    their bitmaps, each under its first common key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_group(batches, ["key", "pb", "bb"], 4 * BLOCK):
+            key, pb, bb, probe, node, comp, n = (table.column(c).to_numpy() for c in ("key", "pb", "bb", "probe", "node", "comp", "n"))
+            signs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, COMPONENTS)
+            keys = _keyed(signs)
+            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (pb[1:] != pb[:-1]) | (bb[1:] != bb[:-1]), True])
+            for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                rows = np.arange(low, high)
+                probes, base = rows[probe[rows]], rows[~probe[rows]]
+                for at in range(0, len(probes), 64):
+                    some = probes[at : at + 64]
+                    near = (signs[some][:, None, :] != signs[base][None, :, :]).sum(2) <= DISTANCE
+                    near &= np.minimum(n[some][:, None], n[base][None]) * 100 >= percent * np.maximum(n[some][:, None], n[base][None])
+                    p, b = np.nonzero(near & (comp[some][:, None] != comp[base][None]))
+                    p, b = some[p], base[b]
+                    # what one bitmap has and the other lacks is in one set alone: a bound on the similarity
+                    both = np.minimum(n[p] - np.bitwise_count(bits[p] & ~bits[b]).sum(1), n[b] - np.bitwise_count(bits[b] & ~bits[p]).sum(1))
+                    may = 100 * both >= percent * (n[p] + n[b] - both)
+                    p, b = p[may], b[may]
+                    shared = keys[p, (keys[p] == keys[b]).argmax(1)] == key[low]
+                    if shared.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(node[b[shared]]), pa.array(node[p[shared]])], ["node", "lead"])
+
+    return run
 
 
 def _links(scratch: Scratch, name: str, pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -184,30 +212,35 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     named = signed.where("n > 0 and doc_id is not null")
     # the first 64 bits of the set's 128-bit hash name its class as a node of the graph
     classes = scratch.save(named.groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.min(F.struct("k1", "k2")).alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumnRenamed("c1", "node"), "classes")
-    keys = scratch.save(classes.select("node", "n", "sig").mapInArrow(_keys, "key long, ki int, node long, n long"), "keys")
+    keys = scratch.save(classes.select("node", "sig").mapInArrow(_keys, "key long, node long"), "keys")
     # tables of one row a key are written first: a join of two plain shuffles is one whose hot keys Spark can split
-    heads = keys.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", F.col("ki") % 3).alias("o"), F.col("node"), F.col("n"))).alias("h")).where("c > 1").select("key", F.col("h.node").alias("lead"), F.col("h.n").alias("m"))
+    shared = scratch.save(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    keys = scratch.save(keys.join(shared, "key"), "keys-shared")
+    scratch.drop("keys")
+    # the leader of a key is its most central member: that whose own keys have most members
+    central = scratch.save(keys.groupBy("node").agg(F.sum("c").alias("weight")), "central")
+    heads = keys.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", F.xxhash64("node"), "node"))["node"].alias("lead"))
     heads = scratch.save(heads, "heads")
-    pairs = scratch.save(keys.join(heads, "key").where(f"node <> lead and 100 * least(n, m) >= {percent} * greatest(n, m)").select("lead", "node").distinct(), "pairs")
-    shared = heads.select("key")
-    met = keys.join(shared, "key").select("node").distinct()
-    at = classes.join(met, "node").select("node", F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"))
-    texts = scratch.save(rows.select("k1", "k2", "text").join(at, ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    pairs = scratch.save(keys.join(heads, "key").where("node <> lead").select("lead", "node").distinct(), "pairs")
+    at = classes.join(central, "node").select("node", F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"))
+    # repeated rows have equal keys; one is enough, and the join has put them together
+    texts = scratch.save(rows.select("k1", "k2", "text").join(at, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"), "texts")
+    bitmaps = scratch.save(texts.mapInArrow(_bitmaps(width), "node long, bits binary"), "bitmaps")
     first = scratch.save(_links(scratch, "links-1", pairs, texts, width, percent), "links-1")
     parts = components(scratch, first, "cc-1")
-    member = keys.join(shared, "key").join(parts.withColumnRenamed("id", "node"), "node", "left").select("key", "ki", "node", "n", F.coalesce("component", "node").alias("comp"))
+    member = keys.join(parts.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     member = scratch.save(member, "members")
     sizes = member.groupBy("key", "comp").agg(F.count("*").alias("c"))
     open_keys = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("m")).where("comps > 1 and c > 2").select("key", F.col("m.comp").alias("main"), F.ceil(F.col("c") / BLOCK).alias("nb"))
     open_keys = scratch.save(open_keys, "open-keys")
-    live = member.join(open_keys, "key").join(classes.select("node", "sig"), "node").withColumn("own", F.pmod(F.xxhash64("node"), "nb"))
+    live = member.join(open_keys, "key").join(classes.select("node", "n", "sig"), "node").join(bitmaps, "node").withColumn("own", F.pmod(F.xxhash64("node"), "nb"))
     live = scratch.save(live, "open")
     strays = live.where("comp <> main")
     # stray block p meets base block b; base blocks are met by every block of strays of the key
-    probe = strays.select("key", F.col("own").alias("pb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("bb"), F.lit(True).alias("probe"), "node", "comp", "n", "ki", "sig")
+    probe = strays.select("key", F.col("own").alias("pb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("bb"), F.lit(True).alias("probe"), "node", "comp", "n", "sig", "bits")
     stray_blocks = strays.select("key", F.col("own").alias("pb")).distinct()
-    base = live.join(stray_blocks, "key").select("key", "pb", F.col("own").alias("bb"), F.lit(False).alias("probe"), "node", "comp", "n", "ki", "sig")
-    near = probe.unionByName(base).repartition("key", "pb", "bb").sortWithinPartitions("key", "pb", "bb").mapInArrow(_near, "node long, lead long")
+    base = live.join(stray_blocks, "key").select("key", "pb", F.col("own").alias("bb"), F.lit(False).alias("probe"), "node", "comp", "n", "sig", "bits")
+    near = probe.unionByName(base).repartition("key", "pb", "bb").sortWithinPartitions("key", "pb", "bb").mapInArrow(_near(percent), "node long, lead long")
     again = near.select(F.least("node", "lead").alias("x"), F.greatest("node", "lead").alias("y")).distinct().select(F.col("x").alias("lead"), F.col("y").alias("node"))
     again = scratch.save(again.join(pairs, ["lead", "node"], "left_anti").join(pairs.select(F.col("node").alias("lead"), F.col("lead").alias("node")), ["lead", "node"], "left_anti"), "pairs-2")
     links = first
