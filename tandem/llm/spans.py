@@ -173,12 +173,15 @@ def repeated(docs: DataFrame, units: Units, kernel: Kernel, name: str, rows: int
     keyed = docs.select(*row_keys("doc_id", "text"), F.col("doc_id").cast("long").alias("doc"), "text")
     found = scratch.save((keyed.where("doc is not null") if later else keyed).mapInArrow(_segments(units), SEGMENT), "segments")
     twice = found.groupBy("anchor").agg(F.count("*").alias("c"), F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 < d1" if later else "c > 1").select("anchor")
+    # written first: a join of two plain shuffles is one whose hot keys Spark can split
+    twice = scratch.save(twice, "twice")
     cand = scratch.save(found.join(twice, "anchor"), "candidates")
     scratch.drop("segments")
     distinct = cand.groupBy("anchor", "g1", "g2").agg(F.count("*").alias("n"), F.min("doc").alias("md"), F.max("doc").alias("xd"), F.min(F.struct("k1", "k2", "s", "nwin", "rel")).alias("at"))
     distinct = scratch.save(distinct, "distinct")
     whole = distinct.where("md < xd" if later else "n > 1").select("g1", "g2", F.lit(0).alias("lo"), (F.col("at.nwin") - 1).alias("hi"), F.col("md").alias("m"))
     rivals = distinct.groupBy("anchor").agg(F.count("*").alias("v")).where("v > 1").select("anchor")
+    rivals = scratch.save(rivals, "rivals")
     wanted = distinct.join(rivals, "anchor").groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(F.collect_list(F.struct("anchor", "g1", "g2", "n", "md", F.col("at.s").alias("s"), F.col("at.nwin").alias("nwin"), F.col("at.rel").alias("rel"))).alias("wanted"))
     content = scratch.save(keyed.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).mapInArrow(_fetch(units), CONTENT), "content")
     compared = scratch.save(_settle(scratch, content, units, kernel, rows), "compared")
