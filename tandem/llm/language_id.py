@@ -94,6 +94,7 @@ class Model:
             table = suffix_automaton(seq.tolist(), self.alphabet)
             broken = table < 0
             step = np.where(broken, np.where(table[:1] < 0, 0, table[:1]), table)
+            broken[0] = True  # whatever is read at the start begins a phrase
             # twice the offset of the next state's row, plus 1 if this letter begins a phrase
             step = (step * self.alphabet * 2).astype(np.int32)
             self.tables.append((step | broken).ravel())
@@ -114,7 +115,6 @@ class Model:
         live = np.searchsorted(-length, -np.arange(int(length[0])), "left")
         phrases = np.zeros((len(self.langs), len(start)), np.int32)
         places = np.full((len(self.langs), len(start)), 0, np.int32)
-        count_first = np.ones(len(start), np.int32)
         for t, n in enumerate(live.tolist()):
             letter = codes[start[:n] + t]
             for i, table in enumerate(self.tables):
@@ -123,7 +123,7 @@ class Model:
                 places[i, :n] = now & ~1
         out = np.zeros((len(self.langs), len(texts)))
         for i in range(len(self.langs)):
-            out[i] = np.bincount(who, phrases[i] + count_first, len(texts)) * self.weights[i]
+            out[i] = np.bincount(who, phrases[i], len(texts)) * self.weights[i]
         return (out / sizes).T
 
 
