@@ -4,13 +4,15 @@ Equal vectors form a class with a count, so only distinct vectors are searched.
 centroids; every class joins the shards of its ``overlap`` nearest ones. In each shard a flat proximity graph
 is built: candidate neighbours are thinned by robust pruning (a candidate goes if a chosen neighbour is
 nearer to it by the factor ``alpha`` than the node is) and edges run both ways. The adjacency lists that a
-class got in its shards are united. Every class is then searched for in each of its shards: greedy beam
-search from the shard's medoid, and, from what lies in range, on over all neighbours in range until no new
-one turns up. Candidates are verified by cosine in double precision. A pair is counted in the first shard
+class got in its shards are united. A group of more than ``POOL`` near vectors takes all candidates from inside itself, so
+it gets an edge to every group in range, between the nearest rows of both. Every class is then searched
+for in each of its shards: greedy beam search from the class itself and the shard's medoid, and, from what lies
+in range, on over all neighbours in range until no new one turns up. Candidates are verified by cosine in double precision. A pair is counted in the first shard
 that both are in, so links are counted without ever listing the pairs of a group.
 
-Recall is audited against brute force for a bounded sample of query vectors against all vectors; below
-``recall`` the overlap is widened and the search repeated.
+Recall is audited in every run against brute force for a bounded sample of query vectors against all vectors;
+below ``recall`` the overlap is widened and the search repeated. Where that can't be widened any more, all
+vectors are compared with all.
 
 At most ``MOST_CENTROIDS`` centroids (each vector is compared with all): shards have some ``shard`` members up to
 about 10**8 vectors and grow beyond that. Vectors that are null, empty or zero, or hold null or non-finite
@@ -34,6 +36,8 @@ MOST_CENTROIDS = 65_536
 AUDIT = 256
 POOL, DEGREE, BEAM = 48, 20, 24
 SLACK = 1e-4
+#: Members of a block where all vectors are compared with all.
+BLOCK = 4000
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -61,11 +65,12 @@ def centroids(sample: np.ndarray, count: int, rounds: int = 6) -> np.ndarray:
     return centre
 
 
-def robust_prune(x: np.ndarray, alpha: float = 1.2) -> list[np.ndarray]:
-    """Neighbours of each row of unit vectors: pruned candidates, both ways."""
+def robust_prune(x: np.ndarray, reach: float, alpha: float = 1.2) -> list[np.ndarray]:
+    """Neighbours of each row of unit vectors: pruned candidates, and bridges between groups in range, both ways."""
     n = len(x)
     k = min(POOL, n - 1)
-    sources, targets = [], []
+    sources, targets, near = [], [], []
+    full = np.zeros(n, bool)
     for low in range(0, n, 256):
         rows = np.arange(low, min(n, low + 256))
         sims = x[rows] @ x.T
@@ -88,11 +93,49 @@ def robust_prune(x: np.ndarray, alpha: float = 1.2) -> list[np.ndarray]:
         r, c = np.nonzero(keep)
         sources.append(rows[r])
         targets.append(pool[r, c])
-    a, b = np.concatenate(sources), np.concatenate(targets)
-    both = np.unique(np.stack([np.r_[a, b], np.r_[b, a]], 1), axis=0)
+        near.append(own[r, c] >= reach)
+        full[rows] = own[:, -1] >= reach
+    a, b, close = np.concatenate(sources), np.concatenate(targets), np.concatenate(near)
+    c, d = bridges(x, least_labels(n, a[close], b[close]), full, reach)
+    both = np.unique(np.stack([np.r_[a, b, c, d], np.r_[b, a, d, c]], 1), axis=0)
     return np.split(both[:, 1], np.searchsorted(both[:, 0], np.arange(1, n)))
 
 
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node that each of n nodes is joined with by the links (a, b)."""
+    root = np.arange(n)
+    while len(a):  # least label over links, with jumps
+        least = root.copy()
+        np.minimum.at(least, a, root[b])
+        np.minimum.at(least, b, root[a])
+        least = least[least]
+        if (least == root).all():
+            break
+        root = least
+    return root
+
+
+def bridges(x: np.ndarray, label: np.ndarray, full: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest rows of every two groups in range of each other, one of which has a row whose candidates were all in range."""
+    sources, targets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for name in np.unique(label[full]).tolist():
+        own, others = np.flatnonzero(label == name), np.flatnonzero(label != name)
+        if not len(others):
+            break
+        best, near = np.full(len(others), -2, x.dtype), np.zeros(len(others), np.int64)
+        for low in range(0, len(own), 256):
+            sims = x[own[low : low + 256]] @ x[others].T
+            top = sims.argmax(0)
+            value = sims[top, np.arange(len(others))]
+            near, best = np.where(value > best, own[low + top], near), np.maximum(value, best)
+        others, near, best = others[best >= reach], near[best >= reach], best[best >= reach]
+        order = np.lexsort((-best, label[others]))
+        _, first = np.unique(label[others][order], return_index=True)
+        sources.append(near[order[first]])
+        targets.append(others[order[first]])
+    return np.concatenate(sources), np.concatenate(targets)
+
+
 def range_search(x: np.ndarray, neighbours: list[np.ndarray], queries: np.ndarray, reach: float) -> np.ndarray:
     """For each query (row numbers) the rows of cosine ``reach`` or more that the graph leads to."""
     n, q = len(x), len(queries)
@@ -108,11 +151,12 @@ def range_search(x: np.ndarray, neighbours: list[np.ndarray], queries: np.ndarra
     found = np.zeros((q, n + 1), bool)
     beam = np.full((q, BEAM), n)
     score = np.full((q, BEAM), -2.0, x.dtype)
-    beam[:, 0] = medoid
-    score[:, 0] = x[queries] @ x[medoid]
-    seen[:, medoid] = True
-    found[score[:, 0] >= reach, medoid] = True
     live = np.arange(q)
+    beam[:, 0], beam[:, 1] = medoid, np.where(queries == medoid, n, queries)
+    score[:, 0] = x[queries] @ x[medoid]
+    score[queries != medoid, 1] = 1
+    seen[:, medoid] = seen[live, queries] = True
+    found[score[:, 0] >= reach, medoid] = found[live, queries] = True
     while len(live):  # greedy: open the best of the beam that isn't open yet
         closed = ~opened[live[:, None], beam[live]] & (beam[live] < n)
         best = np.where(closed, score[live], -3).argmax(1)
@@ -180,16 +224,21 @@ def _column(table: pa.Table, name: str) -> pa.Array:
     return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in _shards(batches):
-        node = table.column("node").to_numpy()
-        if len(node) < 2:
-            continue
-        lists = robust_prune(unit(matrix(_column(table, "embedding"))).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([node[x].tolist() for x in lists], pa.list_(pa.int64()))], ["node", "near"])
+def _build(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _shards(batches):
+            node = table.column("node").to_numpy()
+            if len(node) < 2:
+                continue
+            lists = robust_prune(unit(matrix(_column(table, "embedding"))).astype(np.float32), threshold - SLACK)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([node[x].tolist() for x in lists], pa.list_(pa.int64()))], ["node", "near"])
+
+    return run
 
 
-def _search(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _search(threshold: float, exact_search: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Link counts and roots of the classes of each shard, by its graph or by comparing all with all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _shards(batches):
             node, mult = table.column("node").to_numpy(), table.column("mult").to_numpy()
@@ -202,14 +251,14 @@ def _search(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             x = exact.astype(np.float32)
             order = np.argsort(node)
             lists = []
-            for own in table.column("near").to_pylist():
+            for own in () if exact_search else table.column("near").to_pylist():
                 own = np.array(own or [], np.int64)
                 at = order[np.minimum(np.searchsorted(node[order], own), n - 1)]
                 lists.append(at[node[at] == own])  # united lists also name classes of other shards
             links_a, links_b = [], []
             for low in range(0, n, 1024):
                 queries = np.arange(low, min(n, low + 1024))
-                a, b = np.nonzero(range_search(x, lists, queries, threshold - SLACK))
+                a, b = np.nonzero(x[queries] @ x.T >= threshold - SLACK if exact_search else range_search(x, lists, queries, threshold - SLACK))
                 a = queries[a]
                 use = a != b
                 a, b = a[use], b[use]
@@ -219,19 +268,13 @@ def _search(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             a, b = pair // n, pair % n
             sure = np.concatenate([np.einsum("ad,ad->a", exact[a[i : i + 65536]], exact[b[i : i + 65536]]) >= threshold for i in range(0, len(a), 65536)]) if len(a) else np.zeros(0, bool)
             a, b = a[sure], b[sure]
-            common = (shards[a][:, :, None] == shards[b][:, None, :]).any(2)
-            first = np.where(common, shards[a], np.iinfo(np.int64).max).min(1) if len(a) else np.zeros(0, np.int64)
-            mine = first == shard
+            mine = np.zeros(len(a), bool)
+            for i in range(0, len(a), 16384):
+                p, q = shards[a[i : i + 16384]], shards[b[i : i + 16384]]
+                common = (p[:, :, None] == q[:, None, :]).any(2)
+                mine[i : i + 16384] = np.where(common, p, np.iinfo(np.int64).max).min(1) == shard
             count = np.bincount(a[mine], mult[b[mine]], n) + np.bincount(b[mine], mult[a[mine]], n)
-            root = np.arange(n)
-            while len(a):  # least label over links, with jumps
-                least = root.copy()
-                np.minimum.at(least, a, root[b])
-                np.minimum.at(least, b, root[a])
-                least = least[least]
-                if (least == root).all():
-                    break
-                root = least
+            root = least_labels(n, a, b)
             use = (count > 0) | (root != np.arange(n))
             yield pa.RecordBatch.from_arrays([pa.array(node[use]), pa.array(count[use].astype(np.int64)), pa.array(node[root[use]])], ["node", "links", "root"])
 
@@ -254,6 +297,15 @@ def _audit(shared, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
+def _all_pairs(classes: DataFrame, n: int) -> DataFrame:
+    """Members of shards of which each holds two blocks of classes, so that every two classes have one in common."""
+    count = -(-n // BLOCK)
+    own = F.pmod(F.xxhash64(F.lit(4), "node"), F.lit(count))
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<bigint>"), lambda other: F.least(own, other) * count + F.greatest(own, other))
+    dealt = classes.select(pairs.alias("shards"), "node", "mult", "embedding")
+    return dealt.select(F.explode("shards").alias("shard"), "shards", "node", "mult", "embedding").repartition("shard").sortWithinPartitions("shard", "node")
+
+
 def _space(scratch: Scratch, classes: DataFrame, tag: str, threshold: float, shard: int, overlap: int, recall: float) -> tuple[DataFrame, DataFrame]:
     """Link counts (node, links) and edges (a, b) of classes of one vector length."""
     spark = scratch.spark
@@ -272,16 +324,20 @@ def _space(scratch: Scratch, classes: DataFrame, tag: str, threshold: float, sha
         else:
             member = classes.mapInArrow(_assign(centre, overlap), "shard long, shards array<long>, node long, mult long, embedding array<float>")
         member = scratch.save(member, f"member-{tag}-{overlap}")
-        graph = member.select("shard", "node", "embedding").repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(_build, "node long, near array<long>")
+        graph = member.select("shard", "node", "embedding").repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(_build(threshold), "node long, near array<long>")
         united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
         cells = member.join(united, "node", "left").repartition("shard").sortWithinPartitions("shard", "node")
         found = scratch.save(cells.mapInArrow(_search(threshold), "node long, links long, root long"), f"found-{tag}-{overlap}")
         links = found.groupBy("node").agg(F.sum("links").alias("links"))
-        if truth is None or overlap >= count:
+        if truth is None:
             break
         got = truth.join(links, "node", "left").agg(F.sum("truth"), F.sum(F.coalesce("links", F.lit(0)))).first()
         if not got[0] or got[1] >= recall * got[0]:
             break
+        if overlap >= count:
+            found = scratch.save(_all_pairs(classes, n).mapInArrow(_search(threshold, True), "node long, links long, root long"), f"found-{tag}-all")
+            links = found.groupBy("node").agg(F.sum("links").alias("links"))
+            break
         overlap += 2
     return links, found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 

@@ -59,3 +59,42 @@ def test_against_brute_force(spark):
 def test_empty(spark):
     assert E.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert [tuple(r) for r in E.near_vectors(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()] == [(1, 0, 1, True)]
+
+
+def groups(seed=0, parts=8, size=60, dim=16):
+    """Tight groups larger than the pool of candidates, all in range of each other, and vectors apart."""
+    rng = np.random.default_rng(seed)
+    root = rng.normal(size=dim)
+    root /= np.linalg.norm(root)
+    rows = []
+    for _ in range(parts):
+        middle = root + rng.normal(size=dim) * 0.12 / np.sqrt(dim)
+        rows += [middle + rng.normal(size=dim) * 1e-3 for _ in range(size)]
+    rows += list(rng.normal(size=(400, dim)))
+    return [(int(i), x.astype(np.float32).tolist()) for i, x in enumerate(rows)]
+
+
+def test_groups_larger_than_the_pool(spark):
+    rows = groups()
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, E.near_vectors(frame).collect()), key=str)
+    want = brute(rows)
+    assert sum(r[1] for r in want) > 200_000
+    assert sum(g[1] for g in got) >= 0.97 * sum(w[1] for w in want)
+    assert [g[2:] for g in got] == [w[2:] for w in want]
+
+
+def test_graph_leads_between_groups():
+    x = E.unit(np.array([e for _, e in groups(1)])).astype(np.float32)
+    found = E.range_search(x, E.robust_prune(x, 0.95), np.arange(len(x)), 0.95)
+    true = x @ x.T >= 0.95
+    assert (found & true).sum() >= 0.97 * true.sum()
+
+
+def test_exact_where_recall_stays_low(spark, monkeypatch):
+    monkeypatch.setattr(E, "range_search", lambda x, lists, queries, reach: np.zeros((len(queries), len(x)), bool))
+    monkeypatch.setattr(E, "BLOCK", 150)
+    rows = vectors()
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for shard in (1000, 250):
+        assert sorted(map(tuple, E.near_vectors(frame, shard=shard).collect()), key=str) == brute(rows)
