@@ -20,7 +20,7 @@ from tandem.llm.packing import pack
 from tandem.llm.phrase_dedup import phrase_digest
 from tandem.llm.suffix_dedup import suffix_digest
 from tandem.llm.toxicity import toxicity_digest
-from tandem.llm.url_filter import judge_sql, judge_urls
+from tandem.llm.url_filter import category_sql, judge_by_category, judge_sql, judge_urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -33,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_phrase_dedup": lambda spark, sf: phrase_digest(table(spark, sf, "documents")),
         "op7_chat_format": lambda spark, sf: chat_digest(with_probe(spark, table(spark, sf, "conversations"))),
         "op8_url_filter": lambda spark, sf: judge_urls(table(spark, sf, "pages")),
+        "op8_url_filter_categories": lambda spark, sf: judge_by_category(table(spark, sf, "pages")),
         "op9_minhash_dedup": lambda spark, sf: near_duplicate_digest(table(spark, sf, "documents")),
         "op10_embedding_dedup": lambda spark, sf: near_vectors(table(spark, sf, "embeddings")),
     }
@@ -126,4 +127,4 @@ FROM embeddings e JOIN (SELECT x, min(r) AS m FROM reach GROUP BY x) c ON e.vec_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5, "op6_phrase_dedup": OP6, "op7_chat_format": chat_sql(), "op8_url_filter": judge_sql(), "op9_minhash_dedup": OP9, "op10_embedding_dedup": OP10}
+    return {"op5_decontaminate": OP5, "op6_phrase_dedup": OP6, "op7_chat_format": chat_sql(), "op8_url_filter": judge_sql(), "op8_url_filter_categories": category_sql(), "op9_minhash_dedup": OP9, "op10_embedding_dedup": OP10}

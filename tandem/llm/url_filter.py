@@ -8,6 +8,10 @@ that fit, the longest gives the verdict. Where none fits, the vocabulary judges
 term, or ``soft_hits`` distinct soft terms, block the url. Every term counts once, and only where no ASCII
 letter or digit stands right before or after it.
 
+``judge_by_category`` keeps the rules and has a wider vocabulary by category (``CATEGORIES``), which it looks for in
+the whole url, query and fragment included, also in one without ``://``. A term that says all blocks by itself, a
+topic blocks with a second topic or with a lure such as cheap or free.
+
 Only the url is read; each row is judged by itself, so repeated rows and other columns need no care.
 """
 
@@ -25,6 +29,18 @@ STRICT = ("porn", "porno", "xxx", "hentai", "camgirl", "camgirls", "milf", "nsfw
 SOFT = ("adult", "amateur", "bet", "betting", "casino", "dating", "erotic", "escort", "fetish", "gambling", "hot", "naked", "nude", "poker", "sex", "sexy", "slots", "viagra", "webcam", "torrent")
 
 
+#: Weights by category; a total of ``LIMIT`` blocks.
+LIMIT, TOPIC, LURE = 4, 3, 1
+CATEGORIES = {
+    "adult": {LIMIT: (*STRICT, "pornos", "porns", "camsex", "hardcore-sex", "sexcams", "xhamster", "youporn", "pornhub", "milfs"), TOPIC: ("adult", "adults", "amateur", "amateurs", "dating", "erotic", "erotica", "escort", "escorts", "fetish", "fetishes", "naked", "nude", "nudes", "sex", "sexy", "webcam", "webcams", "stripper", "strippers")},
+    "gambling": {LIMIT: ("sportsbook", "sportsbooks", "jackpots", "freebets", "freespins", "onlinecasino"), TOPIC: ("bet", "bets", "betting", "bookie", "bookies", "bookmaker", "bookmakers", "casino", "casinos", "gamble", "gambling", "jackpot", "lottery", "lotto", "poker", "roulette", "slot", "slots", "blackjack")},
+    "pharmacy": {LIMIT: ("viagra", "cialis", "levitra", "kamagra", "xanax", "tramadol"), TOPIC: ("drugstore", "drugstores", "meds", "pharma", "pharmacy", "pharmacies", "pill", "pills", "prescription", "prescriptions", "steroid", "steroids")},
+    "spam": {LIMIT: ("clickbait", "linkfarm", "linkfarms", "spamfarm"), TOPIC: ("ads", "adserver", "adservers", "replica", "replicas", "spam", "spammer", "spammers", "payday")},
+    "malware": {LIMIT: ("keygen", "keygens", "keylogger", "keyloggers", "warez"), TOPIC: ("crack", "cracked", "cracks", "exploit", "exploits", "malware", "phishing", "ransomware", "spyware", "torrent", "torrents", "trojan", "trojans", "virus", "viruses")},
+    "lure": {LURE: ("bonus", "buy", "cheap", "click", "deal", "deals", "discount", "download", "farm", "farms", "free", "hot", "instant", "online", "track", "tracker", "trackers", "tracking", "win", "winner", "winners", "wins", "x")},
+}
+
+
 def vocabulary(strict: tuple[str, ...], soft: tuple[str, ...], soft_hits: int) -> dict[str, int]:
     """Weights of the terms; a total of ``soft_hits`` blocks, which one strict term has by itself."""
     return {**dict.fromkeys(soft, 1), **dict.fromkeys(strict, soft_hits)}
@@ -40,7 +56,7 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host, rest[end:stop]
 
 
-def _judge(rules: dict[str, str], weights: dict[str, int], limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _judge(rules: dict[str, str], weights: dict[str, int], limit: int, whole: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_host: dict[str, list[tuple[str, str]]] = {}
         for rule in sorted(rules, key=len, reverse=True):
@@ -74,7 +90,7 @@ def _judge(rules: dict[str, str], weights: dict[str, int], limit: int) -> Callab
             for url in batch.column("url").to_pylist():
                 host, path = split_url(url)
                 rule = fitting(host, path)
-                text = host + path.encode().lower().decode()
+                text = (url or "").encode().lower().decode() if whole else host + path.encode().lower().decode()
                 verdict = rules[rule] if rule else "block" if weight(text) >= limit else "allow"
                 for x, v in zip(out, (host, path, rule, verdict), strict=True):
                     x.append(v)
@@ -90,6 +106,32 @@ def judge_urls(pages: DataFrame, rules: dict[str, str] | None = None, strict: tu
     return urls.mapInArrow(_judge(RULES if rules is None else rules, weights, soft_hits), "page_id long, host string, path string, rule string, verdict string")
 
 
+def category_weights() -> dict[str, int]:
+    return {term: weight for terms in CATEGORIES.values() for weight, own in terms.items() for term in own}
+
+
+def judge_by_category(pages: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict of every row, by the vocabulary of categories over the whole url."""
+    urls = pages.select(F.col("page_id").cast("long").alias("page_id"), "url")
+    return urls.mapInArrow(_judge(RULES if rules is None else rules, category_weights(), LIMIT, True), "page_id long, host string, path string, rule string, verdict string")
+
+
+def category_sql() -> str:
+    """The verdicts of ``judge_by_category`` as DuckDB SQL: rules as in ``judge_sql``, weights over the whole url."""
+    terms = ", ".join(f"('{t}', {w})" for t, w in category_weights().items())
+    verdicts = " ".join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in RULES.items())
+    return f"""
+WITH ruled_pages AS ({judge_sql()}
+), terms(term, weight) AS (VALUES {terms}
+), urls AS (
+  SELECT page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS u FROM pages
+), total AS (
+  SELECT page_id, sum(weight) AS w FROM urls JOIN terms ON regexp_matches(u, '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') GROUP BY page_id
+)
+SELECT r.page_id, host, path, rule, CASE {verdicts} WHEN coalesce(w, 0) >= {LIMIT} THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled_pages r LEFT JOIN total ON r.page_id = total.page_id"""
+
+
 def judge_sql() -> str:
     """The same verdicts as DuckDB SQL over ``pages``."""
     quote = lambda terms: ", ".join(f"'{t}'" for t in terms)

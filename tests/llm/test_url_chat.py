@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tandem.llm import chat_format as C
-from tandem.llm.url_filter import judge_urls, split_url
+from tandem.llm.url_filter import category_sql, judge_by_category, judge_urls, split_url
 
 import pyarrow as pa
 
@@ -42,3 +42,18 @@ def test_urls(spark):
     frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = [(r.rule, r.verdict) for r in judge_urls(frame).orderBy("page_id").collect()]
     assert got == want
+
+
+def test_urls_by_category(spark):
+    import duckdb
+
+    hosts = ["casino-win", "adult-x", "free-bets", "cheap-pills", "spam-farm", "ads-track"]
+    block = [f"http://www.{h}.example.net/en/{i}" for i, h in enumerate(hosts)] + ["http://a.net/x?q=VIAGRA", "http://a.net/#poker,bets", "casino-win.net", "http://a.net/a?t=xxx"]
+    allow = ["http://casino.net/", "http://a.net/cheap-free", "http://alphabets.net/win", "http://pillow-farm.net/", "http://a.net/freebetsy", None, "", "http://casino-win.example.org/de/"]
+    rows = list(enumerate([*block, *allow, "http://casino-win.org/", "http://m.example.org/es/1"]))
+    got = [tuple(r) for r in judge_by_category(spark.createDataFrame(rows, "page_id long, url string")).orderBy("page_id").collect()]
+    assert [r[4] for r in got] == ["block"] * len(block) + ["allow"] * (len(allow) + 1) + ["block"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    assert sorted(con.execute(category_sql()).fetchall()) == got
