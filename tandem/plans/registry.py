@@ -86,12 +86,12 @@ def stat_rank_p_values(spark, sf):
 
 @query()
 def stat_bootstrap(spark, sf):
-    return R.bootstrap(view(spark, sf, "scores").where("metric = 'quality'"), replicates=100)
+    return R.bootstrap(view(spark, sf, "scores"))
 
 
 @query()
 def stat_permutation(spark, sf):
-    return R.permutation(R.ranks(view(spark, sf, "scores").where("metric = 'quality'")), permutations=500)
+    return R.permutation(R.ranks(view(spark, sf, "scores")))
 
 
 @query(f"WITH {RANKED} SELECT a.metric, a.model, a.language AS l1, b.language AS l2, a.rank AS r1, b.rank AS r2 FROM ranked a JOIN ranked b ON a.metric = b.metric AND a.model = b.model AND a.language < b.language", "scores")

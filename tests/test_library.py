@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import itertools
 import json
 import math
@@ -18,9 +19,12 @@ from tandem.operators import lexical as L
 from tandem.operators import ranking as R
 from tandem.operators import scoring as S
 from tandem.operators import shape as H
+from tandem.plans import registry
 from tandem.sources import io
 from tandem.streaming.merge import stream_messages
 
+DATA = "/root/testdata/sf0.001"
+
 
 def one(frame):
     return frame.collect()[0]
@@ -113,6 +117,27 @@ def test_bootstrap_covers(spark):
     assert first == again and first.tau_low <= 1.0 <= first.tau_high + 1e-9
 
 
+def test_resampling_queries_do_the_whole_job(spark, monkeypatch):
+    calls = {}
+
+    def spy(name, many, few):
+        real = getattr(R, name)
+
+        def call(frame, *args, **named):
+            bound = inspect.signature(real).bind(frame, *args, **named)
+            bound.apply_defaults()
+            calls[name] = bound.arguments[many]
+            return real(frame, **{many: few})
+
+        monkeypatch.setattr(R, name, call)
+
+    spy("bootstrap", "replicates", 20)
+    spy("permutation", "permutations", 20)
+    for query in ("stat_bootstrap", "stat_permutation"):
+        assert {r.metric for r in registry.queries()[query](spark, DATA).collect()} == {"quality", "toxic", "length"}
+    assert calls == {"bootstrap": 2000, "permutation": 5000}
+
+
 def test_histogram_and_merge(spark):
     scores = spark.createDataFrame([("m", "C", s) for s in (0, 2, 2)], "model string, metric string, score int")
     assert [r.n for r in S.score_histogram(scores, {"C": 3}).orderBy("score").collect()] == [1, 0, 2, 0]
