@@ -11,6 +11,12 @@ def ttr(tokens) -> Column:
     return F.when(F.size(tokens) > 0, F.size(F.array_distinct(tokens)) / F.size(tokens)).otherwise(0.0)
 
 
+def ttr_statistics(docs: DataFrame, group: list[str], tokens: str = "tokens") -> DataFrame:
+    """Mean, sample deviation, least, greatest and median TTR of the whole texts of each group."""
+    found = docs.select(*group, ttr(F.col(tokens)).alias("ttr")).groupBy(*group)
+    return found.agg(F.avg("ttr").alias("mean"), F.stddev_samp("ttr").alias("std"), F.min("ttr").alias("min"), F.max("ttr").alias("max"), F.percentile("ttr", 0.5).alias("median"))
+
+
 def mattr(docs: DataFrame, keys: list[str], tokens: str = "tokens", window: int = 100) -> DataFrame:
     """Mean TTR of all windows of ``window`` tokens; of a shorter text its TTR, of an empty one 0.
 

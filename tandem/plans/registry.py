@@ -426,6 +426,11 @@ def agg_ttr_statistics(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").groupBy("source", "lang").agg(F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.stddev_samp("n_chars"), 6).alias("std"), F.min("n_chars").alias("min"), F.max("n_chars").alias("max"), F.percentile("n_chars", 0.5).alias("median"))
 
 
+@query(rf"WITH {TOKENS}, r AS (SELECT source AS model, CASE WHEN coalesce(len(t), 0) = 0 THEN 0.0 ELSE len(list_distinct(t)) / len(t) END AS ttr FROM tok JOIN documents USING (doc_id)) SELECT model, round(avg(ttr), 6) AS mean, round(stddev_samp(ttr), 6) AS std, round(min(ttr), 6) AS min, round(max(ttr), 6) AS max, round(quantile_cont(ttr, 0.5), 6) AS median FROM r GROUP BY model")
+def agg_ttr_by_model(spark, sf):
+    return _rounded(L.ttr_statistics(_tokens(spark, sf).withColumnRenamed("source", "model"), ["model"]), "mean", "std", "min", "max", "median")
+
+
 @query("SELECT lang, count(text) - count(DISTINCT text) AS num_duplicates, count(*) FILTER (coalesce(text, '') = '') AS num_empty FROM documents GROUP BY lang")
 def win_duplicate_counts(spark, sf):
     return M.duplicate_counts(spark.read.parquet(f"{sf}/documents.parquet"), ["lang"], "text")

@@ -85,6 +85,20 @@ def test_ttr_mattr(spark):
     assert {r.id: r.t for r in frame.select("id", L.ttr(F.col("tokens")).alias("t")).collect()} == {1: 0.5, 2: 0.0, 3: 0.75}
 
 
+def test_ttr_by_model(spark):
+    import duckdb
+
+    frame = spark.createDataFrame([("m", "a a b b".split()), ("m", "a b a c".split()), ("m", []), ("n", ["a"])], "model string, tokens array<string>")
+    got = {r.model: tuple(r)[1:] for r in L.ttr_statistics(frame, ["model"]).collect()}
+    assert got["m"] == pytest.approx((1.25 / 3, math.sqrt(0.4375 / 3), 0.0, 0.75, 0.5)) and got["n"] == (1.0, None, 1.0, 1.0, 1.0)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    want = sorted(con.execute(registry.oracle_sql()["agg_ttr_by_model"]).fetchall())
+    rows = sorted(map(tuple, registry.queries()["agg_ttr_by_model"](spark, DATA).collect()))
+    assert [r[0] for r in rows] == [w[0] for w in want]
+    assert all(r[1:] == pytest.approx(w[1:], abs=2e-6) for r, w in zip(rows, want, strict=True))
+
+
 def test_clean_and_names(spark):
     row = one(spark.range(1).select(X.clean(F.lit("Tere  [x] (y)  ok !"), X.PROFILES["et"]).alias("c"), X.file_parts(F.lit("convo_gpt-4.1-mini_en-us_20260127-143052")).alias("p"), X.file_language(F.lit("convo_a_b_et_20260127-143052.jsonl")).alias("l"), X.source_language(F.lit("x_en-us_y"), F.lit("x_en-us_y")).alias("s"), X.conversation_name(F.lit("m"), F.lit("et"), F.lit("d"), F.lit(3)).alias("i"), X.parse_labelled(F.lit("Agent: Tere!\nKlient: Hi: a"), ("Agent", "Klient")).alias("t"), *(X.size_bucket(F.lit(n)).alias(f"b{n}") for n in (999, 1000, 1_000_000))))
     assert row.c == "Tere    !"
