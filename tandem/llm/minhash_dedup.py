@@ -7,7 +7,7 @@ By pigeonhole, signatures at a distance of at most ``chunks * (errors + 1) - 1``
 ``errors`` differing components, so a class is filed under every chunk with every choice of ``errors``
 components left out (8 chunks of 3 with 1 error: 24 keys, all pairs within distance 15 of 24 meet). At
 similarity 0.8 a component differs with probability 0.2; more than 15 of 24 do with probability 1e-6, and
-a pair beyond the threshold is still met with all but 1e-8.
+a pair of which neither is the leader of a common key is then not confirmed (see below).
 
 Groups of one key aren't compared pair by pair. First every member is held against the leader of its key,
 its most central member by the sizes of its own keys, and links are confirmed on full shingle sets. Components of these links
