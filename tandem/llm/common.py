@@ -5,11 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,16 +81,17 @@ def batch_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) ->
                 yield batch.slice(low, high - low)
 
 
-def by_group(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int, size: Callable[[pa.Table], int] | None = None) -> Iterator[pa.Table]:
-    """Tables of whole groups from sorted batches, each of about ``limit`` rows or more."""
+def by_group(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int, column: str = "", most: int = 1 << 62) -> Iterator[pa.Table]:
+    """Tables of whole groups from sorted batches, each of about ``limit`` rows or ``most`` bytes of ``column``, or one group."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows < limit:
+        size += batch.column(column).nbytes if column else 0
+        if rows < limit and size < most:
             continue
         whole = pa.Table.from_batches(held).combine_chunks()
         tail = np.ones(rows, bool)
@@ -105,6 +105,7 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int, siz
             yield whole.slice(0, cut)
             rest = whole.slice(cut)
             held, rows = rest.to_batches(), rest.num_rows
+            size = rest.column(column).nbytes if column else 0
     if rows:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -140,4 +141,4 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc", rounds: int
     return now.select(F.col("b").alias("id"), F.col("a").alias("component"))
 
 
-__all__ = ["Scratch", "StorageLevel", "batch_slices", "by_group", "components", "row_keys", "slices", "table", "text_buffers"]
+__all__ = ["Scratch", "batch_slices", "by_group", "components", "row_keys", "slices", "table", "text_buffers"]

@@ -11,13 +11,13 @@ from tandem.llm import minhash_dedup as M
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def shingles(text):
+def shingles(text, width=4):
     words = WORD.findall(re.sub(rb"[A-Z]+", lambda m: m[0].lower(), (text or "").encode()))
-    return {tuple(words[i : i + 4]) for i in range(len(words) - 3)} if len(words) >= 4 else {tuple(words)} - {()}
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else {tuple(words)} - {()}
 
 
-def brute(rows):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, width=4):
+    sets = [shingles(t, width) for _, t in rows]
     part = list(range(len(rows)))
 
     def root(i):
@@ -85,7 +85,49 @@ def test_filter_keeps_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, k1 string, row int")
     out = M.drop_near_duplicates(docs)
     assert out.columns == docs.columns
-    kept = {r[0] for r in brute([r[:2] for r in rows]) if r[3]}
+    kept = {r[0] for r in brute([r[:2] for r in rows], 5) if r[3]}
     assert sorted(r.doc_id for r in out.collect()) == sorted(kept)
     empty = docs.limit(0)
     assert M.drop_near_duplicates(empty).count() == 0 and M.near_duplicate_digest(empty).count() == 0
+
+
+def halves(seed, n=60):
+    """A group of which many pairs lie on either side of the threshold, so that no leader links them all."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(n):
+        changed = list(words)
+        for _ in range(rng.randint(1, 5)):
+            changed[rng.randrange(len(changed))] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(changed)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_group_around_the_threshold(spark, monkeypatch, block):
+    monkeypatch.setattr(M, "BLOCK", block)
+    rows = halves(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, M.near_duplicate_digest(docs).collect()), key=str) == brute(rows)
+
+
+def test_block_links_are_fewer_than_components():
+    """All members link with each other and each is a component of its own: one link less than members, not all pairs."""
+    import pyarrow as pa
+
+    n = 50
+    grams = np.arange(100, dtype=np.uint64)
+    sig = M.signatures(grams, np.array([0, 100])).tobytes()
+    key = int(M._keyed(np.frombuffer(sig, np.uint32).reshape(1, -1))[0, 0])
+    rows = [{"key": key, "pb": 0, "bb": 0, "probe": probe, "node": i, "comp": i, "n": 100, "stray": i > 0, "sig": sig, "grams": grams.tobytes()} for probe in (False, True) for i in range(n) if not probe or i]
+    out = pa.Table.from_batches(M._joined(80)(iter(pa.Table.from_pylist(rows).to_batches())))
+    assert out.num_rows == n - 1
+
+
+def test_classes_that_share_half_a_hash(spark):
+    scratch = M.Scratch(spark, "clash")
+    rows = [(7, 1, 10, 1, 1, 4, b"a"), (7, 2, 11, 2, 2, 4, b"b"), (8, 1, 12, 3, 3, 4, b"c")]
+    signed = spark.createDataFrame(rows, "c1 long, c2 long, doc_id long, k1 long, k2 long, n long, sig binary")
+    named = {(r.c1, r.c2): r.node for r in M._classes_of(scratch, signed).collect()}
+    assert len(set(named.values())) == 3 and named[7, 1] == 7 and named[8, 1] == 8
