@@ -13,22 +13,39 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+#: Bounds of an Arrow batch sent to a Python worker, set where the session allows more.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def prepare(spark: SparkSession) -> None:
+    """What all operators need of the session: workers find this package, and Arrow batches are bounded in rows and bytes."""
+    context = spark.sparkContext
+    path = context.environment.get("PYTHONPATH", "")
+    if PACKAGE_ROOT not in path.split(os.pathsep):
+        context.environment["PYTHONPATH"] = os.pathsep.join(x for x in (PACKAGE_ROOT, path) if x)
+    for key, most in BATCH.items():
+        now = (spark.conf.get(key, None) or "").rstrip("b")  # None where the default holds
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 class Scratch:
     """Tables written to the shared folder named by ``spark.checkpoint.dir``.
 
-    A written table cuts the lineage and survives lost executors. Only where that setting is unset
-    (tests, a single machine) a temporary folder is used.
+    A written table cuts the lineage and survives lost executors. Where that setting is unset, a
+    temporary folder is used on a single machine (a local master); on a cluster that is an error, as
+    executors don't see each other's disks.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        prepare(spark)
         context = spark.sparkContext
-        path = context.environment.get("PYTHONPATH", "")
-        if PACKAGE_ROOT not in path.split(os.pathsep):
-            context.environment["PYTHONPATH"] = os.pathsep.join(x for x in (PACKAGE_ROOT, path) if x)
-        base = context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/tandem-scratch"
+        base = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = f"file://{tempfile.gettempdir()}/tandem-scratch"
         self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def save(self, frame: DataFrame, name: str) -> DataFrame:
@@ -141,4 +158,4 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc", rounds: int
     return now.select(F.col("b").alias("id"), F.col("a").alias("component"))
 
 
-__all__ = ["Scratch", "batch_slices", "by_group", "components", "row_keys", "slices", "table", "text_buffers"]
+__all__ = ["Scratch", "batch_slices", "by_group", "components", "prepare", "row_keys", "slices", "table", "text_buffers"]

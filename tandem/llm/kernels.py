@@ -8,6 +8,8 @@ U = np.uint64
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 _POWERS: list[np.ndarray] = []
+#: Tokens whose anchors are found at once; below 2**24.
+PIECE = 1 << 19
 
 
 def _table(seed: int) -> np.ndarray:
@@ -116,7 +118,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def anchors(tokens: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
     """Cut all windows of ``window`` tokens into runs that share an anchor.
 
-    The anchor of a window is the leftmost of its k-grams with the least hash, so equal windows have
+    Tokens are 64-bit hashes, or bytes. The anchor of a window is the leftmost of its k-grams with the least hash, so equal windows have
     equal anchors at equal places. Returns row, first window start, last window start, anchor position
     (token indices into ``tokens``) and anchor hash of each run; every window of every row is in exactly
     one run.
@@ -125,17 +127,17 @@ def anchors(tokens: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tup
     n = len(tokens) - window + 1
     if n <= 0:
         return empty, empty, empty, empty, np.zeros(0, np.uint64)
-    grams = gram_hashes(tokens, k)
-    if len(tokens) >= 1 << 24:
-        # too long for a packed position: cut with overlaps, as runs are judged window by window
-        parts, step = [], (1 << 23)
-        for low in range(0, len(tokens), step):
-            high = min(len(tokens), low + step + window - 1)
+    if len(tokens) > PIECE + window:
+        # in pieces with overlaps, so that memory doesn't follow a long text; runs are judged window by window
+        parts = []
+        for low in range(0, len(tokens), PIECE):
+            high = min(len(tokens), low + PIECE + window - 1)
             near = np.clip(offsets - low, 0, high - low)
             rows, s1, s2, at, h = anchors(tokens[low:high], near, window, k)
-            keep = s1 < step
-            parts.append((rows[keep], s1[keep] + low, np.minimum(s2[keep], step - 1) + low, at[keep] + low, h[keep]))
+            keep = s1 < PIECE
+            parts.append((rows[keep], s1[keep] + low, np.minimum(s2[keep], PIECE - 1) + low, at[keep] + low, h[keep]))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    grams = gram_hashes(BYTES[tokens] if tokens.dtype == np.uint8 else tokens, k)
     packed = (grams & ~U((1 << 24) - 1)) | np.arange(len(grams), dtype=np.uint64)
     best = sliding_min(packed, window - k + 1)
     at = (best & U((1 << 24) - 1)).astype(np.int64)

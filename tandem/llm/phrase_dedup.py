@@ -1,10 +1,12 @@
 """Substring dedup with repeated-phrase automata: 50-word windows first seen in a smaller doc_id go.
 
-Windows that recur are confirmed among the distinct segments of each anchor (see ``spans``), compiled
-into Aho-Corasick automata, each a shard of bounded size over a word alphabet of its own, and the
-segments of all documents that hold the anchor are streamed through it to locate every occurrence; the
-occurrence carries the smallest doc_id of its window. Segments of identical documents are one segment
-here and are streamed once.
+Windows that recur are confirmed among the distinct segments of each anchor (see ``spans``) and compiled
+into Aho-Corasick automata, each a shard of bounded size over a word alphabet of its own. Documents are
+cut into segments that are dealt to the shards by their anchor, as a phrase can only occur under its own
+anchor; all segments of a shard's anchors are streamed through it to locate every occurrence. The matches alone
+tell where windows recur and which is the smallest doc_id of each. Segments of identical content are
+streamed once, with their count and smallest doc_id; one whose anchor occurs in a single document has no
+recurring phrase and isn't streamed.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; a word is held as a 64-bit hash and a window as fifty of them
 in order. Null text has no words; a row with null doc_id removes nothing and loses nothing; rows that
@@ -40,7 +42,7 @@ def _letters(tokens: np.ndarray) -> str:
 
 def phrase_kernel(table: pa.Table, units: Units) -> dict[str, np.ndarray]:
     """Runs of windows with the smallest doc_id that holds them, for the segments of whole anchors."""
-    anchor, g1, g2, md = (table.column(c).to_numpy() for c in ("anchor", "g1", "g2", "md"))
+    anchor, g1, g2, md, n = (table.column(c).to_numpy() for c in ("anchor", "g1", "g2", "md", "n"))
     column = table.column("content").combine_chunks()
     data, offsets = text_buffers(column if isinstance(column, pa.Array) else column.chunk(0))
     tokens, offsets = np.frombuffer(data.tobytes(), np.uint64), offsets // 8
@@ -49,31 +51,33 @@ def phrase_kernel(table: pa.Table, units: Units) -> dict[str, np.ndarray]:
     seg = np.repeat(np.arange(len(counts)), counts)
     starts = K.spread(offsets[:-1], counts)
     hashes = K.gram_hashes(tokens, units.window)[starts]
-    # confirm: windows of two segments or more
+    # confirm: windows met in two segments, or in one that has copies
     kinds, kind, met = np.unique(hashes, return_inverse=True, return_counts=True)
-    least = np.full(len(kinds), np.iinfo(np.int64).max)
-    np.minimum.at(least, kind, md[seg])
+    copied = np.zeros(len(kinds), bool)
+    copied[kind[n[seg] > 1]] = True
     sample = np.zeros(len(kinds), np.int64)
     sample[kind] = starts
-    confirmed = np.flatnonzero(met > 1)
+    confirmed = np.sort(sample[(met > 1) | copied])
     none = np.iinfo(np.int64).min
     best = np.full(len(starts), none, np.int64)
-    if len(confirmed):
-        letters = _letters(tokens)
-        first = np.r_[0, np.cumsum(counts)]
-        # shards follow the order of the segments, so that a segment meets few of them
-        confirmed = confirmed[np.argsort(sample[confirmed])]
-        for low in range(0, len(confirmed), SHARD):
-            shard = confirmed[low : low + SHARD]
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for phrase in shard.tolist():
-                automaton.add_word(letters[sample[phrase] : sample[phrase] + units.window], phrase)
-            automaton.make_automaton()
-            inside = np.zeros(len(kinds), bool)
-            inside[shard] = True
-            for s in np.unique(seg[inside[kind]]).tolist():
-                for end, phrase in automaton.iter(letters[offsets[s] : offsets[s + 1]]):
-                    best[first[s] + end - units.window + 1] = least[phrase]
+    letters = _letters(tokens) if len(confirmed) else ""
+    first = np.r_[0, np.cumsum(counts)] - units.window + 1
+    streamed = np.flatnonzero(counts).tolist()
+    for low in range(0, len(confirmed), SHARD):
+        shard = confirmed[low : low + SHARD].tolist()
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for phrase, low_word in enumerate(shard):
+            automaton.add_word(letters[low_word : low_word + units.window], phrase)
+        automaton.make_automaton()
+        place, which = [], []
+        for s in streamed:
+            for end, phrase in automaton.iter(letters[offsets[s] : offsets[s + 1]]):
+                place.append(first[s] + end)
+                which.append(phrase)
+        at, phrases = np.array(place, np.int64), np.array(which, np.int64)
+        least = np.full(len(shard), np.iinfo(np.int64).max)
+        np.minimum.at(least, phrases, md[seg[at]])
+        best[at] = least[phrases]
     flag = best != none
     cut = np.r_[True, (seg[1:] != seg[:-1]) | (best[1:] != best[:-1])] if len(best) else np.zeros(0, bool)
     head = np.flatnonzero(cut)
@@ -110,7 +114,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_phrases(docs: DataFrame, window: int = 50, gram: int = 8) -> DataFrame:
     """``docs`` as text, row and the word ranges ``cut`` to remove."""
-    return repeated(docs, Units(True, window, gram), phrase_kernel, "phrases", 2000, later=True)
+    return repeated(docs, Units(True, window, gram), phrase_kernel, "phrases", 1000, later=True)
 
 
 def dedup_phrases(docs: DataFrame, window: int = 50) -> DataFrame:

@@ -3,9 +3,8 @@
 Every window of ``window`` tokens belongs to one anchor, the least k-gram inside it, which depends on
 the window's content alone. Neighbouring windows with one anchor form a segment. So equal windows meet
 under one anchor hash, and an anchor that occurs once proves all its windows unique without moving a
-byte of text. What is left is made distinct (copies collapse to one segment with a count), segments that
-stand alone under their anchor are settled by that count, and only differing segments of one anchor are
-fetched and compared by the caller's kernel. An anchor with very many differing segments is first cut
+byte of text. What is left is made distinct (copies collapse to one segment with a count), fetched, and
+judged anchor by anchor by the caller's kernel. An anchor with very many differing segments is first cut
 into blocks of windows keyed by the tokens that all windows of the block share, then, if that is not
 enough, into single windows, so no group that grows with the input is gathered in one task.
 """
@@ -25,9 +24,11 @@ from pyspark.sql import types as T
 from tandem.llm import kernels as K
 from tandem.llm.common import Scratch, batch_slices, by_group, row_keys, text_buffers
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: Most differing segments of an anchor that are compared in one task.
-HOT = 4096
+HOT = 1024
+#: Bytes of segments that a kernel is given at once (one anchor's may be more, up to ``HOT`` segments).
+GROUP_BYTES = 1 << 19
 #: Windows in a block of a hot anchor; then single windows.
 WIDTHS = (24, 1)
 SPACE = np.ones(256, bool)
@@ -44,7 +45,7 @@ class Units:
 
     def tokens(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not self.words:
-            return K.BYTES[data], offsets
+            return data, offsets
         starts, ends, rows = K.word_spans(SPACE[data], offsets)
         return K.span_hashes(data, starts, ends), rows
 
@@ -136,7 +137,7 @@ def _split(units: Units, width: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
 def _compare(units: Units, kernel: Kernel, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in by_group(batches, ["anchor"], rows):
+        for group in by_group(batches, ["anchor"], rows, "content", GROUP_BYTES):
             found = kernel(group, units)
             if len(found["g1"]):
                 yield pa.RecordBatch.from_arrays([pa.array(found[c]) if c != "m" or "none" not in found else pa.array(found[c], mask=found["none"]) for c in ("g1", "g2", "lo", "hi", "m")], ["g1", "g2", "lo", "hi", "m"])
@@ -145,10 +146,10 @@ def _compare(units: Units, kernel: Kernel, rows: int) -> Callable[[Iterator[pa.R
 
 
 def _settle(scratch: Scratch, found: DataFrame, units: Units, kernel: Kernel, rows: int, level: int = 0) -> DataFrame:
-    """Repeated runs of windows of each distinct segment (g1, g2) of ``found``, whose anchors have rivals."""
-    rivals = scratch.save(found.groupBy("anchor").agg(F.count("*").alias("v")), f"rivals-{level}")
-    crowded = rivals.where(F.col("v") > HOT).select("anchor")
-    cold = found.join(rivals.where((F.col("v") <= HOT) & (F.col("v") > 1)).select("anchor"), "anchor")
+    """Repeated runs of windows of each distinct segment (g1, g2) of ``found``."""
+    met = scratch.save(found.groupBy("anchor").agg(F.count("*").alias("v"), F.sum("n").alias("c")).where("c > 1"), f"met-{level}")
+    crowded = met.where(F.col("v") > HOT).select("anchor")
+    cold = found.join(met.where(F.col("v") <= HOT).select("anchor"), "anchor")
     settled = cold.repartition("anchor").sortWithinPartitions("anchor", "g1", "g2").mapInArrow(_compare(units, kernel, rows), RUNS)
     if level < len(WIDTHS) and not crowded.isEmpty():
         hot = found.join(crowded, "anchor").select("anchor", "g1", "g2", "n", "md", "rel", "content")
@@ -156,9 +157,7 @@ def _settle(scratch: Scratch, found: DataFrame, units: Units, kernel: Kernel, ro
         same = parts.groupBy("anchor", "g1", "g2").agg(F.sum("n").alias("n"), F.min("md").alias("md"), F.first("rel").alias("rel"), F.first("content").alias("content"))
         same = scratch.save(same, f"same-{level}")
         inner = _settle(scratch, same, units, kernel, rows, level + 1)
-        # a part met by copies of itself is settled by its count, whatever the kernel finds
-        whole = same.where("n > 1").select("g1", "g2", F.lit(0).alias("lo"), (F.octet_length("content") / units.size - units.window).cast("int").alias("hi"), F.col("md").alias("m"))
-        back = parts.select("p1", "p2", "j", "g1", "g2").join(inner.unionByName(whole), ["g1", "g2"])
+        back = parts.select("p1", "p2", "j", "g1", "g2").join(inner, ["g1", "g2"])
         settled = settled.unionByName(back.select(F.col("p1").alias("g1"), F.col("p2").alias("g2"), (F.col("lo") + F.col("j")).cast("int").alias("lo"), (F.col("hi") + F.col("j")).cast("int").alias("hi"), "m"))
     return settled
 
@@ -177,16 +176,12 @@ def repeated(docs: DataFrame, units: Units, kernel: Kernel, name: str, rows: int
     twice = scratch.save(twice, "twice")
     cand = scratch.save(found.join(twice, "anchor"), "candidates")
     scratch.drop("segments")
-    distinct = cand.groupBy("anchor", "g1", "g2").agg(F.count("*").alias("n"), F.min("doc").alias("md"), F.max("doc").alias("xd"), F.min(F.struct("k1", "k2", "s", "nwin", "rel")).alias("at"))
+    distinct = cand.groupBy("anchor", "g1", "g2").agg(F.count("*").alias("n"), F.min("doc").alias("md"), F.min(F.struct("k1", "k2", "s", "nwin", "rel")).alias("at"))
     distinct = scratch.save(distinct, "distinct")
-    whole = distinct.where("md < xd" if later else "n > 1").select("g1", "g2", F.lit(0).alias("lo"), (F.col("at.nwin") - 1).alias("hi"), F.col("md").alias("m"))
-    rivals = distinct.groupBy("anchor").agg(F.count("*").alias("v")).where("v > 1").select("anchor")
-    rivals = scratch.save(rivals, "rivals")
-    wanted = distinct.join(rivals, "anchor").groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(F.collect_list(F.struct("anchor", "g1", "g2", "n", "md", F.col("at.s").alias("s"), F.col("at.nwin").alias("nwin"), F.col("at.rel").alias("rel"))).alias("wanted"))
+    wanted = distinct.groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(F.collect_list(F.struct("anchor", "g1", "g2", "n", "md", F.col("at.s").alias("s"), F.col("at.nwin").alias("nwin"), F.col("at.rel").alias("rel"))).alias("wanted"))
     content = scratch.save(keyed.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).mapInArrow(_fetch(units), CONTENT), "content")
-    compared = scratch.save(_settle(scratch, content, units, kernel, rows), "compared")
+    runs = scratch.save(_settle(scratch, content, units, kernel, rows), "runs")
     scratch.drop("content")
-    runs = compared.unionByName(whole)
     marked = cand.select("k1", "k2", "doc", "s", "g1", "g2").join(runs, ["g1", "g2"])
     if later:
         marked = marked.where("m < doc")

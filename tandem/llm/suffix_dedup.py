@@ -4,7 +4,8 @@ Suffixes are put in order through their first 400 bytes only, by most-significan
 bytes; after the last pass the groups of equal suffixes are exactly the repeated windows, so no longest
 common prefixes and no full suffix array are needed. The first digit, which deals the suffixes out over
 the cluster, is the anchor of the window (see ``spans``), as it splits suffixes evenly where a fixed
-prefix of natural text would not.
+prefix of natural text would not; suffixes whose anchor occurs once are sorted by it alone. All others go
+through the passes. Of copies of a segment two are sorted, which stand for all.
 
 Texts are UTF-8 bytes; null and empty texts have no window, repeated rows are documents of their own,
 matches never cross documents, and other columns of any name are kept.
@@ -78,7 +79,8 @@ def byte_kernel(table: pa.Table, units: Units) -> dict[str, np.ndarray]:
     place = starts - offsets[seg]
     _, who = np.unique(anchor, return_inverse=True)
     group = who[seg].astype(np.int64) * (units.window + 1) + rel[seg] - place
-    flag = radix_repeats(data, starts, group, units.window) | (n[seg] > 1)
+    twin = np.flatnonzero(n[seg] > 1)  # a segment with copies stands there twice
+    flag = radix_repeats(data, np.r_[starts, starts[twin]], np.r_[group, group[twin]], units.window)[: len(starts)]
     edge = np.flatnonzero(flag & np.r_[True, ~flag[:-1] | (seg[1:] != seg[:-1])]) if len(flag) else np.zeros(0, np.int64)
     stop = np.flatnonzero(flag & np.r_[~flag[1:] | (seg[1:] != seg[:-1]), True]) if len(flag) else np.zeros(0, np.int64)
     own = seg[edge]
@@ -111,7 +113,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_spans(docs: DataFrame, threshold: int = 400, gram: int = 32) -> DataFrame:
     """``docs`` as text, row and the byte ranges ``cut`` (overlapping, in any order, null for none) to remove."""
-    return repeated(docs, Units(False, threshold, gram), byte_kernel, "suffix", 4000, later=False)
+    return repeated(docs, Units(False, threshold, gram), byte_kernel, "suffix", 2000, later=False)
 
 
 def dedup_texts(docs: DataFrame, threshold: int = 400) -> DataFrame:

@@ -7,9 +7,12 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from tandem.llm import spans
+from tandem.llm import kernels as K
+from tandem.llm import phrase_dedup, spans, suffix_dedup
 from tandem.llm.phrase_dedup import dedup_phrases, phrase_digest
 from tandem.llm.suffix_dedup import dedup_texts, suffix_digest
 
@@ -67,7 +70,7 @@ def corpus(seed=3, n=60):
     return rows
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
+@pytest.mark.parametrize("hot", [1024, 3])
 @pytest.mark.parametrize("seed", [3, 4])
 def test_against_brute_force(spark, monkeypatch, hot, seed):
     monkeypatch.setattr(spans, "HOT", hot)
@@ -90,3 +93,51 @@ def test_texts_and_clashing_columns(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_digest(docs).count() == 0 and phrase_digest(docs).count() == 0
+
+
+def test_more_segments_of_an_anchor_than_one_task_takes(spark):
+    """A passage in 1,300 surroundings: its anchors have more differing segments than ``HOT``."""
+    rng = random.Random(8)
+    text = lambda k: "".join(rng.choices("abcdefghij ", k=k))
+    passage = text(430)
+    rows = [(i, text(120) + passage + text(120)) for i in range(1300)] + [(5000, text(300) + passage[:300])]
+    assert len(rows) > spans.HOT
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.n_removed for r in suffix_digest(docs).collect()}
+    assert got.pop(5000) == 0 and min(got.values()) >= 430
+    assert sorted(map(tuple, suffix_digest(docs).collect()), key=str) == brute_bytes(rows, 400)
+
+
+def test_long_text_is_cut_in_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    offsets = np.array([0, 700, 700, 4100, 4300, 5000])
+    whole = K.anchors(data, offsets, 400, 32)
+    monkeypatch.setattr(K, "PIECE", 900)
+    pieces = K.anchors(data, offsets, 400, 32)
+    by_window = lambda x: sorted((r, s, at, int(h)) for r, a, b, at, h in zip(*x, strict=True) for s in range(a, b + 1))
+    assert by_window(whole) == by_window(pieces)
+
+
+def segments(texts, anchors, copies, words):
+    """A kernel's input: the segments of anchors, sorted."""
+    units = spans.Units(words, 50, 8) if words else spans.Units(False, 400, 32)
+    rows = []
+    for i, (text, anchor, n) in enumerate(zip(texts, anchors, copies, strict=True)):
+        data = np.frombuffer(text.encode(), np.uint8)
+        tokens, _ = units.tokens(data, np.array([0, len(data)]))
+        rows.append({"anchor": anchor, "g1": i, "g2": i, "n": n, "md": i, "rel": 0, "content": units.raw(data, tokens).tobytes()})
+    return pa.Table.from_pylist(rows, pa.schema([*((c, pa.int64()) for c in ("anchor", "g1", "g2", "n", "md")), ("rel", pa.int32()), ("content", pa.binary())])), units
+
+
+def test_nothing_is_found_without_the_method(monkeypatch):
+    """Every removed byte or word comes out of the radix passes or the automata: a segment met by its copies as well."""
+    text = " ".join(f"w{i}" for i in range(140))
+    for words, kernel in ((False, suffix_dedup.byte_kernel), (True, phrase_dedup.phrase_kernel)):
+        table, units = segments([text, text + " z", "q " * 300], [1, 1, 2], [1, 1, 3], words)
+        found = kernel(table, units)
+        assert set(found["g1"].tolist()) == {0, 1, 2}
+        with monkeypatch.context() as gone:
+            gone.setattr(suffix_dedup, "radix_repeats", lambda data, starts, group, depth: np.zeros(len(starts), bool))
+            gone.setattr(phrase_dedup.ahocorasick, "Automaton", lambda kind: type("Silent", (), {"add_word": lambda *a: None, "make_automaton": lambda *a: None, "iter": lambda *a: ()})())
+            assert not len(kernel(table, units)["g1"])
