@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm.common import batch_slices, text_buffers
+from tandem.llm.common import batch_slices, prepare, text_buffers
 from tandem.llm.kernels import spread
 
 OPEN, BREAK, CLOSE = "<|turn|>", "\n", "<|end|>\n"
@@ -103,6 +103,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def format_chats(conversations: DataFrame) -> DataFrame:
     """conv_id, part, text and ``loss``, the byte ranges of text under the loss mask; parts stand together in order."""
+    prepare(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     return dealt.mapInArrow(_format, "conv_id long, part long, text string, loss array<struct<start: int, end: int>>")

@@ -59,6 +59,17 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def cache(name: str) -> dict:
+    """What an operator keeps in a worker process between tasks. Workers are reused, so whatever others kept there is let go."""
+    for other, held in _CACHES.items():
+        if other != name:
+            held.clear()
+    return _CACHES.setdefault(name, {})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -158,4 +169,4 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc", rounds: int
     return now.select(F.col("b").alias("id"), F.col("a").alias("component"))
 
 
-__all__ = ["Scratch", "batch_slices", "by_group", "components", "prepare", "row_keys", "slices", "table", "text_buffers"]
+__all__ = ["Scratch", "batch_slices", "by_group", "cache", "components", "prepare", "row_keys", "slices", "table", "text_buffers"]

@@ -6,8 +6,9 @@ shared span of ``window`` words always shares a fingerprint. Fingerprints of doc
 those of the benchmark; each hit is extended to the windows that may hold it, which are compared word by
 word. An item shorter than a window is a window of its own and its one fingerprint is its whole gram.
 
-The benchmark's fingerprints go to all executors in parts of at most ``PART_WORDS`` words, a size counted
-before; a benchmark of more parts takes one pass over the documents for each, and hits are merged by
+The benchmark's fingerprints go to all executors in parts of at most ``PART_WORDS`` words: items are filled into
+parts one after the other by their counts of words, a long item in pieces that overlap by a window less one word. A
+benchmark of several parts takes one pass over the documents for each, one part at a time, and hits are merged by
 document. Null, empty and wordless texts have no words; an item without words is ignored, as is a null
 item_id in the list of items (its windows count). Words are held as 64-bit hashes.
 """
@@ -19,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,11 +120,34 @@ class Windows:
         return {self.items[i] for i in out} - {None}
 
 
-def _marks(parts: list, number: int, merge: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _deal(window: int, part_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Items, in pieces if long, with the part each belongs to; a part has at most ``part_words`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = max(2 * window, part_words // 4)
+        part, filled = TaskContext.get().partitionId() << 32, 0
+        for batch in batch_slices(batches, "text", SLICE_BYTES):
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text"), strict=True):
+                data, offsets = text_buffers(pa.array([text.as_py()], pa.string()))
+                starts, ends, _ = K.word_spans(WORD[data], offsets)
+                raw, pieces = data.tobytes(), []
+                for low in range(0, max(1, len(starts) - window + 1), most - window + 1) if len(starts) else ():
+                    high = min(len(starts), low + most)
+                    if filled + high - low > part_words and filled:
+                        part, filled = part + 1, 0
+                    filled += high - low
+                    pieces.append({"item_id": item, "text": raw[starts[low] : ends[high - 1]].decode(), "part": part})
+                if pieces:
+                    yield pa.RecordBatch.from_pylist(pieces, pa.schema([("item_id", pa.string()), ("text", pa.string()), ("part", pa.int64())]))
+
+    return run
+
+
+def _marks(shared, merge: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For each row n_words, and its hits: their number and items, or the ranges themselves where parts are merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part: Windows = parts[number].value
+        part: Windows = shared.value
         for batch in batch_slices(batches, "text", SLICE_BYTES):
             data, offsets = text_buffers(batch.column("text"))
             words, rows = folded_words(data, offsets)
@@ -162,23 +187,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     """``row`` (all columns of ``docs``), n_words, n_hit and the sorted ``items`` that occur, for every row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
-    # whole items are dealt to parts by a running sum of their sizes, so a part has a bounded size
     sized = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
-    total = sized.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
-    count = max(1, -(-int(total[0]) // (4 * part_words)))
-    parts = []
-    for number in range(count):
-        own = sized if count == 1 else sized.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(count)) == number)
-        rows = own.orderBy("item_id", "text").collect()
-        parts.append(spark.sparkContext.broadcast(Windows.of([r.item_id for r in rows], [r.text for r in rows], window, k)))
+    letters = sized.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    spread = max(1, -(-int(letters) // (2 * part_words)))  # a word has two letters or more with what parts it
+    dealt = scratch.save((sized.coalesce(1) if spread == 1 else sized.repartition(spread, "item_id", "text")).mapInArrow(_deal(window, part_words), "item_id string, text string, part long"), "items")
+    numbers = sorted(r.part for r in dealt.select("part").distinct().collect()) or [0]
+
+    def part(number: int) -> Broadcast:
+        rows = sorted(dealt.where(F.col("part") == number).collect(), key=lambda r: (r.item_id or "", r.text))
+        return spark.sparkContext.broadcast(Windows.of([r.item_id for r in rows], [r.text for r in rows], window, k))
+
     given = docs.select("text", F.struct(*docs.columns).alias("row"))
-    if count == 1:
+    if len(numbers) == 1:
         schema = T.StructType([T.StructField("row", given.schema["row"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
-        return given.mapInArrow(_marks(parts, 0, False), schema)
+        return given.mapInArrow(_marks(part(numbers[0]), False), schema)
     rowless = docs.select(*row_keys("doc_id", "text"), "text").dropDuplicates(["k1", "k2"])
     kinds = "row struct<k1: long, k2: long>, n_words long, n_hit long, items array<string>, ranges array<struct<a: long, b: long>>"
     found = rowless.select("text", F.struct("k1", "k2").alias("row"))
-    passes = [scratch.save(found.mapInArrow(_marks(parts, i, True), kinds), f"part-{i}") for i in range(count)]
+    passes = []
+    for number in numbers:
+        shared = part(number)
+        passes.append(scratch.save(found.mapInArrow(_marks(shared, True), kinds), f"part-{number}"))
+        shared.destroy()
     every = passes[0]
     for other in passes[1:]:
         every = every.unionByName(other)

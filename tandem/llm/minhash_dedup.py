@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm import kernels as K
-from tandem.llm.common import Scratch, batch_slices, by_group, components, row_keys, text_buffers
+from tandem.llm.common import Scratch, batch_slices, by_group, cache, components, row_keys, text_buffers
 from tandem.llm.spans import SLICE_BYTES, SPACE
 
 CHUNKS, CHUNK, ERRORS = 8, 3, 1
@@ -82,6 +82,7 @@ def signatures(grams: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 def _classes(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache("minhash")
         for batch in batch_slices(batches, "text", SLICE_BYTES):
             data, offsets = text_buffers(batch.column("text"))
             grams, edges = shingle_sets(data, offsets, width)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tandem.llm import kernels as K
-from tandem.llm.common import Scratch, batch_slices, by_group, row_keys, text_buffers
+from tandem.llm.common import Scratch, batch_slices, by_group, cache, row_keys, text_buffers
 
 SLICE_BYTES = 1 << 20
 #: Most differing segments of an anchor that are compared in one task.
@@ -77,6 +77,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _segments(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache("spans")
         for batch in batch_slices(batches, "text", SLICE_BYTES):
             data, offsets = text_buffers(batch.column("text"))
             tokens, rows = units.tokens(data, offsets)
@@ -137,6 +138,7 @@ def _split(units: Units, width: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
 def _compare(units: Units, kernel: Kernel, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache("spans")
         for group in by_group(batches, ["anchor"], rows, "content", GROUP_BYTES):
             found = kernel(group, units)
             if len(found["g1"]):

@@ -4,12 +4,15 @@ Categories are predicted one after the other: each has a linear (logistic) model
 the probabilities of the categories before it. The models are trained with out-of-fold predictions: what
 a later model sees of an earlier category during training comes from models that hadn't seen the document,
 as will be so for new documents. The categories are conditions on the columns of ``labels``, in the order
-of the chain; ``toxic`` gives the decision, at the probability with the best out-of-fold F1.
+of the chain; ``toxic`` stands last, sees the others, and gives the decision, at the probability with the best
+out-of-fold F1.
 
 Features are the presence of words (A-Z lower-cased, letters and bytes beyond ASCII) and of their first 3 to
 6 bytes, so that inflected forms count; the ``features`` with the strongest association with any category are
 used. Training takes about ``sample`` labelled documents of each value of ``toxic``, chosen by a hash of
-doc_id; that bound is all that is collected. Labels that are null, or for absent documents, aren't used.
+doc_id, of each at most ``sample_chars`` characters; that bound is all that is collected. Labels that are null, or
+for absent documents, aren't used. Of several labels of a doc_id a category holds if it does in any; of several texts
+of a doc_id that with the least hash is learned from.
 
 Every whole text is scored; null, empty and wordless texts have the score of a text without features.
 Repeated rows score alike. With no labels, or one class only, every score is 0. Other columns are kept.
@@ -27,11 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tandem.llm import kernels as K
-from tandem.llm.common import Scratch, batch_slices, text_buffers
+from tandem.llm.common import batch_slices, prepare, text_buffers
 
 SLICE_BYTES = 1 << 21
 #: name and condition of each category, in the order of the chain.
-CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_fluent", "toxic = 1 AND quality = 1"))
+CATEGORIES = (("low_quality", "quality = 0"), ("toxic_fluent", "toxic = 1 AND quality = 1"), ("toxic", "toxic = 1"))
 TARGET = "toxic"
 PREFIXES = (3, 4, 5, 6)
 FOLDS = 4
@@ -150,23 +153,26 @@ def _score(shared, names: list[str], target: int) -> Callable[[Iterator[pa.Recor
     return run
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...], sample: int) -> pa.Table:
+def training_sample(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...], sample: int, sample_chars: int) -> pa.Table:
     """About ``sample`` labelled documents for each value of the target, by the least hashes of doc_id."""
     named = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *(F.expr(c).cast("int").alias(n) for n, c in categories)).dropna()
+    named = named.groupBy("doc_id").agg(*(F.max(n).alias(n) for n, _ in categories))
     sizes = {r[TARGET]: r["count"] for r in named.groupBy(TARGET).count().collect()}
     # a hash below a bound: no sort, and the rows of a class never meet in one task
     chosen = F.lit(False)
     for value, count in sizes.items():
         chosen = chosen | ((F.col(TARGET) == value) & (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / count) * (1 << 30))))
-    few = named.where(chosen).dropDuplicates(["doc_id"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").orderBy("doc_id", "text").limit(3 * sample).toArrow()
+    few = named.where(chosen)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, sample_chars).alias("text"), F.xxhash64("text").alias("h"))
+    found = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", *(n for n, _ in categories)).agg(F.min(F.struct("h", "text"))["text"].alias("text"))
+    return found.toArrow().sort_by("doc_id")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...] = CATEGORIES, sample: int = 4000, most: int = 2000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...] = CATEGORIES, sample: int = 4000, most: int = 2000, sample_chars: int = 50_000) -> DataFrame:
     """``row`` (all columns of ``docs``), is_toxic, and the probability of each category, of every row."""
-    Scratch(docs.sparkSession, "toxicity")
+    prepare(docs.sparkSession)
     names = [n for n, _ in categories]
-    table = training_sample(docs, labels, categories, sample).combine_chunks()
+    table = training_sample(docs, labels, categories, sample, sample_chars).combine_chunks()
     texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
     y = np.stack([table.column(n).to_numpy().astype(float) for n in names], 1) if table.num_rows else np.zeros((0, len(names)))
     chain = train(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts, y, names.index(TARGET), most)

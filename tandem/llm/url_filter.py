@@ -1,18 +1,19 @@
-"""URL filters: a weighted URL vocabulary matched by Aho-Corasick, after rules on host and path.
+"""URL filters: rules on host and path, then a weighted URL vocabulary matched by Aho-Corasick.
 
 The host is what stands after the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z lower-cased;
 the path goes on up to ``?``, ``#`` or the end. A url that is null or has no ``://`` has both empty.
 
 A rule ``host/path`` fits its host and all subdomains if the url's path starts with the rule's; of the rules
-that fit, the longest gives the verdict. Where none fits, the vocabulary judges host and path: one strict
-term, or ``soft_hits`` distinct soft terms, block the url. Every term counts once, and only where no ASCII
-letter or digit stands right before or after it.
+that fit, the longest gives the verdict. Host, path and rule are built-in expressions.
 
-``judge_by_category`` keeps the rules and has a wider vocabulary by category (``CATEGORIES``), which it looks for in
-the whole url, query and fragment included, also in one without ``://``. A term that says all blocks by itself, a
-topic blocks with a second topic or with a lure such as cheap or free.
+Where no rule fits, the vocabulary judges the whole url, query and fragment included, also one without ``://``. It is a
+table of terms with a category, a language and a weight. A strict term weighs ``LIMIT`` and blocks by itself; a soft
+term (a topic) blocks with a second distinct one, or with a lure such as cheap or free. Every term counts once, in
+whatever language the url is, and only where no ASCII letter or digit stands right before or after it. One
+automaton finds all terms in one pass; a vocabulary of more than ``MOST_TERMS`` is refused, as it is sent to every task.
 
-Only the url is read; each row is judged by itself, so repeated rows and other columns need no care.
+Only the url is read; each row is judged by itself, so repeated rows and other columns need no care. Empty and very
+long urls are judged whole.
 """
 
 from __future__ import annotations
@@ -21,139 +22,131 @@ from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
-STRICT = ("porn", "porno", "xxx", "hentai", "camgirl", "camgirls", "milf", "nsfw", "xvideos", "sexcam")
-SOFT = ("adult", "amateur", "bet", "betting", "casino", "dating", "erotic", "escort", "fetish", "gambling", "hot", "naked", "nude", "poker", "sex", "sexy", "slots", "viagra", "webcam", "torrent")
-
+from tandem.llm.common import prepare
 
-#: Weights by category; a total of ``LIMIT`` blocks.
+RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+#: Weights: a total of ``LIMIT`` blocks.
 LIMIT, TOPIC, LURE = 4, 3, 1
-CATEGORIES = {
-    "adult": {LIMIT: (*STRICT, "pornos", "porns", "camsex", "hardcore-sex", "sexcams", "xhamster", "youporn", "pornhub", "milfs"), TOPIC: ("adult", "adults", "amateur", "amateurs", "dating", "erotic", "erotica", "escort", "escorts", "fetish", "fetishes", "naked", "nude", "nudes", "sex", "sexy", "webcam", "webcams", "stripper", "strippers")},
-    "gambling": {LIMIT: ("sportsbook", "sportsbooks", "jackpots", "freebets", "freespins", "onlinecasino"), TOPIC: ("bet", "bets", "betting", "bookie", "bookies", "bookmaker", "bookmakers", "casino", "casinos", "gamble", "gambling", "jackpot", "lottery", "lotto", "poker", "roulette", "slot", "slots", "blackjack")},
-    "pharmacy": {LIMIT: ("viagra", "cialis", "levitra", "kamagra", "xanax", "tramadol"), TOPIC: ("drugstore", "drugstores", "meds", "pharma", "pharmacy", "pharmacies", "pill", "pills", "prescription", "prescriptions", "steroid", "steroids")},
-    "spam": {LIMIT: ("clickbait", "linkfarm", "linkfarms", "spamfarm"), TOPIC: ("ads", "adserver", "adservers", "replica", "replicas", "spam", "spammer", "spammers", "payday")},
-    "malware": {LIMIT: ("keygen", "keygens", "keylogger", "keyloggers", "warez"), TOPIC: ("crack", "cracked", "cracks", "exploit", "exploits", "malware", "phishing", "ransomware", "spyware", "torrent", "torrents", "trojan", "trojans", "virus", "viruses")},
-    "lure": {LURE: ("bonus", "buy", "cheap", "click", "deal", "deals", "discount", "download", "farm", "farms", "free", "hot", "instant", "online", "track", "tracker", "trackers", "tracking", "win", "winner", "winners", "wins", "x")},
-}
+MOST_TERMS = 1_000_000
+#: (category, language, weight, terms); ``*`` for terms that all languages use.
+VOCABULARY = (
+    ("adult", "*", LIMIT, "porn porno pornos xxx hentai camgirl camgirls camsex milf milfs nsfw sexcam sexcams xhamster xvideos youporn pornhub"),
+    ("adult", "en", TOPIC, "adult adults amateur amateurs dating erotic erotica escort escorts fetish naked nude nudes sex sexy webcam webcams strippers"),
+    ("adult", "de", TOPIC, "erotik nackt huren sexkontakte"),
+    ("adult", "es", TOPIC, "desnuda desnudas erotico putas"),
+    ("adult", "fr", TOPIC, "erotique nue nues salope"),
+    ("gambling", "*", LIMIT, "sportsbook sportsbooks jackpots freebets freespins onlinecasino"),
+    ("gambling", "en", TOPIC, "bet bets betting bookie bookies bookmaker bookmakers casino casinos gamble gambling jackpot lottery poker roulette slot slots blackjack"),
+    ("gambling", "de", TOPIC, "sportwetten wetten spielautomaten spielbank"),
+    ("gambling", "es", TOPIC, "apuestas tragaperras ruleta"),
+    ("gambling", "fr", TOPIC, "paris-sportifs loterie"),
+    ("pharmacy", "*", LIMIT, "viagra cialis levitra kamagra xanax tramadol"),
+    ("pharmacy", "en", TOPIC, "drugstore meds pharma pharmacy pharmacies pill pills prescription prescriptions steroid steroids"),
+    ("pharmacy", "de", TOPIC, "potenzmittel rezeptfrei"),
+    ("pharmacy", "es", TOPIC, "farmacia pastillas"),
+    ("pharmacy", "fr", TOPIC, "pharmacie pilules"),
+    ("spam", "en", LIMIT, "clickbait linkfarm linkfarms spamfarm"),
+    ("spam", "en", TOPIC, "ads adserver adservers replica replicas spam spammer spammers payday"),
+    ("malware", "*", LIMIT, "keygen keygens keylogger keyloggers warez"),
+    ("malware", "en", TOPIC, "crack cracked cracks exploit exploits malware phishing ransomware spyware torrent torrents trojan trojans virus viruses"),
+    ("lure", "en", LURE, "bonus buy cheap click deal deals discount download farm farms free hot instant online track tracker trackers tracking win winner winners wins x"),
+    ("lure", "de", LURE, "billig gratis kostenlos gewinn"),
+    ("lure", "es", LURE, "barato ganar gratis"),
+    ("lure", "fr", LURE, "gagner gratuit"),
+)
+_FOLD = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
 
+def vocabulary() -> list[tuple[str, str, str, int]]:
+    """The built-in table: term, category, language, weight."""
+    return [(term, category, language, weight) for category, language, weight, terms in VOCABULARY for term in terms.split()]
 
-def vocabulary(strict: tuple[str, ...], soft: tuple[str, ...], soft_hits: int) -> dict[str, int]:
-    """Weights of the terms; a total of ``soft_hits`` blocks, which one strict term has by itself."""
-    return {**dict.fromkeys(soft, 1), **dict.fromkeys(strict, soft_hits)}
 
+def weights_of(terms: DataFrame | list[tuple[str, str, str, int]] | None) -> dict[str, int]:
+    """The weight of each term, the greatest where a term stands in several languages or categories."""
+    if isinstance(terms, DataFrame):
+        # one more row than allowed shows that there are too many; nothing is cut
+        rows = [tuple(r) for r in terms.where("term <> ''").select("term", "category", "language", "weight").limit(MOST_TERMS + 1).collect()]
+    else:
+        rows = vocabulary() if terms is None else terms
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"a vocabulary of more than {MOST_TERMS} terms")
+    out: dict[str, int] = {}
+    for term, _, _, weight in rows:
+        out[term.lower()] = max(out.get(term.lower(), 0), weight)
+    return out
 
-def split_url(url: str | None) -> tuple[str, str]:
-    _, found, rest = (url or "").partition("://")
-    if not found:
-        return "", ""
-    end = min((i for i in map(rest.find, "/?#") if i >= 0), default=len(rest))
-    stop = min((i for i in (rest.find("?", end), rest.find("#", end)) if i >= 0), default=len(rest))
-    host = rest[:end].encode().lower().decode()  # bytes.lower() folds A-Z alone
-    return host, rest[end:stop]
 
+def _weigh(weights: dict[str, int], limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A verdict for rows that have none yet."""
 
-def _judge(rules: dict[str, str], weights: dict[str, int], limit: int, whole: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_host: dict[str, list[tuple[str, str]]] = {}
-        for rule in sorted(rules, key=len, reverse=True):
-            host, slash, path = rule.partition("/")
-            by_host.setdefault(host, []).append((slash + path, rule))
         automaton = ahocorasick.Automaton()
         for term, weight in weights.items():
             automaton.add_word(term, (term, weight))
         automaton.make_automaton()
 
-        def fitting(host: str, path: str) -> str | None:
-            best, rest = None, host
-            while rest:
-                for start, rule in by_host.get(rest, ()):
-                    if path.startswith(start):
-                        best = rule if best is None or len(rule) > len(best) else best
-                        break
-                _, _, rest = rest.partition(".")
-            return best
-
-        def weight(text: str) -> int:
+        def total(text: str) -> int:
             hits = {}
-            letter = [c.isascii() and c.isalnum() for c in text] + [False]
-            for end, (term, w) in automaton.iter(text) if weights else ():
-                if not letter[end + 1] and not (end >= len(term) and letter[end - len(term)]):
-                    hits[term] = w
+            for end, (term, weight) in automaton.iter(text) if weights else ():
+                after, before = text[end + 1 : end + 2], text[end - len(term)] if end >= len(term) else ""
+                if not (after.isascii() and after.isalnum() or before.isascii() and before.isalnum()):
+                    hits[term] = weight
             return sum(hits.values())
 
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for url in batch.column("url").to_pylist():
-                host, path = split_url(url)
-                rule = fitting(host, path)
-                text = (url or "").encode().lower().decode() if whole else host + path.encode().lower().decode()
-                verdict = rules[rule] if rule else "block" if weight(text) >= limit else "allow"
-                for x, v in zip(out, (host, path, rule, verdict), strict=True):
-                    x.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array(x, pa.string()) for x in out)], ["page_id", "host", "path", "rule", "verdict"])
+            given, urls = batch.column("verdict").to_pylist(), batch.column("folded").to_pylist()
+            verdict = [v or ("block" if total(u or "") >= limit else "allow") for v, u in zip(given, urls, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
     return run
 
 
-def judge_urls(pages: DataFrame, rules: dict[str, str] | None = None, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT, soft_hits: int = 2) -> DataFrame:
-    """page_id, host, path, rule, verdict of every row."""
-    weights = vocabulary(strict, soft, soft_hits)
-    urls = pages.select(F.col("page_id").cast("long").alias("page_id"), "url")
-    return urls.mapInArrow(_judge(RULES if rules is None else rules, weights, soft_hits), "page_id long, host string, path string, rule string, verdict string")
-
+def fitting(rules: dict[str, str], host: Column, path: Column) -> Column:
+    """The longest rule that fits, else null."""
+    out = F.lit(None).cast("string")
+    for rule in sorted(rules, key=lambda r: (len(r), r)):  # the last of the chain is asked first
+        own, slash, start = rule.partition("/")
+        out = F.when(((host == own) | host.endswith("." + own)) & path.startswith(slash + start), F.lit(rule)).otherwise(out)
+    return out
 
-def category_weights() -> dict[str, int]:
-    return {term: weight for terms in CATEGORIES.values() for weight, own in terms.items() for term in own}
 
-
-def judge_by_category(pages: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict of every row, by the vocabulary of categories over the whole url."""
-    urls = pages.select(F.col("page_id").cast("long").alias("page_id"), "url")
-    return urls.mapInArrow(_judge(RULES if rules is None else rules, category_weights(), LIMIT, True), "page_id long, host string, path string, rule string, verdict string")
-
-
-def category_sql() -> str:
-    """The verdicts of ``judge_by_category`` as DuckDB SQL: rules as in ``judge_sql``, weights over the whole url."""
-    terms = ", ".join(f"('{t}', {w})" for t, w in category_weights().items())
-    verdicts = " ".join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in RULES.items())
-    return f"""
-WITH ruled_pages AS ({judge_sql()}
-), terms(term, weight) AS (VALUES {terms}
-), urls AS (
-  SELECT page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS u FROM pages
-), total AS (
-  SELECT page_id, sum(weight) AS w FROM urls JOIN terms ON regexp_matches(u, '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') GROUP BY page_id
-)
-SELECT r.page_id, host, path, rule, CASE {verdicts} WHEN coalesce(w, 0) >= {LIMIT} THEN 'block' ELSE 'allow' END AS verdict
-FROM ruled_pages r LEFT JOIN total ON r.page_id = total.page_id"""
+def judge_urls(pages: DataFrame, rules: dict[str, str] | None = None, terms: DataFrame | list[tuple[str, str, str, int]] | None = None, limit: int = LIMIT) -> DataFrame:
+    """page_id, host, path, rule, verdict of every row; ``terms`` is a table of term, category, language, weight."""
+    prepare(pages.sparkSession)
+    rules = RULES if rules is None else rules
+    url = F.coalesce("url", F.lit(""))
+    part = lambda i: F.regexp_extract(url, r"://([^/?#]*)([^?#]*)", i)
+    split = pages.select(F.col("page_id").cast("long").alias("page_id"), F.translate(part(1), *_FOLD).alias("host"), part(2).alias("path"), F.translate(url, *_FOLD).alias("folded"))
+    ruled = split.withColumn("rule", fitting(rules, F.col("host"), F.col("path")))
+    verdict = F.lit(None).cast("string")
+    for rule, said in rules.items():
+        verdict = F.when(F.col("rule") == rule, F.lit(said)).otherwise(verdict)
+    ruled = ruled.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("rule").isNull(), F.col("folded")).alias("folded"))
+    return ruled.mapInArrow(_weigh(weights_of(terms), limit), "page_id long, host string, path string, rule string, verdict string")
 
 
 def judge_sql() -> str:
     """The same verdicts as DuckDB SQL over ``pages``."""
-    quote = lambda terms: ", ".join(f"'{t}'" for t in terms)
     cases = "\n".join(f"      WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{r}'" for r in sorted(RULES, key=len, reverse=True) for h, _, p in [r.partition("/")])
     verdicts = " ".join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in RULES.items())
-    # str.lower() of bytes: A-Z alone
-    fold = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    fold = lambda x: f"translate({x}, '{_FOLD[0]}', '{_FOLD[1]}')"
+    terms = ", ".join(f"('{t}', {w})" for t, w in weights_of(None).items())
     return f"""
-WITH rest AS (
-  SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS r FROM pages
+WITH terms(term, weight) AS (VALUES {terms}
+), rest AS (
+  SELECT page_id, {fold("coalesce(url, '')")} AS u, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS r FROM pages
 ), parts AS (
-  SELECT page_id, {fold("regexp_extract(r, '^[^/?#]*')")} AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+  SELECT page_id, u, {fold("regexp_extract(r, '^[^/?#]*')")} AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
 ), ruled AS (
   SELECT *, CASE
 {cases}
-      END AS rule, {fold("host || path")} AS t FROM parts
-), hits AS (
-  SELECT *,
-    len(list_filter([{quote(STRICT)}], lambda w: regexp_matches(t, '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)'))) AS strict_hits,
-    len(list_filter([{quote(SOFT)}], lambda w: regexp_matches(t, '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)'))) AS soft_hits
-  FROM ruled
+      END AS rule FROM parts
+), kinds AS (
+  SELECT u, coalesce(sum(weight), 0) AS w FROM (SELECT DISTINCT u FROM ruled WHERE rule IS NULL) JOIN terms ON regexp_matches(u, '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') GROUP BY u
 )
-SELECT page_id, host, path, rule,
-  CASE {verdicts} WHEN strict_hits >= 1 OR soft_hits >= 2 THEN 'block' ELSE 'allow' END AS verdict
-FROM hits"""
+SELECT page_id, host, path, rule, CASE {verdicts} WHEN coalesce(w, 0) >= {LIMIT} THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN kinds ON ruled.u = kinds.u"""

@@ -81,31 +81,54 @@ def test_packing_covers_all_ids(spark, tokenizer):
         assert all(a + n == b for (a, n), (b, _) in zip(own[:-1], own[1:], strict=True)) and own[0][0] == 0 and own[-1][0] + own[-1][1] <= 4096
 
 
+def phrases(text, own):
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in own:
+            j += 1
+        n, i = n + 1, j
+    return n
+
+
 def test_automaton_and_entropy():
     text = "abcabxabcd"
-    table = language_id.suffix_automaton([ord(c) - 97 for c in text], 26)
+    table = language_id.suffix_automaton([ord(c) - 97 for c in text])
     subs = {text[i:j] for i in range(len(text)) for j in range(i, len(text) + 1)}
     for s in subs | {"abd", "xx", "dc", "cabx"}:
         state = 0
         for c in s:
-            state = table[state, ord(c) - 97] if state >= 0 else -1
+            state = table[state].get(ord(c) - 97, -1) if state >= 0 else -1
         assert (state >= 0) == (s in subs)
     model = language_id.Model({"a": "abab cdcd", "b": "xyxy zwzw"})
 
-    def phrases(text, own):
-        n = i = 0
-        while i < len(text):
-            j = i + 1
-            while j < len(text) and text[i : j + 1] in own:
-                j += 1
-            n, i = n + 1, j
-        return n
-
     for t in ("abab", "abxyab", "ababcdcd"):
         got = model.entropies([t, "x"])[0]
         assert got == pytest.approx([phrases(t, own) * np.log2(9) / len(t) for own in ("abab cdcd", "xyxy zwzw")])
 
 
+@pytest.mark.parametrize("letters", [40, 62, 63, 64, 500, 3000])
+def test_large_alphabets_are_told_apart(letters):
+    rng = random.Random(letters)
+    alphabet = [chr(0x4E00 + i) for i in range(letters)]
+    texts = {lang: "".join(rng.choices(own, k=900)) for lang, own in (("a", alphabet[: letters // 2]), ("b", alphabet[letters // 3 :]), ("c", alphabet))}
+    model = language_id.Model(texts)
+    samples = [texts[x][i : i + 40] + y for x in "abc" for i in (0, 333) for y in ("", "q", alphabet[0], alphabet[-1] * 3)] + ["qq", alphabet[5] * 4]
+    want = [[phrases(t, texts[lang]) * np.log2(900) / len(t) for lang in "abc"] for t in samples]
+    assert model.entropies(samples) == pytest.approx(np.array(want))
+
+
+def test_more_languages_than_sixty_four(spark):
+    rng = random.Random(4)
+    words = {f"l{i:02}": ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(30)] for i in range(70)}
+    rows = [(n, " ".join(rng.choices(words[lang], k=60)), lang) for n, lang in enumerate([*words] * 8)]
+    rows += [(10_000, rows[0][1] * 2000, "l00")] * 3  # very long and repeated
+    got = language_id.language_digest(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).toPandas()
+    truth = {n: lang for n, _, lang in rows}
+    assert len(got) == len(rows) and (got[got.held_out].lang_pred == got[got.held_out].doc_id.map(truth)).mean() > 0.98
+    assert got[got.doc_id == 10_000].lang_pred.nunique() == 1
+
+
 def test_language_accuracy_and_edges(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = spark.createDataFrame([(9001, None, None), (9002, "", "en"), (9003, "12 !?", None), (9004, "1²", "de")], "doc_id long, text string, lang string")

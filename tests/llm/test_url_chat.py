@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tandem.llm import chat_format as C
-from tandem.llm.url_filter import category_sql, judge_by_category, judge_urls, split_url
+from tandem.llm import url_filter as U
+from tandem.llm.url_filter import judge_sql, judge_urls
 
 import pyarrow as pa
 
@@ -34,26 +36,54 @@ def test_chat_digest(spark):
     assert C.chat_digest(frame.limit(0)).count() == 0
 
 
+RULED = [
+    ("http://www.example.org/en/12", "www.example.org", "/en/12", "example.org/en/1", "block"),
+    ("https://example.org/es/", "example.org", "/es/", "example.org/es/", "block"),
+    ("https://example.org", "example.org", "", None, "allow"),
+    ("http://a.com/de/x", "a.com", "/de/x", "com/de/", "block"),
+    ("http://com/fr/", "com", "/fr/", "com/fr/", "allow"),
+    ("http://xcom/de/", "xcom", "/de/", None, "allow"),
+    ("org/", "", "", None, "allow"),
+    ("http://EXAMPLE.ORG/es/#", "example.org", "/es/", "example.org/es/", "block"),
+    ("http://casino-win.example.org/de/", "casino-win.example.org", "/de/", "org/", "allow"),
+    ("http://A.É.com:80?x/y", "a.É.com:80", "", None, "allow"),
+    ("a://b://c/d", "b:", "//c/d", None, "allow"),
+    (None, "", "", None, "allow"),
+    ("", "", "", None, "allow"),
+]
+STRICT = ["http://porn.net/", "http://a.net/x?q=VIAGRA", "http://a.net/a?t=xxx", "http://a.net/#keygen", "viagra", "http://é.net/éxxxé"]
+SOFT = ["http://sexy.net/casino", "http://www.free-bets.net/", "http://a.net/#poker,bets", "casino-win.net", "http://cheap-pills.net/", "http://wetten.net/gratis", "http://apuestas.net/ganar"]
+CLEAN = ["http://sporn.net/", "http://sexy.net/sexy", "http://casino.net/", "http://a.net/cheap-free", "http://alphabets.net/win", "http://a.net/freebetsy", "http://viagra2.net/", "http://a.net/9xxx"]
+
+
+def all_urls():
+    return [*(r[0] for r in RULED), *STRICT, *SOFT, *CLEAN, *(f"http://{'a' * 50_000}.net/?{x}" for x in ("xxx", "yyy")), STRICT[0], STRICT[0]]
+
+
 def test_urls(spark):
-    assert split_url("http://A.É.com:80?x/y") == ("a.É.com:80", "")
-    assert split_url("x") == split_url(None) == ("", "")
-    urls = ["http://www.example.org/en/12", "https://example.org/es/", "https://example.org", "http://a.com/de/x", "http://com/fr/", "http://xcom/de/", "http://porn.net/", "http://sporn.net/", "http://sexy.net/casino?xxx", "http://sexy.net/sexy", None, "", "org/", "http://EXAMPLE.ORG/es/#"]
-    want = [("example.org/en/1", "block"), ("example.org/es/", "block"), (None, "allow"), ("com/de/", "block"), ("com/fr/", "allow"), (None, "allow"), (None, "block"), (None, "allow"), (None, "block"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "allow"), ("example.org/es/", "block")]
-    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    got = [(r.rule, r.verdict) for r in judge_urls(frame).orderBy("page_id").collect()]
-    assert got == want
+    urls = all_urls()
+    frame = spark.createDataFrame([(i, u, "other") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
+    got = [tuple(r) for r in judge_urls(frame).orderBy("page_id").collect()]
+    assert [g[1:] for g in got[: len(RULED)]] == [r[1:] for r in RULED]
+    verdicts = [g[4] for g in got[len(RULED) :]]
+    assert verdicts == ["block"] * (len(STRICT) + len(SOFT)) + ["allow"] * len(CLEAN) + ["block", "allow", "block", "block"]
+    assert judge_urls(frame.limit(0)).count() == 0
 
 
-def test_urls_by_category(spark):
+def test_urls_against_sql(spark):
     import duckdb
 
-    hosts = ["casino-win", "adult-x", "free-bets", "cheap-pills", "spam-farm", "ads-track"]
-    block = [f"http://www.{h}.example.net/en/{i}" for i, h in enumerate(hosts)] + ["http://a.net/x?q=VIAGRA", "http://a.net/#poker,bets", "casino-win.net", "http://a.net/a?t=xxx"]
-    allow = ["http://casino.net/", "http://a.net/cheap-free", "http://alphabets.net/win", "http://pillow-farm.net/", "http://a.net/freebetsy", None, "", "http://casino-win.example.org/de/"]
-    rows = list(enumerate([*block, *allow, "http://casino-win.org/", "http://m.example.org/es/1"]))
-    got = [tuple(r) for r in judge_by_category(spark.createDataFrame(rows, "page_id long, url string")).orderBy("page_id").collect()]
-    assert [r[4] for r in got] == ["block"] * len(block) + ["allow"] * (len(allow) + 1) + ["block"]
+    rows = list(enumerate(all_urls()))
     con = duckdb.connect()
     con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
     con.executemany("INSERT INTO pages VALUES (?, ?)", rows)
-    assert sorted(con.execute(category_sql()).fetchall()) == got
+    assert sorted(con.execute(judge_sql()).fetchall()) == [tuple(r) for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string")).orderBy("page_id").collect()]
+
+
+def test_a_vocabulary_of_ones_own(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://a.net/foo"), (2, "http://a.net/foo/bar"), (3, "http://a.net/xxx")], "page_id long, url string")
+    terms = spark.createDataFrame([("foo", "c", "en", 1), ("bar", "c", "de", 1), ("foo", "c", "de", 2)], "term string, category string, language string, weight int")
+    assert [r.verdict for r in judge_urls(pages, {}, terms, 3).orderBy("page_id").collect()] == ["allow", "block", "allow"]
+    monkeypatch.setattr(U, "MOST_TERMS", 2)
+    with pytest.raises(ValueError):
+        judge_urls(pages, {}, terms)
