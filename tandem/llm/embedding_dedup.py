@@ -10,18 +10,24 @@ for in each of its shards: greedy beam search from the class itself and the shar
 in range, on over all neighbours in range until no new one turns up. Candidates are verified by cosine in double precision. A pair is counted in the first shard
 that both are in, so links are counted without ever listing the pairs of a group.
 
-Recall is audited in every run against brute force for a bounded sample of query vectors against all vectors;
-below ``recall`` the overlap is widened and the search repeated. Where that can't be widened any more, all
-vectors are compared with all.
+A shard of more than ``MOST_MEMBERS`` classes, as a large cluster makes it, is dealt to blocks, and every two blocks
+are a shard for the graph and the search: its tasks stay bounded, and a pair still meets exactly once.
 
-At most ``MOST_CENTROIDS`` centroids (each vector is compared with all): shards have some ``shard`` members up to
-about 10**8 vectors and grow beyond that. Vectors that are null, empty or zero, or hold null or non-finite
+Recall is audited in every run against brute force for a sample of query vectors against all vectors. The sample grows
+until ``AUDIT_LINKS`` true links are seen, up to ``MOST_AUDIT`` vectors; where it has fewer, a sample of the vectors
+that were given links is audited too. Below ``recall`` the overlap is widened and the search repeated. Where that can't
+be widened any more, all vectors are compared with all. Only a table in which neither sample shows a single link has no
+recall to measure, and that is logged.
+
+The sample for the centroids and the centroids themselves are bounded in rows and in bytes. Vectors are compared as
+they are given, floats or doubles. Vectors that are null, empty or zero, or hold null or non-finite
 components, link with nothing, nor does a row with null vec_id; vectors of different lengths aren't
 comparable and don't link. Repeated rows are rows of their own.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,9 +37,11 @@ from pyspark.sql import functions as F
 
 from tandem.llm.common import Scratch, by_group, components
 
-SAMPLE = 100_000
-MOST_CENTROIDS = 65_536
-AUDIT = 256
+#: Most vectors of the sample for the centroids, and centroids; and most bytes of either.
+SAMPLE, MOST_CENTROIDS, MOST_BYTES = 100_000, 65_536, 64 << 20
+AUDIT, MOST_AUDIT, AUDIT_LINKS = 256, 4096, 32
+#: Classes of a shard that are searched in one task.
+MOST_MEMBERS = 4000
 POOL, DEGREE, BEAM = 48, 20, 24
 SLACK = 1e-4
 #: Members of a block where all vectors are compared with all.
@@ -212,9 +220,9 @@ def _assign(shared, overlap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    for table in by_group(batches, ["shard"], 2000):
-        shard = table.column("shard").to_numpy()
-        edge = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
+    for table in by_group(batches, ["shard", "lo", "hi"], 2000):
+        keys = np.stack([table.column(c).to_numpy() for c in ("shard", "lo", "hi")])
+        edge = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0), True])
         for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             yield table.slice(low, high - low).combine_chunks()
 
@@ -246,7 +254,8 @@ def _search(threshold: float, exact_search: bool = False) -> Callable[[Iterator[
             if n < 2:
                 continue
             shards = np.array(table.column("shards").to_pylist())
-            shard = table.column("shard")[0].as_py()
+            shard, whole = table.column("shard")[0].as_py(), table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
+            block = table.column("block").to_numpy()
             exact = unit(matrix(_column(table, "embedding")))
             x = exact.astype(np.float32)
             order = np.argsort(node)
@@ -273,6 +282,8 @@ def _search(threshold: float, exact_search: bool = False) -> Callable[[Iterator[
                 p, q = shards[a[i : i + 16384]], shards[b[i : i + 16384]]
                 common = (p[:, :, None] == q[:, None, :]).any(2)
                 mine[i : i + 16384] = np.where(common, p, np.iinfo(np.int64).max).min(1) == shard
+            # of two blocks, the pairs inside one are counted where it stands alone
+            mine &= whole | (block[a] != block[b])
             count = np.bincount(a[mine], mult[b[mine]], n) + np.bincount(b[mine], mult[a[mine]], n)
             root = least_labels(n, a, b)
             use = (count > 0) | (root != np.arange(n))
@@ -303,36 +314,78 @@ def _all_pairs(classes: DataFrame, n: int) -> DataFrame:
     own = F.pmod(F.xxhash64(F.lit(4), "node"), F.lit(count))
     pairs = F.transform(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<bigint>"), lambda other: F.least(own, other) * count + F.greatest(own, other))
     dealt = classes.select(pairs.alias("shards"), "node", "mult", "embedding")
-    return dealt.select(F.explode("shards").alias("shard"), "shards", "node", "mult", "embedding").repartition("shard").sortWithinPartitions("shard", "node")
+    one = [F.lit(0).alias(c) for c in ("lo", "hi", "block")]
+    return dealt.select(F.explode("shards").alias("shard"), *one, "shards", "node", "mult", "embedding").repartition("shard").sortWithinPartitions("shard", "node")
+
+
+def _blocks(scratch: Scratch, member: DataFrame, tag: str) -> DataFrame:
+    """The members with lo, hi and block: 0 in a shard of ``MOST_MEMBERS`` or fewer, else a row for every two blocks."""
+    sizes = scratch.save(member.groupBy("shard").agg(F.ceil(F.count("*") * 2 / MOST_MEMBERS).cast("int").alias("nb")).where(F.col("nb") > 2), f"large-{tag}")
+    one = [F.lit(0).alias(c) for c in ("lo", "hi", "block")]
+    if sizes.isEmpty():
+        return member.select("shard", *one, "shards", "node", "mult", "embedding")
+    own = member.join(sizes, "shard", "left").withColumn("block", F.when(F.col("nb").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.lit(6), "node"), F.col("nb"))).cast("int"))
+    others = F.sequence(F.lit(0), F.coalesce("nb", F.lit(1)) - 1)
+    dealt = own.select("shard", F.explode(others).alias("other"), "block", "shards", "node", "mult", "embedding")
+    return scratch.save(dealt.select("shard", F.least("other", "block").alias("lo"), F.greatest("other", "block").alias("hi"), "block", "shards", "node", "mult", "embedding"), f"blocks-{tag}")
+
+
+def _truth(scratch: Scratch, classes: DataFrame, sample: DataFrame, threshold: float, name: str) -> DataFrame:
+    """node and truth, its number of links by brute force, of the classes (node, embedding) of ``sample`` that have any."""
+    audit = sample.toArrow()
+    if not audit.num_rows:
+        return scratch.spark.createDataFrame([], "node long, truth long")
+    shared = scratch.spark.sparkContext.broadcast((audit.column("node").to_numpy(), matrix(audit.column("embedding").combine_chunks())))
+    return scratch.save(classes.mapInArrow(_audit(shared, threshold), "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth")).where("truth > 0"), name)
+
+
+def _some(classes: DataFrame, seed: int, most: int, n: int) -> DataFrame:
+    """Some ``most`` of n classes, by a hash below a bound."""
+    return classes.where(F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1 << 30)) < int(min(1.0, most / max(1, n)) * (1 << 30)))
 
 
 def _space(scratch: Scratch, classes: DataFrame, tag: str, threshold: float, shard: int, overlap: int, recall: float) -> tuple[DataFrame, DataFrame]:
     """Link counts (node, links) and edges (a, b) of classes of one vector length."""
     spark = scratch.spark
-    n = classes.count()
-    count = int(max(1, min(MOST_CENTROIDS, round(n / shard))))
-    share = min(1.0, max(1, min(n, SAMPLE)) / max(1, n))
-    pick = classes.where(F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(1 << 30)) < int(share * (1 << 30))).select("embedding").limit(2 * SAMPLE).toArrow()
-    centre = spark.sparkContext.broadcast(centroids(matrix(pick.column("embedding").combine_chunks()), count) if count > 1 else np.ones((1, 1), np.float32))
-    audit = classes.where(F.pmod(F.xxhash64(F.lit(2), "node"), F.lit(1 << 30)) < int(min(1.0, AUDIT / max(1, n)) * (1 << 30))).select("node", "embedding").limit(2 * AUDIT).toArrow()
-    sample = spark.sparkContext.broadcast((audit.column("node").to_numpy(), matrix(audit.column("embedding").combine_chunks()))) if audit.num_rows else None
-    truth = classes.mapInArrow(_audit(sample, threshold), "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth")).where("truth > 0") if sample else None
+    kind = classes.schema["embedding"].dataType.simpleString()
+    sizes = classes.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    n, width = sizes[0], sizes[1]
+    rows = max(1, min(SAMPLE, MOST_BYTES // (8 * width)))
+    count = int(max(1, min(MOST_CENTROIDS, MOST_BYTES // (4 * width), rows // 2, round(n / shard))))
+    centre = np.ones((1, 1), np.float32)
+    if count > 1:
+        centre = centroids(matrix(_some(classes, 1, rows, n).select("embedding").toArrow().column("embedding").combine_chunks()), count)
+        count = len(centre)
+    centre = spark.sparkContext.broadcast(centre)
+    size, audited = AUDIT, 0
+    while True:
+        truth = _truth(scratch, classes, _some(classes, 2, size, n).select("node", "embedding"), threshold, f"truth-{tag}-{size}")
+        audited = truth.agg(F.coalesce(F.sum("truth"), F.lit(0))).first()[0]
+        if audited >= AUDIT_LINKS or size >= min(n, MOST_AUDIT):
+            break
+        size *= 4
     while True:
         overlap = min(overlap, count)
         if count == 1:
             member = classes.select(F.lit(0).cast("long").alias("shard"), F.array(F.lit(0).cast("long")).alias("shards"), "node", "mult", "embedding")
         else:
-            member = classes.mapInArrow(_assign(centre, overlap), "shard long, shards array<long>, node long, mult long, embedding array<float>")
-        member = scratch.save(member, f"member-{tag}-{overlap}")
-        graph = member.select("shard", "node", "embedding").repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(_build(threshold), "node long, near array<long>")
+            member = classes.mapInArrow(_assign(centre, overlap), f"shard long, shards array<long>, node long, mult long, embedding {kind}")
+        member = _blocks(scratch, scratch.save(member, f"member-{tag}-{overlap}"), f"{tag}-{overlap}")
+        graph = member.select("shard", "lo", "hi", "node", "embedding").repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi", "node").mapInArrow(_build(threshold), "node long, near array<long>")
         united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-        cells = member.join(united, "node", "left").repartition("shard").sortWithinPartitions("shard", "node")
+        cells = member.join(united, "node", "left").repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi", "node")
         found = scratch.save(cells.mapInArrow(_search(threshold), "node long, links long, root long"), f"found-{tag}-{overlap}")
         links = found.groupBy("node").agg(F.sum("links").alias("links"))
-        if truth is None:
+        known = truth
+        if audited < AUDIT_LINKS:
+            linked = links.where("links > 0").select("node")
+            linked = scratch.save(_some(linked, 7, AUDIT, linked.count()), f"linked-{tag}-{overlap}")
+            known = truth.union(_truth(scratch, classes, classes.join(linked, "node", "left_semi").select("node", "embedding"), threshold, f"truth-{tag}-linked-{overlap}")).distinct()
+        got = known.join(links, "node", "left").agg(F.sum("truth"), F.sum(F.coalesce("links", F.lit(0)))).first()
+        if not got[0]:
+            logging.getLogger(__name__).warning("no link in the audited samples of %d vectors: recall isn't measured", n)
             break
-        got = truth.join(links, "node", "left").agg(F.sum("truth"), F.sum(F.coalesce("links", F.lit(0)))).first()
-        if not got[0] or got[1] >= recall * got[0]:
+        if got[1] >= recall * got[0]:
             break
         if overlap >= count:
             found = scratch.save(_all_pairs(classes, n).mapInArrow(_search(threshold, True), "node long, links long, root long"), f"found-{tag}-all")
@@ -345,7 +398,8 @@ def _space(scratch: Scratch, classes: DataFrame, tag: str, threshold: float, sha
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, shard: int = 1000, overlap: int = 2, recall: float = 0.97) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding)."""
     scratch = Scratch(vectors.sparkSession, "vectors")
-    floats = F.col("embedding").cast("array<float>")
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    floats = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
     sound = F.forall(floats, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(floats, lambda v: v != 0)
     keyed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), floats.alias("embedding"), F.coalesce(sound & F.col("vec_id").isNotNull(), F.lit(False)).alias("sound"))
     keyed = keyed.select("vec_id", F.when(F.col("sound"), F.xxhash64("embedding")).alias("node"), F.when(F.col("sound"), F.xxhash64(F.lit(3), "embedding")).alias("h2"), F.when(F.col("sound"), F.col("embedding")).alias("embedding"))

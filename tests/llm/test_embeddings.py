@@ -8,8 +8,9 @@ from tandem.llm import embedding_dedup as E
 def brute(rows, threshold=0.95):
     good = {}
     for i, (v, e) in enumerate(rows):
-        if v is not None and e is not None and len(e) and all(x is not None and np.isfinite(np.float32(x)) for x in e) and any(e):
-            x = np.array(e, np.float32).astype(float)
+        if v is not None and e is not None and len(e) and all(x is not None and np.isfinite(x) for x in e) and any(e):
+            x = np.array(e, float)
+            x = x / np.abs(x).max()
             good[i] = x / np.sqrt(x @ x)
     part = list(range(len(rows)))
     links = [0] * len(rows)
@@ -56,6 +57,49 @@ def test_against_brute_force(spark):
     assert one == want
 
 
+def test_doubles(spark):
+    """Doubles that floats would round over the threshold or to infinity."""
+    rows = vectors(3)
+    a, b = np.zeros(16), np.zeros(16)
+    a[0], b[0], b[1] = 1, 0.95, np.sqrt(1 - 0.95**2)
+    rows += [(4000, a.tolist()), (4001, (b * (1 - 1e-12) + a * 1e-9).tolist()), (4002, (b - a * 1e-9).tolist()), (4003, [1e300] * 16), (4004, [1e300] * 15 + [1.0001e300])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows)
+    assert sorted(map(tuple, E.near_vectors(frame).collect()), key=str) == want
+    links = {w[0]: w[1] for w in want}
+    assert links[4001] == 2 and links[4000] == 1 and links[4003] == links[4004] > 0
+
+
+def test_large_shards_are_dealt_to_blocks(spark, monkeypatch):
+    """Most vectors in one cluster: its shard is far above the bound of a task, and every pair still counts once."""
+    monkeypatch.setattr(E, "MOST_MEMBERS", 120)
+    rows = groups(2)
+    want = brute(rows)
+    for shard in (1000, 200):
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+        got = sorted(map(tuple, E.near_vectors(frame, shard=shard, overlap=2).collect()), key=str)
+        assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+        assert sum(g[1] for g in got) >= 0.97 * sum(w[1] for w in want)
+        assert [g[2:] for g in got] == [w[2:] for w in want]
+
+
+def test_many_shards(spark):
+    """Planted groups over some twenty shards: all links are found."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(1500, 32))
+    rows = [(i, x.astype(np.float32).tolist()) for i, x in enumerate(base)]
+    rows += [(5000 + i, (base[i % 120] + rng.normal(size=32) * 0.05).astype(np.float32).tolist()) for i in range(600)]
+    rows += [(9000 + i, rows[7][1]) for i in range(50)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    assert sorted(map(tuple, E.near_vectors(frame, shard=100).collect()), key=str) == brute(rows)
+
+
+def test_columns_of_any_name(spark):
+    rows = [(i, [float(i + 1), 1.0], "x", 3) for i in range(5)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, node string, shard int")
+    assert E.near_vectors(frame).columns == ["vec_id", "n_links", "component_id", "kept"] and E.near_vectors(frame).count() == 5
+
+
 def test_empty(spark):
     assert E.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert [tuple(r) for r in E.near_vectors(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()] == [(1, 0, 1, True)]
