@@ -1,4 +1,9 @@
-"""A corpus pipeline of five operators: each stage works on all that the one before it kept."""
+"""A corpus pipeline of five operators: each stage works on all that the one before it kept.
+
+Null and empty texts, and texts without a letter, go in the first stage, as their language can't be told. A row with
+null doc_id is kept by the second stage (it is linked with nothing); of repeated rows one stays. Very long texts are
+judged whole. Extra columns of any name are carried along to the last stage; tables may be empty.
+"""
 
 from __future__ import annotations
 

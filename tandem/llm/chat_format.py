@@ -9,20 +9,24 @@ Control strings (of this template and of common others) inside a text or role ar
 backslash after their first character, ``<|end|>`` as ``<\\|end|>``, ``<\\|end|>`` as ``<\\\\|end|>``, and so back; in
 roles newlines and backslashes are escaped too. So marks occur only where turns begin and end.
 
-Rows are sorted by turn (ties by role, then text); null text and null role are empty. A conversation is
-written as parts of whole turns in order, so that its size is bounded nowhere; parts of a conversation
-stand together in one partition, and readers stream over them. A null conv_id is a conversation.
+Rows are sorted by conversation and turn (ties by role, then text) into ranges; null text and null role are empty.
+Ranges cut through a long conversation, so that it is formatted by many tasks. A conversation is written as parts of
+whole turns whose numbers rise, so that its size is bounded nowhere; parts of a conversation stand together in each
+partition. Repeated rows are turns of their own, a null conv_id is a conversation, and other columns aren't read. The
+digest of the formatted texts streams over a conversation's parts in order, in one task, as its hashes run on from part
+to part: it holds two hash states and three counts, whatever the size.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,35 +82,37 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return out, offsets[::5], at[:, 3]
 
 
-def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    previous, part = (), 0
-    for batch in batch_slices(batches, "text", PART_BYTES):
-        conv = batch.column("conv_id")
-        out, turns, starts = assemble(batch.column("role"), batch.column("text"))
-        ids = conv.to_pylist()
-        edge = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
-        loss = np.array([r == "assistant" for r in batch.column("role").to_pylist()])
-        numbers, spans, bounds = [], [], []
-        for low, high in zip(edge[:-1], edge[1:], strict=True):
-            part = part + 1 if previous == (ids[low],) else 0
-            previous = (ids[low],)
-            numbers.append(part)
-            own = low + np.flatnonzero(loss[low:high])
-            base = turns[low]
-            spans.append([{"start": int(a - base), "end": int(e - base - len(CLOSE))} for a, e in zip(starts[own], turns[own + 1], strict=True)])
-            bounds.append(turns[low])
-        bounds.append(turns[-1])
-        offsets = pa.py_buffer(np.array(bounds, np.int32))
-        text = pa.Array.from_buffers(pa.string(), len(edge) - 1, [None, offsets, pa.py_buffer(out)])
-        yield pa.RecordBatch.from_arrays([conv.take(pa.array(edge[:-1])), pa.array(numbers, pa.int64()), text, pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["conv_id", "part", "text", "loss"])
-
-
-def format_chats(conversations: DataFrame) -> DataFrame:
-    """conv_id, part, text and ``loss``, the byte ranges of text under the loss mask; parts stand together in order."""
+def _format(part_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 32  # ranges are in order, and so are their parts
+        for batch in batch_slices(batches, "text", part_bytes):
+            conv = batch.column("conv_id")
+            out, turns, starts = assemble(batch.column("role"), batch.column("text"))
+            ids = conv.to_pylist()
+            edge = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
+            loss = np.array([r == "assistant" for r in batch.column("role").to_pylist()])
+            numbers, spans, bounds = [], [], []
+            for low, high in zip(edge[:-1], edge[1:], strict=True):
+                numbers.append(part)
+                part += 1
+                own = low + np.flatnonzero(loss[low:high])
+                base = turns[low]
+                spans.append([{"start": int(a - base), "end": int(e - base - len(CLOSE))} for a, e in zip(starts[own], turns[own + 1], strict=True)])
+                bounds.append(turns[low])
+            bounds.append(turns[-1])
+            offsets = pa.py_buffer(np.array(bounds, np.int32))
+            text = pa.Array.from_buffers(pa.string(), len(edge) - 1, [None, offsets, pa.py_buffer(out)])
+            yield pa.RecordBatch.from_arrays([conv.take(pa.array(edge[:-1])), pa.array(numbers, pa.int64()), text, pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["conv_id", "part", "text", "loss"])
+
+    return run
+
+
+def format_chats(conversations: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """conv_id, part, text and ``loss``, the byte ranges of text under the loss mask; in the order of their numbers, a conversation's parts are its text."""
     prepare(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return dealt.mapInArrow(_format, "conv_id long, part long, text string, loss array<struct<start: int, end: int>>")
+    dealt = rows.repartitionByRange("conv_id", "turn", "role", "text").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    return dealt.mapInArrow(_format(part_bytes), "conv_id long, part long, text string, loss array<struct<start: int, end: int>>")
 
 
 _TURN = re.compile(re.escape(OPEN) + r"([^\n]*)\n(.*?)" + re.escape(CLOSE), re.S)
@@ -132,8 +138,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     state: list | None = None
     for batch in batches:
         done = []
-        for conv, part, text, loss in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "part", "text", "loss")), strict=True):
-            if part == 0:
+        for conv, text, loss in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "text", "loss")), strict=True):
+            if state is None or state[0] != conv:
                 if state:
                     done.append(state)
                 state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -163,8 +169,10 @@ def with_probe(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     return conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(extra)
 
 
-def chat_digest(conversations: DataFrame) -> DataFrame:
-    return format_chats(conversations).mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+def chat_digest(conversations: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the formatted texts."""
+    parts = format_chats(conversations, part_bytes).repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return parts.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def chat_sql() -> str:

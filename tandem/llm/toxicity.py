@@ -8,8 +8,8 @@ of the chain; ``toxic`` stands last, sees the others, and gives the decision, at
 out-of-fold F1.
 
 Features are the presence of words (A-Z lower-cased, letters and bytes beyond ASCII) and of their first 3 to
-6 bytes, so that inflected forms count; the ``features`` with the strongest association with any category are
-used. Training takes about ``sample`` labelled documents of each value of ``toxic``, chosen by a hash of
+6 bytes, so that inflected forms count; the ``most`` with the strongest association with any category are
+used, and no more than there are documents to learn from. Training takes about ``sample`` labelled documents of each value of ``toxic``, chosen by a hash of
 doc_id, of each at most ``sample_chars`` characters; that bound is all that is collected. Labels that are null, or
 for absent documents, aren't used. Of several labels of a doc_id a category holds if it does in any; of several texts
 of a doc_id that with the least hash is learned from.
@@ -38,6 +38,7 @@ CATEGORIES = (("low_quality", "quality = 0"), ("toxic_fluent", "toxic = 1 AND qu
 TARGET = "toxic"
 PREFIXES = (3, 4, 5, 6)
 FOLDS = 4
+DECAY = 2e-4
 _letters = np.zeros(256, bool)
 _letters[0x41:0x5B] = _letters[0x61:0x7B] = _letters[0x80:] = True
 
@@ -74,7 +75,7 @@ def _margin(n: int, rows: np.ndarray, cols: np.ndarray, before: np.ndarray, weig
     return out + before @ weights[width:-1] + weights[-1]
 
 
-def fit(n: int, rows: np.ndarray, cols: np.ndarray, width: int, before: np.ndarray, y: np.ndarray, steps: int = 120, decay: float = 2e-5) -> np.ndarray:
+def fit(n: int, rows: np.ndarray, cols: np.ndarray, width: int, before: np.ndarray, y: np.ndarray, steps: int = 120, decay: float = DECAY) -> np.ndarray:
     """Logistic regression by Adam over all rows: feature weights, then those of ``before``, then the bias."""
     w = np.zeros(width + before.shape[1] + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -116,7 +117,7 @@ def train(texts: pa.Array, labels: np.ndarray, target: int, most: int, folds: in
         if 0 < rate < 1:
             hit = np.bincount(cols, y[rows], len(kinds))
             score = np.maximum(score, np.abs(hit - counts * rate) / np.sqrt(counts * rate * (1 - rate)) * (counts >= 4))
-    best = np.sort(np.argsort(-score, kind="stable")[:most])
+    best = np.sort(np.argsort(-score, kind="stable")[: min(most, n)])
     place = np.full(len(kinds), -1)
     place[best] = np.arange(len(best))
     use = place[cols] >= 0

@@ -36,6 +36,20 @@ def test_chat_digest(spark):
     assert C.chat_digest(frame.limit(0)).count() == 0
 
 
+def test_a_conversation_of_many_parts(spark):
+    """Long conversations cut by ranges and by the bytes of a part: the digests are those of one part."""
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} <|end|> é" * (i % 7)) for i in range(900)] + [(1, 5, "user", "again"), (1, 5, "user", "again")]
+    rows += [(2, i, "user", "x" * 3000 * i) for i in range(4)] + [(None, i, "assistant", "n") for i in range(40)]
+    frame = spark.createDataFrame([(*r, "p", 0) for r in rows], "conv_id long, turn long, role string, text string, part string, loss int").repartition(7)
+    parts = C.format_chats(frame, 500).collect()
+    assert max(sum(p.conv_id == c for p in parts) for c in (1, 2)) > 50
+    for conv in (1, 2, None):
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: r[1:])
+        text = "".join(p.text for p in sorted((p for p in parts if p.conv_id == conv), key=lambda p: p.part))
+        assert C.read_back(text) == [(r[2], r[3]) for r in own]
+    assert sorted(map(tuple, C.chat_digest(frame, 500).collect()), key=str) == sorted(map(tuple, C.chat_digest(frame.coalesce(1)).collect()), key=str)
+
+
 RULED = [
     ("http://www.example.org/en/12", "www.example.org", "/en/12", "example.org/en/1", "block"),
     ("https://example.org/es/", "example.org", "/es/", "example.org/es/", "block"),
