@@ -41,7 +41,7 @@ from tandem.llm.common import Scratch, by_group, components
 SAMPLE, MOST_CENTROIDS, MOST_BYTES = 100_000, 65_536, 64 << 20
 AUDIT, MOST_AUDIT, AUDIT_LINKS = 256, 4096, 32
 #: Classes of a shard that are searched in one task.
-MOST_MEMBERS = 4000
+MOST_MEMBERS = 2000
 POOL, DEGREE, BEAM = 48, 20, 24
 SLACK = 1e-4
 #: Members of a block where all vectors are compared with all.

@@ -1,6 +1,7 @@
 """Substring dedup with repeated-phrase automata: 50-word windows first seen in a smaller doc_id go.
 
-Windows that recur are confirmed among the distinct segments of each anchor (see ``spans``) and compiled
+Windows that recur are confirmed among the distinct segments of each anchor (see ``spans``), joined to passages
+where neighbours always recur together, and compiled
 into Aho-Corasick automata, each a shard of bounded size over a word alphabet of its own. Documents are
 cut into segments that are dealt to the shards by their anchor, as a phrase can only occur under its own
 anchor; all segments of a shard's anchors are streamed through it to locate every occurrence. The matches alone
@@ -28,8 +29,8 @@ from tandem.llm import kernels as K
 from tandem.llm.common import batch_slices, text_buffers
 from tandem.llm.spans import SLICE_BYTES, SPACE, Units, cut_ranges, repeated, rewritten
 
-#: Phrases in one automaton, about fifty nodes each.
-SHARD = 12_000
+#: Passages in one automaton, some fifty to a hundred nodes each.
+SHARD = 6_000
 
 
 def _letters(tokens: np.ndarray) -> str:
@@ -40,6 +41,35 @@ def _letters(tokens: np.ndarray) -> str:
     return code.astype("<u4").tobytes().decode("utf-32-le")
 
 
+def recurring(hashes: np.ndarray, seg: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Confirmed passages: the first window and the number of windows of each.
+
+    Windows recur if they are met twice, or in a segment with copies. Neighbours that are always met together, each
+    occurrence of one right after one of the other, are one passage, so that a phrase is as long as it can be.
+    """
+    if not len(hashes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(hashes, kind="stable")
+    edge = np.flatnonzero(np.r_[True, hashes[order][1:] != hashes[order][:-1]])
+    met = np.diff(np.r_[edge, len(order)])
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.repeat(np.arange(len(edge)), met)
+    copied = np.zeros(len(edge), bool)
+    copied[kind[n[seg] > 1]] = True
+    # sums of hashed places name the set of a kind's occurrences, and the set one window earlier
+    place = np.arange(1, len(order) + 1, dtype=np.uint64)
+    joint = np.r_[False, seg[1:] == seg[:-1]]
+    with np.errstate(over="ignore"):
+        here = np.add.reduceat(K.mix(place)[order], edge)
+        before = np.add.reduceat(np.where(joint, K.mix(place - np.uint64(1)), K.mix(~place))[order], edge)
+    follows = np.r_[joint[1:] & (here[kind[:-1]] == before[kind[1:]]), False]
+    heads = np.flatnonzero(((met > 1) | copied)[kind] & ~np.r_[False, follows[:-1]])
+    _, fresh = np.unique(kind[heads], return_index=True)
+    heads = np.sort(heads[fresh])
+    last = np.flatnonzero(~follows)
+    return heads, last[np.searchsorted(last, heads)] - heads + 1
+
+
 def phrase_kernel(table: pa.Table, units: Units) -> dict[str, np.ndarray]:
     """Runs of windows with the smallest doc_id that holds them, for the segments of whole anchors."""
     anchor, g1, g2, md, n = (table.column(c).to_numpy() for c in ("anchor", "g1", "g2", "md", "n"))
@@ -51,33 +81,29 @@ def phrase_kernel(table: pa.Table, units: Units) -> dict[str, np.ndarray]:
     seg = np.repeat(np.arange(len(counts)), counts)
     starts = K.spread(offsets[:-1], counts)
     hashes = K.gram_hashes(tokens, units.window)[starts]
-    # confirm: windows met in two segments, or in one that has copies
-    kinds, kind, met = np.unique(hashes, return_inverse=True, return_counts=True)
-    copied = np.zeros(len(kinds), bool)
-    copied[kind[n[seg] > 1]] = True
-    sample = np.zeros(len(kinds), np.int64)
-    sample[kind] = starts
-    confirmed = np.sort(sample[(met > 1) | copied])
+    passages, lengths = recurring(hashes, seg, n)
     none = np.iinfo(np.int64).min
     best = np.full(len(starts), none, np.int64)
-    letters = _letters(tokens) if len(confirmed) else ""
-    first = np.r_[0, np.cumsum(counts)] - units.window + 1
+    letters = _letters(tokens) if len(passages) else ""
+    first = np.r_[0, np.cumsum(counts)] + 1
     streamed = np.flatnonzero(counts).tolist()
-    for low in range(0, len(confirmed), SHARD):
-        shard = confirmed[low : low + SHARD].tolist()
+    for low in range(0, len(passages), SHARD):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for phrase, low_word in enumerate(shard):
-            automaton.add_word(letters[low_word : low_word + units.window], phrase)
+        sizes = lengths[low : low + SHARD] + units.window - 1
+        for phrase, (at, size) in enumerate(zip(starts[passages[low : low + SHARD]].tolist(), sizes.tolist(), strict=True)):
+            automaton.add_word(letters[at : at + size], phrase)
         automaton.make_automaton()
-        place, which = [], []
+        ends, which = [], []
         for s in streamed:
             for end, phrase in automaton.iter(letters[offsets[s] : offsets[s + 1]]):
-                place.append(first[s] + end)
+                ends.append(first[s] + end)
                 which.append(phrase)
-        at, phrases = np.array(place, np.int64), np.array(which, np.int64)
-        least = np.full(len(shard), np.iinfo(np.int64).max)
+        phrases = np.array(which, np.int64)
+        at = np.array(ends, np.int64) - sizes[phrases]  # the first window of each match
+        least = np.full(len(sizes), np.iinfo(np.int64).max)
         np.minimum.at(least, phrases, md[seg[at]])
-        best[at] = least[phrases]
+        width = lengths[low : low + SHARD][phrases]
+        best[K.spread(at, width)] = np.repeat(least[phrases], width)
     flag = best != none
     cut = np.r_[True, (seg[1:] != seg[:-1]) | (best[1:] != best[:-1])] if len(best) else np.zeros(0, bool)
     head = np.flatnonzero(cut)
