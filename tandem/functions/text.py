@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -30,6 +31,37 @@ PROFILES = {
 }
 
 
+# Names of languages, of their metric files and of the speakers of labelled samples.
+LANGUAGES = {"en": "English", "en-us": "American English", "et": "Estonian", "fi": "Finnish", "hu": "Hungarian"}
+LANGUAGE_FILES = {"et": "estonian", "fi": "finnish", "hu": "hungarian"}
+SPEAKERS = {"et": ("Agent", "Klient"), "fi": ("Agentti", "Asiakas"), "hu": ("Ügynök", "Ügyfél")}
+
+#: Three short conversations of each language, for use where no file is given.
+SAMPLES = {
+    "et": ("Klient: Tere! Minu arve on vale.\nAgent: Tere! Vaatan kohe järele.", "Klient: Pakk ei tulnud.\nAgent: Saadan uue homme.", "Agent: Kuidas saan aidata?\nKlient: Soovin lepingu lõpetada."),
+    "fi": ("Asiakas: Hei! Laskuni on väärin.\nAgentti: Hei! Tarkistan asian heti.", "Asiakas: Paketti ei tullut.\nAgentti: Lähetän uuden huomenna.", "Agentti: Miten voin auttaa?\nAsiakas: Haluan lopettaa sopimuksen."),
+    "hu": ("Ügyfél: Jó napot! Hibás a számlám.\nÜgynök: Jó napot! Azonnal megnézem.", "Ügyfél: Nem jött meg a csomag.\nÜgynök: Holnap küldök egy újat.", "Ügynök: Miben segíthetek?\nÜgyfél: Fel szeretném mondani a szerződést."),
+}
+
+
+def language_name(code: Column) -> Column:
+    """The name of a language, or its code."""
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair)), code), code)
+
+
+def turns(messages: Column, cleaned: Callable[[Column], Column] | None = None) -> Column:
+    """(speaker, text, is_agent) of the messages that aren't blank, texts cleaned by ``cleaned`` if given."""
+    kept = F.filter(messages, lambda m: ~blank(m["message"]))
+    text = cleaned or (lambda c: c)
+    return F.transform(kept, lambda m: F.struct(F.coalesce(truthy(m["from_name"]), F.lit("Unknown")).alias("speaker"), text(m["message"]).alias("text"), is_agent(m["from_type"]).alias("is_agent")))
+
+
+def config_prompt(config: dict[str, Column]) -> Column:
+    """The parts of a prompt from a configuration, one ``name: value`` a line; the language by its name."""
+    parts = [F.concat(F.lit(f"{name}: "), (language_name(c) if name == "language" else c).cast("string")) for name, c in config.items()]
+    return F.concat_ws("\n", *parts)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -91,22 +123,26 @@ def parse_labelled(c: Column, speakers: tuple[str, ...]) -> Column:
 
 
 def file_language(name: Column) -> Column:
+    # Fixed value: the form of the names.
     return truthy(F.regexp_extract(name, r"^convo_.+_([a-z]{2}(?:-[a-z]{2})?)_\d{8}-\d{6}\.jsonl$", 1))
 
 
 def file_parts(stem: Column) -> Column:
     """(model, language, datetime) of a file's stem, each ``unknown`` where it has another form."""
+    # Fixed value: the form of the names.
     pattern = r"convo_(.+)_([a-z-]+)_(\d{8}-\d{6})"
     part = lambda i: F.coalesce(truthy(F.regexp_extract(stem, pattern, i)), F.lit("unknown"))
     return F.struct(part(1).alias("model"), part(2).alias("language"), part(3).alias("datetime"))
 
 
 def judge_of_file(name: Column) -> Column:
+    # Fixed value: the form of the names.
     return truthy(F.regexp_extract(name, r"label_recovery_(.+?)_([a-z]{2})_\d{8}-\d{6}\.jsonl", 1))
 
 
 def source_language(source: Column, path: Column) -> Column:
     """Language from ``combined_xx.json``, else from the path, else unknown."""
+    # The forms of the names.
     return F.coalesce(truthy(F.regexp_extract(source, r"combined_([a-z]{2})\.json", 1)), truthy(F.regexp_extract(path, r"[_-]([a-z]{2})[_.]", 1)), F.lit("unknown"))
 
 

@@ -38,10 +38,10 @@ def judge_consistency(labels: DataFrame, matches: DataFrame) -> DataFrame:
 def pairwise_agreement(labels: DataFrame, order: str) -> DataFrame:
     """For each two judges: common conversations, share of full agreement and of each category's.
 
-    Of several rows of a judge for a conversation the last by ``order`` counts.
+    Of several rows of a judge for a conversation the last by ``order`` counts; of equals the one whose labels come first.
     """
     keys = ["generator_model", "conversation_id"]
-    last = F.row_number().over(Window.partitionBy("judge_model", *keys).orderBy(F.desc(order)))
+    last = F.row_number().over(Window.partitionBy("judge_model", *keys).orderBy(F.desc(order), *CATEGORIES))
     one = labels.withColumn("_at", last).where("_at = 1").select("judge_model", *keys, *CATEGORIES)
     a = one.select(F.col("judge_model").alias("judge_a"), *keys, *(F.col(c).alias(f"a_{c}") for c in CATEGORIES))
     b = one.select(F.col("judge_model").alias("judge_b"), *keys, *(F.col(c).alias(f"b_{c}") for c in CATEGORIES))
@@ -103,3 +103,18 @@ def fleiss_kappa(ratings: DataFrame) -> DataFrame:
     po = (F.col("sq") - F.col("subjects") * F.col("n")) / (F.col("subjects") * F.col("n") * (F.col("n") - 1))
     done = whole.join(share, "rating_category_name").where("subjects >= 2").withColumn("po", po)
     return done.select("rating_category_name", "subjects", F.when(F.abs(F.col("pe") - 1) < 1e-12, 1.0).otherwise((F.col("po") - F.col("pe")) / (1 - F.col("pe"))).alias("kappa"))
+
+
+def category_spread(matches: DataFrame, generators: DataFrame) -> DataFrame:
+    """By judge and category the mean and population deviation of the accuracy over generators that have truth, and all generators."""
+    each = judge_accuracy(matches, ["judge_model", "generator_model"])
+    long = each.unpivot(["judge_model", "generator_model"], list(CATEGORIES), "category", "accuracy")
+    all_of = generators.select("judge_model", "generator_model").distinct().groupBy("judge_model").agg(F.count("*").alias("n_generators"))
+    return long.groupBy("judge_model", "category").agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std")).join(all_of, "judge_model")
+
+
+def value_counts(ratings: DataFrame) -> DataFrame:
+    """Different conversations, reviewers and categories, and the number of each value as a map."""
+    counts = ratings.groupBy(F.col("rating_value").cast("string").alias("v")).agg(F.count("*").alias("n"))
+    whole = counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("v", "n")))).alias("value_counts"))
+    return ratings.agg(F.count_distinct("conversation_id").alias("conversations"), F.count_distinct("reviewer_name").alias("reviewers"), F.count_distinct("rating_category_name").alias("categories")).crossJoin(whole)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -46,23 +47,47 @@ def with_retry(call: Callable, tries: int = 5, base: float = 1.0, again: tuple[s
     return run
 
 
-def apply_model(rows: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, workers: int = 5, errors: bool = True) -> DataFrame:
-    """Rows through a client made once a partition; with ``errors`` a failure is a row with its message in ``error``."""
+def within(bounds: dict[str, int]) -> Callable[[dict], dict]:
+    """A check of scores: whole numbers from 0 to the bound of each name."""
+
+    def check(got: dict) -> dict:
+        for name, most in bounds.items():
+            value = got.get(name)
+            if not isinstance(value, int) or isinstance(value, bool) or not 0 <= value <= most:
+                raise ValueError(f"{name} must be 0 to {most}, not {value}")
+        return got
+
+    return check
+
+
+def apply_model(rows: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, workers: int = 5, errors: bool = True, check: Callable[[dict], dict] | None = None, again: tuple[str, ...] = ("rate_limit", "429"), progress: Callable[[int], None] | None = None) -> DataFrame:
+    """Rows through a client made once a partition, ``workers`` calls at a time in the order of the rows.
+
+    ``check`` may refuse an answer. With ``errors`` a failure is a row with its message in ``error``. ``progress`` is called
+    on the executor with the rows done so far. Partitions stay as they are.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = with_retry(make())
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                start = time.time()
-                try:
-                    got = {**call(row), "error": None}
-                except Exception as error:
-                    if not errors:
-                        raise
-                    got = {"error": str(error)}
-                out.append({**row, **got, "processing_time": time.time() - start})
-            yield pd.DataFrame(out)
+        call, done = with_retry(make(), again=again), 0
+
+        def one(row: dict) -> dict:
+            start = time.time()
+            try:
+                got = call(row)
+                got = {**(check(got) if check else got), "error": None}
+            except Exception as error:
+                if not errors:
+                    raise
+                got = {"error": str(error)}
+            return {**row, **got, "processing_time": time.time() - start}
+
+        with ThreadPoolExecutor(workers) as pool:
+            for batch in batches:
+                out = list(pool.map(one, batch.to_dict("records")))
+                done += len(out)
+                if progress:
+                    progress(done)
+                yield pd.DataFrame(out)
 
     names = [part.split()[0] for part in schema.split(", ")]
-    return rows.repartition(workers).mapInPandas(lambda batches: (b.reindex(columns=names) for b in run(batches)), schema)
+    return rows.mapInPandas(lambda batches: (b.reindex(columns=names) for b in run(batches)), schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tandem.functions import text as X
+
 
 def ttr(tokens) -> Column:
     """Distinct tokens to all; 0 for none."""
@@ -37,19 +39,23 @@ def mattr(docs: DataFrame, keys: list[str], tokens: str = "tokens", window: int
 def self_bleu_counts(docs: DataFrame, group: list[str], key: str, tokens: str = "tokens", order: int = 4) -> DataFrame:
     """By document and n: clipped n-grams against all other documents of the group, and all n-grams.
 
-    Of each n-gram the two greatest counts among documents are enough: a document's rival is the greatest, or
-    the second where it holds the greatest itself. No document is paired with another.
+    A document's rival for an n-gram is the greatest count among the others, so only a document that alone holds the
+    greatest count of an n-gram is clipped, by its lead over the next. So the leads are summed, and neither documents
+    nor their n-grams are joined. The counts of an n-gram are first counted themselves: what meets for a common word is
+    a row for each different count of it. N-grams are 64-bit hashes.
     """
-    grams = docs.select(*group, key, F.explode(F.sequence(F.lit(1), F.lit(order))).alias("n"), tokens).where(F.size(tokens) >= F.col("n"))
-    spread = grams.select(*group, key, "n", F.explode(F.transform(F.sequence(F.lit(1), F.size(tokens) - F.col("n") + 1), lambda i: F.array_join(F.slice(tokens, i, F.col("n")), "\x1f"))).alias("g"))
+    hashed = docs.select(*group, key, F.transform(tokens, lambda t: F.xxhash64(t)).alias("h"))
+    orders = F.explode(F.sequence(F.lit(1), F.lit(order))).alias("n")
+    sized = hashed.select(*group, key, "h", orders).where(F.size("h") >= F.col("n"))
+    spread = sized.select(*group, key, "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("h") - F.col("n") + 1), lambda i: F.xxhash64(F.slice("h", i, F.col("n"))))).alias("g"))
     counts = spread.groupBy(*group, key, "n", "g").agg(F.count("*").alias("c"))
-    # greatest by max_by and, apart from it, the greatest of the others: both aggregate before the shuffle
-    top = counts.groupBy(*group, "n", "g").agg(F.max("c").alias("c1"), F.max_by(key, F.struct("c", key)).alias("d1"))
-    second = counts.join(top, [*group, "n", "g"]).withColumn("rest", F.when(F.col(key) != F.col("d1"), F.col("c")))
-    two = second.groupBy(*group, "n", "g").agg(F.max("rest").alias("c2"))
-    held = second.join(two, [*group, "n", "g"])
-    rival = F.when(F.col(key) == F.col("d1"), F.coalesce("c2", F.lit(0))).otherwise(F.col("c1"))
-    return held.groupBy(*group, key, "n").agg(F.sum(F.least("c", rival)).alias("clipped"), F.sum("c").alias("total"))
+    kinds = counts.groupBy(*group, "n", "g", "c").agg(F.count("*").alias("k"), F.min(key).alias("d"))
+    top = kinds.groupBy(*group, "n", "g").agg(F.max(F.struct("c", "k", "d")).alias("m"), F.sort_array(F.collect_list("c"), False).alias("cs"))
+    lead = F.col("m.c") - F.coalesce(F.get("cs", F.lit(1)), F.lit(0))
+    leads = top.where("m.k = 1").groupBy(*group, F.col("m.d").alias(key), "n").agg(F.sum(lead).alias("lead"))
+    total = (F.size("h") - F.col("n") + 1).cast("long")
+    found = sized.select(*group, key, "n", total.alias("total")).join(leads, [*group, key, "n"], "left")
+    return found.select(*group, key, "n", (F.col("total") - F.coalesce("lead", F.lit(0))).alias("clipped"), "total")
 
 
 def self_bleu(docs: DataFrame, group: list[str], key: str, tokens: str = "tokens", order: int = 4) -> DataFrame:
@@ -77,5 +83,45 @@ def self_bleu(docs: DataFrame, group: list[str], key: str, tokens: str = "tokens
     return wide.select(*group, key, "len", "ref", F.when(F.col("ref").isNotNull(), score).alias("bleu"))
 
 
+def level_texts(conversations: DataFrame, profile: X.Profile, group: list[str]) -> DataFrame:
+    """(group, level, key, text) of the Self-BLEU levels from turns (speaker, text, is_agent) and the whole text.
+
+    Roles come from the flag, else from the speaker's name. Where the profile's unit is the turn, agent and client texts
+    are single turns and ``turns`` is a level too; else they are the turns of a conversation joined by spaces.
+    """
+    ident = F.col("conversation_id").cast("string")
+    full = conversations.select(*group, F.lit("full").alias("level"), ident.alias("key"), X.formatted(F.col("turns")).alias("text"))
+    kept = F.filter("turns", lambda t: ~X.blank(t["text"]))
+    rows = conversations.select(*group, ident.alias("key"), F.posexplode(kept).alias("at", "t"))
+    rows = rows.select(*group, "key", "at", F.col("t.text").alias("text"), X.role(F.col("t.speaker"), F.col("t.is_agent"), profile).alias("level"))
+    if profile.unit == "turn":
+        each = rows.select(*group, "level", F.concat_ws("-", "key", "at").alias("key"), "text")
+        return full.unionByName(each.where("level is not null")).unionByName(each.withColumn("level", F.lit("turns")))
+    joined = rows.where("level is not null").groupBy(*group, "level", "key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x.text), " ").alias("text"))
+    return full.unionByName(joined)
+
+
+def bleu_tokens(text: Column, profile: X.Profile) -> Column:
+    """The tokens that Self-BLEU compares in a language: of the cleaned or raw text, of two characters or more, letters only if so."""
+    found = X.tokens(X.clean(text, profile) if profile.bleu_clean else text, profile.stopwords, 2)
+    return F.filter(found, lambda t: F.rlike(t, F.lit(r"^\p{L}+$"))) if profile.bleu_alpha else found
+
+
+def checked_bleu(texts: DataFrame, group: list[str], profile: X.Profile, order: int = 4) -> DataFrame:
+    """Self-BLEU statistics of (group, key, text) with the checks on its input.
+
+    A group fails, with null statistics and the cause in ``failure``, when more than a fifth of its texts are blank, when
+    fewer than two have tokens, or when more than a tenth of the scores fail. Duplicates are counted and stay.
+    """
+    if not 1 <= order <= 4:
+        raise ValueError(f"order must be 1 to 4, not {order}")
+    tokens = texts.select(*group, "key", "text", F.when(~X.blank(F.col("text")), bleu_tokens(F.col("text"), profile)).alias("tokens"))
+    counts = tokens.groupBy(*group).agg(F.count("*").alias("num_texts"), F.count_if(X.blank(F.col("text"))).alias("num_empty"), F.count_if(F.size("tokens") > 0).alias("valid"), (F.count("text") - F.count_distinct("text")).alias("num_duplicates"))
+    scores = bleu_summary(self_bleu(tokens.where(F.size("tokens") > 0), group, "key", order=order), group).withColumnRenamed("mean", "self_bleu")
+    cause = F.when(F.col("num_empty") * 5 > F.col("num_texts"), "too many empty texts").when(F.col("valid") < 2, "fewer than two valid texts").when(F.col("failed") * 10 > F.col("valid"), "too many failed scores")
+    out = counts.join(scores, group, "left").withColumn("failure", cause)
+    return out.select(*group, *(F.when(F.col("failure").isNull(), F.col(c)).alias(c) for c in ("self_bleu", "std", "median", "min", "max")), "num_texts", "num_empty", "num_duplicates", "failure")
+
+
 def bleu_summary(scores: DataFrame, group: list[str]) -> DataFrame:
     return scores.groupBy(*group).agg(F.avg("bleu").alias("mean"), F.stddev_pop("bleu").alias("std"), F.percentile("bleu", 0.5).alias("median"), F.min("bleu").alias("min"), F.max("bleu").alias("max"), F.count("bleu").alias("n"), F.count_if(F.col("bleu").isNull()).alias("failed"))

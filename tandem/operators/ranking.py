@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.functions.stats import kendall_p, spearman_p
 
 
+#: About as many rows of a language and model are resampled in one task, and as many permutations of two languages dealt.
+CHUNK, PERMUTED = 65_536, 1_000
+
+
 def means(scores: DataFrame) -> DataFrame:
     """Mean and count by language, model and metric; rows without a key go."""
     keyed = scores.where("language is not null and model is not null and metric is not null")
@@ -58,22 +66,31 @@ def with_p_values(found: DataFrame) -> DataFrame:
     return found.withColumn("tau_p", kendall_p("models", "inversions")).withColumn("rho_p", spearman_p("models", "rho"))
 
 
-def _uniform(*parts) -> Column:
-    return F.xxhash64(*parts)
-
-
 def bootstrap(scores: DataFrame, replicates: int = 2000, seed: int = 42) -> DataFrame:
     """Tau and rho of average ranks over resampled conversations: mean, 2.5 and 97.5 percentiles, deviation.
 
-    Rows of each language and model are drawn with replacement at their number, by a hash of seed, replicate
-    and slot, so a run repeats itself. The draws are aggregated by row number before they meet the scores.
+    The rows of a language and model stand in chunks of bounded size. How many of a replicate's draws fall into each chunk
+    is drawn first, the same in every task, and each chunk then draws its own rows: together a draw with replacement from
+    all rows. Only a sum a chunk and replicate is shuffled.
     """
-    numbered = scores.withColumn("slot", F.row_number().over(Window.partitionBy("metric", "language", "model").orderBy("conversation_id", "score")) - 1)
-    sizes = numbered.groupBy("metric", "language", "model").agg(F.count("*").alias("n"))
-    draws = sizes.select("metric", "language", "model", "n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("k")).crossJoin(F.broadcast(scores.sparkSession.range(replicates).withColumnRenamed("id", "rep")))
-    drawn = draws.withColumn("slot", F.pmod(_uniform(F.lit(seed), "rep", "metric", "language", "model", "k"), "n").cast("int"))
-    weight = drawn.groupBy("rep", "metric", "language", "model", "slot").agg(F.count("*").alias("w"))
-    mean = weight.join(numbered, ["metric", "language", "model", "slot"]).groupBy("rep", "metric", "language", "model").agg((F.sum(F.col("w") * F.col("score")) / F.sum("w")).alias("mean"))
+    keys = ["metric", "language", "model"]
+    sizes = scores.groupBy(*keys).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = scores.join(F.broadcast(sizes), keys).select(*keys, "conversation_id", "score", F.pmod(F.xxhash64("conversation_id"), F.col("chunks")).cast("int").alias("chunk"))
+    held = dealt.groupBy(*keys, "chunk").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("chunk", "n"))).alias("held"))
+    dealt = dealt.join(F.broadcast(held), keys)
+
+    def draw(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["conversation_id", "score"])
+        name, chunk = "\x1f".join(map(str, frame[keys].iloc[0])), int(frame["chunk"].iloc[0])
+        names, n = zip(*((int(x["chunk"]), int(x["n"])) for x in frame["held"].iloc[0]), strict=True)
+        score, total = frame["score"].to_numpy(float), sum(n)
+        whole, own = (np.random.default_rng([seed, zlib.crc32(name.encode()), salt]) for salt in (0, chunk + 1))
+        share = whole.multinomial(total, np.array(n) / total, replicates)[:, names.index(chunk)] if len(n) > 1 else np.full(replicates, total)
+        sums = [score[own.integers(0, len(score), k)].sum() for k in share.tolist()]
+        return pd.DataFrame({"rep": np.arange(replicates), **{k: frame[k].iloc[0] for k in keys}, "s": sums, "total": total})
+
+    kinds = "rep long, metric string, language string, model string, s double, total long"
+    mean = dealt.groupBy(*keys, "chunk").applyInPandas(draw, kinds).groupBy("rep", *keys).agg((F.sum("s") / F.max("total")).alias("mean"))
     a = mean.select("rep", "metric", F.col("language").alias("l1"), "model", F.round("mean", 12).alias("x"))
     b = mean.select("rep", "metric", F.col("language").alias("l2"), "model", F.round("mean", 12).alias("y"))
     keys = ["rep", "metric", "l1", "l2"]
@@ -95,14 +112,64 @@ def permutation(ranked: DataFrame, permutations: int = 5000, seed: int = 42) ->
     pairs = ranked.select("metric", "language").distinct()
     lp = pairs.withColumnRenamed("language", "l1").join(pairs.withColumnRenamed("language", "l2"), "metric").where("l1 < l2")
     rows = lp.join(ranked.select("metric", "language", "model", "rank"), "metric").where("language = l1 or language = l2").select("metric", "l1", "l2", "language", "model", "rank")
-    order = Window.partitionBy("metric", "l1", "l2").orderBy("language", "model")
-    rows = rows.withColumn("at", F.row_number().over(order)).withColumn("n1", F.count_if(F.col("language") == F.col("l1")).over(Window.partitionBy("metric", "l1", "l2")))
-    many = rows.crossJoin(F.broadcast(ranked.sparkSession.range(permutations).withColumnRenamed("id", "rep")))
-    keys = ["rep", "metric", "l1", "l2"]
-    dealt = many.withColumn("new", F.row_number().over(Window.partitionBy(*keys).orderBy(_uniform(F.lit(seed), "rep", "metric", "l1", "l2", "at"), "at")))
-    side = dealt.groupBy(*keys, "model").agg(F.max_by("rank", F.when(F.col("new") <= F.col("n1"), F.col("at"))).alias("r1"), F.max_by("rank", F.when(F.col("new") > F.col("n1"), F.col("at"))).alias("r2")).where("r1 is not null and r2 is not null")
-    i = side.select(*keys, F.col("model").alias("m1"), F.col("r1").alias("i1"), F.col("r2").alias("i2"))
-    j = side.select(*keys, F.col("model").alias("m2"), F.col("r1").alias("j1"), F.col("r2").alias("j2"))
-    got = i.join(j, keys).where("m1 < m2").groupBy(*keys).agg(F.count_if((F.col("i1") < F.col("j1")) != (F.col("i2") < F.col("j2"))).alias("x"))
+    # a group is two languages' models; its permutations are dealt to several tasks
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-permutations // PERMUTED) - 1))).alias("block")
+
+    def deal(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["language", "model"])
+        name, block = "\x1f".join(map(str, frame[["metric", "l1", "l2"]].iloc[0])), int(frame["block"].iloc[0])
+        rng = np.random.default_rng([seed, zlib.crc32(name.encode()), block])
+        models, code = np.unique(frame["model"].to_numpy(str), return_inverse=True)
+        rank, first = frame["rank"].to_numpy(float), int((frame["language"] == frame["l1"]).sum())
+        found = []
+        for rep in range(block * PERMUTED, min(permutations, (block + 1) * PERMUTED)):
+            new = np.zeros(len(frame), bool)
+            new[rng.permutation(len(frame))[:first]] = True
+            a, b = np.full(len(models), np.nan), np.full(len(models), np.nan)
+            a[code[new]], b[code[~new]] = rank[new], rank[~new]  # the last row of a model counts
+            use = ~np.isnan(a) & ~np.isnan(b)
+            a, b = a[use], b[use]
+            if len(a) > 1:
+                i, j = np.triu_indices(len(a), 1)
+                found.append((rep, int(((a[i] < a[j]) != (b[i] < b[j])).sum())))
+        return pd.DataFrame({**{k: frame[k].iloc[0] for k in ("metric", "l1", "l2")}, "x": [x for _, x in found]}, columns=["metric", "l1", "l2", "x"])
+
+    got = rows.select("*", blocks).groupBy("metric", "l1", "l2", "block").applyInPandas(deal, "metric string, l1 string, l2 string, x long")
     seen = inversions(ranked).select("metric", "l1", "l2", "inversions")
     return got.join(F.broadcast(seen), ["metric", "l1", "l2"]).groupBy("metric", "l1", "l2").agg(F.count("*").alias("permutations"), F.least(2 * F.avg((F.col("x") >= F.col("inversions")).cast("int")), F.lit(1.0)).alias("p"))
+
+
+def analyse(scores: DataFrame, metrics: list[str] | None = None, languages: list[str] | None = None, n_bootstrap: int = 2000, n_permutations: int = 5000, seed: int = 42) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """The whole ranking analysis: statistics of language pairs (with intervals and permutation p unless their number is 0), ranks, metadata."""
+    used = scores.where(F.col("metric").isin(metrics)) if metrics else scores
+    used = used.where(F.col("language").isin(languages)) if languages else used
+    ranked = ranks(used)
+    statistics = with_p_values(inversions(ranked))
+    keys = ["metric", "l1", "l2"]
+    if n_bootstrap:
+        statistics = statistics.join(bootstrap(used, n_bootstrap, seed), keys, "left")
+    if n_permutations:
+        statistics = statistics.join(permutation(ranked, n_permutations, seed).select(*keys, F.col("p").alias("inversion_p")), keys, "left")
+    about = metadata(used).first()
+    return statistics, ranked, {"n_bootstrap": n_bootstrap, "n_permutations": n_permutations, **about.asDict()}
+
+
+def metadata(scores: DataFrame) -> DataFrame:
+    """Different conversations and models of the scores."""
+    return scores.agg(F.count_distinct("conversation_id").alias("total_conversations"), F.count_distinct("model").alias("total_models"))
+
+
+def of_pair(statistics: DataFrame, metric: str, first: str, second: str) -> DataFrame:
+    """The statistics of one metric and two languages, in either order."""
+    l1, l2 = sorted((first, second))
+    return statistics.where((F.col("metric") == metric) & (F.col("l1") == l1) & (F.col("l2") == l2))
+
+
+def of_language(ranked: DataFrame, language: str, metric: str) -> DataFrame:
+    return ranked.where((F.col("language") == language) & (F.col("metric") == metric))
+
+
+def display_grid(ranked: DataFrame, languages: list[str], value: str = "rank") -> DataFrame:
+    """A row a metric and model, a column a language, a dash where the model lacks it."""
+    wide = ranked.groupBy("metric", "model").pivot("language", languages).agg(F.first(F.col(value).cast("string")))
+    return wide.na.fill("—", languages)

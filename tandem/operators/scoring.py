@@ -69,13 +69,19 @@ def class_report(counts: DataFrame, keys: list[str]) -> DataFrame:
     long = counts.select(*keys, "n", (F.col("y_true") == F.col("y_pred")).alias("hit"), side).select(*keys, "n", "hit", "s.*")
     by = long.groupBy(*keys, "label").agg(F.sum(F.when(F.col("hit"), F.col("n") * F.col("t")).otherwise(0)).alias("tp"), F.sum(F.col("n") * F.col("p")).alias("predicted"), F.sum(F.col("n") * F.col("t")).alias("support"))
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    return by.select(*keys, "label", ratio(F.col("tp"), F.col("predicted")).alias("precision"), ratio(F.col("tp"), F.col("support")).alias("recall"), ratio(2 * F.col("tp"), F.col("predicted") + F.col("support")).alias("f1"), "support", "tp")
+    return by.select(*keys, "label", ratio(F.col("tp"), F.col("predicted")).alias("precision"), ratio(F.col("tp"), F.col("support")).alias("recall"), ratio(2 * F.col("tp"), F.col("predicted") + F.col("support")).alias("f1"), "support", "tp", "predicted")
 
 
 def category_scores(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Accuracy, macro and weighted F1, rows and label counts by keys (the category among them)."""
     report = class_report(confusion(pairs, keys), keys)
-    return report.groupBy(*keys).agg(F.sum("support").alias("n"), (F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"), F.count_if(F.col("support") > 0).alias("true_labels"))
+    return report.groupBy(*keys).agg(F.count_if(F.col("predicted") > 0).alias("predicted_labels"), F.sum("support").alias("n"), (F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"), F.count_if(F.col("support") > 0).alias("true_labels"))
+
+
+def category_scores_of_all(pairs: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """The category scores of every group, zeros where it has no row with truth and prediction."""
+    every = groups.crossJoin(F.broadcast(pairs.sparkSession.createDataFrame([(c,) for c in CATEGORIES], "category string")))
+    return every.join(category_scores(pairs, [*keys, "category"]), [*keys, "category"], "left").na.fill(0)
 
 
 def overall_accuracy(scores: DataFrame, keys: list[str]) -> DataFrame:

@@ -28,9 +28,10 @@ def count_by_model_and_language(rows: DataFrame) -> DataFrame:
 
 
 def dataset_statistics(messages: DataFrame) -> DataFrame:
-    """Per language: messages, conversations, their mean, least and greatest length."""
-    each = messages.groupBy("language", "conversation_id").agg(F.count("*").alias("n"))
-    return each.groupBy("language").agg(F.sum("n").alias("n_messages"), F.count("*").alias("n_conversations"), F.avg("n").alias("mean_length"), F.min("n").alias("min_length"), F.max("n").alias("max_length"))
+    """Per language: messages, conversations, their mean, least and greatest length, and the labels met, where there are any."""
+    labels = [c for c in ("industry", "problem") if c in messages.columns]
+    each = messages.groupBy("language", "conversation_id").agg(F.count("*").alias("n"), *(F.first(X.truthy(F.col(c)), True).alias(c) for c in labels))
+    return each.groupBy("language").agg(F.sum("n").alias("n_messages"), F.count("*").alias("n_conversations"), F.avg("n").alias("mean_length"), F.min("n").alias("min_length"), F.max("n").alias("max_length"), *(F.count_distinct(c).alias(f"n_{c}") for c in labels))
 
 
 def merge_new(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,6 +45,16 @@ def overlapping(existing: DataFrame, new: DataFrame, key: str, most: int = 5) ->
     return new.join(existing.select(key), key, "left_semi").select(key).distinct().orderBy(key).limit(most)
 
 
+def common_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The values that both sides have."""
+    return a.select(key).intersect(b.select(key))
+
+
+def absent_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The values that only the first side has."""
+    return a.select(key).subtract(b.select(key))
+
+
 def structure(rows: DataFrame) -> DataFrame:
     """Columns in order of name, every one a string, null as the empty string."""
     return rows.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in sorted(rows.columns)))

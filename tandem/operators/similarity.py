@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a, b) -> Column:
@@ -25,13 +28,29 @@ def duplicate_counts(rows: DataFrame, group: list[str], text: str) -> DataFrame:
     return rows.groupBy(*group).agg((F.count(text) - F.count_distinct(text)).alias("num_duplicates"), F.count_if(F.coalesce(text, F.lit("")) == "").alias("num_empty"))
 
 
-def pair_similarity(vectors: DataFrame, group: list[str], key: str, vector: str) -> DataFrame:
-    """All pairs of a group: the measure asked for is over every pair. Vectors are normed once, before they meet."""
-    unit = vectors.where(dot(vector, vector) > 0).withColumn("_u", F.transform(vector, lambda x: x.cast("double")))
-    unit = unit.withColumn("_l", F.sqrt(dot("_u", "_u"))).select(*group, key, F.transform("_u", lambda x: x / F.col("_l")).alias("_u"))
-    a = unit.select(*group, F.col(key).alias("a"), F.col("_u").alias("ua"))
-    b = unit.select(*group, F.col(key).alias("b"), F.col("_u").alias("ub"))
-    return a.join(b, group).where("a < b").select(*group, "a", "b", dot("ua", "ub").alias("similarity"))
+def pair_similarity(vectors: DataFrame, group: list[str], key: str, vector: str, block: int = 1000) -> DataFrame:
+    """All pairs of a group, as the measure asked for is over every pair.
+
+    A group is dealt to blocks of about ``block`` vectors, and every two blocks meet in a task of their own that multiplies
+    them, so a large group is spread over the cluster and no task holds more than two blocks.
+    """
+    own = vectors.where(dot(vector, vector) > 0).select(*group, F.col(key).alias("_k"), F.transform(vector, lambda x: x.cast("double")).alias("_u"))
+    sizes = own.groupBy(*group).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    dealt = own.join(F.broadcast(sizes), group).withColumn("_b", F.pmod(F.xxhash64("_k"), F.col("_n")).cast("int"))
+    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn("_lo", F.least("_b", "_o")).withColumn("_hi", F.greatest("_b", "_o"))
+    kinds = T.StructType([*(vectors.schema[g] for g in group), T.StructField("a", vectors.schema[key].dataType), T.StructField("b", vectors.schema[key].dataType), T.StructField("similarity", T.DoubleType())])
+
+    def multiply(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_k").reset_index(drop=True)
+        x = np.array(frame["_u"].tolist(), float)
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        b, k = frame["_b"].to_numpy(), frame["_k"].to_numpy()
+        whole = frame["_lo"].iloc[0] == frame["_hi"].iloc[0]
+        i, j = np.nonzero(np.triu(np.ones((len(x), len(x)), bool), 1) & (True if whole else b[:, None] != b[None]))
+        out = {g: np.repeat(frame[g].iloc[:1].to_numpy(), len(i)) for g in group}
+        return pd.DataFrame({**out, "a": k[i], "b": k[j], "similarity": (x @ x.T)[i, j]})
+
+    return dealt.groupBy(*group, "_lo", "_hi").applyInPandas(multiply, kinds)
 
 
 def summary(pairs: DataFrame, group: list[str]) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.functions import text as X
@@ -15,38 +12,21 @@ from tandem.operators import ranking as R
 from tandem.operators import scoring as S
 from tandem.operators import shape as H
 from tandem.operators import similarity as M
-from tandem.plans.views import view, with_views
+from tandem.plans import analysis, files, texts  # noqa: F401  they register their queries
+from tandem.plans.base import QUERIES, SQL, Query, query
+from tandem.plans.base import conversations as _conversations
+from tandem.plans.base import longs as _longs
+from tandem.plans.base import rounded as _rounded
+from tandem.plans.views import view
 from tandem.schemas import CATEGORIES, METRICS
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *views: str) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = with_views(sql.strip(), *views) if views else sql.strip()
-        return f
-
-    return add
-
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _rounded(frame: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return frame.withColumns({c: F.round(c, digits) for c in columns})
-
-
-def _longs(frame: DataFrame, *columns: str) -> DataFrame:
-    return frame.withColumns({c: F.col(c).cast("long") for c in columns})
+    return dict(SQL)
 
 
 # -- ranking ------------------------------------------------------------------------------------------
@@ -162,7 +142,7 @@ def top_errors(spark, sf):
 PAIRS = f"pairs AS (SELECT p.judge_model, unnest([{NAMES}]) AS category, unnest([{', '.join('t.' + c for c in CATEGORIES)}]) AS y_true, unnest([{', '.join('p.' + c for c in CATEGORIES)}]) AS y_pred FROM predictions p JOIN truth t ON p.generator_model = t.generator_model AND p.conversation_id = t.conversation_id), used AS (SELECT * FROM pairs WHERE y_true IS NOT NULL AND y_pred IS NOT NULL)"
 REPORT = f"""WITH {PAIRS}, labs AS (SELECT judge_model, category, y_true AS label FROM used UNION SELECT judge_model, category, y_pred FROM used),
 rep AS (SELECT l.judge_model, l.category, l.label, count(*) FILTER (u.y_true = l.label AND u.y_pred = l.label) AS tp, count(*) FILTER (u.y_pred = l.label) AS predicted, count(*) FILTER (u.y_true = l.label) AS support FROM labs l JOIN used u ON l.judge_model = u.judge_model AND l.category = u.category GROUP BY ALL),
-done AS (SELECT judge_model, category, label, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS precision, CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall, CASE WHEN predicted + support = 0 THEN 0.0 ELSE 2 * tp / (predicted + support) END AS f1, support, tp FROM rep)"""
+done AS (SELECT judge_model, category, label, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS precision, CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall, CASE WHEN predicted + support = 0 THEN 0.0 ELSE 2 * tp / (predicted + support) END AS f1, support, tp, predicted FROM rep)"""
 
 
 def _pairs(spark, sf):
@@ -171,13 +151,13 @@ def _pairs(spark, sf):
 
 @query(f"{REPORT} SELECT judge_model, category, label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM done", "predictions", "truth")
 def agg_class_report(spark, sf):
-    return _rounded(S.class_report(S.confusion(_pairs(spark, sf), ["judge_model", "category"]), ["judge_model", "category"]), "precision", "recall", "f1").drop("tp")
+    return _rounded(S.class_report(S.confusion(_pairs(spark, sf), ["judge_model", "category"]), ["judge_model", "category"]), "precision", "recall", "f1").drop("tp", "predicted")
 
 
-CATEGORY = f"{REPORT}, cat AS (SELECT judge_model, category, CAST(sum(support) AS BIGINT) AS n, sum(tp) / sum(support) AS accuracy, avg(f1) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1, count(*) FILTER (support > 0) AS true_labels FROM done GROUP BY ALL)"
+CATEGORY = f"{REPORT}, cat AS (SELECT judge_model, category, CAST(sum(support) AS BIGINT) AS n, sum(tp) / sum(support) AS accuracy, avg(f1) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1, count(*) FILTER (support > 0) AS true_labels, count(*) FILTER (predicted > 0) AS predicted_labels FROM done GROUP BY ALL)"
 
 
-@query(f"{CATEGORY} SELECT judge_model, category, n, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1, true_labels FROM cat", "predictions", "truth")
+@query(f"{CATEGORY} SELECT judge_model, category, n, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1, true_labels, predicted_labels FROM cat", "predictions", "truth")
 def agg_category_scores(spark, sf):
     return _rounded(S.category_scores(_pairs(spark, sf), ["judge_model", "category"]), "accuracy", "macro_f1", "weighted_f1")
 
@@ -294,13 +274,6 @@ def stat_fleiss_kappa(spark, sf):
 # -- shape --------------------------------------------------------------------------------------------
 
 
-def _conversations(spark, sf):
-    t = view(spark, sf, "turns").withColumn("from_type", F.when(F.col("role") == "assistant", "agent").when(F.col("role") == "user", "customer").otherwise(F.col("role")))
-    message = F.struct(F.col("role").alias("from_name"), "from_type", F.col("text").alias("message"))
-    found = t.groupBy("model", "language", "conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", message.alias("m")))).alias("list"))
-    return found.select("model", "language", F.col("conv_id").alias("conversation_id"), F.transform("list", lambda x: x.m).alias("messages"))
-
-
 @query("SELECT model, language, conv_id AS conversation_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS message_id, role AS from_name, CASE role WHEN 'assistant' THEN 'agent' WHEN 'user' THEN 'customer' ELSE role END AS from_type, text AS message FROM turns", "turns")
 def prj_flatten_messages(spark, sf):
     return _longs(H.flatten(_conversations(spark, sf)), "message_id")
@@ -347,13 +320,13 @@ def prj_structure(spark, sf):
 @query("SELECT source FROM documents WHERE lang = 'de' INTERSECT SELECT source FROM documents WHERE lang = 'fr'")
 def set_common_models(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    return d.where("lang = 'de'").select("source").intersect(d.where("lang = 'fr'").select("source"))
+    return H.common_keys(d.where("lang = 'de'"), d.where("lang = 'fr'"), "source")
 
 
 @query("SELECT role FROM conversations EXCEPT SELECT 'user'")
 def set_difference(spark, sf):
     c = spark.read.parquet(f"{sf}/conversations.parquet").select("role")
-    return c.subtract(c.where("role = 'user'"))
+    return H.absent_keys(c, c.where("role = 'user'"), "role")
 
 
 @query("SELECT doc_id, source AS language, concat('convo_gpt-4.1_', lang, '_20260127-143052') AS stem, 'gpt-4.1' AS p_model, lang AS p_language, '20260127-143052' AS p_datetime, CASE WHEN length(text) > 25 THEN concat(substr(text, 1, 22), '...') ELSE text END AS short, CASE WHEN n_chars < 1000 THEN 'n<1K' WHEN n_chars < 10000 THEN '1K<n<10K' WHEN n_chars < 100000 THEN '10K<n<100K' ELSE '100K<n<1M' END AS bucket FROM documents")
@@ -422,7 +395,7 @@ def agg_self_bleu(spark, sf):
 
 
 @query("SELECT source, lang, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std, min(n_chars) AS min, max(n_chars) AS max, quantile_cont(n_chars, 0.5) AS median FROM documents GROUP BY ALL")
-def agg_ttr_statistics(spark, sf):
+def agg_length_statistics(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").groupBy("source", "lang").agg(F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.stddev_samp("n_chars"), 6).alias("std"), F.min("n_chars").alias("min"), F.max("n_chars").alias("max"), F.percentile("n_chars", 0.5).alias("median"))
 
 

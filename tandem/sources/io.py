@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import glob
+import json
+import logging
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,21 +12,66 @@ from tandem import schemas as S
 from tandem.functions import text as X
 
 
-def expand(patterns: list[str], keep_unmatched: bool = False) -> list[str]:
-    """Paths that the patterns match, once each and sorted; a pattern without match stays if asked for."""
-    out: set[str] = set()
+LOG = logging.getLogger(__name__)
+
+
+def expand(spark: SparkSession, patterns: list[str], keep_unmatched: bool = False) -> list[str]:
+    """Paths that the patterns match in whatever store Spark reads, once each and sorted; a pattern without match stays if asked for."""
+    context, out = spark.sparkContext, set()
     for pattern in patterns:
-        found = glob.glob(pattern)
+        path = context._jvm.org.apache.hadoop.fs.Path(pattern)
+        found = [str(s.getPath()) for s in path.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(path) or ()]
+        if not found:
+            LOG.warning("no file matches %s", pattern)
         out.update(found or ([pattern] if keep_unmatched else []))
     return sorted(out)
 
 
-def read_jsonl(spark: SparkSession, paths: list[str] | str, schema: str) -> DataFrame:
-    """Rows of JSON lines; blank and broken lines go. Adds ``source_file`` where the row has none."""
-    raw = spark.read.schema(schema + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("ignoreMissingFiles", "true").json(paths)
-    good = raw.where("_corrupt is null").drop("_corrupt")
-    source = F.col("_metadata.file_path") if "_metadata" not in good.columns else F.input_file_name()
-    return good.withColumn("source_file", F.coalesce("source_file", source) if "source_file" in good.columns else source)
+def combined_input(spark: SparkSession, folder: str) -> str | None:
+    """The one ``combined_*.json`` of a folder, if there is exactly one."""
+    found = expand(spark, [f"{folder}/combined_*.json"])
+    return found[0] if len(found) == 1 else None
+
+
+def conversation_files(spark: SparkSession, patterns: list[str], model: str | None = None, language: str | None = None) -> DataFrame:
+    """path, model, language, datetime of the conversation files, of one model or language if asked."""
+    paths = spark.createDataFrame([(p,) for p in expand(spark, patterns)], "path string")
+    found = paths.withColumn("f", X.file_parts(F.regexp_replace(file_name(F.col("path")), r"\.jsonl$", ""))).select("path", "f.*")
+    for column, value in (("model", model), ("language", language)):
+        found = found.where(F.col(column) == value) if value else found
+    return found.orderBy("path")
+
+
+def detect_languages(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The languages of result files, by the source of their first rows or else by their names; unknown ones go."""
+    rows = read_jsonl(spark, paths, S.JUDGE).withColumn("path", F.input_file_name())
+    first = rows.groupBy("path").agg(F.min("source_file").alias("source_file"))
+    return first.select(X.source_language(F.col("source_file"), F.col("path")).alias("language")).where("language <> 'unknown'").distinct()
+
+
+def line_counts(conversations: DataFrame) -> DataFrame:
+    """Valid rows by language of the file, and in total (language null)."""
+    return conversations.rollup(F.col("file_language").alias("language")).agg(F.count("*").alias("n"))
+
+
+def _json_lines(spark: SparkSession, paths: list[str] | str, schema: str) -> DataFrame:
+    """Lines that aren't blank: ``r``, with ``_corrupt`` where a line is broken, the file, and the place of its block in it."""
+    lines = spark.read.option("ignoreMissingFiles", "true").text(paths).where(~X.blank(F.col("value")))
+    row = F.from_json("value", schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return lines.select(row.alias("r"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
+
+
+def broken_lines(spark: SparkSession, paths: list[str] | str, schema: str) -> DataFrame:
+    """Broken lines by file, which the readers leave out."""
+    return _json_lines(spark, paths, schema).where("r._corrupt is not null").groupBy(F.col("_path").alias("path")).agg(F.count("*").alias("broken"))
+
+
+def read_jsonl(spark: SparkSession, paths: list[str] | str, schema: str, block: bool = False) -> DataFrame:
+    """Rows of JSON lines; blank and broken lines go. Adds ``source_file`` where the row has none; ``block`` keeps ``_block``."""
+    good = _json_lines(spark, paths, schema).where("r._corrupt is null").select("r.*", "_path", "_block").drop("_corrupt")
+    source = F.coalesce("source_file", "_path") if "source_file" in good.columns else F.col("_path")
+    good = good.withColumn("source_file", source).drop("_path")
+    return good if block else good.drop("_block")
 
 
 def file_name(path: Column) -> Column:
@@ -37,16 +83,23 @@ def read_conversations(spark: SparkSession, paths: list[str] | str) -> DataFrame
 
     The index counts the valid rows of a file in the order of its lines.
     """
-    rows = read_jsonl(spark, paths, S.CONVERSATION)
+    rows = read_jsonl(spark, paths, S.CONVERSATION, True)
     name = F.regexp_replace(file_name(F.col("source_file")), r"\.jsonl$", "")
     rows = rows.withColumn("file", X.file_parts(name)).withColumn("at", F.monotonically_increasing_id())
-    index = F.row_number().over(Window.partitionBy("source_file").orderBy("at")) - 1
+    index = F.row_number().over(Window.partitionBy("source_file").orderBy("_block", "at")) - 1
     rows = rows.withColumn("conversation_id", X.conversation_name(F.col("file.model"), F.col("file.language"), F.col("file.datetime"), index))
     return rows.select("conversation_id", *(F.col(f"file.{c}").alias(f"file_{c}") for c in ("model", "language", "datetime")), "subject", "messages", "model", F.col("_metadata").alias("metadata"), "source_file")
 
 
 def read_grouped(spark: SparkSession, path: str) -> DataFrame:
-    """(generator_model, conversation_id, conversation) of a file {model: [conversation, ...]}."""
+    """(generator_model, conversation_id, conversation) of a file {model: [conversation, ...]}, which is one row while it is read.
+
+    A folder that ``write_grouped`` has written is read by many tasks.
+    """
+    if not path.endswith(".json"):
+        rows = spark.read.schema(f"conversation_id long, conversation {S.GROUPED}, generator_model string").json(path)
+        place = F.row_number().over(Window.partitionBy("generator_model").orderBy("conversation_id")) - 1
+        return rows.select("generator_model", place.alias("conversation_id"), "conversation")
     whole = spark.read.option("wholetext", "true").text(path)
     models = whole.select(F.explode(F.from_json("value", f"map<string, array<{S.GROUPED}>>")).alias("generator_model", "list"))
     return models.select("generator_model", F.posexplode("list").alias("conversation_id", "conversation"))
@@ -130,8 +183,78 @@ def missing_languages(available: DataFrame, requested: DataFrame) -> DataFrame:
 
 
 def write_grouped(conversations: DataFrame, path: str) -> None:
-    """{model: [conversation, ...]}, a line a model."""
-    conversations.groupBy("model").agg(F.collect_list(F.struct(*(c for c in conversations.columns if c != "model"))).alias("list")).select(F.map_from_arrays(F.array("model"), F.array("list")).alias("value")).select(F.to_json("value").alias("value")).write.mode("overwrite").text(path)
+    """A folder a model with a line a conversation, in order of conversation_id; no model's conversations meet in one task."""
+    own = F.struct(*(c for c in conversations.columns if c != "conversation_id"))
+    rows = conversations.select(F.col("model").alias("generator_model"), "conversation_id", own.alias("conversation"))
+    rows.repartitionByRange("generator_model", "conversation_id").sortWithinPartitions("generator_model", "conversation_id").write.mode("overwrite").partitionBy("generator_model").json(path)
+
+
+def combined_json(conversations: DataFrame) -> DataFrame:
+    """The text {model: [conversation, ...]} of few conversations, for programs that want one file."""
+    own = F.struct("conversation_id", F.struct(*(c for c in conversations.columns if c != "conversation_id")).alias("c"))
+    lists = conversations.groupBy("model").agg(F.transform(F.sort_array(F.collect_list(own)), lambda x: x.c).alias("list"))
+    return lists.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("model", "list"))))).alias("value"))
+
+
+def loader_output(messages: DataFrame, dataset: str, subset: str) -> DataFrame:
+    """Flattened messages as conversations by model, with metadata from the row or else from its file or subset."""
+    own = lambda *names: F.coalesce(*(X.truthy(F.col(n)) for n in names if n in messages.columns))
+    text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")) if name in messages.columns else F.lit("")
+    metadata = F.struct(F.coalesce(own("language", "file_language"), F.lit(subset)).alias("language"), *(text(c).alias(c) for c in S.CATEGORIES))
+    rows = messages.select(F.coalesce(own("model", "file_model"), F.lit("unknown")).alias("model"), "conversation_id", "message_id", F.struct(text("from_name").alias("from_name"), text("from_type").alias("from_type"), text("message").alias("message")).alias("m"), text("subject").alias("subject"), metadata.alias("metadata"))
+    first = [F.min_by(c, "message_id").alias(c) for c in ("subject", "metadata")]
+    found = rows.groupBy("model", "conversation_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("message_id", "m"))), lambda x: x.m).alias("messages"), *first)
+    return found.withColumn("source_file", F.lit(f"hf://{dataset}/{subset}"))
+
+
+def write_generated(conversations: DataFrame, path: str) -> None:
+    """JSON lines; one conversation alone is an indented object."""
+    few = conversations.select(F.to_json(F.struct(*conversations.columns)).alias("value")).limit(2).collect()
+    if len(few) == 1:
+        conversations.sparkSession.createDataFrame([(json.dumps(json.loads(few[0].value), indent=2, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    else:
+        write_jsonl(conversations, path)
+
+
+def write_analysis(statistics: DataFrame, ranking: DataFrame, metadata: dict[str, int], path: str) -> None:
+    """One JSON object of an analysis; values that are null are left out. Its size is that of models, metrics and languages."""
+    pairs = statistics.agg(F.collect_list(F.struct(*statistics.columns)).alias("pairwise_stats"))
+    ranks = ranking.agg(F.collect_list(F.struct(*ranking.columns)).alias("ranking_results"))
+    about = F.struct(*(F.lit(v).alias(k) for k, v in metadata.items()))
+    pairs.crossJoin(ranks).select(F.to_json(F.struct("pairwise_stats", "ranking_results", about.alias("metadata"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_analysis(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of the pairwise statistics of a saved analysis."""
+    whole = spark.read.option("wholetext", "true").text(path)
+    return whole.select(F.inline(F.from_json("value", f"pairwise_stats array<struct<{schema}>>")["pairwise_stats"]))
+
+
+def read_ratings(spark: SparkSession, path: str, calibration: str) -> DataFrame:
+    """Ratings of both files; the calibration file names its reviewer in another column, and ``data_source`` tells them apart."""
+    main = read_csv(spark, path).withColumn("data_source", F.lit("main"))
+    other = read_csv(spark, calibration).withColumnRenamed("calibration_reviewer_name", "reviewer_name").withColumn("data_source", F.lit("calibration"))
+    return main.unionByName(other, allowMissingColumns=True).withColumnRenamed("conversation_external_id", "conversation_id")
+
+
+def metrics_of(spark: SparkSession, folder: str, language: str) -> DataFrame:
+    """The metric file of a language code, by the language's name."""
+    return read_csv(spark, f"{folder}/{X.LANGUAGE_FILES[language]}_conversation_metrics.csv")
+
+
+def model_conversations(spark: SparkSession, path: str, language: str, model: str | None = None) -> DataFrame:
+    """(conversation_id, turns) of a grouped file, of one model if asked; of a file that isn't there, the built-in sample."""
+    if not expand(spark, [path]):
+        return spark.createDataFrame([(i, t) for i, t in enumerate(X.SAMPLES[language])], "conversation_id long, text string").select("conversation_id", X.parse_labelled(F.col("text"), X.SPEAKERS[language]).alias("turns"))
+    rows = read_grouped(spark, path)
+    rows = rows.where(F.col("generator_model") == model) if model else rows
+    return rows.select(F.col("conversation_id").cast("long"), X.turns(F.col("conversation.messages")).alias("turns"))
+
+
+def display(frame: DataFrame, digits: int = 3) -> DataFrame:
+    """A table to show: numbers with fractions in ``digits`` decimals, absent values as a dash."""
+    shown = [F.coalesce(F.format_number(c, digits) if t in ("double", "float") else F.col(c).cast("string"), F.lit("—")).alias(c) for c, t in frame.dtypes]
+    return frame.select(*shown)
 
 
 def combined_name(languages: DataFrame) -> DataFrame:
@@ -149,7 +272,7 @@ def write_metrics(frames: dict[str, DataFrame], path: str) -> None:
     for model, frame in frames.items():
         named = frame.withColumn("model_name", F.lit(model))
         out = named if out is None else out.unionByName(named, allowMissingColumns=True)
-    out.write.mode("overwrite").option("header", "true").csv(path)
+    out.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
 def write_languages(rows: DataFrame, path: str) -> None:

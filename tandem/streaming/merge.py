@@ -3,21 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tandem.operators.shape import merge_new
 
 
+#: Partitions of the target by a hash of the key.
+BUCKETS = 256
+
+
 def stream_messages(spark: SparkSession, path: str, schema: str, target: str, checkpoint: str):
     """A query that appends to ``target`` the rows of JSON files whose (conversation_id, message_id) is new there."""
     keys = ["conversation_id", "message_id"]
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
     def append(batch: DataFrame, _: int) -> None:
-        own = batch.dropDuplicates(keys)
+        own = batch.dropDuplicates(keys).withColumn("bucket", bucket)
         jvm = spark.sparkContext._jvm
         place = jvm.org.apache.hadoop.fs.Path(target)
         if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-            own = own.join(spark.read.parquet(target).select(*keys), keys, "left_anti")
-        own.write.mode("append").parquet(target)
+            # only the keys, and only in the buckets that the batch has
+            used = [r.bucket for r in own.select("bucket").distinct().collect()]
+            own = own.join(spark.read.parquet(target).where(F.col("bucket").isin(used)).select(*keys, "bucket"), [*keys, "bucket"], "left_anti")
+        own.write.mode("append").partitionBy("bucket").parquet(target)
 
     return spark.readStream.schema(schema).json(path).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
