@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -194,3 +195,47 @@ def prompt(template: str, messages: Column) -> Column:
     """The template with ``{conversation}`` as one line a message."""
     lines = F.transform(messages, lambda m: F.concat(m.from_name, F.lit(" ("), m.from_type, F.lit("): "), m.message))
     return F.replace(F.lit(template), F.lit("{conversation}"), F.array_join(lines, "\n"))
+
+
+def pluggable_tokens(make: Callable[[], Callable[[str], list[str]]] | None, stopwords: tuple[str, ...] = (), least: int = 2) -> Callable[[Column], Column]:
+    """A tokenizer of words or lemmas of the caller's own, loaded once a worker; where it can't be loaded, or none is given, the built-in one.
+
+    Words that aren't letters only, shorter than ``least`` or stopwords go.
+    """
+    try:
+        probe = make() if make else None
+    except ImportError:
+        probe = None
+    if probe is None:
+        return lambda c: tokens(c, stopwords, least)
+    held: list = []
+
+    def run(texts: pd.Series) -> pd.Series:
+        if not held:
+            held.append(make())
+        keep = lambda t: t.isalpha() and len(t) >= least and t.lower() not in stopwords
+        return texts.fillna("").map(lambda text: [t.lower() for t in held[0](text) if keep(t)])
+
+    return F.pandas_udf(run, "array<string>")
+
+
+def parse_languages(given: str, known: tuple[str, ...]) -> list[str]:
+    """The languages of a comma-separated list, once each in order; unknown ones are an error."""
+    found = list(dict.fromkeys(x.strip().lower() for x in given.split(",") if x.strip()))
+    unknown = [x for x in found if x not in known]
+    if unknown or not found:
+        raise ValueError(f"unknown languages: {unknown}" if unknown else "no language given")
+    return found
+
+
+def dataset_slug(base: Column, language: Column) -> Column:
+    """The name of a language's dataset."""
+    return F.concat_ws("-", slug(base), slug(language))
+
+
+def citation_key(name: Column, year: Column) -> Column:
+    return F.concat(F.regexp_replace(F.lower(name), "[^a-z0-9]", ""), year.cast("string"))
+
+
+def model_tag(model: Column) -> Column:
+    return F.translate(F.lower(model), "/:. ", "----")

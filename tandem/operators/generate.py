@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import os
 import random
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Lengths of conversations and their weights.
 LENGTHS = ((4, 0.4), (8, 0.3), (12, 0.2), (16, 0.1))
@@ -47,6 +51,59 @@ def with_retry(call: Callable, tries: int = 5, base: float = 1.0, again: tuple[s
     return run
 
 
+@dataclass(frozen=True)
+class ClientConfig:
+    """Where a model is called: plain values that may stand in a plan; the key is read from the environment of the executor."""
+
+    model: str
+    provider: str = ""
+    base_url: str = ""
+    key_variable: str = ""
+    temperature: float = 0.8
+
+    @property
+    def name(self) -> str:
+        """The model with its provider before it, once."""
+        return f"{self.provider}/{self.model}" if self.provider and not self.model.startswith(f"{self.provider}/") else self.model
+
+    def key(self) -> str:
+        return os.environ.get(self.key_variable, "") if self.key_variable else ""
+
+
+def client(config: ClientConfig, send: Callable[[str, str, ClientConfig], str]) -> Callable[[], Callable[[dict], dict]]:
+    """For ``apply_model``: a client made once a partition that sends a row's ``prompt`` and reads a JSON object from the answer."""
+
+    def make() -> Callable[[dict], dict]:
+        key = config.key()
+        return lambda row: json.loads(send(row["prompt"], key, config))
+
+    return make
+
+
+def echo(answer: Callable[[str], dict]) -> Callable[[str, str, ClientConfig], str]:
+    """A back-end without a network: the answer follows from the prompt."""
+    return lambda prompt, key, config: json.dumps(answer(prompt))
+
+
+def generated(spark: SparkSession, n: int, configure: Callable[[SparkSession, int], DataFrame], prompt: Callable[[DataFrame], Column], make: Callable, schema: str, **options) -> DataFrame:
+    """n conversations: configurations of any kind, their prompts, and a model's answers, failures as rows."""
+    rows = configure(spark, n)
+    return apply_model(rows.withColumn("prompt", prompt(rows)), make, schema, again=("rate_limit", "429", "connection"), **options)
+
+
+def embedded(rows: DataFrame, text: str, make: Callable[[], Callable[[list[str]], list[list[float]]]]) -> DataFrame:
+    """``rows`` with ``embedding``, by a model that is loaded once a partition and takes a batch of texts."""
+    names = rows.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = None
+        for batch in batches:
+            model = model or make()
+            yield batch.assign(embedding=model(batch[text].fillna("").tolist()))[[*names, "embedding"]]
+
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
+
+
 def within(bounds: dict[str, int]) -> Callable[[dict], dict]:
     """A check of scores: whole numbers from 0 to the bound of each name."""
 

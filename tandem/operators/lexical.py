@@ -44,18 +44,18 @@ def self_bleu_counts(docs: DataFrame, group: list[str], key: str, tokens: str =
     nor their n-grams are joined. The counts of an n-gram are first counted themselves: what meets for a common word is
     a row for each different count of it. N-grams are 64-bit hashes.
     """
-    hashed = docs.select(*group, key, F.transform(tokens, lambda t: F.xxhash64(t)).alias("h"))
+    hashed = docs.select(*group, key, F.transform(tokens, lambda t: F.xxhash64(t)).alias("_h"))
     orders = F.explode(F.sequence(F.lit(1), F.lit(order))).alias("n")
-    sized = hashed.select(*group, key, "h", orders).where(F.size("h") >= F.col("n"))
-    spread = sized.select(*group, key, "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("h") - F.col("n") + 1), lambda i: F.xxhash64(F.slice("h", i, F.col("n"))))).alias("g"))
-    counts = spread.groupBy(*group, key, "n", "g").agg(F.count("*").alias("c"))
-    kinds = counts.groupBy(*group, "n", "g", "c").agg(F.count("*").alias("k"), F.min(key).alias("d"))
-    top = kinds.groupBy(*group, "n", "g").agg(F.max(F.struct("c", "k", "d")).alias("m"), F.sort_array(F.collect_list("c"), False).alias("cs"))
-    lead = F.col("m.c") - F.coalesce(F.get("cs", F.lit(1)), F.lit(0))
-    leads = top.where("m.k = 1").groupBy(*group, F.col("m.d").alias(key), "n").agg(F.sum(lead).alias("lead"))
-    total = (F.size("h") - F.col("n") + 1).cast("long")
+    sized = hashed.select(*group, key, "_h", orders).where(F.size("_h") >= F.col("n"))
+    spread = sized.select(*group, key, "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("_h") - F.col("n") + 1), lambda i: F.xxhash64(F.slice("_h", i, F.col("n"))))).alias("_g"))
+    counts = spread.groupBy(*group, key, "n", "_g").agg(F.count("*").alias("_c"))
+    kinds = counts.groupBy(*group, "n", "_g", "_c").agg(F.count("*").alias("_k"), F.min(key).alias("_d"))
+    top = kinds.groupBy(*group, "n", "_g").agg(F.max(F.struct("_c", "_k", "_d")).alias("_m"), F.sort_array(F.collect_list("_c"), False).alias("_cs"))
+    lead = F.col("_m._c") - F.coalesce(F.get("_cs", F.lit(1)), F.lit(0))
+    leads = top.where("_m._k = 1").groupBy(*group, F.col("_m._d").alias(key), "n").agg(F.sum(lead).alias("_lead"))
+    total = (F.size("_h") - F.col("n") + 1).cast("long")
     found = sized.select(*group, key, "n", total.alias("total")).join(leads, [*group, key, "n"], "left")
-    return found.select(*group, key, "n", (F.col("total") - F.coalesce("lead", F.lit(0))).alias("clipped"), "total")
+    return found.select(*group, key, "n", (F.col("total") - F.coalesce("_lead", F.lit(0))).alias("clipped"), "total")
 
 
 def self_bleu(docs: DataFrame, group: list[str], key: str, tokens: str = "tokens", order: int = 4) -> DataFrame:
@@ -66,9 +66,9 @@ def self_bleu(docs: DataFrame, group: list[str], key: str, tokens: str = "tokens
     penalty takes the length nearest to the text's among the others, the shorter of equals.
     """
     sized = docs.select(*group, key, F.size(tokens).alias("len")).where("len > 0")
-    lens = sized.groupBy(*group, "len").agg(F.count("*").alias("k"))
-    other = lens.select(*group, F.col("len").alias("olen"), "k")
-    near = lens.select(*group, "len").join(other, group).where("olen <> len or k > 1").groupBy(*group, "len").agg(F.min(F.struct(F.abs(F.col("olen") - F.col("len")), F.col("olen")))["olen"].alias("ref"))
+    lens = sized.groupBy(*group, "len").agg(F.count("*").alias("_k"))
+    other = lens.select(*group, F.col("len").alias("olen"), "_k")
+    near = lens.select(*group, "len").join(other, group).where("olen <> len or _k > 1").groupBy(*group, "len").agg(F.min(F.struct(F.abs(F.col("olen") - F.col("len")), F.col("olen")))["olen"].alias("ref"))
     counts = self_bleu_counts(docs, group, key, tokens, order).groupBy(*group, key).pivot("n", list(range(1, order + 1))).agg(F.first("clipped"))
     wide = sized.join(near, [*group, "len"], "left").join(counts, [*group, key], "left")
     logs, zeros = F.lit(0.0), F.lit(0)

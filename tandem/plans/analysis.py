@@ -73,7 +73,7 @@ def fn_lookup_pair(spark, sf):
 def drv_ranking(spark, sf):
     """The analysis of two metrics and three languages, without resampling."""
     statistics, _, about = R.analyse(view(spark, sf, "scores"), ["length", "quality"], ["de", "en", "fr"], 0, 0)
-    return rounded(statistics, "tau").select("metric", "l1", "l2", "pairs", "inversions", "tau", *(F.lit(about[c]).alias(c) for c in ("total_conversations", "total_models")))
+    return rounded(statistics, "tau").select("metric", "l1", "l2", "pairs", "inversions", "tau", *(F.lit(about[c]).cast("long").alias(c) for c in ("total_conversations", "total_models")))
 
 
 @query()

@@ -39,7 +39,7 @@ def src_line_counts(spark, sf):
     return io.line_counts(io.read_conversations(spark, io.expand(spark, [f"{at}/*.jsonl"])))
 
 
-@query(f"SELECT DISTINCT 'convo_' || model || '_' || language || '_{_STAMP}' || substr(model, 2) || '.jsonl' AS name, 1 AS broken FROM turns", "turns")
+@query(f"SELECT DISTINCT 'convo_' || model || '_' || language || '_{_STAMP}' || substr(model, 2) || '.jsonl' AS name, CAST(1 AS BIGINT) AS broken FROM turns", "turns")
 def src_broken_lines(spark, sf):
     """Broken lines by file; blank ones don't count."""
     at = _conversation_files(spark, sf, folder(spark))

@@ -16,6 +16,7 @@ from tandem.functions import text as X
 from tandem.operators import agreement as A
 from tandem.operators import generate as G
 from tandem.operators import lexical as L
+from tandem.operators import metrics as C
 from tandem.operators import ranking as R
 from tandem.operators import scoring as S
 from tandem.operators import shape as H
@@ -215,3 +216,109 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in/2.json").write_text(row + "\n" + row.replace('"a"', '"b"') + "\n")
     go()
     assert spark.read.parquet(target).count() == 2
+
+
+def test_bleu_checks(spark):
+    rows = [("ok", "a", "the cat sat there"), ("ok", "b", "the cat sat here"), ("ok", "c", "the cat sat here"), ("blank", "a", "one two three"), ("blank", "b", " "), ("blank", "c", None), ("few", "a", "only one text")]
+    frame = spark.createDataFrame(rows, "g string, key string, text string")
+    got = {r.g: r for r in L.checked_bleu(frame, ["g"], X.Profile()).collect()}
+    assert got["ok"].failure is None and got["ok"].num_duplicates == 1 and 0 < got["ok"].min <= got["ok"].self_bleu <= got["ok"].max
+    assert got["blank"].failure == "too many empty texts" and got["blank"].self_bleu is None and got["blank"].num_empty == 2
+    assert got["few"].failure == "fewer than two valid texts"
+    with pytest.raises(ValueError):
+        L.checked_bleu(frame, ["g"], X.Profile(), 5)
+    want = brute_bleu({"a": "the cat sat there".split(), "b": "the cat sat here".split(), "c": "the cat sat here".split()})
+    assert got["ok"].self_bleu == pytest.approx(sum(want.values()) / 3)
+
+
+def test_bleu_levels(spark):
+    turns = [("Agent A", "hello you", True), ("Klient", "hi", None), ("Agent A", "bye now", True), ("x", "  ", True)]
+    frame = spark.createDataFrame([("m", 1, turns)], "model string, conversation_id long, turns array<struct<speaker: string, text: string, is_agent: boolean>>")
+    et = {(r.level, r.text) for r in L.level_texts(frame, X.PROFILES["et"], ["model"]).where("level <> 'full'").collect()}
+    assert et == {("agent", "hello you"), ("agent", "bye now"), ("client", "hi"), ("turns", "hello you"), ("turns", "bye now"), ("turns", "hi")}
+    fi = {(r.level, r.text) for r in L.level_texts(frame, X.PROFILES["fi"], ["model"]).where("level <> 'full'").collect()}
+    assert fi == {("agent", "hello you bye now"), ("client", "hi")}
+
+
+def test_columns_by_alias(spark):
+    frame = spark.createDataFrame([("m", 0.5, 1.0)], "model_name string, type_token_ratio double, mattr double")
+    assert one(C.diversity_statistics(frame)).mean_ttr == 0.5
+    for bad, names in ((frame.drop("mattr"), ["ttr", "mattr"]), (frame.drop("model_name"), ["ttr"])):
+        with pytest.raises(ValueError):
+            C.resolve(bad, names)
+    with pytest.raises(ValueError):
+        C.first_by_model(frame, ["avg_similarity"], "mattr")
+
+
+def test_clients_and_embeddings(spark, monkeypatch):
+    config = G.ClientConfig("m", "org", key_variable="TANDEM_TEST_KEY")
+    assert config.name == "org/m" and G.ClientConfig("org/m", "org").name == "org/m" and "key" not in repr(config).replace("key_variable", "")
+    configure = lambda spark, n: G.sample_configs(spark, n, {"language": ["et"]}, ["A"])
+    prompt = lambda rows: X.config_prompt({"language": rows["language"], "n_messages": rows["n_messages"]})
+    make = G.client(config, G.echo(lambda p: {"score": len(p) % 9}))
+    rows = G.generated(spark, 20, configure, prompt, make, "id long, prompt string, score double, error string, processing_time double", check=G.within({"score": 4})).collect()
+    for r in rows:
+        expected = len(r.prompt) % 9
+        assert r.prompt.startswith("language: Estonian") and (r.score == expected if expected <= 4 else "must be" in r.error)
+    texts = spark.createDataFrame([(1, "ab"), (2, None)], "id long, t string")
+    assert {r.id: r.embedding for r in G.embedded(texts, "t", lambda: lambda batch: [[float(len(t))] for t in batch]).collect()} == {1: [2.0], 2: [0.0]}
+
+
+def test_pluggable_tokenizer(spark):
+    frame = spark.createDataFrame([("Cats x ran 9",)], "t string")
+    own = X.pluggable_tokens(lambda: lambda text: text.replace("s", "").split(), ("ran",))
+    assert one(frame.select(own(F.col("t")).alias("w"))).w == ["cat"]
+
+    def absent():
+        raise ImportError("no such model")
+
+    assert one(frame.select(X.pluggable_tokens(absent, (), 2)(F.col("t")).alias("w"))).w == ["cats", "ran"]
+    assert X.parse_languages("et, FI,et", ("et", "fi")) == ["et", "fi"]
+    for bad in ("", "xx"):
+        with pytest.raises(ValueError):
+            X.parse_languages(bad, ("et",))
+
+
+def test_similarity_by_blocks(spark):
+    import numpy as np
+
+    from tandem.operators import similarity as M
+
+    rng = np.random.default_rng(1)
+    rows = [("g" if i % 3 else "h", i, rng.normal(size=4).tolist()) for i in range(40)] + [("g", 99, [0.0] * 4)]
+    frame = spark.createDataFrame(rows, "g string, k long, v array<double>")
+    cos = lambda a, b: float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b)))
+    want = {(a[1], b[1]): cos(a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] != 99}
+    for block in (1000, 5):
+        got = {tuple(sorted((r.a, r.b))): r.similarity for r in M.pair_similarity(frame, ["g"], "k", "v", block).collect()}
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_bootstrap_in_chunks(spark, monkeypatch):
+    """Means of resampled rows, drawn in several chunks, spread as those drawn at once."""
+    monkeypatch.setattr(R, "CHUNK", 50)
+    rows = [(lang, m, "q", i, float((i * k) % 17)) for lang in ("a", "b") for k, m in ((1, "x"), (3, "y"), (5, "z")) for i in range(300)]
+    frame = spark.createDataFrame(rows, "language string, model string, metric string, conversation_id int, score double")
+    got = one(R.bootstrap(frame, 200))
+    assert got.tau_low <= got.tau_mean <= got.tau_high and -1 <= got.rho_low <= got.rho_high <= 1 and got == one(R.bootstrap(frame, 200))
+
+
+def test_commands(spark, tmp_path):
+    from tandem import cli
+
+    for lang in ("et", "fi"):
+        lines = [{"conversation_id": i, "generator_model": f"m{m}", "judge_model": "j", "G": (i + m) % 5, "R": m, "source_file": f"combined_{lang}.json"} for i in range(6) for m in range(3)]
+        (tmp_path / f"judge_{lang}.jsonl").write_text("\n".join(map(json.dumps, lines)))
+        talk = {"subject": "s", "model": "g", "messages": [{"from_name": n, "from_type": t, "message": f"{n} says {lang}"} for n, t in (("A", "agent"), ("B", "customer"))], "_metadata": {"language": lang}}
+        (tmp_path / f"convo_g_{lang}_20260127-143052.jsonl").write_text(json.dumps(talk) + "\n" + json.dumps(talk) + "\n")
+    go = lambda *a: cli.run(spark, cli.parser().parse_args([*a]))
+    ranked = go("rank", f"{tmp_path}/judge_*.jsonl", "--bootstrap", "20", "--permutations", "20", "--output", f"{tmp_path}/analysis.json")
+    assert {(r.metric, r.l1, r.l2) for r in ranked.collect()} == {("G", "et", "fi"), ("R", "et", "fi")}
+    assert io.read_analysis(spark, f"{tmp_path}/analysis.json", "metric: string, tau: double").count() == 2
+    assert {(r.language, r.n) for r in go("combine", f"{tmp_path}/convo_*.jsonl", "--output", str(tmp_path / "out")).collect()} == {("et", 2), ("fi", 2), (None, 4)}
+    assert io.read_grouped(spark, f"{tmp_path}/out/combined_mixed").count() == 4
+    assert go("--dry-run", "combine", f"{tmp_path}/convo_*.jsonl").count() == 2
+    table = go("metrics", f"{tmp_path}/out/combined_mixed", "--language", "et", "--output", str(tmp_path / "m.csv"))
+    assert one(table).conversations == 4 and io.read_csv(spark, str(tmp_path / "m.csv")).count() == 4
+    with pytest.raises(ValueError):
+        go("combine", f"{tmp_path}/absent_*")
