@@ -108,20 +108,27 @@ def train(texts: pa.Array, labels: np.ndarray, target: int, most: int, folds: in
     if not n or labels[:, target].min() == labels[:, target].max():
         return None
     data, offsets = text_buffers(texts)
-    parts = [(lambda r, h: (r + low, h))(*features(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])) for low in range(0, n, 500) for high in [min(n, low + 500)]]
-    rows, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
-    kinds, cols, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    # in slices of documents: memory follows the distinct features, not all their places
+    slices = [(low, min(n, low + 500)) for low in range(0, n, 500)]
+    cut = lambda low, high: (data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+    kinds, counts = np.zeros(0, np.uint64), np.zeros((0, 1 + labels.shape[1]))
+    for low, high in slices:
+        row, hashes = features(*cut(low, high))
+        own, place = np.unique(hashes, return_inverse=True)
+        met = np.stack([np.bincount(place, w, len(own)) for w in (None, *labels[low:high][row].T)], 1)
+        kinds, place = np.unique(np.concatenate([kinds, own]), return_inverse=True)
+        both = np.zeros((len(kinds), counts.shape[1]))
+        both[place[: len(counts)]] += counts
+        both[place[len(counts) :]] += met
+        counts = both
     score = np.zeros(len(kinds))
-    for y in labels.T:
+    for y, hit in zip(labels.T, counts[:, 1:].T, strict=True):
         rate = y.mean()
         if 0 < rate < 1:
-            hit = np.bincount(cols, y[rows], len(kinds))
-            score = np.maximum(score, np.abs(hit - counts * rate) / np.sqrt(counts * rate * (1 - rate)) * (counts >= 4))
-    best = np.sort(np.argsort(-score, kind="stable")[: min(most, n)])
-    place = np.full(len(kinds), -1)
-    place[best] = np.arange(len(best))
-    use = place[cols] >= 0
-    rows, cols, known = rows[use], place[cols[use]], kinds[best]
+            score = np.maximum(score, np.abs(hit - counts[:, 0] * rate) / np.sqrt(counts[:, 0] * rate * (1 - rate)) * (counts[:, 0] >= 4))
+    known = kinds[np.sort(np.argsort(-score, kind="stable")[: min(most, n)])]
+    found = [(row + low, cols) for low, high in slices for row, cols in [features(*cut(low, high), known)]]
+    rows, cols = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
     fold = np.random.default_rng(11).permutation(n) % folds
     outside = np.zeros((n, 0))
     weights = []
