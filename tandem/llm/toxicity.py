@@ -3,7 +3,7 @@
 Categories are predicted one after the other: each has a linear (logistic) model over word features and
 the probabilities of the categories before it. The models are trained with out-of-fold predictions: what
 a later model sees of an earlier category during training comes from models that hadn't seen the document,
-as will be so for new documents. The categories are conditions on the columns of ``labels``, in the order
+as will be so for new documents. The models of the folds are learned in tasks of their own. The categories are conditions on the columns of ``labels``, in the order
 of the chain; ``toxic`` stands last, sees the others, and gives the decision, at the probability with the best
 out-of-fold F1.
 
@@ -25,7 +25,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,7 +104,54 @@ class Chain:
         return out
 
 
-def train(texts: pa.Array, labels: np.ndarray, target: int, most: int, folds: int = FOLDS) -> Chain | None:
+@dataclass
+class Examples:
+    """What all models of a chain learn from: (row, feature) pairs, labels, and the fold of each document."""
+
+    rows: np.ndarray
+    cols: np.ndarray
+    width: int
+    labels: np.ndarray
+    fold: np.ndarray
+
+    def fold_model(self, before: np.ndarray, target: int, f: int) -> tuple[np.ndarray, np.ndarray]:
+        """Weights learned outside fold f, or from all documents if there is no such fold, and the probabilities they give."""
+        y, test = self.labels[:, target], self.fold != f
+        own, index = test[self.rows], np.cumsum(test) - 1
+        w = fit(int(test.sum()), index[self.rows[own]], self.cols[own], self.width, before[test], y[test])
+        return w, _sigmoid(_margin(len(y), self.rows, self.cols, before, w, self.width))
+
+
+Runner = Callable[[Examples, np.ndarray, int, int], list[tuple[np.ndarray, np.ndarray]]]
+
+
+def here(examples: Examples, before: np.ndarray, target: int, models: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The models of all folds, and that of all documents, one after the other."""
+    return [examples.fold_model(before, target, f) for f in range(models)]
+
+
+def on_executors(spark: SparkSession) -> Runner:
+    """The same, each model in a task of its own; the examples are sent once."""
+    sent: dict[int, Broadcast] = {}
+
+    def run(examples: Examples, before: np.ndarray, target: int, models: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if id(examples) not in sent:
+            sent[id(examples)] = spark.sparkContext.broadcast(examples)
+        shared = sent[id(examples)]
+
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for f in batch.column("id").to_pylist():
+                    w, p = shared.value.fold_model(before, target, f)
+                    yield pa.RecordBatch.from_arrays([pa.array([f]), pa.array([w.tobytes()], pa.binary()), pa.array([p.tobytes()], pa.binary())], ["id", "w", "p"])
+
+        found = sorted(spark.range(0, models, 1, models).mapInArrow(learn, "id long, w binary, p binary").collect())
+        return [(np.frombuffer(r.w), np.frombuffer(r.p)) for r in found]
+
+    return run
+
+
+def train(texts: pa.Array, labels: np.ndarray, target: int, most: int, folds: int = FOLDS, run: Runner = here) -> Chain | None:
     n = len(texts)
     if not n or labels[:, target].min() == labels[:, target].max():
         return None
@@ -128,19 +176,15 @@ def train(texts: pa.Array, labels: np.ndarray, target: int, most: int, folds: in
             score = np.maximum(score, np.abs(hit - counts[:, 0] * rate) / np.sqrt(counts[:, 0] * rate * (1 - rate)) * (counts[:, 0] >= 4))
     known = kinds[np.sort(np.argsort(-score, kind="stable")[: min(most, n)])]
     found = [(row + low, cols) for low, high in slices for row, cols in [features(*cut(low, high), known)]]
-    rows, cols = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
+    rows, cols = (np.concatenate(x).astype(np.int32) for x in zip(*found, strict=True))
     fold = np.random.default_rng(11).permutation(n) % folds
+    examples = Examples(rows, cols, len(known), labels, fold)
     outside = np.zeros((n, 0))
     weights = []
-    for y in labels.T:
-        p = np.zeros(n)
-        for f in range(folds):
-            own, test = fold[rows] != f, fold != f
-            index = np.cumsum(test) - 1
-            w = fit(int(test.sum()), index[rows[own]], cols[own], len(known), outside[test], y[test])
-            p[~test] = _sigmoid(_margin(n, rows, cols, outside, w, len(known)))[~test]
-        weights.append(fit(n, rows, cols, len(known), outside, y))
-        outside = np.c_[outside, p]
+    for category in range(labels.shape[1]):
+        models = run(examples, outside, category, folds + 1)
+        weights.append(models[folds][0])
+        outside = np.c_[outside, np.stack([p for _, p in models[:folds]])[fold, np.arange(n)]]
     p, y = outside[:, target], labels[:, target]
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
@@ -183,7 +227,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[s
     table = training_sample(docs, labels, categories, sample, sample_chars).combine_chunks()
     texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
     y = np.stack([table.column(n).to_numpy().astype(float) for n in names], 1) if table.num_rows else np.zeros((0, len(names)))
-    chain = train(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts, y, names.index(TARGET), most)
+    chain = train(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts, y, names.index(TARGET), most, run=on_executors(docs.sparkSession))
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     given = docs.select("text", F.struct(*docs.columns).alias("row"))
     schema = T.StructType([T.StructField("row", given.schema["row"].dataType), T.StructField("is_toxic", T.BooleanType()), *(T.StructField(n, T.DoubleType()) for n in names)])
