@@ -395,7 +395,7 @@ def _space(scratch: Scratch, classes: DataFrame, tag: str, threshold: float, sha
     return links, found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, shard: int = 1000, overlap: int = 2, recall: float = 0.97) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, shard: int = 500, overlap: int = 2, recall: float = 0.97) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding)."""
     scratch = Scratch(vectors.sparkSession, "vectors")
     kind = vectors.schema["embedding"].dataType.simpleString()
