@@ -17,7 +17,6 @@ class Profile:
     fillers: tuple[str, ...] = ()
     agent: tuple[str, ...] = ("agent",)
     client: tuple[str, ...] = ("client", "customer")
-    keywords_first: bool = False
     bleu_clean: bool = True
     bleu_alpha: bool = False
     unit: str = "conversation"
@@ -26,7 +25,7 @@ class Profile:
 
 # Filler words and role keywords of each language.
 PROFILES = {
-    "et": Profile(("hmmm", "mhm", "ahaa", "aha", "okei", "ok"), ("agent", "abistaja", "klienditeenindaja", "teenindaja"), ("klient", "kasutaja", "client", "customer"), True, False, False, "turn"),
+    "et": Profile(("hmmm", "mhm", "ahaa", "aha", "okei", "ok"), ("agent", "abistaja", "klienditeenindaja", "teenindaja"), ("klient", "kasutaja", "client", "customer"), bleu_clean=False, unit="turn"),
     "fi": Profile(("hmmm", "mhm", "aha", "okei", "ok", "joo"), ("agentti", "agent"), ("asiakas", "klient")),
     "hu": Profile(("hmmm", "mhm", "aha", "oké", "ok"), ("ügynök", "agent"), ("ügyfél", "kliens"), bleu_alpha=True),
 }
