@@ -94,6 +94,8 @@ def _segments(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def _fetch(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_slices(batches, "text", SLICE_BYTES):
+            k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
+            batch = batch.filter(pa.array(np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))  # one of repeated rows side by side
             data, offsets = text_buffers(batch.column("text"))
             tokens, rows = units.tokens(data, offsets)
             raw = units.raw(data, tokens)
@@ -154,7 +156,8 @@ def _settle(scratch: Scratch, found: DataFrame, units: Units, kernel: Kernel, ro
     cold = found.join(met.where(F.col("v") <= HOT).select("anchor"), "anchor")
     settled = cold.repartition("anchor").sortWithinPartitions("anchor", "g1", "g2").mapInArrow(_compare(units, kernel, rows), RUNS)
     if level < len(WIDTHS) and not crowded.isEmpty():
-        hot = found.join(crowded, "anchor").select("anchor", "g1", "g2", "n", "md", "rel", "content")
+        # repeated rows (doc_id and text) give a segment more than once
+        hot = found.join(crowded, "anchor").groupBy("anchor", "g1", "g2").agg(*(F.first(c).alias(c) for c in ("n", "md", "rel", "content")))
         parts = scratch.save(hot.mapInArrow(_split(units, WIDTHS[level]), PART), f"parts-{level}")
         same = parts.groupBy("anchor", "g1", "g2").agg(F.sum("n").alias("n"), F.min("md").alias("md"), F.first("rel").alias("rel"), F.first("content").alias("content"))
         same = scratch.save(same, f"same-{level}")

@@ -141,3 +141,17 @@ def test_nothing_is_found_without_the_method(monkeypatch):
             gone.setattr(suffix_dedup, "radix_repeats", lambda data, starts, group, depth: np.zeros(len(starts), bool))
             gone.setattr(phrase_dedup.ahocorasick, "Automaton", lambda kind: type("Silent", (), {"add_word": lambda *a: None, "make_automaton": lambda *a: None, "iter": lambda *a: ()})())
             assert not len(kernel(table, units)["g1"])
+
+
+def test_repeated_rows_of_a_hot_anchor_are_one(spark, monkeypatch):
+    """Rows that repeat give a segment again and again: its runs are found once, so they don't meet every copy in turn."""
+    monkeypatch.setattr(spans, "HOT", 3)
+    text = " ".join(f"w{i}" for i in range(140))
+    table, units = segments([text, text + " z"], [1, 1], [20, 20], False)
+    found = spark.createDataFrame([tuple(r.values()) for r in table.to_pylist()] * 20, spans.CONTENT)
+    runs = spans._settle(spans.Scratch(spark, "test"), found, units, suffix_dedup.byte_kernel, 2000)
+    assert runs.count() == runs.distinct().count() > 0
+    rows = [(None, text)] * 30 + [(1, text), (2, "x " + text), (3, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, suffix_digest(docs).collect()), key=str) == brute_bytes(rows, 400)
+    assert sorted(map(tuple, phrase_digest(docs).collect()), key=str) == brute_words(rows, 50)
