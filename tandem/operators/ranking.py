@@ -14,6 +14,8 @@ from tandem.functions.stats import kendall_p, spearman_p
 
 #: About as many rows of a language and model are resampled in one task, and as many permutations of two languages dealt.
 CHUNK, PERMUTED = 65_536, 1_000
+#: Replicates ranked in one task, and most pairs of models, over replicates, that are held at once.
+REPLICATES, PAIRED = 100, 4_000_000
 
 
 def means(scores: DataFrame) -> DataFrame:
@@ -66,6 +68,40 @@ def with_p_values(found: DataFrame) -> DataFrame:
     return found.withColumn("tau_p", kendall_p("models", "inversions")).withColumn("rho_p", spearman_p("models", "rho"))
 
 
+def _order(x: np.ndarray) -> np.ndarray:
+    """By replicate (row of ``x``): 1, 0 or -1 for each two models, as the first is above, equal or below."""
+    a, b = x[:, :, None], x[:, None, :]
+    return (a > b).astype(np.int8) - (a < b).astype(np.int8)
+
+
+def _rank_pairs(frame: pd.DataFrame) -> pd.DataFrame:
+    """Tau-b and rho of average ranks of two languages' common models, for the replicates of a block; NaN where a side doesn't vary.
+
+    A model's place in the order, summed over all others, is its average rank but for a factor and a shift.
+    """
+    codes, names = [], []
+    for column in ("language", "rep", "model"):
+        name, code = np.unique(frame[column].to_numpy(), return_inverse=True)
+        names.append(name)
+        codes.append(code)
+    held, there = (np.zeros([len(x) for x in names], kind) for kind in (float, bool))
+    held[tuple(codes)], there[tuple(codes)] = np.nan_to_num(frame["mean"].to_numpy(float).round(12), nan=np.inf), True
+    found = []
+    for i, j in zip(*np.triu_indices(len(names[0]), 1), strict=True):
+        use = (there[i] & there[j]).all(0)
+        size = int(use.sum())
+        step = max(1, PAIRED // max(1, size * size))
+        for low in range(0, len(names[1]) if size > 1 else 0, step):
+            x, y = (_order(held[k, low : low + step][:, use]) for k in (i, j))
+            rx, ry = (o.sum(2, dtype=np.float64) for o in (x, y))
+            with np.errstate(invalid="ignore"):
+                tau = (x * y).sum((1, 2), dtype=np.float64) / np.sqrt((x != 0).sum((1, 2), dtype=np.float64) * (y != 0).sum((1, 2)))
+                rho = (rx * ry).sum(1) / np.sqrt((rx * rx).sum(1) * (ry * ry).sum(1))
+            found.append(pd.DataFrame({"l1": names[0][i], "l2": names[0][j], "tau": tau, "rho": rho}))
+    out = pd.concat(found) if found else pd.DataFrame({c: [] for c in ("l1", "l2", "tau", "rho")})
+    return out.assign(metric=frame["metric"].iloc[0])[["metric", "l1", "l2", "tau", "rho"]]
+
+
 def bootstrap(scores: DataFrame, replicates: int = 2000, seed: int = 42) -> DataFrame:
     """Tau and rho of average ranks over resampled conversations: mean, 2.5 and 97.5 percentiles, deviation.
 
@@ -91,16 +127,10 @@ def bootstrap(scores: DataFrame, replicates: int = 2000, seed: int = 42) -> Data
 
     kinds = "rep long, metric string, language string, model string, s double, total long"
     mean = dealt.groupBy(*keys, "chunk").applyInPandas(draw, kinds).groupBy("rep", *keys).agg((F.sum("s") / F.max("total")).alias("mean"))
-    a = mean.select("rep", "metric", F.col("language").alias("l1"), "model", F.round("mean", 12).alias("x"))
-    b = mean.select("rep", "metric", F.col("language").alias("l2"), "model", F.round("mean", 12).alias("y"))
-    keys = ["rep", "metric", "l1", "l2"]
-    both = a.join(b, ["rep", "metric", "model"]).where("l1 < l2")
-    ranked = average_ranks(average_ranks(both, keys, "x").withColumnRenamed("rank", "rx"), keys, "y").withColumnRenamed("rank", "ry").select(*keys, "model", "rx", "ry")
-    other = ranked.select(*keys, F.col("model").alias("m2"), F.col("rx").alias("sx"), F.col("ry").alias("sy"))
-    pair = ranked.join(other, keys).where("model < m2").groupBy(*keys).agg(F.sum(F.signum(F.col("rx") - F.col("sx")) * F.signum(F.col("ry") - F.col("sy"))).alias("s"), F.count_if(F.col("rx") != F.col("sx")).alias("ux"), F.count_if(F.col("ry") != F.col("sy")).alias("uy"))
-    tau = pair.select(*keys, F.try_divide(F.col("s"), F.sqrt(F.col("ux") * F.col("uy"))).alias("tau"))
-    rho = ranked.groupBy(*keys).agg(correlation("rx", "ry").alias("rho"))
-    out = tau.join(rho, keys).groupBy("metric", "l1", "l2")
+    blocks = mean.withColumn("block", F.floor(F.col("rep") / REPLICATES))
+    both = blocks.groupBy("metric", "block").applyInPandas(_rank_pairs, "metric string, l1 string, l2 string, tau double, rho double")
+    none = F.lit(float("nan"))
+    out = both.select("metric", "l1", "l2", *(F.nullif(F.col(c), none).alias(c) for c in ("tau", "rho"))).groupBy("metric", "l1", "l2")
     return out.agg(*(x for c in ("tau", "rho") for x in (F.avg(c).alias(f"{c}_mean"), F.percentile(c, 0.025).alias(f"{c}_low"), F.percentile(c, 0.975).alias(f"{c}_high"), F.stddev_pop(c).alias(f"{c}_std"))))
 
 

@@ -8,6 +8,8 @@ import json
 import math
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +134,23 @@ def test_bootstrap_covers(spark):
     assert first == again and first.tau_low <= 1.0 <= first.tau_high + 1e-9
 
 
+def test_ranks_of_replicates_against_plain_ones(monkeypatch):
+    """Tau-b and rho of average ranks, with equal means, a model that one language lacks, and a side that doesn't vary."""
+    rng = np.random.default_rng(2)
+    rows = [("q", rep, lang, m, 1.0 if lang == "c" else float(rng.integers(0, 5))) for rep in range(7) for lang in "abc" for m in "uvwxyz" if (lang, m) != ("b", "v")]
+    frame = pd.DataFrame(rows, columns=["metric", "rep", "language", "model", "mean"]).sample(frac=1, random_state=1)
+    monkeypatch.setattr(R, "PAIRED", 60)  # replicates in several slices
+    got = R._rank_pairs(frame)
+    assert len(got) == 3 * 7 and got[got["l2"] == "c"][["tau", "rho"]].isna().all().all()
+    mine = got[got["l2"] == "b"]
+    for rep, (tau, rho) in enumerate(zip(mine["tau"], mine["rho"], strict=True)):
+        wide = frame[frame["rep"] == rep].pivot(index="model", columns="language", values="mean")[["a", "b"]].dropna()
+        signs = [(np.sign(x.a - y.a), np.sign(x.b - y.b)) for i, x in enumerate(wide.itertuples()) for y in list(wide.itertuples())[i + 1 :]]
+        a, b = (np.array(x) for x in zip(*signs, strict=True))
+        assert tau == pytest.approx((a * b).sum() / np.sqrt((a != 0).sum() * (b != 0).sum()))
+        assert rho == pytest.approx(wide["a"].rank().corr(wide["b"].rank()))
+
+
 def test_resampling_queries_do_the_whole_job(spark, monkeypatch):
     calls = {}
 
