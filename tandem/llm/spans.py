@@ -94,8 +94,6 @@ def _segments(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def _fetch(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_slices(batches, "text", SLICE_BYTES):
-            k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
-            batch = batch.filter(pa.array(np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))  # one of repeated rows side by side
             data, offsets = text_buffers(batch.column("text"))
             tokens, rows = units.tokens(data, offsets)
             raw = units.raw(data, tokens)
