@@ -1,7 +1,7 @@
-"""The contract queries of the ten operators, with DuckDB SQL where SQL can express them.
+"""The contract queries of the thirteen operators, with DuckDB SQL where SQL can express them.
 
 op1 (a tokenizer), op2 and op4 (trained models) have no SQL; op3 compares bytes of UTF-8 windows, which SQL
-is too slow for. They are tested against brute force, exact round trips or held-out accuracy in ``tests/llm``.
+is too slow for; op11 is approximate, and op13 needs tokenizers. They are tested against brute force, exact round trips or held-out accuracy in ``tests/llm``.
 """
 
 from __future__ import annotations
@@ -10,15 +10,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tandem.llm.anisotropic_search import nearest_of_hundredth
 from tandem.llm.chat_format import chat_digest, chat_sql, with_probe
 from tandem.llm.common import table
 from tandem.llm.decontaminate import contamination_digest
 from tandem.llm.embedding_dedup import near_vectors
 from tandem.llm.language_id import language_digest
+from tandem.llm.merkle import manifest_digest
 from tandem.llm.minhash_dedup import near_duplicate_digest
 from tandem.llm.packing import pack
 from tandem.llm.phrase_dedup import phrase_digest
 from tandem.llm.suffix_dedup import suffix_digest
+from tandem.llm.token_align import alignment_digest
 from tandem.llm.toxicity import toxicity_digest
 from tandem.llm.url_filter import judge_sql, judge_urls
 
@@ -35,6 +38,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": lambda spark, sf: judge_urls(table(spark, sf, "pages")),
         "op9_minhash_dedup": lambda spark, sf: near_duplicate_digest(table(spark, sf, "documents")),
         "op10_embedding_dedup": lambda spark, sf: near_vectors(table(spark, sf, "embeddings")),
+        "op11_nearest_neighbours": lambda spark, sf: nearest_of_hundredth(table(spark, sf, "embeddings")),
+        "op12_merkle_manifest": lambda spark, sf: manifest_digest(table(spark, sf, "documents")),
+        "op13_token_alignment": lambda spark, sf: alignment_digest(table(spark, sf, "documents")),
     }
 
 
