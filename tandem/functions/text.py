@@ -32,7 +32,7 @@ PROFILES = {
 
 
 # Names of languages, of their metric files and of the speakers of labelled samples.
-LANGUAGES = {"en": "English", "en-us": "American English", "et": "Estonian", "fi": "Finnish", "hu": "Hungarian"}
+LANGUAGES = {"et": "Estonian", "fi": "Finnish", "hu": "Hungarian", "en-us": "English"}
 LANGUAGE_FILES = {"et": "estonian", "fi": "finnish", "hu": "hungarian"}
 SPEAKERS = {"et": ("Agent", "Klient"), "fi": ("Agentti", "Asiakas"), "hu": ("Ügynök", "Ügyfél")}
 
@@ -56,10 +56,32 @@ def turns(messages: Column, cleaned: Callable[[Column], Column] | None = None) -
     return F.transform(kept, lambda m: F.struct(F.coalesce(truthy(m["from_name"]), F.lit("Unknown")).alias("speaker"), text(m["message"]).alias("text"), is_agent(m["from_type"]).alias("is_agent")))
 
 
+# The parts of a prompt, in order, with what stands for an absent one.
+PROMPT_PARTS = {
+    "language": ("Language", "en-us"),
+    "industry": ("Industry", "Retail"),
+    "problem": ("Customer problem", "General inquiry"),
+    "n_messages": ("Number of messages", "6"),
+    "n_agents": ("Number of agents", "1"),
+    "agent_names": ("Agent names", ""),
+    "channel": ("Channel", "chat"),
+    "agent_experience": ("Agent experience level", "senior"),
+    "agent_type": ("Agent type", "human"),
+}
+
+
+def prompt_part(name: str, value: Column | None) -> Column:
+    """The value of a part of a prompt in words: the language by name and code, names of agents in a row."""
+    text = F.lit(None).cast("string") if value is None else F.array_join(value, ", ") if name == "agent_names" else value.cast("string")
+    text = F.coalesce(text, F.lit(PROMPT_PARTS[name][1]))
+    if name == "language":
+        return F.concat(language_name(text), F.lit(" ("), text, F.lit(")"))
+    return F.concat(text, F.lit(" agent(s)")) if name == "n_agents" else text
+
+
 def config_prompt(config: dict[str, Column]) -> Column:
-    """The parts of a prompt from a configuration, one ``name: value`` a line; the language by its name."""
-    parts = [F.concat(F.lit(f"{name}: "), (language_name(c) if name == "language" else c).cast("string")) for name, c in config.items()]
-    return F.concat_ws("\n", *parts)
+    """All parts of a prompt from a configuration, a line each; an absent part has its default."""
+    return F.concat_ws("\n", *(F.concat(F.lit(f"- {label}: "), prompt_part(name, config.get(name))) for name, (label, _) in PROMPT_PARTS.items()))
 
 
 def strip(c: Column) -> Column:
@@ -164,23 +186,51 @@ def size_bucket(n: Column) -> Column:
 
 
 def shortened(c: Column, most: int = 25) -> Column:
-    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 3), F.lit("..."))).otherwise(c)
+    """The first ``most`` characters and an ellipsis of what is longer."""
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
 
 
 def mean_std(mean: Column, std: Column) -> Column:
-    return F.format_string("%.2f±%.2f", mean, std)
+    """Mean and deviation, or the mean alone where that has none."""
+    return F.when(std.isNull(), F.format_string("%.2f", mean)).otherwise(F.format_string("%.2f±%.2f", mean, std))
+
+
+def replaced(c: Column, old: str, new: str) -> Column:
+    """Each character of ``old`` by ``new``."""
+    return F.translate(c, old, new * len(old))
+
+
+def dataset_name(model: Column, prefix: str = "controlled-generated-convos-") -> Column:
+    """The name of a model's dataset; dots stay."""
+    return F.concat(F.lit(prefix), F.lower(replaced(model, "/_", "-")))
+
+
+def model_tag(model: Column) -> Column:
+    return F.lower(replaced(model, "/_.", "-"))
 
 
-def slug(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+def citation_key(model: Column) -> Column:
+    return replaced(model, ".-/", "_")
+
+
+def dataset_description(model: Column, languages: Column, start: str = "Synthetic customer support conversations generated using ") -> Column:
+    """A sentence on the model and one on the languages (an array), if there are any."""
+    more = F.when(F.size(languages) > 0, F.concat(F.lit(" Available in languages: "), F.array_join(languages, ", "), F.lit("."))).otherwise("")
+    return F.concat(F.lit(start), model, F.coalesce(more, F.lit("")))
 
 
 def judge_name(model: Column, effort: Column) -> Column:
     return F.replace(F.concat_ws("-", model, truthy(effort)), F.lit("/"), F.lit("-"))
 
 
-def display_name(c: Column, prefixes: tuple[str, ...] = ("openai.", "anthropic.", "cohere.", "meta.", "amazon.", "mistral.")) -> Column:
-    return F.regexp_replace(c, "^(" + "|".join(p.replace(".", r"\.") for p in prefixes) + ")", "")
+# What goes from a model's name for display, wherever it stands, one after the other.
+VENDORS = ("anthropic.", "cohere.", "meta.", "mistral.")
+
+
+def display_name(c: Column) -> Column:
+    for vendor in VENDORS:
+        c = F.replace(c, F.lit(vendor), F.lit(""))
+    return c
 
 
 def successful(*labels: Column) -> Column:
@@ -191,8 +241,9 @@ def successful(*labels: Column) -> Column:
 
 
 def prompt(template: str, messages: Column) -> Column:
-    """The template with ``{conversation}`` as one line a message."""
-    lines = F.transform(messages, lambda m: F.concat(m.from_name, F.lit(" ("), m.from_type, F.lit("): "), m.message))
+    """The template with ``{conversation}`` as one line a message; an absent name or kind is unknown, an absent text empty."""
+    given = lambda c, default: F.coalesce(c, F.lit(default))
+    lines = F.transform(messages, lambda m: F.concat(given(m.from_name, "Unknown"), F.lit(" ("), given(m.from_type, "unknown"), F.lit("): "), given(m.message, "")))
     return F.replace(F.lit(template), F.lit("{conversation}"), F.array_join(lines, "\n"))
 
 
@@ -225,16 +276,3 @@ def parse_languages(given: str, known: tuple[str, ...]) -> list[str]:
     if unknown or not found:
         raise ValueError(f"unknown languages: {unknown}" if unknown else "no language given")
     return found
-
-
-def dataset_slug(base: Column, language: Column) -> Column:
-    """The name of a language's dataset."""
-    return F.concat_ws("-", slug(base), slug(language))
-
-
-def citation_key(name: Column, year: Column) -> Column:
-    return F.concat(F.regexp_replace(F.lower(name), "[^a-z0-9]", ""), year.cast("string"))
-
-
-def model_tag(model: Column) -> Column:
-    return F.translate(F.lower(model), "/:. ", "----")

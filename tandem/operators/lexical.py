@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.functions import text as X
+from tandem.operators.quantiles import quantiles, with_quantiles
 
 
 def ttr(tokens) -> Column:
@@ -15,8 +16,9 @@ def ttr(tokens) -> Column:
 
 def ttr_statistics(docs: DataFrame, group: list[str], tokens: str = "tokens") -> DataFrame:
     """Mean, sample deviation, least, greatest and median TTR of the whole texts of each group."""
-    found = docs.select(*group, ttr(F.col(tokens)).alias("ttr")).groupBy(*group)
-    return found.agg(F.avg("ttr").alias("mean"), F.stddev_samp("ttr").alias("std"), F.min("ttr").alias("min"), F.max("ttr").alias("max"), F.percentile("ttr", 0.5).alias("median"))
+    each = docs.select(*group, ttr(F.col(tokens)).alias("ttr"))
+    base = each.groupBy(*group).agg(F.avg("ttr").alias("mean"), F.stddev_samp("ttr").alias("std"), F.min("ttr").alias("min"), F.max("ttr").alias("max"))
+    return with_quantiles(base, quantiles(each, group, ["ttr"]), group, {"ttr_0.5": "median"})
 
 
 def mattr(docs: DataFrame, keys: list[str], tokens: str = "tokens", window: int = 100) -> DataFrame:
@@ -124,4 +126,5 @@ def checked_bleu(texts: DataFrame, group: list[str], profile: X.Profile, order:
 
 
 def bleu_summary(scores: DataFrame, group: list[str]) -> DataFrame:
-    return scores.groupBy(*group).agg(F.avg("bleu").alias("mean"), F.stddev_pop("bleu").alias("std"), F.percentile("bleu", 0.5).alias("median"), F.min("bleu").alias("min"), F.max("bleu").alias("max"), F.count("bleu").alias("n"), F.count_if(F.col("bleu").isNull()).alias("failed"))
+    base = scores.groupBy(*group).agg(F.avg("bleu").alias("mean"), F.stddev_pop("bleu").alias("std"), F.min("bleu").alias("min"), F.max("bleu").alias("max"), F.count("bleu").alias("n"), F.count_if(F.col("bleu").isNull()).alias("failed"))
+    return with_quantiles(base, quantiles(scores, group, ["bleu"]), group, {"bleu_0.5": "median"})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions import text as X
 from tandem.operators import lexical as L
+from tandem.operators.quantiles import quantiles, with_quantiles
 
 # The names a column may have in a metric file, the first that is there counts.
 ALIASES = {
@@ -46,7 +47,8 @@ def first_by_model(frame: DataFrame, columns: list[str], order: str) -> DataFram
 def diversity_statistics(frame: DataFrame) -> DataFrame:
     """Mean, sample deviation, least, greatest and median of TTR and MATTR by model, from any alias."""
     named = resolve(frame, ["ttr", "mattr"])
-    return named.groupBy("model_name").agg(*(x for c in ("ttr", "mattr") for x in (F.avg(c).alias(f"mean_{c}"), F.stddev_samp(c).alias(f"std_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), F.percentile(c, 0.5).alias(f"median_{c}"))))
+    base = named.groupBy("model_name").agg(*(x for c in ("ttr", "mattr") for x in (F.avg(c).alias(f"mean_{c}"), F.stddev_samp(c).alias(f"std_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"))))
+    return with_quantiles(base, quantiles(named, ["model_name"], ["ttr", "mattr"]), ["model_name"], {f"{c}_0.5": f"median_{c}" for c in ("ttr", "mattr")})
 
 
 def conversation_metrics(conversations: DataFrame, language: str, limit: int | None = None, bleu: bool = True, window: int = 100) -> DataFrame:

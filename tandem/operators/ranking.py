@@ -14,8 +14,11 @@ from tandem.functions.stats import kendall_p, spearman_p
 
 #: About as many rows of a language and model are resampled in one task, and as many permutations of two languages dealt.
 CHUNK, PERMUTED = 65_536, 1_000
+#: Ranks of a range in which inversions are counted by one task.
+SPAN = 65_536
 #: Replicates ranked in one task, and most pairs of models, over replicates, that are held at once.
-REPLICATES, PAIRED = 100, 4_000_000
+REPLICATES, PAIRED, DRAWN = 100, 4_000_000, 4_000_000
+KEYS = ["metric", "language", "model"]
 
 
 def means(scores: DataFrame) -> DataFrame:
@@ -49,18 +52,65 @@ def correlation(a: str, b: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
-def inversions(ranked: DataFrame) -> DataFrame:
-    """By metric and two languages: model pairs, those in opposite order, Kendall's tau, Spearman's rho, p-values."""
-    both = common(ranked)
+def count_inversions(values: np.ndarray) -> int:
+    """Pairs in the wrong order, equal ones aside: merging counts for every right half how much of its left one is greater."""
+    n = len(values)
+    if n < 2:
+        return 0
+    x = np.unique(values, return_inverse=True)[1].astype(np.int64)
+    size = 1 << (n - 1).bit_length()
+    x = np.r_[x, np.full(size - n, n)]  # the filling is greatest and last, so it is in no such pair
+    found, half = 0, 1
+    while half < size:
+        runs = x.reshape(-1, 2, half)  # halves are sorted
+        base = np.arange(len(runs))[:, None] * (n + 1)
+        left, right = (runs[:, 0] + base).ravel(), (runs[:, 1] + base).ravel()
+        below = np.searchsorted(left, right, "right") - np.repeat(np.arange(len(runs)) * half, half)
+        found += int((half - below).sum())
+        x = np.sort(x.reshape(-1, 2 * half), axis=1, kind="stable").ravel()
+        half *= 2
+    return found
+
+
+def _inside(frame: pd.DataFrame) -> int:
+    """Pairs of one range of first ranks in opposite order."""
+    return count_inversions(frame.sort_values("r1")["r2"].to_numpy())
+
+
+def _between(frame: pd.DataFrame) -> int:
+    """Pairs of one range of second ranks in opposite order whose first ranks lie in different ranges."""
+    return count_inversions(frame.sort_values("r2")["b1"].to_numpy())
+
+
+def _apart(frame: pd.DataFrame) -> int:
+    """Pairs in different ranges of either rank and in opposite order, from the numbers of models by range."""
+    grid = np.zeros((int(frame["b1"].max()) + 1, int(frame["b2"].max()) + 1))
+    grid[frame["b1"], frame["b2"]] = frame["n"]
+    above = grid.cumsum(0) - grid  # earlier first ranges
+    later = above[:, ::-1].cumsum(1)[:, ::-1] - above  # of those, later second ranges
+    return int((grid * later).sum())
+
+
+def inversions(ranked: DataFrame, span: int = SPAN) -> DataFrame:
+    """By metric and two languages: model pairs, those in opposite order, Kendall's tau, Spearman's rho, p-values.
+
+    No pair of models is built. Models are dealt to ranges of ``span`` ranks on either side; inversions inside a range of first ranks,
+    inside a range of second ranks but between ranges of first ones, and between ranges of both are counted apart, the
+    first two by merging, the last from a table of the ranges' sizes.
+    """
     keys = ["metric", "l1", "l2"]
-    i = both.select(*keys, F.col("model").alias("m1"), F.col("r1").alias("i1"), F.col("r2").alias("i2"))
-    j = both.select(*keys, F.col("model").alias("m2"), F.col("r1").alias("j1"), F.col("r2").alias("j2"))
-    flips = i.join(j, keys).where("m1 < m2").groupBy(*keys).agg(F.count("*").alias("pairs"), F.count_if((F.col("i1") < F.col("j1")) != (F.col("i2") < F.col("j2"))).alias("inversions"))
-    again = both
+    again = common(ranked)
     for side in ("r1", "r2"):
         again = again.withColumn(side, F.row_number().over(Window.partitionBy(*keys).orderBy(side)))
+    again = again.withColumns({"b1": F.floor((F.col("r1") - 1) / span), "b2": F.floor((F.col("r2") - 1) / span)})
+    kinds = "metric string, l1 string, l2 string, found long"
+    of = lambda count: lambda frame: pd.DataFrame({**{k: [frame[k].iloc[0]] for k in keys}, "found": [count(frame)]})
+    inside = again.groupBy(*keys, "b1").applyInPandas(of(_inside), kinds)
+    between = again.groupBy(*keys, "b2").applyInPandas(of(_between), kinds)
+    apart = again.groupBy(*keys, "b1", "b2").agg(F.count("*").alias("n")).groupBy(*keys).applyInPandas(of(_apart), kinds)
+    flips = inside.unionByName(between).unionByName(apart).groupBy(*keys).agg(F.sum("found").alias("inversions"))
     rho = again.groupBy(*keys).agg(F.count("*").alias("models"), correlation("r1", "r2").alias("rho"))
-    out = flips.join(rho, keys)
+    out = flips.join(rho, keys).withColumn("pairs", F.expr("models * (models - 1) div 2")).where("pairs > 0")
     return out.select(*keys, "models", "pairs", "inversions", (F.col("inversions") / F.col("pairs")).alias("rate"), (1 - 2 * F.col("inversions") / F.col("pairs")).alias("tau"), "rho")
 
 
@@ -80,12 +130,16 @@ def _rank_pairs(frame: pd.DataFrame) -> pd.DataFrame:
     A model's place in the order, summed over all others, is its average rank but for a factor and a shift.
     """
     codes, names = [], []
-    for column in ("language", "rep", "model"):
+    for column in ("language", "model"):
         name, code = np.unique(frame[column].to_numpy(), return_inverse=True)
         names.append(name)
         codes.append(code)
-    held, there = (np.zeros([len(x) for x in names], kind) for kind in (float, bool))
-    held[tuple(codes)], there[tuple(codes)] = np.nan_to_num(frame["mean"].to_numpy(float).round(12), nan=np.inf), True
+    names.insert(1, np.arange(len(frame["sums"].iloc[0])))
+    held, there = np.zeros((len(names[0]), len(names[2]), len(names[1]))), np.zeros((len(names[0]), len(names[2])), bool)
+    np.add.at(held, tuple(codes), np.stack(frame["sums"].to_list()) / frame["total"].to_numpy(float)[:, None])  # chunks of a model add up
+    there[tuple(codes)] = True
+    held = np.nan_to_num(held.round(12), nan=np.inf).transpose(0, 2, 1)
+    there = np.repeat(there[:, None], len(names[1]), 1)
     found = []
     for i, j in zip(*np.triu_indices(len(names[0]), 1), strict=True):
         use = (there[i] & there[j]).all(0)
@@ -102,38 +156,96 @@ def _rank_pairs(frame: pd.DataFrame) -> pd.DataFrame:
     return out.assign(metric=frame["metric"].iloc[0])[["metric", "l1", "l2", "tau", "rho"]]
 
 
+def paths(sizes: pd.DataFrame) -> pd.DataFrame:
+    """Of each chunk its way down a binary tree over all chunks of its group: first, middle and end of a node, rows on its left and in all."""
+    sizes = sizes.sort_values("chunk")
+    chunks = sizes["chunk"].to_numpy()
+    before = np.r_[0, np.cumsum(sizes["n"].to_numpy())]
+    rows = []
+    for place, chunk in enumerate(chunks.tolist()):
+        low, high, path = 0, len(chunks), []
+        while high - low > 1:
+            middle = (low + high) // 2
+            path.append((low, middle, high, int(before[middle] - before[low]), int(before[high] - before[low])))
+            low, high = (low, middle) if place < middle else (middle, high)
+        rows.append({**{k: sizes[k].iloc[0] for k in KEYS}, "chunk": chunk, "place": place, "total": int(before[-1]), "path": path})
+    return pd.DataFrame(rows)
+
+
+def shares(name: str, place: int, total: int, path: list, replicates: int, seed: int) -> np.ndarray:
+    """How many of each replicate's draws fall into a chunk: at every node of its path a binomial deals them to left and right.
+
+    Nodes have seeds of their own, so all chunks below one see the same deal, and no chunk needs the sizes of all others.
+    """
+    left = np.full(replicates, total)
+    for low, middle, high, own, every in path:
+        rng = np.random.default_rng([seed, zlib.crc32(name.encode()), low, high])
+        first = rng.binomial(left, own / every)
+        left = first if place < middle else left - first
+    return left
+
+
+def resampled(score: np.ndarray, share: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """By replicate the sum of as many draws with replacement as its share."""
+    out, low = np.zeros(len(share)), 0
+    while low < len(share):  # a bounded number of draws at once
+        high = max(low + 1, int(np.searchsorted(np.cumsum(share[low:]), DRAWN, "right")) + low)
+        some = share[low:high]
+        drawn = score[rng.integers(0, len(score), int(some.sum()))]
+        ends = np.cumsum(some)
+        total = np.r_[0.0, np.cumsum(drawn)]
+        out[low:high] = total[ends] - total[ends - some]
+        low = high
+    return out
+
+
 def bootstrap(scores: DataFrame, replicates: int = 2000, seed: int = 42) -> DataFrame:
     """Tau and rho of average ranks over resampled conversations: mean, 2.5 and 97.5 percentiles, deviation.
 
-    The rows of a language and model stand in chunks of bounded size. How many of a replicate's draws fall into each chunk
-    is drawn first, the same in every task, and each chunk then draws its own rows: together a draw with replacement from
-    all rows. Only a sum a chunk and replicate is shuffled.
+    The rows of a language and model stand in chunks of bounded size. Each chunk finds its own share of a replicate's draws
+    on its way down a tree of seeded binomials, in the logarithm of the number of chunks, and draws its own rows: together a draw
+    with replacement from all rows. Only a block of sums a chunk is shuffled.
     """
-    keys = ["metric", "language", "model"]
-    sizes = scores.groupBy(*keys).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = scores.join(F.broadcast(sizes), keys).select(*keys, "conversation_id", "score", F.pmod(F.xxhash64("conversation_id"), F.col("chunks")).cast("int").alias("chunk"))
-    held = dealt.groupBy(*keys, "chunk").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("chunk", "n"))).alias("held"))
-    dealt = dealt.join(F.broadcast(held), keys)
-
-    def draw(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["conversation_id", "score"])
-        name, chunk = "\x1f".join(map(str, frame[keys].iloc[0])), int(frame["chunk"].iloc[0])
-        names, n = zip(*((int(x["chunk"]), int(x["n"])) for x in frame["held"].iloc[0]), strict=True)
-        score, total = frame["score"].to_numpy(float), sum(n)
-        whole, own = (np.random.default_rng([seed, zlib.crc32(name.encode()), salt]) for salt in (0, chunk + 1))
-        share = whole.multinomial(total, np.array(n) / total, replicates)[:, names.index(chunk)] if len(n) > 1 else np.full(replicates, total)
-        sums = [score[own.integers(0, len(score), k)].sum() for k in share.tolist()]
-        return pd.DataFrame({"rep": np.arange(replicates), **{k: frame[k].iloc[0] for k in keys}, "s": sums, "total": total})
-
-    kinds = "rep long, metric string, language string, model string, s double, total long"
-    mean = dealt.groupBy(*keys, "chunk").applyInPandas(draw, kinds).groupBy("rep", *keys).agg((F.sum("s") / F.max("total")).alias("mean"))
-    blocks = mean.withColumn("block", F.floor(F.col("rep") / REPLICATES))
+    sizes = scores.groupBy(*KEYS).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = scores.join(sizes, KEYS).select(*KEYS, "conversation_id", "score", F.pmod(F.xxhash64("conversation_id"), F.col("chunks")).cast("int").alias("chunk"))
+    node = "struct<low: int, middle: int, high: int, own: long, every: long>"
+    ways = dealt.groupBy(*KEYS, "chunk").agg(F.count("*").alias("n")).groupBy(*KEYS).applyInPandas(paths, f"metric string, language string, model string, chunk int, place int, total long, path array<{node}>")
+
+    def draw(frame: pd.DataFrame, way: pd.DataFrame) -> pd.DataFrame:
+        frame, own = frame.sort_values(["conversation_id", "score"]), way.iloc[0]
+        name = "\x1f".join(map(str, own[KEYS]))
+        path = [tuple(int(node[k]) for k in ("low", "middle", "high", "own", "every")) for node in own["path"]]
+        share = shares(name, int(own["place"]), int(own["total"]), path, replicates, seed)
+        rng = np.random.default_rng([seed, zlib.crc32(name.encode()), 1 << 32, int(own["place"])])
+        sums = resampled(frame["score"].to_numpy(float), share, rng)
+        blocks = [sums[i : i + REPLICATES] for i in range(0, replicates, REPLICATES)]
+        return pd.DataFrame({**{k: own[k] for k in KEYS}, "block": np.arange(len(blocks)), "sums": blocks, "total": int(own["total"])})
+
+    kinds = "metric string, language string, model string, block long, sums array<double>, total long"
+    blocks = dealt.groupBy(*KEYS, "chunk").cogroup(ways.groupBy(*KEYS, "chunk")).applyInPandas(draw, kinds)
     both = blocks.groupBy("metric", "block").applyInPandas(_rank_pairs, "metric string, l1 string, l2 string, tau double, rho double")
     none = F.lit(float("nan"))
     out = both.select("metric", "l1", "l2", *(F.nullif(F.col(c), none).alias(c) for c in ("tau", "rho"))).groupBy("metric", "l1", "l2")
+    # a row a replicate: a bounded number
     return out.agg(*(x for c in ("tau", "rho") for x in (F.avg(c).alias(f"{c}_mean"), F.percentile(c, 0.025).alias(f"{c}_low"), F.percentile(c, 0.975).alias(f"{c}_high"), F.stddev_pop(c).alias(f"{c}_std"))))
 
 
+def flipped(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """By row the pairs of columns in opposite order on both sides, of the columns that both have; rows with fewer than two of them go."""
+    both = ~np.isnan(a) & ~np.isnan(b)
+    use = both.sum(1) > 1
+    a, b, both = a[use], b[use], both[use]
+    m = a.shape[1]
+    if m * m > PAIRED:
+        return [count_inversions(y[own][np.argsort(x[own])]) for x, y, own in zip(a, b, both, strict=True)]
+    out: list[int] = []
+    i, j = np.triu_indices(m, 1)
+    for low in range(0, len(a), step := max(1, PAIRED // max(1, len(i)))):
+        x, y, own = a[low : low + step], b[low : low + step], both[low : low + step]
+        out += (((x[:, i] < x[:, j]) != (y[:, i] < y[:, j])) & own[:, i] & own[:, j]).sum(1).tolist()
+    return out
+
+
 def permutation(ranked: DataFrame, permutations: int = 5000, seed: int = 42) -> DataFrame:
     """p of as many inversions or more when the language labels of the ranking rows are dealt anew.
 
@@ -151,18 +263,17 @@ def permutation(ranked: DataFrame, permutations: int = 5000, seed: int = 42) ->
         rng = np.random.default_rng([seed, zlib.crc32(name.encode()), block])
         models, code = np.unique(frame["model"].to_numpy(str), return_inverse=True)
         rank, first = frame["rank"].to_numpy(float), int((frame["language"] == frame["l1"]).sum())
-        found = []
-        for rep in range(block * PERMUTED, min(permutations, (block + 1) * PERMUTED)):
-            new = np.zeros(len(frame), bool)
-            new[rng.permutation(len(frame))[:first]] = True
-            a, b = np.full(len(models), np.nan), np.full(len(models), np.nan)
-            a[code[new]], b[code[~new]] = rank[new], rank[~new]  # the last row of a model counts
-            use = ~np.isnan(a) & ~np.isnan(b)
-            a, b = a[use], b[use]
-            if len(a) > 1:
-                i, j = np.triu_indices(len(a), 1)
-                found.append((rep, int(((a[i] < a[j]) != (b[i] < b[j])).sum())))
-        return pd.DataFrame({**{k: frame[k].iloc[0] for k in ("metric", "l1", "l2")}, "x": [x for _, x in found]}, columns=["metric", "l1", "l2", "x"])
+        count, found = min(permutations, (block + 1) * PERMUTED) - block * PERMUTED, []
+        step = max(1, PAIRED // len(models))
+        for low in range(0, count, step):
+            new = np.zeros((min(step, count - low), len(frame)), bool)
+            new[:, :first] = True
+            new = rng.permuted(new, axis=1)
+            a, b = np.full((len(new), len(models)), np.nan), np.full((len(new), len(models)), np.nan)
+            for k, at in enumerate(code.tolist()):  # the last row of a model counts
+                a[new[:, k], at], b[~new[:, k], at] = rank[k], rank[k]
+            found += flipped(a, b)
+        return pd.DataFrame({**{k: frame[k].iloc[0] for k in ("metric", "l1", "l2")}, "x": found}, columns=["metric", "l1", "l2", "x"])
 
     got = rows.select("*", blocks).groupBy("metric", "l1", "l2", "block").applyInPandas(deal, "metric string, l1 string, l2 string, x long")
     seen = inversions(ranked).select("metric", "l1", "l2", "inversions")

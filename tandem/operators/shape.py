@@ -28,10 +28,14 @@ def count_by_model_and_language(rows: DataFrame) -> DataFrame:
 
 
 def dataset_statistics(messages: DataFrame) -> DataFrame:
-    """Per language: messages, conversations, their mean, least and greatest length, and the labels met, where there are any."""
+    """Per language: messages, conversations, their mean, least and greatest length, and the different labels of all messages, an absent one being one more."""
     labels = [c for c in ("industry", "problem") if c in messages.columns]
-    each = messages.groupBy("language", "conversation_id").agg(F.count("*").alias("n"), *(F.first(X.truthy(F.col(c)), True).alias(c) for c in labels))
-    return each.groupBy("language").agg(F.sum("n").alias("n_messages"), F.count("*").alias("n_conversations"), F.avg("n").alias("mean_length"), F.min("n").alias("min_length"), F.max("n").alias("max_length"), *(F.count_distinct(c).alias(f"n_{c}") for c in labels))
+    each = messages.groupBy("language", "conversation_id").agg(F.count("*").alias("n"))
+    out = each.groupBy("language").agg(F.sum("n").alias("n_messages"), F.count("*").alias("n_conversations"), F.avg("n").alias("mean_length"), F.min("n").alias("min_length"), F.max("n").alias("max_length"))
+    for c in labels:
+        kinds = messages.select(F.col("language").alias("_l"), F.coalesce(c, F.lit("")).alias(c)).distinct().groupBy("_l").agg(F.count("*").alias(f"n_{c}"))
+        out = out.join(kinds, F.col("language").eqNullSafe(F.col("_l"))).drop("_l")
+    return out
 
 
 def merge_new(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.plans.views import view, with_views
+from tandem.sources.staging import folder  # noqa: F401  for the queries that write files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,17 +43,6 @@ def conversations(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("model", "language", F.col("conv_id").alias("conversation_id"), F.transform("list", lambda x: x.m).alias("messages"))
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder for files: in the shared folder if there is one, else, on a single machine, a temporary one."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/tandem-files-{uuid.uuid4().hex}"
-
-
 def put(lines: DataFrame, path: str, order: str | None = None) -> str:
     """One file at ``path`` with a line a row of ``lines`` (value), in the order of the column ``order``."""
     spark = lines.sparkSession

@@ -12,6 +12,7 @@ from tandem.operators import ranking as R
 from tandem.operators import scoring as S
 from tandem.operators import shape as H
 from tandem.operators import similarity as M
+from tandem.operators.quantiles import quantiles, with_quantiles
 from tandem.plans import analysis, files, texts  # noqa: F401  they register their queries
 from tandem.plans.base import QUERIES, SQL, Query, query
 from tandem.plans.base import conversations as _conversations
@@ -295,6 +296,16 @@ def agg_dataset_statistics(spark, sf):
     return _rounded(H.dataset_statistics(view(spark, sf, "turns").withColumnRenamed("conv_id", "conversation_id")), "mean_length")
 
 
+@query("""WITH m AS (SELECT language, conv_id, CASE WHEN turn % 3 = 0 THEN NULL WHEN turn % 3 = 1 THEN role ELSE '' END AS industry, concat(role, CAST(conv_id % 5 AS VARCHAR)) AS problem FROM turns),
+e AS (SELECT language, conv_id, count(*) AS n FROM m GROUP BY ALL), l AS (SELECT language, count(DISTINCT coalesce(industry, '')) AS n_industry, count(DISTINCT problem) AS n_problem FROM m GROUP BY language)
+SELECT language, CAST(sum(n) AS BIGINT) AS n_messages, count(*) AS n_conversations, round(avg(n), 6) AS mean_length, min(n) AS min_length, max(n) AS max_length, any_value(n_industry) AS n_industry, any_value(n_problem) AS n_problem FROM e JOIN l USING (language) GROUP BY language""", "turns")
+def agg_dataset_labels(spark, sf):
+    """Labels that differ within a conversation, absent and empty ones among them."""
+    t = view(spark, sf, "turns").withColumnRenamed("conv_id", "conversation_id")
+    labelled = t.withColumn("industry", F.when(F.col("turn") % 3 == 1, F.col("role")).when(F.col("turn") % 3 == 2, "")).withColumn("problem", F.concat("role", (F.col("conversation_id") % 5).cast("string")))
+    return _rounded(H.dataset_statistics(labelled), "mean_length")
+
+
 @query("SELECT doc_id, lang AS language, source FROM documents WHERE doc_id % 10 < 7 UNION ALL SELECT doc_id, lang, source FROM documents WHERE doc_id % 10 >= 7")
 def set_merge(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("lang").alias("language"), "source")
@@ -329,7 +340,7 @@ def set_difference(spark, sf):
     return H.absent_keys(c, c.where("role = 'user'"), "role")
 
 
-@query("SELECT doc_id, source AS language, concat('convo_gpt-4.1_', lang, '_20260127-143052') AS stem, 'gpt-4.1' AS p_model, lang AS p_language, '20260127-143052' AS p_datetime, CASE WHEN length(text) > 25 THEN concat(substr(text, 1, 22), '...') ELSE text END AS short, CASE WHEN n_chars < 1000 THEN 'n<1K' WHEN n_chars < 10000 THEN '1K<n<10K' WHEN n_chars < 100000 THEN '10K<n<100K' ELSE '100K<n<1M' END AS bucket FROM documents")
+@query("SELECT doc_id, source AS language, concat('convo_gpt-4.1_', lang, '_20260127-143052') AS stem, 'gpt-4.1' AS p_model, lang AS p_language, '20260127-143052' AS p_datetime, CASE WHEN length(text) > 25 THEN concat(substr(text, 1, 25), '...') ELSE text END AS short, CASE WHEN n_chars < 1000 THEN 'n<1K' WHEN n_chars < 10000 THEN '1K<n<10K' WHEN n_chars < 100000 THEN '10K<n<100K' ELSE '100K<n<1M' END AS bucket FROM documents")
 def prj_names(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").withColumn("stem", F.concat(F.lit("convo_gpt-4.1_"), "lang", F.lit("_20260127-143052"))).withColumn("p", X.file_parts(F.col("stem")))
     return d.select("doc_id", F.col("source").alias("language"), "stem", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("model", "language", "datetime")), X.shortened(F.col("text")).alias("short"), X.size_bucket(F.col("n_chars")).alias("bucket"))
@@ -396,7 +407,17 @@ def agg_self_bleu(spark, sf):
 
 @query("SELECT source, lang, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std, min(n_chars) AS min, max(n_chars) AS max, quantile_cont(n_chars, 0.5) AS median FROM documents GROUP BY ALL")
 def agg_length_statistics(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").groupBy("source", "lang").agg(F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.stddev_samp("n_chars"), 6).alias("std"), F.min("n_chars").alias("min"), F.max("n_chars").alias("max"), F.percentile("n_chars", 0.5).alias("median"))
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    base = d.groupBy("source", "lang").agg(F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.stddev_samp("n_chars"), 6).alias("std"), F.min("n_chars").alias("min"), F.max("n_chars").alias("max"))
+    return with_quantiles(base, quantiles(d, ["source", "lang"], ["n_chars"]), ["source", "lang"], {"n_chars_0.5": "median"})
+
+
+@query("SELECT source, lang, quantile_cont(n_chars, 0.0) AS q0, quantile_cont(n_chars, 0.025) AS q025, quantile_cont(n_chars, 0.9) AS q9, quantile_cont(n_chars, 1.0) AS q1, round(quantile_cont(n_chars / 7.0 - 50, 0.5), 6) AS shifted FROM documents GROUP BY ALL")
+def agg_quantiles(spark, sf):
+    """Several exact quantiles of two columns, one with negative values."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").withColumn("shifted", F.col("n_chars") / 7.0 - 50)
+    found = quantiles(d, ["source", "lang"], ["n_chars", "shifted"], (0.0, 0.025, 0.5, 0.9, 1.0))
+    return _rounded(found.select("source", "lang", *(F.col(f"`n_chars_{q}`").alias(name) for q, name in ((0.0, "q0"), (0.025, "q025"), (0.9, "q9"), (1.0, "q1"))), F.col("`shifted_0.5`").alias("shifted")), "shifted")
 
 
 @query(rf"WITH {TOKENS}, r AS (SELECT source AS model, CASE WHEN coalesce(len(t), 0) = 0 THEN 0.0 ELSE len(list_distinct(t)) / len(t) END AS ttr FROM tok JOIN documents USING (doc_id)) SELECT model, round(avg(ttr), 6) AS mean, round(stddev_samp(ttr), 6) AS std, round(min(ttr), 6) AS min, round(max(ttr), 6) AS max, round(quantile_cont(ttr, 0.5), 6) AS median FROM r GROUP BY model")
@@ -416,8 +437,7 @@ def win_distinct_texts(spark, sf):
 
 @query("WITH p AS (SELECT a.label, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT label, round(avg(s), 6) AS avg_similarity, round(max(s), 6) AS max_similarity, round(min(s), 6) AS min_similarity, round(stddev_pop(s), 6) AS std_similarity, round(quantile_cont(s, 0.5), 6) AS median_similarity, count(*) AS num_comparisons FROM p GROUP BY label")
 def stat_similarity(spark, sf):
-    pairs = M.pair_similarity(spark.read.parquet(f"{sf}/embeddings.parquet"), ["label"], "vec_id", "embedding")
-    return _rounded(M.summary(pairs, ["label"]), *(f"{c}_similarity" for c in ("avg", "max", "min", "std", "median")))
+    return _rounded(M.similarity_summary(spark.read.parquet(f"{sf}/embeddings.parquet"), ["label"], "vec_id", "embedding"), *(f"{c}_similarity" for c in ("avg", "max", "min", "std", "median")))
 
 
 @query()

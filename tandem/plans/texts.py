@@ -121,25 +121,42 @@ def join_stopwords(spark, sf):
     return d.select("doc_id", F.size("w").cast("long").alias("n"), F.array_join(F.slice("w", 1, 8), " ").alias("head"))
 
 
-@query("SELECT conv_id AS conversation_id, 'Rate: ' || string_agg(role || ' (' || CASE role WHEN 'assistant' THEN 'agent' WHEN 'user' THEN 'customer' ELSE role END || '): ' || text, chr(10) ORDER BY turn) || ' end' AS prompt FROM turns GROUP BY conv_id", "turns")
+_ASKED = "WITH p AS (SELECT conv_id, turn, CASE WHEN (conv_id + pos) % 5 = 0 THEN NULL ELSE role END AS name, CASE WHEN (conv_id + pos) % 7 = 0 THEN NULL WHEN role = 'assistant' THEN 'agent' WHEN role = 'user' THEN 'customer' ELSE role END AS kind, CASE WHEN (conv_id + pos) % 11 = 0 THEN NULL ELSE text END AS said FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM turns))"
+
+
+@query(f"{_ASKED} SELECT conv_id AS conversation_id, 'Rate: ' || string_agg(coalesce(name, 'Unknown') || ' (' || coalesce(kind, 'unknown') || '): ' || coalesce(said, ''), chr(10) ORDER BY turn) || ' end' AS prompt FROM p GROUP BY conv_id", "turns")
 def prj_prompt(spark, sf):
-    return conversations(spark, sf).select("conversation_id", X.prompt("Rate: {conversation} end", F.col("messages")).alias("prompt"))
+    """Some messages lack their author's name, its kind or the text."""
+    lacks = lambda i, every: (F.col("conversation_id") + i) % every == 0
+    gaps = lambda m, i: m.withField("from_name", F.when(~lacks(i, 5), m["from_name"])).withField("from_type", F.when(~lacks(i, 7), m["from_type"])).withField("message", F.when(~lacks(i, 11), m["message"]))
+    asked = conversations(spark, sf).select("conversation_id", F.transform("messages", gaps).alias("messages"))
+    return asked.select("conversation_id", X.prompt("Rate: {conversation} end", F.col("messages")).alias("prompt"))
+
+
+_NAMED = "CASE c_custkey % 4 WHEN 0 THEN concat('anthropic.Cl_', c_custkey) WHEN 1 THEN concat('us/meta.mistral.x.', c_custkey) WHEN 2 THEN concat('openai.gpt-', c_custkey, '.1') ELSE concat('cohere.cohere.C/', c_custkey) END"
 
 
-@query("""SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN concat('org-m', c_custkey, '-high') WHEN 1 THEN concat('org-m', c_custkey) ELSE concat('m', c_custkey, '-low') END AS judge,
-CASE c_nationkey % 3 WHEN 0 THEN concat('gpt-', c_custkey) WHEN 1 THEN concat('command-', c_custkey) ELSE concat('x.openai.', c_custkey) END AS shown,
-lower(regexp_replace(regexp_replace(regexp_replace(lower(c_mktsegment || '__' || c_name || '!'), '[^a-z0-9]+', '-', 'g'), '^-+', ''), '-+$', '')) AS slug,
-printf('%.2f±%.2f', c_acctbal / 1000, c_custkey / 7.0) AS spread,
-CASE c_nationkey % 4 WHEN 0 THEN 'Estonian' WHEN 1 THEN 'English' WHEN 2 THEN 'xx' ELSE 'American English' END AS language,
-'language: ' || (CASE c_nationkey % 4 WHEN 0 THEN 'Estonian' WHEN 1 THEN 'English' WHEN 2 THEN 'xx' ELSE 'American English' END) || chr(10) || 'industry: ' || c_mktsegment AS parts FROM customer""")
+@query(f"""WITH c AS (SELECT *, {_NAMED} AS model, CASE c_nationkey % 5 WHEN 0 THEN 'et' WHEN 1 THEN 'en' WHEN 2 THEN 'xx' WHEN 3 THEN NULL ELSE 'en-us' END AS code FROM customer)
+SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN concat('org-m', c_custkey, '-high') WHEN 1 THEN concat('org-m', c_custkey) ELSE concat('m', c_custkey, '-low') END AS judge,
+replace(replace(replace(replace(model, 'anthropic.', ''), 'cohere.', ''), 'meta.', ''), 'mistral.', '') AS shown,
+'controlled-generated-convos-' || lower(replace(replace(model, '/', '-'), '_', '-')) AS dataset, lower(replace(replace(replace(model, '/', '-'), '_', '-'), '.', '-')) AS tag, replace(replace(replace(model, '.', '_'), '-', '_'), '/', '_') AS citation,
+'Synthetic customer support conversations generated using ' || model || CASE WHEN c_nationkey % 2 = 0 THEN ' Available in languages: et, ' || c_mktsegment || '.' ELSE '' END AS description,
+CASE WHEN c_nationkey % 4 = 1 THEN printf('%.2f', c_acctbal / 1000) ELSE printf('%.2f±%.2f', c_acctbal / 1000, c_custkey / 7.0) END AS spread,
+CASE code WHEN 'et' THEN 'Estonian' WHEN 'en-us' THEN 'English' ELSE code END AS language,
+'- Language: ' || CASE WHEN code = 'et' THEN 'Estonian (et)' WHEN code IS NULL OR code = 'en-us' THEN 'English (en-us)' ELSE code || ' (' || code || ')' END || chr(10) || '- Industry: ' || c_mktsegment || chr(10) || '- Customer problem: General inquiry' || chr(10) || '- Number of messages: 6' || chr(10) || '- Number of agents: ' || (c_custkey % 3) || ' agent(s)' || chr(10)
+|| '- Agent names: A, ' || c_name || chr(10) || '- Channel: chat' || chr(10) || '- Agent experience level: senior' || chr(10) || '- Agent type: human' AS parts FROM c""")
 def prj_display(spark, sf):
     c = spark.read.parquet(f"{sf}/customer.parquet")
     k, key = F.col("c_nationkey") % 3, F.col("c_custkey").cast("string")
     judge = X.judge_name(F.when(k < 2, F.concat(F.lit("org/m"), key)).otherwise(F.concat(F.lit("m"), key)), F.when(k == 0, "high").when(k == 1, "").otherwise("low"))
-    shown = X.display_name(F.when(k == 0, F.concat(F.lit("openai.gpt-"), key)).when(k == 1, F.concat(F.lit("cohere.command-"), key)).otherwise(F.concat(F.lit("x.openai."), key)))
-    n = F.col("c_nationkey") % 4
-    language = F.when(n == 0, "et").when(n == 1, "en").when(n == 2, "xx").otherwise("en-us")
-    return c.select("c_custkey", judge.alias("judge"), shown.alias("shown"), X.slug(F.concat("c_mktsegment", F.lit("__"), "c_name", F.lit("!"))).alias("slug"), X.mean_std(F.col("c_acctbal") / 1000, F.col("c_custkey") / 7.0).alias("spread"), X.language_name(language).alias("language"), X.config_prompt({"language": language, "industry": F.col("c_mktsegment")}).alias("parts"))
+    at = F.col("c_custkey") % 4
+    model = F.when(at == 0, F.concat(F.lit("anthropic.Cl_"), key)).when(at == 1, F.concat(F.lit("us/meta.mistral.x."), key)).when(at == 2, F.concat(F.lit("openai.gpt-"), key, F.lit(".1"))).otherwise(F.concat(F.lit("cohere.cohere.C/"), key))
+    n = F.col("c_nationkey") % 5
+    language = F.when(n == 0, "et").when(n == 1, "en").when(n == 2, "xx").when(n == 4, "en-us")
+    languages = F.when(F.col("c_nationkey") % 2 == 0, F.array(F.lit("et"), "c_mktsegment")).otherwise(F.array().cast("array<string>"))
+    spread = X.mean_std(F.col("c_acctbal") / 1000, F.when(F.col("c_nationkey") % 4 != 1, F.col("c_custkey") / 7.0))
+    parts = X.config_prompt({"language": language, "industry": F.col("c_mktsegment"), "n_agents": F.col("c_custkey") % 3, "agent_names": F.array(F.lit("A"), "c_name")})
+    return c.select("c_custkey", judge.alias("judge"), X.display_name(model).alias("shown"), X.dataset_name(model).alias("dataset"), X.model_tag(model).alias("tag"), X.citation_key(model).alias("citation"), X.dataset_description(model, languages).alias("description"), spread.alias("spread"), X.language_name(language).alias("language"), parts.alias("parts"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S') AS stamp, CAST(strftime(ts, '%Y%m%d-%H%M%S') = strftime(strptime(strftime(ts, '%Y%m%d-%H%M%S'), '%Y%m%d-%H%M%S'), '%Y%m%d-%H%M%S') AS BOOLEAN) AS same, CAST(date_diff('second', TIMESTAMP '2020-01-01', date_trunc('second', ts)) AS BIGINT) AS elapsed FROM events")

@@ -278,7 +278,7 @@ def test_clients_and_embeddings(spark, monkeypatch):
     rows = G.generated(spark, 20, configure, prompt, make, "id long, prompt string, score double, error string, processing_time double", check=G.within({"score": 4})).collect()
     for r in rows:
         expected = len(r.prompt) % 9
-        assert r.prompt.startswith("language: Estonian") and (r.score == expected if expected <= 4 else "must be" in r.error)
+        assert r.prompt.startswith("- Language: Estonian (et)\n") and (r.score == expected if expected <= 4 else "must be" in r.error)
     texts = spark.createDataFrame([(1, "ab"), (2, None)], "id long, t string")
     assert {r.id: r.embedding for r in G.embedded(texts, "t", lambda: lambda batch: [[float(len(t))] for t in batch]).collect()} == {1: [2.0], 2: [0.0]}
 
