@@ -157,7 +157,7 @@ def exact(measure: str, query: np.ndarray, x: np.ndarray) -> np.ndarray:
         return x @ query
     gap = x - query
     with np.errstate(over="ignore", under="ignore"):
-        out = np.sqrt((gap * gap).sum(1))
+        out = np.sqrt(np.add.accumulate(gap * gap, 1)[:, -1])  # one by one in order, so that the sum doesn't follow the width of the machine's registers
         top = np.abs(gap).max(1)
         odd = (top > 0) & ~((out < 1e150) & (out > 1e-150))
         out[odd] = top[odd] * np.sqrt(((gap[odd] / top[odd, None]) ** 2).sum(1))
@@ -307,7 +307,7 @@ class Index:
         self.rows = rows
         n, wide = self.classes.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
         most = max(1, min(SAMPLE, MOST_BYTES // (8 * wide)))
-        some = self.classes.where(F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(1 << 30)) < int(min(1.0, most / max(1, n)) * (1 << 30))).select("embedding").toArrow()
+        some = self.classes.where(F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(1 << 30)) < int(min(1.0, most / max(1, n)) * (1 << 30))).select("node", "embedding").toArrow().sort_by("node")
         spaces: dict[int, Space] = {}
         for batch in some.combine_chunks().to_batches():
             for part in _by_length(batch):

@@ -1,7 +1,8 @@
 """The contract queries of the thirteen operators, with DuckDB SQL where SQL can express them.
 
 op1 (a tokenizer), op2 and op4 (trained models) have no SQL; op3 compares bytes of UTF-8 windows, which SQL
-is too slow for; op11 is approximate, and op13 needs tokenizers. They are tested against brute force, exact round trips or held-out accuracy in ``tests/llm``.
+is too slow for; op13 needs two tokenizers. The SQL of op11 is exact, and so is the search
+on a small table. They are tested against brute force, exact round trips or held-out accuracy in ``tests/llm``.
 """
 
 from __future__ import annotations
@@ -130,6 +131,60 @@ WITH RECURSIVE v AS (
 SELECT e.vec_id, (SELECT count(*) FROM link WHERE link.x = e.vec_id) AS n_links, m AS component_id, e.vec_id = m AS kept
 FROM embeddings e JOIN (SELECT x, min(r) AS m FROM reach GROUP BY x) c ON e.vec_id = c.x"""
 
+OP11 = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+), good AS (
+  SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), pair AS (
+  SELECT q.vec_id AS query_id, q.e AS own, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+  FROM good q JOIN good c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, own ORDER BY score, vec_id) AS rank FROM pair) WHERE rank <= 10"""
+
+#: CRC-32 of the decimal doc_id, bit by bit.
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda crc, c: list_reduce(list_concat([xor(crc, c)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+_ITEM = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')".format
+_HEAD = " || ".join(map(_ITEM, ("doc_id", "source", "lang", "n_chars")))
+
+OP12 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, sha256({_HEAD} || {_ITEM("text")}) AS leaf, sha256({_HEAD} || coalesce(CASE WHEN {_CRC} % 2 = 0 THEN {_ITEM("replace(text, chr(10), '')")} END, {_ITEM("text")})) AS seen FROM documents
+), placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d
+), node AS (
+  SELECT tree, 0 AS level, pos, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), max((n + 2) // 3) FROM node WHERE n > 1 GROUP BY tree, level, pos // 3
+), subroot AS (
+  SELECT tree, digest FROM node WHERE n = 1
+), uppers AS (
+  SELECT 0 AS level, tree AS pos, digest, count(*) OVER () AS n FROM subroot
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), max((n + 2) // 3) FROM uppers WHERE n > 1 GROUP BY level, pos // 3
+), root AS (
+  SELECT digest FROM uppers WHERE n = 1
+), high AS (
+  SELECT tree, max(level) AS top FROM node GROUP BY tree
+), every AS (
+  SELECT tree, level, pos, digest FROM node WHERE n > 1
+  UNION ALL
+  SELECT NULL, level, pos, digest FROM uppers WHERE n > 1
+), side AS (
+  SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM every a JOIN every b ON a.tree IS NOT DISTINCT FROM b.tree AND a.level = b.level AND a.pos // 3 = b.pos // 3 GROUP BY ALL
+), walk AS (
+  SELECT doc_id, leaf, seen, placed.tree AS own, placed.pos AS place, 0 AS step, seen AS digest, '' AS proof, top, (SELECT max(level) FROM uppers) AS summit FROM placed JOIN high USING (tree)
+  UNION ALL
+  SELECT doc_id, leaf, seen, own, place, step + 1, sha256(l || walk.digest || r), proof || l || r, top, summit
+  FROM walk JOIN side ON side.tree IS NOT DISTINCT FROM (CASE WHEN step < top THEN own END)
+    AND side.level = CASE WHEN step < top THEN step ELSE step - top END
+    AND side.pos = CAST(CASE WHEN step < top THEN place // CAST(pow(3, step) AS BIGINT) ELSE own // CAST(pow(3, step - top) AS BIGINT) END AS BIGINT)
+)
+SELECT doc_id, leaf, subroot.digest AS subroot, root.digest AS root, sha256(proof) AS proof_sha256, walk.digest AS folded_root, walk.digest = root.digest AS verified
+FROM walk JOIN subroot ON subroot.tree = own CROSS JOIN root WHERE step = top + summit"""
+
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5, "op6_phrase_dedup": OP6, "op7_chat_format": chat_sql(), "op8_url_filter": judge_sql(), "op9_minhash_dedup": OP9, "op10_embedding_dedup": OP10}
+    return {"op5_decontaminate": OP5, "op6_phrase_dedup": OP6, "op7_chat_format": chat_sql(), "op8_url_filter": judge_sql(), "op9_minhash_dedup": OP9, "op10_embedding_dedup": OP10, "op11_nearest_neighbours": OP11, "op12_merkle_manifest": OP12}
