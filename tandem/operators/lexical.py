@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tandem.functions import text as X
 from tandem.operators.quantiles import quantiles, with_quantiles
@@ -24,18 +29,38 @@ def ttr_statistics(docs: DataFrame, group: list[str], tokens: str = "tokens") ->
 def mattr(docs: DataFrame, keys: list[str], tokens: str = "tokens", window: int = 100) -> DataFrame:
     """Mean TTR of all windows of ``window`` tokens; of a shorter text its TTR, of an empty one 0.
 
-    A token at place i whose like stood last at p is the first of its kind in every window that starts after p
-    and holds i, so one lag over (document, token) counts the kinds of all windows.
+    A token at place i whose like stood last at p is the first of its kind in every window that starts after p and holds
+    i. So the last places of all tokens give the kinds of all windows at once: one pass over a batch of texts, in the task
+    that read them. No token is shuffled.
     """
-    n = F.size(tokens)
-    spread = docs.select(*keys, n.alias("n"), F.posexplode(tokens).alias("i", "t"))
-    before = F.coalesce(F.lag("i").over(Window.partitionBy(*keys, "t").orderBy("i")), F.lit(-1))
-    w = F.least(F.lit(window), F.col("n"))
-    last = F.least(F.col("i"), F.col("n") - w)
-    first = F.greatest(F.col("p") + 1, F.col("i") - w + 1, F.lit(0))
-    kinds = spread.withColumn("p", before).withColumn("c", F.greatest(F.lit(0), last - first + 1))
-    found = kinds.groupBy(*keys).agg((F.sum("c") / F.max(w * (F.col("n") - w + 1))).alias("mattr"))
-    return docs.select(*keys).distinct().join(found, keys, "left").select(*keys, F.coalesce("mattr", F.lit(0.0)).alias("mattr"))
+    plain = docs.select(*keys, F.col(tokens).alias("_t"))
+    kinds = T.StructType([*(docs.schema[k] for k in keys), T.StructField("mattr", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_t")
+            n = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            found = window_kinds(lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False), n, window)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(found)], [*keys, "mattr"])
+
+    return plain.mapInArrow(run, kinds)
+
+
+def window_kinds(code: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
+    """MATTR of texts that stand one after the other: tokens by number, and the texts' sizes."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    start = (np.cumsum(sizes) - sizes)[text]
+    order = np.lexsort((code, text))  # equal tokens of a text side by side, in their order
+    like = np.zeros(len(code), bool)
+    like[1:] = (code[order][1:] == code[order][:-1]) & (text[order][1:] == text[order][:-1])
+    last = np.full(len(code), -1, np.int64)
+    last[order[like]] = (order - start[order])[np.flatnonzero(like) - 1]
+    at, n = np.arange(len(code)) - start, sizes[text]
+    width = np.minimum(window, n)
+    held = np.minimum(at, n - width) - np.maximum(np.maximum(last + 1, at - width + 1), 0) + 1
+    total = np.bincount(text, np.maximum(held, 0), len(sizes))
+    width = np.minimum(window, sizes)
+    return np.where(sizes > 0, total / np.maximum(width * (sizes - width + 1), 1), 0.0)
 
 
 def self_bleu_counts(docs: DataFrame, group: list[str], key: str, tokens: str = "tokens", order: int = 4) -> DataFrame:
@@ -69,8 +94,11 @@ def self_bleu(docs: DataFrame, group: list[str], key: str, tokens: str = "tokens
     """
     sized = docs.select(*group, key, F.size(tokens).alias("len")).where("len > 0")
     lens = sized.groupBy(*group, "len").agg(F.count("*").alias("_k"))
-    other = lens.select(*group, F.col("len").alias("olen"), "_k")
-    near = lens.select(*group, "len").join(other, group).where("olen <> len or _k > 1").groupBy(*group, "len").agg(F.min(F.struct(F.abs(F.col("olen") - F.col("len")), F.col("olen")))["olen"].alias("ref"))
+    # of the different lengths in order only the neighbours can be nearest, or the same if another text has it
+    by_length = Window.partitionBy(*group).orderBy("len")
+    below, above = F.lag("len").over(by_length), F.lead("len").over(by_length)
+    lower = F.when(above.isNull() | (F.col("len") - below <= above - F.col("len")), below).otherwise(above)
+    near = lens.select(*group, "len", F.when(F.col("_k") > 1, F.col("len")).otherwise(lower).alias("ref"))
     counts = self_bleu_counts(docs, group, key, tokens, order).groupBy(*group, key).pivot("n", list(range(1, order + 1))).agg(F.first("clipped"))
     wide = sized.join(near, [*group, "len"], "left").join(counts, [*group, key], "left")
     logs, zeros = F.lit(0.0), F.lit(0)

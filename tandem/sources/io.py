@@ -66,40 +66,62 @@ def broken_lines(spark: SparkSession, paths: list[str] | str, schema: str) -> Da
     return _json_lines(spark, paths, schema).where("r._corrupt is not null").groupBy(F.col("_path").alias("path")).agg(F.count("*").alias("broken"))
 
 
-def read_jsonl(spark: SparkSession, paths: list[str] | str, schema: str, block: bool = False) -> DataFrame:
-    """Rows of JSON lines; blank and broken lines go. Adds ``source_file`` where the row has none; ``block`` keeps ``_block``."""
-    good = _json_lines(spark, paths, schema).where("r._corrupt is null").select("r.*", "_path", "_block").drop("_corrupt")
-    source = F.coalesce("source_file", "_path") if "source_file" in good.columns else F.col("_path")
-    good = good.withColumn("source_file", source).drop("_path")
-    return good if block else good.drop("_block")
+def _valid(spark: SparkSession, paths: list[str] | str, schema: str) -> DataFrame:
+    return _json_lines(spark, paths, schema).where("r._corrupt is null").select("r.*", "_path", "_block").drop("_corrupt")
+
+
+def _sourced(rows: DataFrame) -> DataFrame:
+    source = F.coalesce("source_file", "_path") if "source_file" in rows.columns else F.col("_path")
+    return rows.withColumn("source_file", source).drop("_path", "_block")
+
+
+def read_jsonl(spark: SparkSession, paths: list[str] | str, schema: str) -> DataFrame:
+    """Rows of JSON lines; blank and broken lines go. Adds ``source_file`` where the row has none."""
+    return _sourced(_valid(spark, paths, schema))
 
 
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def numbered(rows: DataFrame, file: str, block: str) -> DataFrame:
+    """The rows with ``index``, their place in their file (or model) from 0, where ``block`` tells the order of its splits.
+
+    A row's place in its split is known to the task that reads it. The splits of all files are a small table of their sizes, whose sums
+    before each split are added, so a file of any size is numbered by all tasks that read it, and nothing is sorted.
+    """
+    counted = rows.withColumn("_at", F.monotonically_increasing_id())
+    splits = counted.groupBy(F.col(file).alias("_file"), F.col(block).alias("_split")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    of_file = splits.groupBy("_file").agg(F.sort_array(F.collect_list(F.struct("_split", "_n", "_first"))).alias("_splits"))
+    before = F.transform("_splits", lambda s: F.struct(s["_split"].alias("_split"), s["_first"].alias("_first"), F.aggregate(F.filter("_splits", lambda o: o["_split"] < s["_split"]), F.lit(0).cast("long"), lambda sum_, o: sum_ + o["_n"]).alias("_before")))
+    places = of_file.select("_file", F.explode(before).alias("_s")).select("_file", "_s.*")
+    joined = counted.join(places, (F.col(file) == F.col("_file")) & (F.col(block) == F.col("_split")))
+    return joined.withColumn("index", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_file", "_split", "_first", "_before")
+
+
 def read_conversations(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """Conversations with file_model, file_language, file_datetime and the id ``model_lang_datetime_0000``.
 
     The index counts the valid rows of a file in the order of its lines.
     """
-    rows = read_jsonl(spark, paths, S.CONVERSATION, True)
+    rows = numbered(_valid(spark, paths, S.CONVERSATION), "_path", "_block")
+    rows = _sourced(rows)
     name = F.regexp_replace(file_name(F.col("source_file")), r"\.jsonl$", "")
-    rows = rows.withColumn("file", X.file_parts(name)).withColumn("at", F.monotonically_increasing_id())
-    index = F.row_number().over(Window.partitionBy("source_file").orderBy("_block", "at")) - 1
-    rows = rows.withColumn("conversation_id", X.conversation_name(F.col("file.model"), F.col("file.language"), F.col("file.datetime"), index))
+    rows = rows.withColumn("file", X.file_parts(name))
+    rows = rows.withColumn("conversation_id", X.conversation_name(F.col("file.model"), F.col("file.language"), F.col("file.datetime"), F.col("index")))
     return rows.select("conversation_id", *(F.col(f"file.{c}").alias(f"file_{c}") for c in ("model", "language", "datetime")), "subject", "messages", "model", F.col("_metadata").alias("metadata"), "source_file")
 
 
 def read_grouped(spark: SparkSession, path: str) -> DataFrame:
     """(generator_model, conversation_id, conversation) of a file {model: [conversation, ...]}, which is one row while it is read.
 
-    A folder that ``write_grouped`` has written is read by many tasks.
+    A folder that ``write_grouped`` has written is read by many tasks; its files and lines are in order.
     """
     if not path.endswith(".json"):
-        rows = spark.read.schema(f"conversation_id long, conversation {S.GROUPED}, generator_model string").json(path)
-        place = F.row_number().over(Window.partitionBy("generator_model").orderBy("conversation_id")) - 1
-        return rows.select("generator_model", place.alias("conversation_id"), "conversation")
+        lines = spark.read.schema(f"conversation_id long, conversation {S.GROUPED}, generator_model string").json(path)
+        split = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+        placed = numbered(lines.select("generator_model", "conversation", split.alias("_block")), "generator_model", "_block")
+        return placed.select("generator_model", F.col("index").alias("conversation_id"), "conversation")
     whole = spark.read.option("wholetext", "true").text(path)
     models = whole.select(F.explode(F.from_json("value", f"map<string, array<{S.GROUPED}>>")).alias("generator_model", "list"))
     return models.select("generator_model", F.posexplode("list").alias("conversation_id", "conversation"))
