@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from tandem.llm.common import Scratch
 
 SAMPLE, MOST_BYTES, MOST_CENTROIDS = 50_000, 64 << 20, 8192
+#: Rows of the sample that codebooks are fitted to.
+FITTED = 4096
 #: Rows of a length in the sample from which it gets cells and codes.
 LEAST = 256
 WORDS, WIDTH = 16, 2
@@ -141,7 +143,7 @@ def train(sample: np.ndarray, cells: int, rounds: int = 3) -> Space:
     x = sample.astype(np.float32)
     centre = k_means(x, max(1, min(cells, len(x) // 8)))
     cell = np.concatenate([nearest_centre(x[i : i + 4096], centre)[:, 0] for i in range(0, len(x), 4096)])
-    some = np.random.default_rng(6).permutation(len(x))[:10_000]
+    some = np.random.default_rng(6).permutation(len(x))[:FITTED]
     x, cell = x[some], cell[some]
     rest = subspaces(x - centre[cell])
     book = np.stack([np.resize(k_means(np.ascontiguousarray(rest[:, s]), WORDS), (WORDS, WIDTH)) for s in range(rest.shape[1])])
