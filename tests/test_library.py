@@ -24,7 +24,7 @@ from tandem.operators import scoring as S
 from tandem.operators import shape as H
 from tandem.plans import registry
 from tandem.sources import io
-from tandem.streaming.merge import stream_messages
+from tandem.streaming.merge import Target, read_messages, stream_messages
 
 DATA = "/root/testdata/sf0.001"
 
@@ -234,7 +234,33 @@ def test_stream(spark, tmp_path):
     go()
     (tmp_path / "in/2.json").write_text(row + "\n" + row.replace('"a"', '"b"') + "\n")
     go()
-    assert spark.read.parquet(target).count() == 2
+    assert read_messages(spark, target).count() == 2
+
+
+def test_a_batch_that_died_half_written_is_replayed_once(spark, tmp_path, monkeypatch):
+    frame = lambda *ids: spark.createDataFrame([(i, 1, f"m{i}") for i in ids], "conversation_id string, message_id int, message string")
+    target = Target(spark, str(tmp_path / "table"))
+    assert target.read() is None
+    target.append(frame("a", "b", "a"), 0)
+
+    def die(self, batch):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as patch:  # rows and bits are written, the manifest isn't
+        patch.setattr(Target, "commit", die)
+        with pytest.raises(RuntimeError):
+            target.append(frame("b", "c", "x"), 1)
+    read = lambda: sorted(r.conversation_id for r in read_messages(spark, target.path).collect())
+    assert read() == ["a", "b"]
+    target.append(frame("b", "c"), 1)  # the replay has other rows than the dead try
+    assert read() == ["a", "b", "c"]
+    target.append(frame("d"), 1)  # a batch that is there isn't written again
+    target.append(frame("a", "c", "e"), 2)
+    assert read() == ["a", "b", "c", "e"] and len(target.manifests()) == 3
+    # another stream has batches of its own; keys are new only once over all streams
+    Target(spark, target.path, "other").append(frame("e", "f"), 1)
+    assert read() == ["a", "b", "c", "e", "f"]
+    assert sorted(r.conversation_id for r in target.fresh(frame("f", "g")).collect()) == ["g"]
 
 
 def test_bleu_checks(spark):
