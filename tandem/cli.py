@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import argparse
 import logging
+import re
+from collections import Counter
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.functions import text as X
@@ -20,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="tandem", description=__doc__)
     out.add_argument("--quiet", action="store_true")
     out.add_argument("--verbose", action="store_true")
-    out.add_argument("--dry-run", action="store_true", help="show the inputs and their counts, write nothing")
+    out.add_argument("--dry-run", action="store_true", help="show the inputs and what the plan expects of them, start no job")
     sub = out.add_subparsers(dest="command", required=True)
 
     def add(name: str, text: str) -> argparse.ArgumentParser:
@@ -40,48 +43,85 @@ def parser() -> argparse.ArgumentParser:
     metrics.add_argument("--language", choices=sorted(X.PROFILES), required=True)
     metrics.add_argument("--limit", type=int)
     metrics.add_argument("--window", type=int, default=100)
+    add("judge", "judge results to statistics by model and metric")
+    recovered = add("evaluate", "label results against the truth: accuracy and F1 by judge, generator and category")
+    recovered.add_argument("--truth", nargs="+", required=True)
     judges = add("agreement", "label results of several judges against each other")
     judges.add_argument("--truth", nargs="*", default=[])
     return out
 
 
-def preview(spark: SparkSession, inputs: list[str]):
-    """For a dry run: files by model and language."""
-    return io.conversation_files(spark, inputs).groupBy("model", "language").agg(F.count("*").alias("files")).orderBy("model", "language")
+def preview(spark: SparkSession, options: argparse.Namespace) -> list[Row]:
+    """For a dry run: the input files by model and language, and what the command's plan expects to read and return. No job is started."""
+    paths = io.expand(spark, options.input)
+    named = [re.match(X.FILE_PARTS, path.rsplit("/", 1)[-1]) for path in paths]
+    files = Counter(m.groups()[:2] if m else ("unknown", "unknown") for m in named)
+    rows = [Row(part="files", model=model, language=language, rows=count, bytes=None) for (model, language), count in sorted(files.items())]
+    for what, frame in (("input", source(spark, options, paths)), ("result", result(spark, options, paths)[0])) if paths else ():
+        rows.append(Row(part=what, model=None, language=None, **io.planned(frame)))
+    return rows
 
 
-def run(spark: SparkSession, options: argparse.Namespace):
-    """The table to show; results are written where an output is named."""
-    paths = io.expand(spark, options.input)
-    if options.dry_run:
-        return preview(spark, options.input)
-    if not paths:
-        raise ValueError("no input file")
+def source(spark: SparkSession, options: argparse.Namespace, paths: list[str]) -> DataFrame:
+    """What a command reads."""
     if options.command == "combine":
-        rows = io.read_conversations(spark, paths).withColumn("model", F.coalesce(X.truthy(F.col("model")), F.lit("unknown")))
-        if options.output:
-            io.write_grouped(rows.drop("source_file"), f"{options.output}/{io.combined_name(rows.withColumnRenamed('file_language', 'language')).first().name}")
-        return io.line_counts(rows)
-    if options.command == "rank":
-        scores = io.judge_scores(io.read_judge_results(spark, paths))
-        languages = options.languages.split(",") if options.languages else None
-        statistics, ranked, about = R.analyse(scores, options.metrics.split(","), languages, options.bootstrap, options.permutations, options.seed)
-        if options.output:
-            io.write_analysis(statistics, ranked, about, options.output)
-        return statistics
+        return io.read_conversations(spark, paths).withColumn("model", F.coalesce(X.truthy(F.col("model")), F.lit("unknown")))
+    if options.command in ("rank", "judge"):
+        return io.read_judge_results(spark, paths)
     if options.command == "metrics":
         rows = None
         for path in paths:
             own = io.read_grouped(spark, path).select(F.col("generator_model").alias("model_name"), "conversation_id", X.turns(F.col("conversation.messages")).alias("turns"))
             rows = own if rows is None else rows.unionByName(own)
-        found = C.conversation_metrics(rows, options.language, options.limit, window=options.window)
-        if options.output:
-            io.write_metrics({r.model_name: found.where(F.col("model_name") == r.model_name).drop("model_name") for r in found.select("model_name").distinct().collect()}, options.output)
-        return C.model_table(found)
-    labels = io.read_label_results(spark, paths)
+        return rows
+    return io.read_label_results(spark, paths)
+
+
+def result(spark: SparkSession, options: argparse.Namespace, paths: list[str]) -> tuple[DataFrame, Callable[[], None]]:
+    """The table that a command shows, and what writes its output."""
+    rows = source(spark, options, paths)
+    nothing = lambda: None
+    if options.command == "combine":
+        folder = lambda: f"{options.output}/{io.combined_name(rows.withColumnRenamed('file_language', 'language')).first().name}"
+        return io.line_counts(rows), lambda: io.write_grouped(rows.drop("source_file"), folder())
+    if options.command == "rank":
+        languages = options.languages.split(",") if options.languages else None
+        if options.dry_run:  # resampling and metadata are jobs
+            return R.inversions(R.ranks(io.judge_scores(rows))), nothing
+        statistics, ranked, about = R.analyse(io.judge_scores(rows), options.metrics.split(","), languages, options.bootstrap, options.permutations, options.seed)
+        return statistics, lambda: io.write_analysis(statistics, ranked, about, options.output)
+    if options.command == "metrics":
+        if options.dry_run:
+            return rows.groupBy("model_name").count(), nothing
+        found = C.conversation_metrics(rows, options.language, limit=options.limit, window=options.window)
+        return C.model_table(found), lambda: io.write_metrics(found, options.output)
+    if options.command == "judge":
+        long = io.judge_scores(rows)
+        table = scoring.score_statistics(long, ["model", "metric"])
+        return table, lambda: long.write.mode("overwrite").json(options.output)
+    if options.command == "evaluate":
+        truth = io.read_ground_truth(spark, options.truth, "A")
+        pairs = scoring.paired(rows.withColumn("conversation_id", F.col("conversation_id").cast("string")), truth, ["conversation_id"], ["judge_model", "generator_model"])
+        table = scoring.category_scores(pairs, ["judge_model", "generator_model", "category"])
+        return table, lambda: table.write.mode("overwrite").json(options.output)
     if options.truth:
-        return A.judge_consistency(labels, A.judged(labels.withColumn("conversation_id", F.col("conversation_id").cast("string")), io.read_ground_truth(spark, options.truth, "B")))
-    return A.pairwise_agreement(labels, "processing_time") if labels.select("judge_model").distinct().count() > 1 else scoring.success_statistics(labels, ["judge_model"])
+        judged = A.judged(rows.withColumn("conversation_id", F.col("conversation_id").cast("string")), io.read_ground_truth(spark, options.truth, "B"))
+        return A.judge_consistency(rows, judged), nothing
+    many = not options.dry_run and rows.select("judge_model").distinct().limit(2).count() > 1
+    return (A.pairwise_agreement(rows, "processing_time") if many else scoring.success_statistics(rows, ["judge_model"])), nothing
+
+
+def run(spark: SparkSession, options: argparse.Namespace):
+    """The table to show; results are written where an output is named."""
+    if options.dry_run:
+        return preview(spark, options)
+    paths = io.expand(spark, options.input)
+    if not paths:
+        raise ValueError("no input file")
+    table, write = result(spark, options, paths)
+    if options.output:
+        write()
+    return table
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -90,9 +130,11 @@ def main(arguments: list[str] | None = None) -> None:
         parser().error("--quiet and --verbose exclude each other")
     logging.basicConfig(level=logging.ERROR if options.quiet else logging.DEBUG if options.verbose else logging.INFO)
     spark = SparkSession.builder.appName("tandem").getOrCreate()
-    table = io.display(run(spark, options))
-    if not options.quiet:
-        table.show(100, truncate=False)
+    table = run(spark, options)
+    if options.dry_run:
+        print("\n".join(map(str, table)))
+    elif not options.quiet:
+        io.display(table).show(100, truncate=False)
 
 
 if __name__ == "__main__":

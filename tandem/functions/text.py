@@ -149,11 +149,13 @@ def file_language(name: Column) -> Column:
     return truthy(F.regexp_extract(name, r"^convo_.+_([a-z]{2}(?:-[a-z]{2})?)_\d{8}-\d{6}\.jsonl$", 1))
 
 
+# Fixed value: the form of the names.
+FILE_PARTS = r"convo_(.+)_([a-z-]+)_(\d{8}-\d{6})"
+
+
 def file_parts(stem: Column) -> Column:
     """(model, language, datetime) of a file's stem, each ``unknown`` where it has another form."""
-    # Fixed value: the form of the names.
-    pattern = r"convo_(.+)_([a-z-]+)_(\d{8}-\d{6})"
-    part = lambda i: F.coalesce(truthy(F.regexp_extract(stem, pattern, i)), F.lit("unknown"))
+    part = lambda i: F.coalesce(truthy(F.regexp_extract(stem, FILE_PARTS, i)), F.lit("unknown"))
     return F.struct(part(1).alias("model"), part(2).alias("language"), part(3).alias("datetime"))
 
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import random
+import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import AccumulatorParam, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,11 +85,6 @@ def client(config: ClientConfig, send: Callable[[str, str, ClientConfig], str])
     return make
 
 
-def echo(answer: Callable[[str], dict]) -> Callable[[str, str, ClientConfig], str]:
-    """A back-end without a network: the answer follows from the prompt."""
-    return lambda prompt, key, config: json.dumps(answer(prompt))
-
-
 def generated(spark: SparkSession, n: int, configure: Callable[[SparkSession, int], DataFrame], prompt: Callable[[DataFrame], Column], make: Callable, schema: str, **options) -> DataFrame:
     """n conversations: configurations of any kind, their prompts, and a model's answers, failures as rows."""
     rows = configure(spark, n)
@@ -117,21 +117,132 @@ def within(bounds: dict[str, int]) -> Callable[[dict], dict]:
     return check
 
 
-def apply_model(rows: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, workers: int = 5, errors: bool = True, check: Callable[[dict], dict] | None = None, again: tuple[str, ...] = ("rate_limit", "429"), progress: Callable[[int], None] | None = None) -> DataFrame:
+class CallLog:
+    """Answers of paid calls in a folder that all executors reach, each an object named by a hash of its row and its model.
+
+    An answer is written as it arrives, aside first and then renamed, so a task that is tried again, or a job that is
+    started again, finds it there and doesn't call. Failures aren't kept. Equal rows share an answer.
+    """
+
+    def __init__(self, path: str, model: str = "") -> None:
+        self.path, self.model = path.rstrip("/"), model
+
+    def _place(self, row: dict) -> tuple[object, str, str]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(self.path)
+        name = hashlib.sha256(json.dumps([self.model, row], sort_keys=True, default=str).encode()).hexdigest()
+        return store, f"{root}/{name[:2]}", name
+
+    def get(self, row: dict) -> dict | None:
+        store, folder, name = self._place(row)
+        if not store.get_file_info(f"{folder}/{name}.json").is_file:
+            return None
+        with store.open_input_stream(f"{folder}/{name}.json") as file:
+            return json.loads(file.read())
+
+    def put(self, row: dict, answer: dict) -> None:
+        store, folder, name = self._place(row)
+        store.create_dir(folder)
+        aside = f"{folder}/.{name}-{uuid.uuid4().hex}"
+        with store.open_output_stream(aside) as file:
+            file.write(json.dumps(answer).encode())
+        store.move(aside, f"{folder}/{name}.json")
+
+
+class Pace:
+    """At most ``rate`` calls a second together by up to ``tasks`` tasks: each keeps to an equal share of the budget."""
+
+    def __init__(self, rate: float, tasks: int, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.gap, self.clock, self.sleep = tasks / rate, clock, sleep
+        self.next, self.lock = 0.0, threading.Lock()
+
+    def __call__(self) -> None:
+        with self.lock:
+            now = self.clock()
+            at = max(now, self.next)
+            self.next = at + self.gap
+        if at > now:
+            self.sleep(at - now)
+
+
+class _Most(AccumulatorParam):
+    """Rows done by partition: of two reports of a partition the greater counts, so a task tried again counts once."""
+
+    def zero(self, value: dict) -> dict:
+        return {}
+
+    def addInPlace(self, first: dict, second: dict) -> dict:  # noqa: N802  Spark's name
+        for key, done in second.items():
+            first[key] = max(first.get(key, 0), done)
+        return first
+
+
+class Progress:
+    """Rows done, counted on the driver. ``watch`` calls back there while a job runs, with numbers that only grow."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.done = spark.sparkContext.accumulator({}, _Most())
+
+    def total(self) -> int:
+        return sum(self.done.value.values())
+
+    @contextmanager
+    def watch(self, callback: Callable[[int], None], every: float = 0.5) -> Iterator[None]:
+        stop, seen = threading.Event(), [-1]
+
+        def look() -> None:
+            now = self.total()
+            if now > seen[0]:
+                seen[0] = now
+                callback(now)
+
+        def run() -> None:
+            while not stop.wait(every):
+                look()
+
+        thread = threading.Thread(target=run, daemon=True)
+        thread.start()
+        try:
+            yield
+        finally:
+            stop.set()
+            thread.join()
+            look()
+
+
+def apply_model(rows: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, workers: int = 5, errors: bool = True, check: Callable[[dict], dict] | None = None, again: tuple[str, ...] = ("rate_limit", "429"), progress: Progress | None = None, log: CallLog | None = None, rate: float | None = None) -> DataFrame:
     """Rows through a client made once a partition, ``workers`` calls at a time in the order of the rows.
 
-    ``check`` may refuse an answer. With ``errors`` a failure is a row with its message in ``error``. ``progress`` is called
-    on the executor with the rows done so far. Partitions stay as they are.
+    ``check`` may refuse an answer. With ``errors`` a failure is a row with its message in ``error``. ``progress`` counts
+    the rows done, ``log`` keeps answers over retries and restarts, ``rate`` is the most calls a second of all tasks together. Partitions
+    stay as they are.
     """
+    context = rows.sparkSession.sparkContext
+    # no more tasks run at once than there are slots
+    tasks = max(1, min(context.defaultParallelism, rows.rdd.getNumPartitions())) if rate else 1
+    done_by = progress.done if progress else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call, done = with_retry(make(), again=again), 0
+        call, done, pace = make(), 0, Pace(rate, tasks) if rate else None
+
+        def paced(row: dict) -> dict:
+            if pace:
+                pace()
+            return call(row)
+
+        tried = with_retry(paced, again=again)
 
         def one(row: dict) -> dict:
             start = time.time()
             try:
-                got = call(row)
-                got = {**(check(got) if check else got), "error": None}
+                got = log.get(row) if log else None
+                if got is None:
+                    got = tried(row)
+                    got = check(got) if check else got
+                    if log:
+                        log.put(row, got)
+                got = {**got, "error": None}
             except Exception as error:
                 if not errors:
                     raise
@@ -142,8 +253,8 @@ def apply_model(rows: DataFrame, make: Callable[[], Callable[[dict], dict]], sch
             for batch in batches:
                 out = list(pool.map(one, batch.to_dict("records")))
                 done += len(out)
-                if progress:
-                    progress(done)
+                if done_by:
+                    done_by.add({TaskContext.get().partitionId(): done})
                 yield pd.DataFrame(out)
 
     names = [part.split()[0] for part in schema.split(", ")]

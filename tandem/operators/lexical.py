@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tandem.functions import text as X
 from tandem.operators.quantiles import quantiles, with_quantiles
+from tandem.sources.staging import stage
 
 
 def ttr(tokens) -> Column:
@@ -138,14 +139,22 @@ def bleu_tokens(text: Column, profile: X.Profile) -> Column:
 
 
 def checked_bleu(texts: DataFrame, group: list[str], profile: X.Profile, order: int = 4) -> DataFrame:
-    """Self-BLEU statistics of (group, key, text) with the checks on its input.
+    """``checked_token_bleu`` of (group, key, text), with a language's tokens."""
+    return checked_token_bleu(with_bleu_tokens(texts, group, profile), group, order)
+
+
+def with_bleu_tokens(texts: DataFrame, group: list[str], profile: X.Profile) -> DataFrame:
+    return texts.select(*group, "key", "text", F.when(~X.blank(F.col("text")), bleu_tokens(F.col("text"), profile)).alias("tokens"))
+
+
+def checked_token_bleu(tokens: DataFrame, group: list[str], order: int = 4) -> DataFrame:
+    """Self-BLEU statistics of (group, key, text, tokens) with the checks on its input.
 
     A group fails, with null statistics and the cause in ``failure``, when more than a fifth of its texts are blank, when
     fewer than two have tokens, or when more than a tenth of the scores fail. Duplicates are counted and stay.
     """
     if not 1 <= order <= 4:
         raise ValueError(f"order must be 1 to 4, not {order}")
-    tokens = texts.select(*group, "key", "text", F.when(~X.blank(F.col("text")), bleu_tokens(F.col("text"), profile)).alias("tokens"))
     counts = tokens.groupBy(*group).agg(F.count("*").alias("num_texts"), F.count_if(X.blank(F.col("text"))).alias("num_empty"), F.count_if(F.size("tokens") > 0).alias("valid"), (F.count("text") - F.count_distinct("text")).alias("num_duplicates"))
     scores = bleu_summary(self_bleu(tokens.where(F.size("tokens") > 0), group, "key", order=order), group).withColumnRenamed("mean", "self_bleu")
     cause = F.when(F.col("num_empty") * 5 > F.col("num_texts"), "too many empty texts").when(F.col("valid") < 2, "fewer than two valid texts").when(F.col("failed") * 10 > F.col("valid"), "too many failed scores")
@@ -154,5 +163,6 @@ def checked_bleu(texts: DataFrame, group: list[str], profile: X.Profile, order:
 
 
 def bleu_summary(scores: DataFrame, group: list[str]) -> DataFrame:
+    scores = stage(scores.select(*group, "bleu"))  # read by every pass of the median
     base = scores.groupBy(*group).agg(F.avg("bleu").alias("mean"), F.stddev_pop("bleu").alias("std"), F.min("bleu").alias("min"), F.max("bleu").alias("max"), F.count("bleu").alias("n"), F.count_if(F.col("bleu").isNull()).alias("failed"))
     return with_quantiles(base, quantiles(scores, group, ["bleu"]), group, {"bleu_0.5": "median"})

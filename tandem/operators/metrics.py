@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions import text as X
 from tandem.operators import lexical as L
+from tandem.operators import similarity as M
 from tandem.operators.quantiles import quantiles, with_quantiles
 
 # The names a column may have in a metric file, the first that is there counts.
@@ -51,24 +52,42 @@ def diversity_statistics(frame: DataFrame) -> DataFrame:
     return with_quantiles(base, quantiles(named, ["model_name"], ["ttr", "mattr"]), ["model_name"], {f"{c}_0.5": f"median_{c}" for c in ("ttr", "mattr")})
 
 
-def conversation_metrics(conversations: DataFrame, language: str, limit: int | None = None, bleu: bool = True, window: int = 100) -> DataFrame:
-    """TTR and MATTR of each conversation (model_name, conversation_id, turns) of two turns or more, and the Self-BLEU of its model's levels.
+def conversation_metrics(conversations: DataFrame, language: str, **options) -> DataFrame:
+    """``metrics_of_languages`` of conversations (model_name, conversation_id, turns) of one language."""
+    return metrics_of_languages(conversations.withColumn("language", F.lit(language)), **options).drop("language")
 
-    ``limit`` keeps the first conversations of each model. A level that fails has null statistics.
+
+def metrics_of_languages(conversations: DataFrame, embeddings: DataFrame | None = None, limit: int | None = None, bleu: bool = True, window: int = 100) -> DataFrame:
+    """TTR and MATTR of each conversation (language, model_name, conversation_id, turns) of two turns or more, and the Self-BLEU of its model's levels.
+
+    Every language by its own profile; others go. ``limit`` keeps the first conversations of each model. A level that fails
+    has null statistics. With ``embeddings`` (model_name, conversation_id, embedding) the similarity of the model's
+    different texts is there too, null where there are fewer than two.
     """
-    profile = X.PROFILES[language]
-    kept = conversations.where(F.size("turns") >= 2)
+    group = ["language", "model_name"]
+    keys = [*group, "conversation_id"]
+    kept = conversations.where((F.size("turns") >= 2) & F.col("language").isin(*X.PROFILES))
     if limit:
-        kept = kept.withColumn("_at", F.row_number().over(Window.partitionBy("model_name").orderBy("conversation_id"))).where(F.col("_at") <= limit).drop("_at")
-    keys = ["model_name", "conversation_id"]
-    tokens = kept.select(*keys, X.tokens(X.clean(X.formatted(F.col("turns")), profile)).alias("tokens"))
+        kept = kept.withColumn("_at", F.row_number().over(Window.partitionBy(*group).orderBy("conversation_id"))).where(F.col("_at") <= limit).drop("_at")
+    whole, cleaned = X.formatted(F.col("turns")), F.lit(None).cast("string")
+    for language, profile in X.PROFILES.items():
+        cleaned = F.when(F.col("language") == language, X.clean(whole, profile)).otherwise(cleaned)
+    tokens = kept.select(*keys, X.tokens(cleaned).alias("tokens"))
     out = tokens.select(*keys, L.ttr(F.col("tokens")).alias("ttr")).join(L.mattr(tokens, keys, window=window), keys)
     if bleu:
-        levels = L.checked_bleu(L.level_texts(kept, profile, ["model_name"]), ["model_name", "level"], profile)
-        wide = levels.groupBy("model_name").pivot("level", ["full", "agent", "client", *(["turns"] if profile.unit == "turn" else [])]).agg(F.first("self_bleu"))
+        found = None
+        for language, profile in X.PROFILES.items():
+            texts = L.level_texts(kept.where(F.col("language") == language), profile, group)
+            own = L.with_bleu_tokens(texts, [*group, "level"], profile)
+            found = own if found is None else found.unionByName(own)
+        scores = L.checked_token_bleu(found, [*group, "level"])
         names = {"full": "full_conversation", "agent": "agent_response", "client": "client_response", "turns": "all_turns"}
-        wide = wide.select("model_name", *(F.col(c).alias(f"dataset_{names[c]}_self_bleu_self_bleu") for c in wide.columns if c != "model_name"))
-        out = out.join(F.broadcast(wide), "model_name", "left")
+        wide = scores.groupBy(*group).pivot("level", list(names)).agg(F.first("self_bleu"))
+        out = out.join(wide.select(*group, *(F.col(level).alias(f"dataset_{name}_self_bleu_self_bleu") for level, name in names.items())), group, "left")
+    if embeddings is not None:
+        texts = M.distinct_texts(kept.select(*keys, whole.alias("text")), group, "text", "conversation_id")
+        alike = M.similarity_summary(texts.join(embeddings, ["model_name", "conversation_id"]).select(*keys, "embedding"), group, "conversation_id", "embedding")
+        out = out.join(alike, group, "left")
     return out
 
 

@@ -93,39 +93,57 @@ def set_union_scores(spark, sf):
 
 
 def _turns(spark, sf):
-    return conversations(spark, sf).where("language = 'fi'").select(F.col("model").alias("model_name"), "conversation_id", X.turns(F.col("messages")).alias("turns"))
+    return conversations(spark, sf).select("language", F.col("model").alias("model_name"), "conversation_id", X.turns(F.col("messages")).alias("turns"))
 
 
-_FI = r"""c AS (SELECT model AS model_name, conv_id AS conversation_id, count(*) AS n, chr(10) || string_agg(role || ': ' || text, chr(10) ORDER BY turn) || chr(10) || '        ' AS t FROM turns WHERE language = 'fi' AND trim(text) <> '' GROUP BY ALL),
-cl AS (SELECT model_name, conversation_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '\[.*?\]', '', 'g'), '\(.*?\)', '', 'g') AS t FROM c WHERE n >= 2),
-tok AS (SELECT model_name, conversation_id, list_filter(regexp_extract_all(lower(t), '[\p{L}\p{N}_]+'), lambda x: x NOT IN ('hmmm', 'mhm', 'aha', 'okei', 'ok', 'joo')) AS t FROM cl),
-w AS (SELECT model_name, conversation_id, t, len(t) AS n, least(100, len(t)) AS w FROM tok WHERE len(t) > 0), s AS (SELECT model_name, conversation_id, w, unnest(range(1, CAST(n - w + 2 AS BIGINT))) AS i, t FROM w),
-m AS (SELECT model_name, conversation_id, sum(len(list_distinct(t[i : i + w - 1]))) / (max(w) * count(*)) AS mattr FROM s GROUP BY ALL),
-metrics AS (SELECT model_name, conversation_id, CASE WHEN len(t) = 0 THEN 0.0 ELSE len(list_distinct(t)) / len(t) END AS ttr, coalesce(mattr, 0.0) AS mattr FROM tok LEFT JOIN m USING (model_name, conversation_id))"""
+_FILLERS = "CASE language " + " ".join(f"WHEN '{name}' THEN {list(p.fillers)}" for name, p in X.PROFILES.items()) + " END"
+_METRICS = rf"""c AS (SELECT language, model AS model_name, conv_id AS conversation_id, count(*) AS n, chr(10) || string_agg(role || ': ' || text, chr(10) ORDER BY turn) || chr(10) || '        ' AS whole FROM turns WHERE trim(text) <> '' GROUP BY ALL),
+cl AS (SELECT language, model_name, conversation_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(whole, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '\[.*?\]', '', 'g'), '\(.*?\)', '', 'g') AS t FROM c WHERE n >= 2),
+tok AS (SELECT language, model_name, conversation_id, list_filter(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_]+'), lambda x: NOT list_contains({_FILLERS}, x)) AS t FROM cl),
+w AS (SELECT language, model_name, conversation_id, t, len(t) AS n, least(100, len(t)) AS w FROM tok WHERE len(t) > 0), s AS (SELECT language, model_name, conversation_id, w, unnest(range(1, CAST(n - w + 2 AS BIGINT))) AS i, t FROM w),
+m AS (SELECT language, model_name, conversation_id, sum(len(list_distinct(t[i : i + w - 1]))) / (max(w) * count(*)) AS mattr FROM s GROUP BY ALL),
+metrics AS (SELECT language, model_name, conversation_id, CASE WHEN len(t) = 0 THEN 0.0 ELSE len(list_distinct(t)) / len(t) END AS ttr, coalesce(mattr, 0.0) AS mattr FROM tok LEFT JOIN m USING (language, model_name, conversation_id))"""
 
 
-@query(f"WITH {_FI} SELECT model_name, conversation_id, round(ttr, 6) AS ttr, round(mattr, 6) AS mattr FROM metrics", "turns")
+@query(f"WITH {_METRICS} SELECT language, model_name, conversation_id, round(ttr, 6) AS ttr, round(mattr, 6) AS mattr FROM metrics", "turns")
 def drv_conversation_metrics(spark, sf):
-    return rounded(C.conversation_metrics(_turns(spark, sf), "fi", bleu=False), "ttr", "mattr")
+    return rounded(C.metrics_of_languages(_turns(spark, sf), bleu=False), "ttr", "mattr")
 
 
 @query()
 def drv_conversation_metrics_bleu(spark, sf):
-    return C.conversation_metrics(_turns(spark, sf), "fi")
+    return C.metrics_of_languages(_turns(spark, sf))
 
 
-@query(f"WITH {_FI} SELECT model_name, count(*) AS conversations, round(avg(ttr), 6) AS ttr, round(avg(mattr), 6) AS mattr, CAST(arg_min(conversation_id % 7, conversation_id) AS DOUBLE) AS avg_similarity, 0.0::DOUBLE AS std_similarity FROM metrics GROUP BY model_name", "turns")
+_ALIKE = """u AS (SELECT language, model_name, conversation_id FROM (SELECT *, row_number() OVER (PARTITION BY language, model_name, whole ORDER BY conversation_id) AS rn FROM c WHERE n >= 2) WHERE rn = 1),
+v AS (SELECT u.*, CAST(embedding AS DOUBLE[]) AS e FROM u JOIN embeddings ON vec_id = conversation_id),
+alike AS (SELECT a.model_name, avg(list_cosine_similarity(a.e, b.e)) AS avg_similarity, stddev_pop(list_cosine_similarity(a.e, b.e)) AS std_similarity, max(list_cosine_similarity(a.e, b.e)) AS max_similarity, quantile_cont(list_cosine_similarity(a.e, b.e), 0.5) AS median_similarity FROM v a JOIN v b ON a.language = b.language AND a.model_name = b.model_name AND a.conversation_id < b.conversation_id GROUP BY a.model_name)"""
+
+
+def _alike(spark, sf):
+    """The metrics with the similarity of each model's conversations, whose vectors are those of the same number."""
+    turns = _turns(spark, sf)
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("conversation_id"), "embedding")
+    own = turns.select("model_name", "conversation_id").join(vectors, "conversation_id")
+    return C.metrics_of_languages(turns, own, bleu=False)
+
+
+@query(f"WITH {_METRICS}, {_ALIKE} SELECT model_name, count(*) AS conversations, round(avg(ttr), 6) AS ttr, round(avg(mattr), 6) AS mattr, round(coalesce(any_value(avg_similarity), 0.0), 6) AS avg_similarity, round(coalesce(any_value(std_similarity), 0.0), 6) AS std_similarity FROM metrics LEFT JOIN alike USING (model_name) GROUP BY model_name", "turns")
 def agg_model_table(spark, sf):
     """Means by model, and columns of the whole model by its first row, 0 where absent."""
-    m = C.conversation_metrics(_turns(spark, sf), "fi", bleu=False)
-    m = m.withColumn("avg_similarity", (F.col("conversation_id") % 7).cast("double")).withColumn("std_similarity", F.lit(None).cast("double"))
-    return rounded(C.model_table(m), "ttr", "mattr")
+    return rounded(C.model_table(_alike(spark, sf)), "ttr", "mattr", "avg_similarity", "std_similarity")
 
 
-@query(f"WITH {_FI} SELECT model_name, {', '.join(f'round({f}({c}), 6) AS {n}_{c}' for c in ('ttr', 'mattr') for n, f in (('mean', 'avg'), ('std', 'stddev_samp'), ('min', 'min'), ('max', 'max'), ('median', 'median')))} FROM metrics GROUP BY model_name", "turns")
+@query(f"WITH {_METRICS}, {_ALIKE} SELECT language, model_name, conversation_id, round(ttr, 6) AS ttr, round(max_similarity, 6) AS max_similarity, round(median_similarity, 6) AS median_similarity FROM metrics LEFT JOIN alike USING (model_name)", "turns")
+def drv_conversation_similarity(spark, sf):
+    found = _alike(spark, sf)
+    return rounded(found.select("language", "model_name", "conversation_id", "ttr", "max_similarity", "median_similarity"), "ttr", "max_similarity", "median_similarity")
+
+
+@query(f"WITH {_METRICS} SELECT model_name, {', '.join(f'round({f}({c}), 6) AS {n}_{c}' for c in ('ttr', 'mattr') for n, f in (('mean', 'avg'), ('std', 'stddev_samp'), ('min', 'min'), ('max', 'max'), ('median', 'median')))} FROM metrics GROUP BY model_name", "turns")
 def agg_diversity_statistics(spark, sf):
     """Statistics of columns found by their aliases."""
-    m = C.conversation_metrics(_turns(spark, sf), "fi", bleu=False).withColumnRenamed("ttr", "type_token_ratio").withColumnRenamed("mattr", "lexical_diversity_moving_avg_ttr")
+    m = C.metrics_of_languages(_turns(spark, sf), bleu=False).withColumnRenamed("ttr", "type_token_ratio").withColumnRenamed("mattr", "lexical_diversity_moving_avg_ttr")
     found = C.diversity_statistics(m)
     return rounded(found, *(c for c in found.columns if c != "model_name"))
 
@@ -166,11 +184,12 @@ def prj_bleu_tokens(spark, sf):
 def stat_self_bleu_levels(spark, sf):
     """Self-BLEU statistics of every level, model and language, with the checks on the input."""
     out = None
+    group = ["language", "model", "level"]
     for language, profile in X.PROFILES.items():
         c = conversations(spark, sf).where(F.col("language") == language).select("language", "model", "conversation_id", X.turns(F.col("messages")).alias("turns"))
-        found = L.checked_bleu(L.level_texts(c.where(F.size("turns") > 0), profile, ["language", "model"]), ["language", "model", "level"], profile)
-        out = found if out is None else out.unionByName(found)
-    return out
+        own = L.with_bleu_tokens(L.level_texts(c.where(F.size("turns") > 0), profile, group[:2]), group, profile)
+        out = own if out is None else out.unionByName(own)
+    return L.checked_token_bleu(out, group)
 
 
 @query("WITH j AS (SELECT DISTINCT judge_model FROM predictions), used AS (SELECT p.judge_model, unnest(['industry', 'problem', 'channel', 'agent_experience', 'agent_type']) AS category, unnest([t.industry, t.problem, t.channel, t.agent_experience, t.agent_type]) AS y_true, unnest([p.industry, p.problem, p.channel, p.agent_experience, p.agent_type]) AS y_pred FROM predictions p JOIN truth t ON p.generator_model = t.generator_model AND p.conversation_id = t.conversation_id WHERE p.judge_model <> 'judge2') SELECT judge_model, category, count(y_true) AS n, count(DISTINCT y_true) AS true_labels, count(DISTINCT y_pred) AS predicted_labels, round(coalesce(avg(CAST(y_true = y_pred AS INT)), 0.0), 6) AS accuracy FROM j CROSS JOIN (SELECT unnest(['industry', 'problem', 'channel', 'agent_experience', 'agent_type']) AS category) LEFT JOIN (SELECT * FROM used WHERE y_true IS NOT NULL AND y_pred IS NOT NULL) u USING (judge_model, category) GROUP BY ALL", "predictions", "truth")

@@ -382,27 +382,27 @@ def win_mattr(spark, sf):
     return _rounded(L.mattr(_tokens(spark, sf), ["doc_id"]), "mattr")
 
 
-BLEU_DOCS = r"d AS (SELECT model, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS key, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM turns WHERE role = 'assistant')"
+BLEU_DOCS = r"d AS (SELECT model, role, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS key, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM turns)"
 
 
 def _bleu_docs(spark, sf):
-    t = view(spark, sf, "turns").where("role = 'assistant'")
-    return t.select("model", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), X.tokens(F.col("text")).alias("tokens"))
+    t = view(spark, sf, "turns")
+    return t.select("model", "role", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), X.tokens(F.col("text")).alias("tokens"))
 
 
-@query(rf"WITH {BLEU_DOCS}, e AS (SELECT model, key, n, unnest(list_transform(range(1, CAST(len(t) - n + 2 AS BIGINT)), lambda i: array_to_string(t[i : i + n - 1], chr(31)))) AS g FROM d, (VALUES (1), (2), (3), (4)) v(n) WHERE len(t) >= n), c AS (SELECT model, key, n, g, count(*) AS c FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY model, n, g ORDER BY c DESC, key DESC) AS rn FROM c), t AS (SELECT model, n, g, max(c) FILTER (rn = 1) AS c1, max(key) FILTER (rn = 1) AS d1, max(c) FILTER (rn = 2) AS c2 FROM r GROUP BY ALL) SELECT model, key, n, CAST(sum(least(c, CASE WHEN key = d1 THEN coalesce(c2, 0) ELSE c1 END)) AS BIGINT) AS clipped, CAST(sum(c) AS BIGINT) AS total FROM c JOIN t USING (model, n, g) GROUP BY ALL", "turns")
+@query(rf"WITH {BLEU_DOCS}, e AS (SELECT model, role, key, n, unnest(list_transform(range(1, CAST(len(t) - n + 2 AS BIGINT)), lambda i: array_to_string(t[i : i + n - 1], chr(31)))) AS g FROM d, (VALUES (1), (2), (3), (4)) v(n) WHERE len(t) >= n), c AS (SELECT model, role, key, n, g, count(*) AS c FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY model, role, n, g ORDER BY c DESC, key DESC) AS rn FROM c), t AS (SELECT model, role, n, g, max(c) FILTER (rn = 1) AS c1, max(key) FILTER (rn = 1) AS d1, max(c) FILTER (rn = 2) AS c2 FROM r GROUP BY ALL) SELECT model, role, key, n, CAST(sum(least(c, CASE WHEN key = d1 THEN coalesce(c2, 0) ELSE c1 END)) AS BIGINT) AS clipped, CAST(sum(c) AS BIGINT) AS total FROM c JOIN t USING (model, role, n, g) GROUP BY ALL", "turns")
 def stat_self_bleu_counts(spark, sf):
-    return L.self_bleu_counts(_bleu_docs(spark, sf), ["model"], "key")
+    return L.self_bleu_counts(_bleu_docs(spark, sf), ["model", "role"], "key")
 
 
 @query()
 def stat_self_bleu(spark, sf):
-    return L.self_bleu(_bleu_docs(spark, sf), ["model"], "key")
+    return L.self_bleu(_bleu_docs(spark, sf), ["model", "role"], "key")
 
 
 @query()
 def agg_self_bleu(spark, sf):
-    return L.bleu_summary(L.self_bleu(_bleu_docs(spark, sf), ["model"], "key"), ["model"])
+    return L.bleu_summary(L.self_bleu(_bleu_docs(spark, sf), ["model", "role"], "key"), ["model", "role"])
 
 
 @query("SELECT source, lang, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std, min(n_chars) AS min, max(n_chars) AS max, quantile_cont(n_chars, 0.5) AS median FROM documents GROUP BY ALL")

@@ -42,6 +42,13 @@ def conversation_files(spark: SparkSession, patterns: list[str], model: str | No
     return found.orderBy("path")
 
 
+def planned(frame: DataFrame) -> dict[str, int | None]:
+    """Bytes, and rows where they are known, that the optimised plan's statistics expect of a frame. No job is started."""
+    stats = frame._jdf.queryExecution().optimizedPlan().stats()
+    rows = stats.rowCount()
+    return {"bytes": int(str(stats.sizeInBytes())), "rows": int(str(rows.get())) if rows.isDefined() else None}
+
+
 def detect_languages(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The languages of result files, by the source of their first rows or else by their names; unknown ones go."""
     rows = read_jsonl(spark, paths, S.JUDGE).withColumn("path", F.input_file_name())
@@ -288,10 +295,10 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def write_metrics(frames: dict[str, DataFrame], path: str) -> None:
-    """Metric rows of all models in one CSV with ``model_name``; columns that a model lacks are empty."""
-    out = None
-    for model, frame in frames.items():
+def write_metrics(frames: dict[str, DataFrame] | DataFrame, path: str) -> None:
+    """Metric rows of all models in one CSV with ``model_name``: one frame that has it, or frames by model; columns that a model lacks are empty."""
+    out = frames if isinstance(frames, DataFrame) else None
+    for model, frame in ({} if out is not None else frames).items():
         named = frame.withColumn("model_name", F.lit(model))
         out = named if out is None else out.unionByName(named, allowMissingColumns=True)
     out.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)

@@ -140,7 +140,12 @@ def test_ranks_of_replicates_against_plain_ones(monkeypatch):
     rows = [("q", rep, lang, m, 1.0 if lang == "c" else float(rng.integers(0, 5))) for rep in range(7) for lang in "abc" for m in "uvwxyz" if (lang, m) != ("b", "v")]
     frame = pd.DataFrame(rows, columns=["metric", "rep", "language", "model", "mean"]).sample(frac=1, random_state=1)
     monkeypatch.setattr(R, "PAIRED", 60)  # replicates in several slices
-    got = R._rank_pairs(frame)
+    # sums of a block's replicates, of models of four rows in two chunks
+    blocks = []
+    for (lang, m), own in frame.groupby(["language", "model"]):
+        sums = own.sort_values("rep")["mean"].to_numpy() * 4
+        blocks += [("q", lang, m, sums * 0.25, 4), ("q", lang, m, sums * 0.75, 4)]
+    got = R._rank_pairs(pd.DataFrame(blocks, columns=["metric", "language", "model", "sums", "total"]))
     assert len(got) == 3 * 7 and got[got["l2"] == "c"][["tau", "rho"]].isna().all().all()
     mine = got[got["l2"] == "b"]
     for rep, (tau, rho) in enumerate(zip(mine["tau"], mine["rho"], strict=True)):
@@ -300,7 +305,7 @@ def test_clients_and_embeddings(spark, monkeypatch):
     assert config.name == "org/m" and G.ClientConfig("org/m", "org").name == "org/m" and "key" not in repr(config).replace("key_variable", "")
     configure = lambda spark, n: G.sample_configs(spark, n, {"language": ["et"]}, ["A"])
     prompt = lambda rows: X.config_prompt({"language": rows["language"], "n_messages": rows["n_messages"]})
-    make = G.client(config, G.echo(lambda p: {"score": len(p) % 9}))
+    make = G.client(config, lambda prompt, key, config: json.dumps({"score": len(prompt) % 9}))
     rows = G.generated(spark, 20, configure, prompt, make, "id long, prompt string, score double, error string, processing_time double", check=G.within({"score": 4})).collect()
     for r in rows:
         expected = len(r.prompt) % 9
@@ -324,21 +329,6 @@ def test_pluggable_tokenizer(spark):
             X.parse_languages(bad, ("et",))
 
 
-def test_similarity_by_blocks(spark):
-    import numpy as np
-
-    from tandem.operators import similarity as M
-
-    rng = np.random.default_rng(1)
-    rows = [("g" if i % 3 else "h", i, rng.normal(size=4).tolist()) for i in range(40)] + [("g", 99, [0.0] * 4)]
-    frame = spark.createDataFrame(rows, "g string, k long, v array<double>")
-    cos = lambda a, b: float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b)))
-    want = {(a[1], b[1]): cos(a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] != 99}
-    for block in (1000, 5):
-        got = {tuple(sorted((r.a, r.b))): r.similarity for r in M.pair_similarity(frame, ["g"], "k", "v", block).collect()}
-        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
-
-
 def test_bootstrap_in_chunks(spark, monkeypatch):
     """Means of resampled rows, drawn in several chunks, spread as those drawn at once."""
     monkeypatch.setattr(R, "CHUNK", 50)
@@ -362,7 +352,15 @@ def test_commands(spark, tmp_path):
     assert io.read_analysis(spark, f"{tmp_path}/analysis.json", "metric: string, tau: double").count() == 2
     assert {(r.language, r.n) for r in go("combine", f"{tmp_path}/convo_*.jsonl", "--output", str(tmp_path / "out")).collect()} == {("et", 2), ("fi", 2), (None, 4)}
     assert io.read_grouped(spark, f"{tmp_path}/out/combined_mixed").count() == 4
-    assert go("--dry-run", "combine", f"{tmp_path}/convo_*.jsonl").count() == 2
+    spark.sparkContext.setJobGroup("dry", "dry")
+    try:  # a dry run starts no job
+        shown = [go("--dry-run", *a) for a in (("combine", f"{tmp_path}/convo_*.jsonl"), ("rank", f"{tmp_path}/judge_*.jsonl"), ("metrics", f"{tmp_path}/out/combined_mixed", "--language", "et"))]
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("dry")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [(r.part, r.model, r.language, r.rows) for r in shown[0][:2]] == [("files", "g", "et", 1), ("files", "g", "fi", 1)]
+    assert all(r.bytes > 0 for rows in shown for r in rows if r.part in ("input", "result"))
+    assert {(r.model, r.metric, r.n) for r in go("judge", f"{tmp_path}/judge_*.jsonl").collect()} == {(f"m{m}", k, 12) for m in range(3) for k in "GR"}
     table = go("metrics", f"{tmp_path}/out/combined_mixed", "--language", "et", "--output", str(tmp_path / "m.csv"))
     assert one(table).conversations == 4 and io.read_csv(spark, str(tmp_path / "m.csv")).count() == 4
     with pytest.raises(ValueError):
