@@ -9,11 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Items up to which the counts of permutations are added up; beyond, their normal approximation is as good.
+EXACT = 33
+
+
 def kendall_exact_p(n: int, discordant: int) -> float:
-    """Two-sided p of ``discordant`` inversions among n items without ties, from the counts of permutations."""
+    """Two-sided p of ``discordant`` inversions among n items without ties: from the counts of permutations, or for many items the normal approximation."""
     if n < 2:
         return float("nan")
-    low = min(discordant, n * (n - 1) // 2 - discordant)
+    pairs = n * (n - 1) // 2
+    low = min(discordant, pairs - discordant)
+    if 2 * low == pairs:
+        return 1.0
+    if low < 2:  # one permutation has no inversion, n - 1 have one
+        return min(1.0, 2 * math.exp(math.log(n if low else 1) - math.lgamma(n + 1)))
+    if n > EXACT:
+        return math.erfc((pairs - 2 * low) / math.sqrt(n * (n - 1) * (2 * n + 5) / 18) / math.sqrt(2))
     counts = [1]
     for size in range(2, n + 1):
         wide = [0] * (len(counts) + size - 1)
@@ -21,8 +32,6 @@ def kendall_exact_p(n: int, discordant: int) -> float:
             for j in range(size):
                 wide[i + j] += c
         counts = wide
-    if 2 * low == n * (n - 1) // 2:
-        return 1.0
     return min(1.0, 2 * sum(counts[: low + 1]) / math.factorial(n))
 
 

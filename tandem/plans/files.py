@@ -115,21 +115,21 @@ def src_judge_scores(spark, sf):
     return io.judge_scores(io.read_judge_results(spark, at))
 
 
-@query("SELECT 'unknown' AS language, p.generator_model AS model, 'LRA' AS metric, CAST(p.conversation_id AS INT) AS conversation_id, CASE WHEN p.industry = t.industry AND p.problem = t.problem THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM predictions p JOIN truth t ON p.conversation_id = t.conversation_id WHERE p.judge_model = 'judge1' AND p.conversation_id % 3 <> 0", "predictions", "truth")
+@query("SELECT 'unknown' AS language, p.generator_model AS model, 'LRA' AS metric, CAST(p.conversation_id AS INT) AS conversation_id, CASE WHEN p.industry = t.industry AND p.problem = t.problem THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM predictions p JOIN truth t ON p.conversation_id = t.conversation_id WHERE p.conversation_id % 3 <> 0", "predictions", "truth")
 def src_label_scores(spark, sf):
     at = folder(spark)
-    p = view(spark, sf, "predictions").where("judge_model = 'judge1'").withColumnRenamed("industry", "predicted_industry").withColumn("source_file", F.lit("plain"))
+    p = view(spark, sf, "predictions").withColumnRenamed("industry", "predicted_industry").withColumn("source_file", F.lit("plain"))
     io.write_jsonl(p, f"{at}/labels.jsonl")
     items = view(spark, sf, "truth").where("conversation_id % 3 <> 0").agg(F.to_json(F.collect_list(F.struct("conversation_id", "industry", "problem"))).alias("value"))
     truth = io.read_ground_truth(spark, [put(items, f"{at}/truth.json")], "C")
     return io.label_scores(io.read_label_results(spark, f"{at}/labels.jsonl"), truth)
 
 
-@query("SELECT CAST(conversation_id AS INT) AS conversation_id, CASE conversation_id % 2 WHEN 0 THEN generator_model ELSE 'unknown' END AS generator_model, CASE conversation_id % 3 WHEN 0 THEN 'judge1' ELSE 'gpt-5' END AS judge_model, industry FROM predictions WHERE judge_model = 'judge1'", "predictions")
+@query("SELECT CAST(conversation_id AS INT) AS conversation_id, CASE conversation_id % 2 WHEN 0 THEN generator_model ELSE 'unknown' END AS generator_model, CASE conversation_id % 3 WHEN 0 THEN judge_model ELSE 'gpt-5' END AS judge_model, industry FROM predictions", "predictions")
 def src_label_results(spark, sf):
     """Absent models are unknown; a judge that is absent or unknown is named by the file."""
     k = F.col("conversation_id")
-    p = view(spark, sf, "predictions").where("judge_model = 'judge1'")
+    p = view(spark, sf, "predictions")
     p = p.withColumn("generator_model", F.when(k % 2 == 0, F.col("generator_model"))).withColumn("judge_model", F.when(k % 3 == 0, F.col("judge_model")).when(k % 3 == 1, "unknown"))
     path = put(p.select(F.to_json(F.struct(*p.columns)).alias("value")), f"{folder(spark)}/label_recovery_gpt-5_et_20260127-143052.jsonl")
     return io.read_label_results(spark, path).select("conversation_id", "generator_model", "judge_model", "industry")
@@ -160,13 +160,13 @@ def src_ground_truth_models(spark, sf):
     return out.select("kind", "generator_model", "conversation_id", *CATEGORIES)
 
 
-@query("SELECT 'a, \"b\"' AS model_name, doc_id AS conversation_id, round(n_chars / 7.0, 3) AS ttr, NULL::DOUBLE AS mattr FROM documents WHERE source = 'src1' UNION ALL SELECT 'c', doc_id, NULL, round(n_chars / 3.0, 3) FROM documents WHERE source = 'src2'")
+@query("SELECT 'a, \"b\"' AS model_name, doc_id AS conversation_id, round(n_chars / 7.0, 3) AS ttr, NULL::DOUBLE AS mattr FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'c', doc_id, NULL, round(n_chars / 3.0, 3) FROM documents WHERE doc_id % 2 = 1")
 def snk_metrics(spark, sf):
     """Metric rows of two models in one CSV file, each without a column of the other's, read by the language's code."""
     d = spark.read.parquet(f"{sf}/documents.parquet")
     at = folder(spark)
-    own = lambda source, column, by: d.where(F.col("source") == source).select(F.col("doc_id").alias("conversation_id"), F.round(F.col("n_chars") / by, 3).alias(column))
-    io.write_metrics({'a, "b"': own("src1", "ttr", 7.0), "c": own("src2", "mattr", 3.0)}, f"{at}/finnish_conversation_metrics.csv")
+    own = lambda odd, column, by: d.where(F.col("doc_id") % 2 == odd).select(F.col("doc_id").alias("conversation_id"), F.round(F.col("n_chars") / by, 3).alias(column))
+    io.write_metrics({'a, "b"': own(0, "ttr", 7.0), "c": own(1, "mattr", 3.0)}, f"{at}/finnish_conversation_metrics.csv")
     rows = longs(io.metrics_of(spark, at, "fi"), "conversation_id")
     return rows.select("model_name", "conversation_id", F.col("ttr").cast("double").alias("ttr"), F.col("mattr").cast("double").alias("mattr"))
 
@@ -231,14 +231,14 @@ def snk_display(spark, sf):
     return longs(io.display(d, 2), "doc_id")
 
 
-@query("SELECT * FROM (VALUES ('one', 5), ('many', 2)) t(kind, n)")
+@query("SELECT 'one' AS kind, CAST(5 AS BIGINT) AS n UNION ALL SELECT 'many', count(DISTINCT conv_id) FROM conversations")
 def snk_generated(spark, sf):
     """One generated conversation is an indented object, several are JSON lines."""
     at = folder(spark)
     c = conversations(spark, sf).select("conversation_id", F.lit("x").alias("subject"), F.lit(None).cast("string").alias("note")).orderBy("conversation_id")
     io.write_generated(c.limit(1).withColumn("note", F.lit("é")), f"{at}/one")
-    io.write_generated(c.limit(2), f"{at}/many")
-    lines = lambda name: spark.read.text(f"{at}/{name}").agg(F.lit(name).alias("kind"), F.count("*").cast("int").alias("n"))
+    io.write_generated(c, f"{at}/many")
+    lines = lambda name: spark.read.text(f"{at}/{name}").agg(F.lit(name).alias("kind"), F.count("*").alias("n"))
     return lines("one").unionByName(lines("many"))
 
 

@@ -60,9 +60,19 @@ def stat_rank_inversions(spark, sf):
     return _rounded(R.inversions(R.ranks(view(spark, sf, "scores"))), "rate", "tau", "rho")
 
 
-@query()
+# The exact distribution of inversions by its recursion, and Student's t with whole degrees of freedom by its finite sum.
+P_VALUES = f"""WITH RECURSIVE {INVERSIONS[5 : INVERSIONS.index("SELECT metric, l1, l2, models, pairs")].rstrip()},
+base AS (SELECT metric, l1, l2, models, pairs, inversions, least(inversions, pairs - inversions) AS low, rho, models - 2 AS df, atan(rho * sqrt((models - 2) / (1 - rho * rho)) / sqrt(models - 2)) AS angle FROM flips JOIN rho USING (metric, l1, l2)),
+counts(n, k, c) AS (SELECT 1::BIGINT, 0::BIGINT, 1.0::DOUBLE UNION ALL SELECT n + 1, k + j, sum(c) FROM (SELECT n, k, c, unnest(range(0, n + 1)) AS j FROM counts WHERE n < 33) GROUP BY n, k + j),
+tails AS (SELECT n, k, sum(c) OVER (PARTITION BY n ORDER BY k) / sum(c) OVER (PARTITION BY n) AS below FROM counts),
+t AS (SELECT *, CASE WHEN df % 2 = 0 THEN sin(abs(angle)) * list_sum(list_transform(range(0, df // 2), lambda j: pow(cos(angle), 2 * j) * coalesce(list_product(list_transform(range(1, j + 1), lambda i: (2 * i - 1) / (2 * i))), 1)))
+ELSE 2 / pi() * (abs(angle) + sin(abs(angle)) * coalesce(list_sum(list_transform(range(0, (df - 1) // 2), lambda j: pow(cos(angle), 2 * j + 1) * coalesce(list_product(list_transform(range(1, j + 1), lambda i: 2 * i / (2 * i + 1))), 1))), 0)) END AS inside FROM base)
+SELECT metric, l1, l2, models, pairs, inversions, round(inversions / pairs, 6) AS rate, round(1 - 2 * inversions / pairs, 6) AS tau, round(rho, 6) AS rho, round(CASE WHEN 2 * low = pairs THEN 1.0 ELSE least(1.0, 2 * below) END, 6) AS tau_p, round(1 - inside, 6) AS rho_p FROM t JOIN tails ON tails.n = models AND tails.k = low"""
+
+
+@query(P_VALUES, "scores")
 def stat_rank_p_values(spark, sf):
-    return R.with_p_values(R.inversions(R.ranks(view(spark, sf, "scores"))))
+    return _rounded(R.with_p_values(R.inversions(R.ranks(view(spark, sf, "scores")))), "rate", "tau", "rho", "tau_p", "rho_p")
 
 
 @query()
@@ -395,14 +405,23 @@ def stat_self_bleu_counts(spark, sf):
     return L.self_bleu_counts(_bleu_docs(spark, sf), ["model", "role"], "key")
 
 
-@query()
+BLEU = rf"""WITH {BLEU_DOCS}, e AS (SELECT model, role, key, n, unnest(list_transform(range(1, CAST(len(t) - n + 2 AS BIGINT)), lambda i: array_to_string(t[i : i + n - 1], chr(31)))) AS g FROM d, (VALUES (1), (2), (3), (4)) v(n) WHERE len(t) >= n), c AS (SELECT model, role, key, n, g, count(*) AS c FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY model, role, n, g ORDER BY c DESC, key DESC) AS rn FROM c), t AS (SELECT model, role, n, g, max(c) FILTER (rn = 1) AS c1, max(key) FILTER (rn = 1) AS d1, max(c) FILTER (rn = 2) AS c2 FROM r GROUP BY ALL), clips AS (SELECT model, role, key, n, CAST(sum(least(c, CASE WHEN key = d1 THEN coalesce(c2, 0) ELSE c1 END)) AS BIGINT) AS clipped, CAST(sum(c) AS BIGINT) AS total FROM c JOIN t USING (model, role, n, g) GROUP BY ALL),
+s AS (SELECT model, role, key, len(t) AS n FROM d WHERE len(t) > 0),
+near AS (SELECT a.model, a.role, a.key, arg_min(b.n, abs(b.n - a.n) * 1000000 + b.n) AS ref FROM s a JOIN s b ON a.model = b.model AND a.role = b.role AND a.key <> b.key GROUP BY ALL),
+h AS (SELECT s.*, ref, [coalesce(max(clipped) FILTER (clips.n = 1), 0), coalesce(max(clipped) FILTER (clips.n = 2), 0), coalesce(max(clipped) FILTER (clips.n = 3), 0), coalesce(max(clipped) FILTER (clips.n = 4), 0)] AS hit
+FROM s LEFT JOIN near ON s.model = near.model AND s.role = near.role AND s.key = near.key LEFT JOIN clips ON s.model = clips.model AND s.role = clips.role AND s.key = clips.key GROUP BY s.model, s.role, s.key, s.n, ref),
+b AS (SELECT model, role, key, n AS len, ref, CASE WHEN ref IS NULL THEN NULL WHEN hit[1] = 0 THEN 0.0 WHEN n > 1 THEN exp(CASE WHEN n > ref THEN 0.0 ELSE 1 - ref / n END
++ list_sum(list_transform([1, 2, 3, 4], lambda i: ln(CASE WHEN hit[i] > 0 THEN CAST(hit[i] AS DOUBLE) ELSE ln(n) / (5 * pow(2, len(list_filter(hit[2:i], lambda x: x = 0)))) END / greatest(n - i + 1, 1)) / 4))) END AS bleu FROM h)"""
+
+
+@query(f"{BLEU} SELECT model, role, key, len, ref, round(bleu, 6) AS bleu FROM b", "turns")
 def stat_self_bleu(spark, sf):
-    return L.self_bleu(_bleu_docs(spark, sf), ["model", "role"], "key")
+    return _longs(_rounded(L.self_bleu(_bleu_docs(spark, sf), ["model", "role"], "key"), "bleu"), "len", "ref")
 
 
-@query()
+@query(f"{BLEU} SELECT model, role, round(avg(bleu), 6) AS mean, round(stddev_pop(bleu), 6) AS std, round(quantile_cont(bleu, 0.5), 6) AS median, round(min(bleu), 6) AS min, round(max(bleu), 6) AS max, count(bleu) AS n, count(*) FILTER (bleu IS NULL) AS failed FROM b GROUP BY model, role", "turns")
 def agg_self_bleu(spark, sf):
-    return L.bleu_summary(L.self_bleu(_bleu_docs(spark, sf), ["model", "role"], "key"), ["model", "role"])
+    return _rounded(L.bleu_summary(L.self_bleu(_bleu_docs(spark, sf), ["model", "role"], "key"), ["model", "role"]), "mean", "std", "median", "min", "max")
 
 
 @query("SELECT source, lang, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std, min(n_chars) AS min, max(n_chars) AS max, quantile_cont(n_chars, 0.5) AS median FROM documents GROUP BY ALL")

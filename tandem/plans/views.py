@@ -43,4 +43,5 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(sql: str, *names: str) -> str:
     """DuckDB SQL with the views as common table expressions before it."""
     heads = ", ".join(f"{n} AS ({VIEWS[n].replace('STRING', 'VARCHAR')})" for n in names)
-    return f"WITH {heads}{', ' + sql[5:] if sql.startswith('WITH ') else ' ' + sql}"
+    start = next((w for w in ("WITH RECURSIVE ", "WITH ") if sql.startswith(w)), "")
+    return f"{start or 'WITH '}{heads}{', ' + sql[len(start) :] if start else ' ' + sql}"
