@@ -278,3 +278,37 @@ def parse_languages(given: str, known: tuple[str, ...]) -> list[str]:
     if unknown or not found:
         raise ValueError(f"unknown languages: {unknown}" if unknown else "no language given")
     return found
+
+
+# Fixed value: the form of times in the names of files.
+STAMP = "yyyyMMdd-HHmmss"
+
+
+def stamp(when: Column) -> Column:
+    return F.date_format(when, STAMP)
+
+
+def stamp_time(c: Column) -> Column:
+    """The time of a stamp; null where it has another form."""
+    return F.try_to_timestamp(c, F.lit(STAMP))
+
+
+def seconds_between(start: Column, end: Column) -> Column:
+    """Whole seconds."""
+    return F.unix_timestamp(F.date_trunc("second", end)) - F.unix_timestamp(F.date_trunc("second", start))
+
+
+def looked_up(values: Column, key: str, default: str) -> Column:
+    """The value of a key in a map, or the default."""
+    return F.coalesce(F.try_element_at(values, F.lit(key)), F.lit(default))
+
+
+def merged(first: Column, second: Column) -> Column:
+    """Both maps; of a key that both have, the second's value counts."""
+    own = F.map_filter(first, lambda key, _: ~F.array_contains(F.map_keys(second), key))
+    return F.map_concat(own, second)
+
+
+def parsed_values(c: Column) -> Column:
+    """The values of a flat JSON object, as strings, in its order; null where it isn't one."""
+    return F.map_values(F.from_json(c, "map<string,string>"))

@@ -118,3 +118,8 @@ def value_counts(ratings: DataFrame) -> DataFrame:
     counts = ratings.groupBy(F.col("rating_value").cast("string").alias("v")).agg(F.count("*").alias("n"))
     whole = counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("v", "n")))).alias("value_counts"))
     return ratings.agg(F.count_distinct("conversation_id").alias("conversations"), F.count_distinct("reviewer_name").alias("reviewers"), F.count_distinct("rating_category_name").alias("categories")).crossJoin(whole)
+
+
+def sorted_ratings(ratings: DataFrame) -> DataFrame:
+    """Ratings by conversation, then reviewer."""
+    return ratings.orderBy("conversation_id", "reviewer_name")

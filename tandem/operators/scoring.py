@@ -87,3 +87,15 @@ def category_scores_of_all(pairs: DataFrame, groups: DataFrame, keys: list[str])
 def overall_accuracy(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Mean and population deviation of accuracy over the categories that have rows."""
     return scores.where("n > 0").groupBy(*keys).agg(F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("std_accuracy"))
+
+
+def long_scores(judgements: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """A row for each metric of a judgement (metric, score); absent scores stay null."""
+    return judgements.unpivot(keys, metrics, "metric", "score")
+
+
+def recovery_scores(labels: DataFrame, truth: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
+    """(keys, extra, score) of labels that have truth: 1 where industry and problem are both right."""
+    own = truth.select(*keys, F.col("industry").alias("_industry"), F.col("problem").alias("_problem"))
+    right = (F.col("industry") == F.col("_industry")) & (F.col("problem") == F.col("_problem"))
+    return labels.join(own, keys).select(*keys, *extra, F.when(right, 1.0).otherwise(0.0).alias("score"))

@@ -74,3 +74,10 @@ def drop_blank(conversations: DataFrame) -> DataFrame:
     """Conversations without blank messages; a missing author is Unknown."""
     messages = F.filter("messages", lambda m: ~X.blank(m["message"]))
     return conversations.withColumn("messages", F.transform(messages, lambda m: m.withField("from_name", F.coalesce(X.truthy(m["from_name"]), F.lit("Unknown")))))
+
+
+def stacked(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Frames one under the other by the names of their columns; what a frame lacks is null."""
+    for other in others:
+        first = first.unionByName(other, allowMissingColumns=True)
+    return first

@@ -10,6 +10,7 @@ from tandem.operators import lexical as L
 from tandem.operators import metrics as C
 from tandem.operators import ranking as R
 from tandem.operators import scoring as S
+from tandem.operators import shape as H
 from tandem.plans.base import conversations, longs, query, rounded
 from tandem.plans.views import view
 from tandem.schemas import CATEGORIES
@@ -34,7 +35,7 @@ def agg_value_counts(spark, sf):
 
 @query("SELECT * FROM ratings ORDER BY conversation_id, reviewer_name", "ratings")
 def top_sorted_ratings(spark, sf):
-    return view(spark, sf, "ratings").orderBy("conversation_id", "reviewer_name")
+    return A.sorted_ratings(view(spark, sf, "ratings"))
 
 
 @query("SELECT count(DISTINCT conversation_id) AS total_conversations, count(DISTINCT model) AS total_models FROM scores", "scores")
@@ -86,7 +87,7 @@ def drv_ranking_resampled(spark, sf):
 def set_union_scores(spark, sf):
     """Score frames one under the other, one of which lacks a column."""
     extra = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("lang").alias("language"), F.col("source").alias("model"), F.lit("extra").alias("metric"), F.col("doc_id").alias("conversation_id"))
-    return view(spark, sf, "scores").unionByName(extra, allowMissingColumns=True).select("language", "model", "metric", "score", "conversation_id")
+    return H.stacked(view(spark, sf, "scores"), extra).select("language", "model", "metric", "score", "conversation_id")
 
 
 # -- metrics ------------------------------------------------------------------------------------------

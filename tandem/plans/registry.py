@@ -94,7 +94,7 @@ def join_common_models(spark, sf):
 
 
 def _long_scores(spark, sf):
-    return view(spark, sf, "judgements").unpivot(["conversation_id", "generator_model"], list(METRICS), "metric", "score").withColumnRenamed("generator_model", "model")
+    return S.long_scores(view(spark, sf, "judgements"), ["conversation_id", "generator_model"], list(METRICS)).withColumnRenamed("generator_model", "model")
 
 
 LONG = "long AS (SELECT conversation_id, generator_model AS model, unnest(['G', 'R', 'C', 'F']) AS metric, unnest([G, R, C, F]) AS score FROM judgements)"
@@ -180,9 +180,8 @@ def agg_overall_accuracy(spark, sf):
 
 @query("SELECT 'LRA' AS metric, p.judge_model, p.generator_model AS model, p.conversation_id, CASE WHEN p.industry = t.industry AND p.problem = t.problem THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM predictions p JOIN truth t ON p.conversation_id = t.conversation_id AND p.generator_model = t.generator_model", "predictions", "truth")
 def join_label_recovery_score(spark, sf):
-    p, t = view(spark, sf, "predictions"), view(spark, sf, "truth").select("generator_model", "conversation_id", F.col("industry").alias("ti"), F.col("problem").alias("tp"))
-    right = (F.col("industry") == F.col("ti")) & (F.col("problem") == F.col("tp"))
-    return p.join(t, ["generator_model", "conversation_id"]).select(F.lit("LRA").alias("metric"), "judge_model", F.col("generator_model").alias("model"), "conversation_id", F.when(right, 1.0).otherwise(0.0).alias("score"))
+    found = S.recovery_scores(view(spark, sf, "predictions"), view(spark, sf, "truth"), ["generator_model", "conversation_id"], ["judge_model"])
+    return found.select(F.lit("LRA").alias("metric"), "judge_model", F.col("generator_model").alias("model"), "conversation_id", "score")
 
 
 # -- agreement ----------------------------------------------------------------------------------------
@@ -359,7 +358,7 @@ def prj_names(spark, sf):
 @query(r"SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS value FROM events")
 def fn_json(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
-    return e.select("event_id", F.element_at(F.map_values(F.from_json("props", "map<string,string>")), 1).alias("value"))
+    return e.select("event_id", F.element_at(X.parsed_values(F.col("props")), 1).alias("value"))
 
 
 # -- texts --------------------------------------------------------------------------------------------

@@ -162,18 +162,18 @@ def prj_display(spark, sf):
 @query("SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S') AS stamp, CAST(strftime(ts, '%Y%m%d-%H%M%S') = strftime(strptime(strftime(ts, '%Y%m%d-%H%M%S'), '%Y%m%d-%H%M%S'), '%Y%m%d-%H%M%S') AS BOOLEAN) AS same, CAST(date_diff('second', TIMESTAMP '2020-01-01', date_trunc('second', ts)) AS BIGINT) AS elapsed FROM events")
 def fn_dates(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
-    stamp = F.date_format("ts", "yyyyMMdd-HHmmss")
-    return e.select("event_id", stamp.alias("stamp"), (F.date_format(F.to_timestamp(stamp, "yyyyMMdd-HHmmss"), "yyyyMMdd-HHmmss") == stamp).alias("same"), (F.unix_timestamp(F.date_trunc("second", "ts")) - F.unix_timestamp(F.lit("2020-01-01 00:00:00"))).alias("elapsed"))
+    stamp = X.stamp(F.col("ts"))
+    return e.select("event_id", stamp.alias("stamp"), (X.stamp(X.stamp_time(stamp)) == stamp).alias("same"), X.seconds_between(F.lit("2020-01-01 00:00:00").cast("timestamp"), F.col("ts")).alias("elapsed"))
 
 
 @query("SELECT event_id, event_type AS kind, coalesce(CASE WHEN event_id % 2 = 0 THEN event_type END, 'none') AS looked, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS size, 'user ' || user_id AS name FROM events")
 def fn_maps(spark, sf):
     """Lookup with a default, merge, nested get and update."""
     e = spark.read.parquet(f"{sf}/events.parquet")
-    own = F.map_concat(F.create_map(F.lit("id"), F.col("user_id").cast("string")), F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("type"), "event_type")).otherwise(F.expr("map()").cast("map<string,string>")))
+    own = X.merged(F.create_map(F.lit("id"), F.col("user_id").cast("string")), F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("type"), "event_type")).otherwise(F.expr("map()").cast("map<string,string>")))
     s = F.struct(F.struct(F.col("event_type").alias("kind"), F.lit("?").alias("name")).alias("inner")).withField("inner.name", F.concat(F.lit("user "), F.col("user_id").cast("string")))
     d = e.select("event_id", own.alias("m"), s.alias("s"))
-    return d.select("event_id", F.col("s.inner.kind").alias("kind"), F.coalesce(F.element_at("m", "type"), F.lit("none")).alias("looked"), F.size("m").alias("size"), F.col("s.inner.name").alias("name"))
+    return d.select("event_id", F.col("s.inner.kind").alias("kind"), X.looked_up(F.col("m"), "type", "none").alias("looked"), F.size("m").alias("size"), F.col("s.inner.name").alias("name"))
 
 
 @query("SELECT conv_id AS conversation_id, string_agg(role || '>' || text, chr(10) ORDER BY turn) AS turns FROM turns WHERE trim(text) <> '' GROUP BY conv_id", "turns")
