@@ -14,13 +14,14 @@ A shard of more than ``MOST_MEMBERS`` classes, as a large cluster makes it, is d
 are a shard for the graph and the search: its tasks stay bounded, and a pair still meets exactly once.
 
 Recall is audited in every run against brute force for a sample of query vectors against all vectors. The sample grows
-until ``AUDIT_LINKS`` true links are seen, up to ``MOST_AUDIT`` vectors; where it has fewer, a sample of the vectors
-that were given links is audited too. Below ``recall`` the overlap is widened and the search repeated. Where that can't
+until ``AUDIT_LINKS`` true links are seen, up to ``MOST_AUDIT`` vectors; where it has fewer, vectors that share a bucket of
+random hyperplanes' sides with another one are audited too: near ones do by chance, whatever the method has found. Below ``recall`` the overlap is widened and the search repeated. Where that can't
 be widened any more, all vectors are compared with all. Only a table in which neither sample shows a single link has no
 recall to measure, and that is logged.
 
 The sample for the centroids and the centroids themselves are bounded in rows and in bytes. Vectors are compared as
-they are given, floats or doubles. Vectors that are null, empty or zero, or hold null or non-finite
+they are given, floats or doubles. A table without rows gives none; other columns of any name aren't read; very long vectors are
+compared whole, and the samples shrink by their bytes. Vectors that are null, empty or zero, or hold null or non-finite
 components, link with nothing, nor does a row with null vec_id; vectors of different lengths aren't
 comparable and don't link. Repeated rows are rows of their own.
 """
@@ -40,6 +41,8 @@ from tandem.llm.common import Scratch, by_group, components
 #: Most vectors of the sample for the centroids, and centroids; and most bytes of either.
 SAMPLE, MOST_CENTROIDS, MOST_BYTES = 100_000, 65_536, 64 << 20
 AUDIT, MOST_AUDIT, AUDIT_LINKS = 256, 4096, 32
+#: Sets of hyperplanes for the second sample.
+TABLES = 4
 #: Classes of a shard that are searched in one task.
 MOST_MEMBERS = 2000
 POOL, DEGREE, BEAM = 48, 20, 24
@@ -339,6 +342,32 @@ def _truth(scratch: Scratch, classes: DataFrame, sample: DataFrame, threshold: f
     return scratch.save(classes.mapInArrow(_audit(shared, threshold), "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth")).where("truth > 0"), name)
 
 
+def _sides(width: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The sides of ``bits`` random hyperplanes that each vector is on, for every table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = np.random.default_rng(8).normal(size=(width, TABLES * bits))
+        for batch in batches:
+            if batch.num_rows:
+                side = (unit(matrix(batch.column("embedding"))) @ planes > 0).reshape(batch.num_rows, TABLES, bits)
+                bucket = (side << np.arange(bits)).sum(2) * TABLES + np.arange(TABLES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), TABLES)), pa.array(bucket.ravel())], ["node", "bucket"])
+
+    return run
+
+
+def _likely(scratch: Scratch, classes: DataFrame, n: int, width: int, name: str) -> DataFrame:
+    """About ``AUDIT`` classes (node, embedding) that share a bucket with another: found without the graphs, so that a group they miss is seen.
+
+    With some bits more than the number of vectors has, unrelated ones seldom meet.
+    """
+    sides = scratch.save(classes.mapInArrow(_sides(width, min(40, n.bit_length() + 4)), "node long, bucket long"), f"sides-{name}")
+    met = sides.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    likely = scratch.save(sides.join(met, "bucket").select("node").distinct(), f"likely-{name}")
+    some = _some(likely, 7, AUDIT, likely.count())
+    return classes.join(some, "node", "left_semi").select("node", "embedding")
+
+
 def _some(classes: DataFrame, seed: int, most: int, n: int) -> DataFrame:
     """Some ``most`` of n classes, by a hash below a bound."""
     return classes.where(F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1 << 30)) < int(min(1.0, most / max(1, n)) * (1 << 30)))
@@ -364,6 +393,8 @@ def _space(scratch: Scratch, classes: DataFrame, tag: str, threshold: float, sha
         if audited >= AUDIT_LINKS or size >= min(n, MOST_AUDIT):
             break
         size *= 4
+    if audited < AUDIT_LINKS:
+        truth = scratch.save(truth.union(_truth(scratch, classes, _likely(scratch, classes, n, width, tag), threshold, f"truth-{tag}-likely")).distinct(), f"truth-{tag}")
     while True:
         overlap = min(overlap, count)
         if count == 1:
@@ -376,12 +407,7 @@ def _space(scratch: Scratch, classes: DataFrame, tag: str, threshold: float, sha
         cells = member.join(united, "node", "left").repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi", "node")
         found = scratch.save(cells.mapInArrow(_search(threshold), "node long, links long, root long"), f"found-{tag}-{overlap}")
         links = found.groupBy("node").agg(F.sum("links").alias("links"))
-        known = truth
-        if audited < AUDIT_LINKS:
-            linked = links.where("links > 0").select("node")
-            linked = scratch.save(_some(linked, 7, AUDIT, linked.count()), f"linked-{tag}-{overlap}")
-            known = truth.union(_truth(scratch, classes, classes.join(linked, "node", "left_semi").select("node", "embedding"), threshold, f"truth-{tag}-linked-{overlap}")).distinct()
-        got = known.join(links, "node", "left").agg(F.sum("truth"), F.sum(F.coalesce("links", F.lit(0)))).first()
+        got = truth.join(links, "node", "left").agg(F.sum("truth"), F.sum(F.coalesce("links", F.lit(0)))).first()
         if not got[0]:
             logging.getLogger(__name__).warning("no link in the audited samples of %d vectors: recall isn't measured", n)
             break
@@ -395,6 +421,15 @@ def _space(scratch: Scratch, classes: DataFrame, tag: str, threshold: float, sha
     return links, found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
+def _named(scratch: Scratch, classes: DataFrame) -> DataFrame:
+    """The classes with a node of 64 bits that is theirs alone: the first half of their hash, or for all but one of those that share it a hash of both halves."""
+    clash = scratch.save(classes.groupBy("h1").agg(F.count("*").alias("same"), F.min("h2").alias("h0")).where("same > 1"), "clashes")
+    if clash.isEmpty():
+        return classes.withColumn("node", F.col("h1"))
+    named = classes.join(clash.select("h1", "h0"), "h1", "left")
+    return scratch.save(named.withColumn("node", F.when(F.col("h2") > F.col("h0"), F.xxhash64("h1", "h2")).otherwise(F.col("h1"))).drop("h0"), "named")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, shard: int = 500, overlap: int = 2, recall: float = 0.97) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding)."""
     scratch = Scratch(vectors.sparkSession, "vectors")
@@ -403,7 +438,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, shard: int = 500,
     sound = F.forall(floats, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(floats, lambda v: v != 0)
     keyed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), floats.alias("embedding"), F.coalesce(sound & F.col("vec_id").isNotNull(), F.lit(False)).alias("sound"))
     keyed = keyed.select("vec_id", F.when(F.col("sound"), F.xxhash64("embedding")).alias("node"), F.when(F.col("sound"), F.xxhash64(F.lit(3), "embedding")).alias("h2"), F.when(F.col("sound"), F.col("embedding")).alias("embedding"))
-    classes = scratch.save(keyed.where("node is not null").groupBy("node", "h2").agg(F.count("*").alias("mult"), F.min("vec_id").alias("id"), F.first("embedding").alias("embedding")), "classes")
+    classes = _named(scratch, scratch.save(keyed.where("node is not null").groupBy(F.col("node").alias("h1"), "h2").agg(F.count("*").alias("mult"), F.min("vec_id").alias("id"), F.first("embedding").alias("embedding")), "vectors"))
+    keyed = keyed.withColumnRenamed("node", "h1")
     sizes = [r[0] for r in classes.select(F.size("embedding")).distinct().collect()]
     if not sizes:
         return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -412,9 +448,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, shard: int = 500,
     for more_links, more_edges in spaces[1:]:
         links, edges = links.unionByName(more_links), edges.unionByName(more_edges)
     parts = components(scratch, edges, "cc").withColumnRenamed("id", "node")
-    every = scratch.save(classes.select("node", "h2", "mult", "id").join(links, "node", "left").join(parts, "node", "left").select("node", "h2", "id", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("part")), "every")
+    every = scratch.save(classes.select("node", "h1", "h2", "mult", "id").join(links, "node", "left").join(parts, "node", "left").select("h1", "h2", "id", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("part")), "every")
     least = every.groupBy("part").agg(F.min("id").alias("component_id"))
-    done = every.join(least, "part").select("node", "h2", "n_links", "component_id")
-    out = keyed.select("vec_id", "node", "h2").join(done, ["node", "h2"], "left")
+    done = every.join(least, "part").select("h1", "h2", "n_links", "component_id")
+    out = keyed.select("vec_id", "h1", "h2").join(done, ["h1", "h2"], "left")
     part = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), part.alias("component_id"), F.coalesce(part == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -142,3 +142,25 @@ def test_exact_where_recall_stays_low(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     for shard in (1000, 250):
         assert sorted(map(tuple, E.near_vectors(frame, shard=shard).collect()), key=str) == brute(rows)
+
+
+def test_vectors_that_share_half_a_hash_are_told_apart(spark):
+    scratch = E.Scratch(spark, "clash")
+    rows = [(1, 5, 1, 10), (1, 3, 1, 11), (1, 9, 1, 12), (2, 1, 1, 13)]
+    named = E._named(scratch, spark.createDataFrame(rows, "h1 long, h2 long, mult long, id long")).collect()
+    nodes = {r.id: r.node for r in named}
+    assert len(set(nodes.values())) == 4 and nodes[11] == 1 and nodes[13] == 2
+
+
+def test_the_audit_sees_groups_that_the_method_misses(spark, monkeypatch):
+    """Shards that find nothing: the second sample, drawn by hyperplanes, has links, so the search goes on until all is compared with all."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i), x.tolist()) for i, x in enumerate(rng.normal(size=(600, 16)))]
+    rows += [(1000 + i, (np.array(rows[i // 2][1]) + rng.normal(size=16) * 0.02).tolist()) for i in range(24)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    real = E._search
+    monkeypatch.setattr(E, "_search", lambda threshold, exact_search=False: real(threshold, True) if exact_search else lambda batches: iter(()))
+    for name, value in {"AUDIT": 8, "MOST_AUDIT": 8}.items():
+        monkeypatch.setattr(E, name, value)
+    got = sorted(map(tuple, E.near_vectors(frame, shard=100).collect()), key=str)
+    assert got == brute(rows)
