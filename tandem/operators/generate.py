@@ -25,7 +25,12 @@ LENGTHS = ((4, 0.4), (8, 0.3), (12, 0.2), (16, 0.1))
 
 
 def sample_configs(spark: SparkSession, n: int, vocabulary: dict[str, list[str]], names: list[str], seed: int = 42) -> DataFrame:
-    """n configurations: a uniform choice from each list, a weighted length, one or two agents named with replacement."""
+    """n configurations, by ``configs_of``."""
+    return configs_of(spark.range(n), vocabulary, names, seed)
+
+
+def configs_of(rows: DataFrame, vocabulary: dict[str, list[str]], names: list[str], seed: int = 42) -> DataFrame:
+    """A configuration for each row (id), the same for the same id: a uniform choice from each list, a weighted length, one or two agents named with replacement."""
     pick = lambda values, salt: F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), F.lit(len(values))) + 1).cast("int"))
     u = F.pmod(F.xxhash64(F.lit(seed), F.lit("length"), "id"), F.lit(1 << 30)) / float(1 << 30)
     length, total = F.lit(LENGTHS[-1][0]), 0.0
@@ -37,7 +42,6 @@ def sample_configs(spark: SparkSession, n: int, vocabulary: dict[str, list[str]]
         length = F.when(u < bound, size).otherwise(length)
     agents = F.pmod(F.xxhash64(F.lit(seed), F.lit("agents"), "id"), F.lit(2)) + 1
     named = F.transform(F.sequence(F.lit(1), agents.cast("int")), lambda k: F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.xxhash64(F.lit(seed), F.lit("name"), "id", k), F.lit(len(names))) + 1).cast("int")))
-    rows = spark.range(n)
     return rows.select("id", *(pick(v, k).alias(k) for k, v in vocabulary.items()), length.alias("n_messages"), agents.cast("int").alias("n_agents"), named.alias("agent_names"))
 
 

@@ -47,28 +47,29 @@ def src_broken_lines(spark, sf):
     return longs(found.select(io.file_name(F.col("path")).alias("name"), "broken"), "broken")
 
 
-@query(f"SELECT * FROM (SELECT DISTINCT model, language, '{_STAMP}' || substr(model, 2) AS datetime, 'convo_' || model || '_' || language || '_{_STAMP}' || substr(model, 2) || '.jsonl' AS name FROM turns) WHERE language = 'fi'", "turns")
+@query(f"SELECT model, language, '{_STAMP}' || substr(model, 2) AS datetime, 'convo_' || model || '_' || language || '_{_STAMP}' || substr(model, 2) || '.jsonl' AS name, count(DISTINCT conv_id) AS n FROM turns WHERE language = 'fi' GROUP BY ALL", "turns")
 def src_find_files(spark, sf):
-    at = folder(spark)
-    for m, lang in spark.createDataFrame([(f"m{i}", ("et", "fi", "hu")[i % 3]) for i in range(6)], "m string, l string").collect():
-        put(spark.createDataFrame([("",)], "value string"), f"{at}/convo_{m}_{lang}_{_STAMP}{m[1:]}.jsonl")
+    """The files of one language among those of all conversations, and what is in them."""
+    at = _conversation_files(spark, sf, folder(spark))
     found = io.conversation_files(spark, [f"{at}/*.jsonl", f"{at}/absent_*"], language="fi")
-    return found.select("model", "language", "datetime", io.file_name(F.col("path")).alias("name"))
+    held = io.read_conversations(spark, [r.path for r in found.select("path").collect()]).groupBy(F.col("file_model").alias("model")).agg(F.count("*").alias("n"))
+    return found.select("model", "language", "datetime", io.file_name(F.col("path")).alias("name")).join(held, "model")
 
 
-@query("SELECT * FROM (VALUES ('combined_et.json', 'none', 'fi,hu', 'combined_et.json|absent.json')) t(one, several, languages, kept)")
+@query("SELECT 'combined_et.json' AS one, 'none' AS several, 'fi,hu' AS languages, 'combined_et.json|absent.json' AS kept, count(*) AS n FROM judgements", "judgements")
 def src_detect(spark, sf):
-    """The one input of a folder, none of two; the languages of result files; a pattern kept without match."""
+    """The one input of a folder, none of two; the languages of result files, by their rows or their names; a pattern kept without match."""
     a, b = folder(spark), folder(spark)
-    line = lambda *x: spark.createDataFrame([(v,) for v in x], "value string")
     for path in (f"{a}/combined_et.json", f"{b}/combined_et.json", f"{b}/combined_fi.json"):
-        put(line("{}"), path)
-    put(line('{"conversation_id": 1, "source_file": "data/combined_hu.json"}', '{"conversation_id": 2, "source_file": "data/combined_hu.json"}'), f"{a}/judge_m_x.jsonl")
-    put(line('{"conversation_id": 1, "source_file": "plain"}'), f"{a}/judge_m_fi_2026.jsonl")
+        put(io.combined_json(_subjects(spark, sf)), path)
+    results = view(spark, sf, "judgements")
+    for odd, name, source in ((0, "judge_m_x", "data/combined_hu.json"), (1, "judge_m_fi_2026", "plain")):
+        io.write_jsonl(results.where(F.col("conversation_id") % 2 == odd).withColumn("source_file", F.lit(source)), f"{a}/{name}.jsonl")
     one, several = io.combined_input(spark, a), io.combined_input(spark, b)
-    languages = [r.language for r in io.detect_languages(spark, io.expand(spark, [f"{a}/judge_*.jsonl"])).orderBy("language").collect()]
-    kept = io.expand(spark, [f"{a}/combined_*.json", "absent.json"], keep_unmatched=True)
-    return spark.createDataFrame([(one.split("/")[-1], several or "none", ",".join(languages), "|".join(sorted((p.split("/")[-1] for p in kept), reverse=True)))], "one string, several string, languages string, kept string")
+    paths = io.expand(spark, [f"{a}/judge_*.jsonl"])
+    languages = ",".join(r.language for r in io.detect_languages(spark, paths).orderBy("language").collect())
+    kept = "|".join(sorted((p.split("/")[-1] for p in io.expand(spark, [f"{a}/combined_*.json", "absent.json"], keep_unmatched=True)), reverse=True))
+    return io.read_judge_results(spark, paths).agg(F.lit(one.split("/")[-1]).alias("one"), F.lit(several or "none").alias("several"), F.lit(languages).alias("languages"), F.lit(kept).alias("kept"), F.count("*").alias("n"))
 
 
 _G = "g AS (SELECT model AS generator_model, row_number() OVER (PARTITION BY model ORDER BY conv_id) - 1 AS conversation_id, conv_id, n FROM c)"

@@ -460,4 +460,6 @@ def stat_similarity(spark, sf):
 
 @query()
 def gen_configs(spark, sf):
-    return G.sample_configs(spark, 1000, {"language": ["et", "fi", "hu"], "channel": ["email", "chat"], "agent_type": ["human", "bot"], "agent_experience": ["junior", "senior"]}, ["Anna", "Mart", "Eva"])
+    """A configuration for every conversation, from the languages and kinds of agents that there are."""
+    ids = spark.read.parquet(f"{sf}/conversations.parquet").select(F.col("conv_id").alias("id")).distinct()
+    return G.configs_of(ids, {"language": ["et", "fi", "hu"], "channel": ["email", "chat"], "agent_type": ["human", "bot"], "agent_experience": ["junior", "senior"]}, ["Anna", "Mart", "Eva"])
