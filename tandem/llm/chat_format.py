@@ -14,7 +14,8 @@ Ranges cut through a long conversation, so that it is formatted by many tasks. A
 whole turns whose numbers rise, so that its size is bounded nowhere; parts of a conversation stand together in each
 partition. Repeated rows are turns of their own, a null conv_id is a conversation, and other columns aren't read. The
 digest of the formatted texts streams over a conversation's parts in order, in one task, as its hashes run on from part
-to part: it holds two hash states and three counts, whatever the size.
+to part: it holds two hash states and three counts, whatever the size. A table without rows gives
+none.
 """
 
 from __future__ import annotations

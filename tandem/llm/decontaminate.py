@@ -10,7 +10,9 @@ The benchmark's fingerprints go to all executors in parts of at most ``PART_WORD
 parts one after the other by their counts of words, a long item in pieces that overlap by a window less one word. A
 benchmark of several parts takes one pass over the documents for each, one part at a time, and hits are merged by
 document. Null, empty and wordless texts have no words; an item without words is ignored, as is a null
-item_id in the list of items (its windows count). Words are held as 64-bit hashes.
+item_id in the list of items (its windows count). Words are held as 64-bit hashes. Repeated rows are judged alike, each
+as a row of its own. Other columns of any name are kept. Without documents there is no row; without items nothing is contaminated.
+Very long texts are judged whole.
 """
 
 from __future__ import annotations

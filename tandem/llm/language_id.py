@@ -17,7 +17,8 @@ tables; transitions by all other letters stand in a sorted list, so that any alp
 
 The score is the softmax of minus four times the entropies (in bits a letter) over the languages. A null text or one without a letter
 is ``und`` with score 0; with nothing to learn from, all are. Ties go to the language first in the alphabet.
-Repeated rows are predicted alike; a null doc_id isn't held out. Other columns are kept.
+Repeated rows are predicted alike; a null doc_id isn't held out. Other columns are kept. Very long texts are parsed whole; a
+table without rows gives none.
 """
 
 from __future__ import annotations

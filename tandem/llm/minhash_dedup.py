@@ -19,7 +19,8 @@ is looked at. So a block yields fewer links than it has components, no link betw
 group of n copies costs about n comparisons.
 
 Null text, and text without words, has an empty set and is linked with nothing. A row with null doc_id is
-linked with nothing, has a null component and is kept. Repeated rows share class and component.
+linked with nothing, has a null component and is kept. Repeated rows share class and component. Only doc_id and text
+are read; ``drop_near_duplicates`` keeps other columns of any name. Very long texts are read whole; a table without rows gives none.
 """
 
 from __future__ import annotations

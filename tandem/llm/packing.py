@@ -8,7 +8,8 @@ largest room below each node, so that sequence is found in logarithmic time. A g
 are padded: a quarter of a percent of the ids on sf0.1. A sequence whose ids are a power of two in number needs no padding.
 
 Null and empty texts have the end id alone. Repeated rows and repeated or null doc_ids are documents of
-their own. Other columns are not read.
+their own. Other columns are not read. A table without rows gives no piece;
+a very long text is encoded whole, in one task, and its pieces are packed like all others.
 """
 
 from __future__ import annotations

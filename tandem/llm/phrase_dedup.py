@@ -11,7 +11,8 @@ recurring phrase and isn't streamed.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; a word is held as a 64-bit hash and a window as fifty of them
 in order. Null text has no words; a row with null doc_id removes nothing and loses nothing; rows that
-share a doc_id don't remove from each other. Other columns of any name are kept.
+share a doc_id don't remove from each other. Other columns of any name are kept. Empty text has no words; a very
+long text is streamed in segments, whole; a table without rows gives none.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ prefix of natural text would not; suffixes whose anchor occurs once are sorted b
 through the passes. Of copies of a segment two are sorted, which stand for all.
 
 Texts are UTF-8 bytes; null and empty texts have no window, repeated rows are documents of their own,
-matches never cross documents, and other columns of any name are kept.
+matches never cross documents, and other columns of any name are kept. A table without rows gives none.
+A very long text is cut into segments that overlap, so its windows are dealt out like all others.
 """
 
 from __future__ import annotations

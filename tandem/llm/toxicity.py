@@ -15,7 +15,8 @@ for absent documents, aren't used. Of several labels of a doc_id a category hold
 of a doc_id that with the least hash is learned from.
 
 Every whole text is scored; null, empty and wordless texts have the score of a text without features.
-Repeated rows score alike. With no labels, or one class only, every score is 0. Other columns are kept.
+Repeated rows score alike. With no labels, or one class only, every score is 0. Other columns are kept. Very long texts are
+scored whole; a table of documents without rows gives none.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ terms are built from the two lists, joined directly, by a hyphen or by an unders
 vocabulary of more than ``MOST_TERMS`` is refused, as it is sent to every task.
 
 Only the url is read; each row is judged by itself, so repeated rows and other columns need no care. Empty and very
-long urls are judged whole.
+long urls are judged whole. A table without rows gives none.
 """
 
 from __future__ import annotations

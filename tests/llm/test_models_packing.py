@@ -90,6 +90,14 @@ def phrases(text, own):
     return n
 
 
+def test_packing_of_no_rows_and_other_columns(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, length string")
+    assert packing.pack(empty).collect() == []
+    one = spark.createDataFrame([(1, "word " * 9000, "x", 3)], "doc_id long, text string, length string, grp int")
+    rows = sorted(packing.pack(one).collect(), key=lambda r: r.start)
+    assert [r.start for r in rows] == [0, 4096, 8192] and sum(r.length for r in rows) == rows[0].doc_tokens == 9001
+
+
 def test_automaton_and_entropy():
     text = "abcabxabcd"
     table = language_id.suffix_automaton([ord(c) - 97 for c in text])
