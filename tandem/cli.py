@@ -108,7 +108,9 @@ def result(spark: SparkSession, options: argparse.Namespace, paths: list[str]) -
         judged = A.judged(rows.withColumn("conversation_id", F.col("conversation_id").cast("string")), io.read_ground_truth(spark, options.truth, "B"))
         return A.judge_consistency(rows, judged), nothing
     many = not options.dry_run and rows.select("judge_model").distinct().limit(2).count() > 1
-    return (A.pairwise_agreement(rows, "processing_time") if many else scoring.success_statistics(rows, ["judge_model"])), nothing
+    # of a judge's repeated rows the last counts
+    ordered = rows.withColumn("_row", F.monotonically_increasing_id())
+    return (A.pairwise_agreement(ordered, "_row") if many else scoring.success_statistics(rows, ["judge_model"])), nothing
 
 
 def run(spark: SparkSession, options: argparse.Namespace):

@@ -18,6 +18,8 @@ ALIASES = {
     "agent_self_bleu": ("agent_self_bleu", "dataset_agent_response_self_bleu_self_bleu"),
     "client_self_bleu": ("client_self_bleu", "dataset_client_response_self_bleu_self_bleu"),
 }
+#: What Self-BLEU gives for a level, as columns of every row of its model.
+STATISTICS = ("self_bleu", "std", "median", "min", "max", "num_texts", "num_empty", "num_duplicates")
 SIMILARITY = ("avg_similarity", "std_similarity", "min_similarity", "max_similarity", "median_similarity")
 
 
@@ -82,8 +84,10 @@ def metrics_of_languages(conversations: DataFrame, embeddings: DataFrame | None
             found = own if found is None else found.unionByName(own)
         scores = L.checked_token_bleu(found, [*group, "level"])
         names = {"full": "full_conversation", "agent": "agent_response", "client": "client_response", "turns": "all_turns"}
-        wide = scores.groupBy(*group).pivot("level", list(names)).agg(F.first("self_bleu"))
-        out = out.join(wide.select(*group, *(F.col(level).alias(f"dataset_{name}_self_bleu_self_bleu") for level, name in names.items())), group, "left")
+        held = F.map_from_entries(F.collect_list(F.struct("level", F.struct(*STATISTICS).alias("s"))))  # a row a level
+        wide = scores.groupBy(*group).agg(held.alias("held"))
+        named = [F.try_element_at("held", F.lit(level))[c].alias(f"dataset_{name}_self_bleu_{c}") for level, name in names.items() for c in STATISTICS]
+        out = out.join(wide.select(*group, *named), group, "left")
     if embeddings is not None:
         texts = M.distinct_texts(kept.select(*keys, whole.alias("text")), group, "text", "conversation_id")
         alike = M.similarity_summary(texts.join(embeddings, ["model_name", "conversation_id"]).select(*keys, "embedding"), group, "conversation_id", "embedding")

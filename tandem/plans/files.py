@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
+from tandem.operators.shape import dataset_statistics
 from tandem.plans.base import conversations, folder, longs, put, query
 from tandem.plans.views import view
 from tandem.schemas import CATEGORIES, CONVERSATION
@@ -200,6 +201,21 @@ def snk_card(spark, sf):
     return spark.createDataFrame([(io.dataset_card(stats, "Data"),)], "card string")
 
 
+@query(r"""WITH e AS (SELECT language, conv_id, count(*) AS n FROM turns GROUP BY ALL), l AS (SELECT language, count(DISTINCT role) AS kinds FROM turns GROUP BY 1),
+s AS (SELECT language, CASE language WHEN 'et' THEN 'Estonian' WHEN 'fi' THEN 'Finnish' ELSE 'Hungarian' END AS name, CAST(sum(n) AS BIGINT) AS m, count(*) AS c, avg(n) AS a, min(n) AS lo, max(n) AS hi, any_value(kinds) AS k FROM e JOIN l USING (language) GROUP BY language),
+t AS (SELECT CAST(sum(m) AS BIGINT) AS m, CAST(sum(c) AS BIGINT) AS c, count(*) AS n FROM s)
+SELECT '---' || chr(10) || 'language:' || chr(10) || (SELECT string_agg('- ' || language, chr(10) ORDER BY language) FROM s) || chr(10) || 'tags:' || chr(10) || '- customer-support' || chr(10) || '- synthetic-data' || chr(10) || '- multilingual' || chr(10) || '- conversation' || chr(10) || '- cross-lingual' || chr(10) || '- finno-ugric' || chr(10) || '- org-my-model-4-1' || chr(10)
+|| 'size_categories:' || chr(10) || '- ' || CASE WHEN m < 1000 THEN 'n<1K' WHEN m < 10000 THEN '1K<n<10K' WHEN m < 100000 THEN '10K<n<100K' ELSE '100K<n<1M' END || chr(10) || '---' || chr(10) || chr(10) || '# Conversations by org/My_model-4.1' || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10)
+|| '- **Languages**: ' || (SELECT string_agg(name, ', ' ORDER BY language) FROM s) || chr(10) || '- **Generator Model**: org/My_model-4.1' || chr(10) || format('- **Total Messages**: {:,}', m) || chr(10) || format('- **Total Conversations**: {:,}', c) || chr(10) || chr(10) || '## Languages' || chr(10)
+|| (SELECT string_agg(chr(10) || '### ' || name || ' (' || language || ')' || chr(10) || chr(10) || format('- **Messages**: {:,}', m) || chr(10) || format('- **Conversations**: {:,}', c) || chr(10) || format('- **Avg. conversation length**: {:.1f} messages', a) || chr(10) || '- **Conversation length range**: ' || lo || '-' || hi || ' messages' || chr(10) || '- **Industries covered**: ' || k || chr(10) || '- **Problem types**: N/A', chr(10) ORDER BY language) FROM s)
+|| chr(10) || chr(10) || '## Statistics' || chr(10) || chr(10) || '| Metric | Value |' || chr(10) || '|---|---|' || chr(10) || '| **Total Languages** | ' || n || ' |' || chr(10) || format('| **Total Messages** | {:,} |', m) || chr(10) || format('| **Total Conversations** | {:,} |', c) || chr(10) || format('| **Average Messages per Conversation** | {:.1f} |', m / c) || chr(10) || chr(10)
+|| '| Language | Messages | Conversations | Avg. Length |' || chr(10) || '|---|---|---|---|' || chr(10) || (SELECT string_agg('| ' || name || ' (' || language || format(') | {:,} | {:,} | {:.1f} |', m, c, a), chr(10) ORDER BY language) FROM s) || chr(10) AS card FROM t""", "turns")
+def snk_model_card(spark, sf):
+    """The card of a model's dataset; industries are the roles here, problems aren't there."""
+    messages = view(spark, sf, "turns").withColumnRenamed("conv_id", "conversation_id").withColumn("industry", F.col("role"))
+    return spark.createDataFrame([(io.model_card(dataset_statistics(messages), "org/My_model-4.1"),)], "card string")
+
+
 @query("SELECT CASE count(DISTINCT language) WHEN 1 THEN 'combined_' || min(language) ELSE 'combined_mixed' END AS name, which FROM (SELECT language, 'all' AS which FROM turns UNION ALL SELECT language, 'one' FROM turns WHERE language = 'fi') GROUP BY which", "turns")
 def snk_combined_name(spark, sf):
     t = view(spark, sf, "turns")

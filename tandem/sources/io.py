@@ -313,3 +313,30 @@ def dataset_card(stats: DataFrame, title: str) -> str:
     names = stats.columns
     lines = [f"# {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
     return "\n".join([*lines, *("| " + " | ".join(str(row[c]) for c in names) + " |" for row in stats.orderBy(names[0]).collect())]) + "\n"
+
+
+# What every card says, and the names that it has for languages.
+CARD_TAGS = ("customer-support", "synthetic-data", "multilingual", "conversation", "cross-lingual", "finno-ugric")
+CARD_LANGUAGES = {"et": "Estonian", "fi": "Finnish", "hu": "Hungarian", "en-us": "English (US)"}
+
+
+def size_category(messages: int) -> str:
+    """The name of a dataset's size."""
+    return next((name for most, name in ((1000, "n<1K"), (10_000, "1K<n<10K"), (100_000, "10K<n<100K"), (1_000_000, "100K<n<1M")) if messages < most), "n>1M")
+
+
+def model_card(stats: DataFrame, model: str) -> str:
+    """The card of a model's dataset from ``dataset_statistics``: header, summary, languages and statistics. It has a row a language, few."""
+    rows = [r.asDict() for r in stats.orderBy("language").collect()]
+    messages, talks = sum(r["n_messages"] for r in rows), sum(r["n_conversations"] for r in rows)
+    name = lambda code: CARD_LANGUAGES.get(code, code.title())
+    tag = model.replace("/", "-").replace("_", "-").replace(".", "-").lower()
+    lines = ["---", "language:", *(f"- {r['language']}" for r in rows), "tags:", *(f"- {t}" for t in (*CARD_TAGS, tag)), "size_categories:", f"- {size_category(messages)}", "---", "", f"# Conversations by {model}", ""]
+    lines += ["## Summary", "", f"- **Languages**: {', '.join(name(r['language']) for r in rows)}", f"- **Generator Model**: {model}", f"- **Total Messages**: {messages:,}", f"- **Total Conversations**: {talks:,}", "", "## Languages"]
+    for r in rows:
+        lines += ["", f"### {name(r['language'])} ({r['language']})", "", f"- **Messages**: {r['n_messages']:,}", f"- **Conversations**: {r['n_conversations']:,}", f"- **Avg. conversation length**: {r['mean_length']:.1f} messages", f"- **Conversation length range**: {r['min_length']}-{r['max_length']} messages"]
+        lines += [f"- **Industries covered**: {r.get('n_industry', 'N/A')}", f"- **Problem types**: {r.get('n_problem', 'N/A')}"]
+    average = f"{messages / talks:.1f}" if talks else "0.0"
+    lines += ["", "## Statistics", "", "| Metric | Value |", "|---|---|", f"| **Total Languages** | {len(rows)} |", f"| **Total Messages** | {messages:,} |", f"| **Total Conversations** | {talks:,} |", f"| **Average Messages per Conversation** | {average} |"]
+    lines += ["", "| Language | Messages | Conversations | Avg. Length |", "|---|---|---|---|", *(f"| {name(r['language'])} ({r['language']}) | {r['n_messages']:,} | {r['n_conversations']:,} | {r['mean_length']:.1f} |" for r in rows)]
+    return "\n".join(lines) + "\n"
