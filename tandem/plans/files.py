@@ -98,7 +98,8 @@ def src_grouped(spark, sf):
 @query(f"WITH {_C}, {_G} SELECT conversation_id, n AS n_turns, 'file' AS origin FROM g WHERE generator_model = 'm3' UNION ALL SELECT * FROM (VALUES (0, 2, 'sample'), (1, 2, 'sample'), (2, 2, 'sample')) s", "turns")
 def src_model_conversations(spark, sf):
     """The conversations of one model, none of a model that isn't there, and the sample where there is no file."""
-    path = put(io.combined_json(_subjects(spark, sf)), f"{folder(spark)}/combined_fi.json")
+    path = f"{folder(spark)}/combined_fi"
+    io.write_grouped(_subjects(spark, sf), path)
     own = io.model_conversations(spark, path, "fi", "m3").withColumn("origin", F.lit("file"))
     own = own.unionByName(io.model_conversations(spark, path, "fi", "nobody").withColumn("origin", F.lit("absent")))
     sample = io.model_conversations(spark, path + ".absent", "fi").withColumn("origin", F.lit("sample"))
@@ -122,8 +123,8 @@ def src_label_scores(spark, sf):
     at = folder(spark)
     p = view(spark, sf, "predictions").withColumnRenamed("industry", "predicted_industry").withColumn("source_file", F.lit("plain"))
     io.write_jsonl(p, f"{at}/labels.jsonl")
-    items = view(spark, sf, "truth").where("conversation_id % 3 <> 0").agg(F.to_json(F.collect_list(F.struct("conversation_id", "industry", "problem"))).alias("value"))
-    truth = io.read_ground_truth(spark, [put(items, f"{at}/truth.json")], "C")
+    io.write_jsonl(view(spark, sf, "truth").where("conversation_id % 3 <> 0").select("conversation_id", "industry", "problem"), f"{at}/truth.jsonl")
+    truth = io.read_ground_truth(spark, [f"{at}/truth.jsonl"], "C")
     return io.label_scores(io.read_label_results(spark, f"{at}/labels.jsonl"), truth)
 
 
@@ -145,8 +146,8 @@ def src_ground_truth_tickets(spark, sf):
     """Two files with ids in common: the last file's row stays."""
     at, paths = folder(spark), []
     for i, own in enumerate((view(spark, sf, "truth").where("conversation_id % 2 = 0"), view(spark, sf, "truth").where("conversation_id % 3 = 0").withColumn("industry", F.lit("changed")))):
-        items = own.agg(F.to_json(F.collect_list(F.struct(F.concat(F.lit("id_"), "conversation_id").alias("ticket_id"), F.struct(*CATEGORIES).alias("config")))).alias("value"))
-        paths.append(put(items, f"{at}/truth_{i}.json"))
+        paths.append(f"{at}/truth_{i}.jsonl")
+        io.write_jsonl(own.select(F.concat(F.lit("id_"), "conversation_id").alias("ticket_id"), F.struct(*CATEGORIES).alias("config")), paths[-1])
     return io.read_ground_truth(spark, paths, "A").select(F.lit("A").alias("kind"), "generator_model", "conversation_id", *CATEGORIES)
 
 
@@ -157,7 +158,8 @@ def src_ground_truth_models(spark, sf):
     for kind in ("B", "D"):
         t = view(spark, sf, "truth").withColumnRenamed("generator_model", "model")
         rows = t.select("model", "conversation_id", *CATEGORIES) if kind == "B" else t.select("model", "conversation_id", F.struct(*CATEGORIES).alias("_metadata"))
-        found = io.read_ground_truth(spark, [put(io.combined_json(rows), f"{at}/{kind}.json")], kind).withColumn("kind", F.lit(kind))
+        io.write_grouped(rows, f"{at}/{kind}")
+        found = io.read_ground_truth(spark, [f"{at}/{kind}"], kind).withColumn("kind", F.lit(kind))
         out = found if out is None else out.unionByName(found)
     return out.select("kind", "generator_model", "conversation_id", *CATEGORIES)
 

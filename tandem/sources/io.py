@@ -159,12 +159,21 @@ def label_scores(results: DataFrame, truth: DataFrame) -> DataFrame:
     return joined.select(X.source_language(F.coalesce("r.source_file", F.lit("")), F.coalesce("r.source_file", F.lit(""))).alias("language"), F.col("r.generator_model").alias("model"), F.lit("LRA").alias("metric"), F.col("r.conversation_id").alias("conversation_id"), F.when(right, 1.0).otherwise(0.0).alias("score"))
 
 
+def _items(spark: SparkSession, path: str, item: str) -> DataFrame:
+    """The items (i) of a JSON list, or of JSON lines, and their places (at), a row each."""
+    rows = spark.read.schema(item).option("multiLine", str(path.endswith(".json"))).json(path)
+    split = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    placed = numbered(rows.select(F.struct(*rows.columns).alias("i"), F.lit(path).alias("_path"), split.alias("_block")), "_path", "_block")
+    return placed.select("i", F.col("index").alias("at"))
+
+
 def read_ground_truth(spark: SparkSession, paths: list[str], kind: str) -> DataFrame:
     """(generator_model, conversation_id, five labels) of the four layouts.
 
     A: a list of {ticket_id, config}, keyed by ticket_id without ``id_``, else by place; of an id in several files
     the last file's row stays. B: {model: [labels]}. C: a list of {conversation_id, industry, problem}.
-    D: {model: [conversation]} with labels in ``_metadata``.
+    D: {model: [conversation]} with labels in ``_metadata``. B and D may be folders of ``write_grouped``, A and C JSON
+    lines in files or folders, which many tasks read.
     """
     labels = [F.coalesce(f"x.{c}", F.lit("")).alias(c) for c in S.CATEGORIES]
     if kind in ("B", "D"):
@@ -175,10 +184,10 @@ def read_ground_truth(spark: SparkSession, paths: list[str], kind: str) -> DataF
         own = F.col("conversation") if kind == "B" else F.col("conversation._metadata")
         return out.withColumn("x", own).select("generator_model", F.col("conversation_id").cast("string").alias("conversation_id"), *labels)
     config = "struct<industry: string, problem: string, channel: string, agent_experience: string, agent_type: string>"
-    item = f"struct<ticket_id: string, conversation_id: string, industry: string, problem: string, config: {config}>"
+    item = f"ticket_id string, conversation_id string, industry string, problem string, config {config}"
     parts = None
     for order, path in enumerate(paths):
-        rows = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.from_json("value", f"array<{item}>")).alias("at", "i")).withColumn("order", F.lit(order))
+        rows = _items(spark, path, item).withColumn("order", F.lit(order))
         parts = rows if parts is None else parts.unionByName(rows)
     if kind == "C":
         return parts.select(F.lit(None).cast("string").alias("generator_model"), F.col("i.conversation_id").alias("conversation_id"), "i.industry", "i.problem", *(F.lit(None).cast("string").alias(c) for c in S.CATEGORIES[2:]))
