@@ -4,7 +4,7 @@ Both token lists of a text are lists of byte ranges. The ranges of B are a stati
 ends. Two bisections for each token of A give the tokens of B that it overlaps, and one for each gap between tokens
 of A tells whether a token of B spans it. Gaps that none spans bound the groups: the least stretches that hold whole tokens of both.
 
-A long text is read in pieces of some ``PIECE`` characters that begin at a space after a character that isn't white space.
+A long text is read in pieces of some ``PIECE`` characters that begin at a space between a character that isn't white space and another character.
 No token of either tokenizer reaches over such a place (A's word pattern has a space at its start only; no piece of B
 has its mark for a space after another character), so the tokens are those of the whole text, and memory doesn't follow its length.
 
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from tandem.llm.common import Scratch, cache
 
-#: Where a text can be cut for both tokenizers, and characters of a piece.
-SAFE = re.compile(r"(?<=\S)(?= )")
+#: Where a text can be cut for both tokenizers (a space alone would be nothing to B), and characters of a piece.
+SAFE = re.compile(r"(?<=\S)(?= (?s:.))")
 PIECE = 500_000
 SPACE = "▁"
 SHIFT = 32
@@ -192,7 +192,7 @@ def align(docs: DataFrame, a: str | None = None, b: str | None = None) -> DataFr
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     Scratch(docs.sparkSession, "alignment")  # for the session's settings
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{name} array<bigint>" for name in _LISTS[:6]))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{name} array<bigint>" for name in _LISTS))
 
 
 def _digests(a: str | None, b: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
