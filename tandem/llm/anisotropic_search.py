@@ -9,13 +9,14 @@ of its products with all words; a scan adds up table entries by the codes' bytes
 double precision.
 
 Equal vectors form a class that keeps its k + 1 least ids, which is all that k neighbours can need of it. Classes lie in cells around
-centroids; what is quantised is the way from the centroid. A query scans the ``probe`` nearest cells. A cell of more than ``BLOCK`` classes
+centroids; what is quantised is the way from the centroid, in the cell's own scale. A query scans the ``probe`` nearest cells. A cell of more than ``BLOCK`` classes
 is dealt to blocks, one of more than ``QUERIES`` queries scans them in parts, so that tasks stay bounded; only the k
 best of each block travel on. Centroids and codebooks are learned from a bounded sample (``SAMPLE`` rows, ``MOST_BYTES``), but every row is indexed.
 
 Recall is measured in every search: some ``AUDIT`` queries are compared with all vectors, and ``probe``, then
-``rerank`` (of a block) are raised fourfold until they find ``recall`` of those neighbours. When all cells are probed and all of a block is
-reranked, the search is exact.
+``rerank`` (of a block) are raised fourfold until they find ``recall`` of those neighbours. Then both are raised further, each time for
+the queries alone whose neighbours changed the time before: rare vectors of another scale or density need more than the mean tells. When
+all cells are probed and all of a block is reranked, the search is exact.
 
 Vectors that are null, empty or zero or hold null or non-finite components take no part, nor do rows without
 vec_id. Vectors of different lengths aren't comparable. A row given twice counts once; a vec_id with several vectors asks with each of them
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -77,11 +79,12 @@ def k_means(x: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Space:
-    """Centroids and codebooks (words by subspace) for vectors of one length."""
+    """Centroids and codebooks (words by subspace) for vectors of one length; ``scale`` is what a cell's words are multiplied by, 1 if not given."""
 
     centre: np.ndarray
     book: np.ndarray
     eta: float
+    scale: np.ndarray | None = None
 
     def encode(self, x: np.ndarray, cell: np.ndarray, rounds: int = 2) -> np.ndarray:
         """Codes of rows in their cells: of all words the one of least loss, given the parallel errors of the other subspaces."""
@@ -98,7 +101,9 @@ class Space:
 
     def _errors(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, ...]:
         size = np.sqrt((x * x).sum(1, keepdims=True))
-        rest, way = subspaces(x - self.centre[cell]), subspaces(x / np.maximum(size, 1e-30))
+        rest = x - self.centre[cell]
+        rest = subspaces(rest if self.scale is None else rest / self.scale[cell][:, None])
+        way = subspaces(x / np.maximum(size, 1e-30))
         gap = rest[:, :, None] - self.book[None]
         return rest, way, (gap * gap).sum(3), np.einsum("nsjw,nsw->nsj", gap, way)
 
@@ -117,7 +122,7 @@ class Space:
             used = np.bincount(own, minlength=WORDS) > 0
             book[s, used] = np.linalg.solve(left[used], right[used][:, :, None])[:, :, 0]
             total = others + ((r - book[s, own]) * u).sum(1)
-        return Space(self.centre, book.astype(np.float32), self.eta)
+        return Space(self.centre, book.astype(np.float32), self.eta, self.scale)
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """By byte of a code, query and value of the byte: what the byte's two words add to the inner product."""
@@ -139,15 +144,25 @@ def scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def scales(rest: np.ndarray, cell: np.ndarray, cells: int) -> np.ndarray:
+    """By cell the size of its ways from the centroid against the middle one's, as a power of two; 1 for a cell without any."""
+    size = np.sqrt(np.bincount(cell, (rest.astype(np.float64) ** 2).sum(1), cells) / np.maximum(np.bincount(cell, minlength=cells), 1))
+    out = np.ones(cells, np.float32)
+    if (size > 0).any():
+        out[size > 0] = 2.0 ** np.clip(np.round(np.log2(size[size > 0] / np.median(size[size > 0]))), -60, 60)
+    return out
+
+
 def train(sample: np.ndarray, cells: int, rounds: int = 3) -> Space:
     x = sample.astype(np.float32)
     centre = k_means(x, max(1, min(cells, len(x) // 8)))
     cell = np.concatenate([nearest_centre(x[i : i + 4096], centre)[:, 0] for i in range(0, len(x), 4096)])
+    scale = scales(x - centre[cell], cell, len(centre))
     some = np.random.default_rng(6).permutation(len(x))[:FITTED]
     x, cell = x[some], cell[some]
-    rest = subspaces(x - centre[cell])
+    rest = subspaces((x - centre[cell]) / scale[cell][:, None])
     book = np.stack([np.resize(k_means(np.ascontiguousarray(rest[:, s]), WORDS), (WORDS, WIDTH)) for s in range(rest.shape[1])])
-    space = Space(centre, book, weight(x.shape[1]))
+    space = Space(centre, book, weight(x.shape[1]), scale)
     for _ in range(rounds):
         space = space.refit(x, cell)
     return space
@@ -251,7 +266,7 @@ def _search(shared, k: int, rerank: int, measure: str) -> Callable[[pa.Table, pa
             if scanned:
                 codes = np.frombuffer(b"".join(vectors.column("code").to_pylist()), np.uint8).reshape(n, -1)
                 y = np.where(wide[:, None], 0, q).astype(np.float32)
-                near = scan(space.tables(y), codes) + (y @ space.centre[cell])[:, None]
+                near = scan(space.tables(y), codes) * (1 if space.scale is None else space.scale[cell]) + (y @ space.centre[cell])[:, None]
                 far = -near if measure == "ip" else (x * x).sum(1)[None] - 2 * near
                 best = np.argpartition(far, rerank - 1, 1)[:, :rerank]
             for i, (name, node) in enumerate(zip(queries.column("query_id").to_pylist(), queries.column("query").to_pylist(), strict=True)):
@@ -331,9 +346,9 @@ class Index:
         """The indexed rows that hold, as queries."""
         return self.rows.where(condition).select(F.col("vec_id").alias("query_id"), F.col("node").alias("query"), "embedding")
 
-    def _run(self, queries: DataFrame, probe: int, rerank: int) -> DataFrame:
+    def _run(self, scratch: Scratch, queries: DataFrame, probe: int, rerank: int, name: str) -> DataFrame:
         asked = queries.mapInArrow(_probes(self.spaces, probe, self.measure), f"dim int, cell long, query_id long, query long, embedding {self.kind}")
-        asked = self.scratch.save(asked.join(self.blocks, ["dim", "cell"]), f"asked-{probe}-{rerank}-{id(queries)}")
+        asked = scratch.save(asked.join(self.blocks, ["dim", "cell"]), f"asked-{name}-{probe}-{rerank}")
         parts = asked.groupBy("dim", "cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
         keys = ["dim", "cell", "block", "part"]
         every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
@@ -347,19 +362,35 @@ class Index:
 
     def search(self, queries: DataFrame, probe: int = 8, rerank: int = 64, recall: float = 0.97) -> DataFrame:
         """query_id, rank, vec_id, score of the nearest of each query (query_id, query, embedding), the query's own id aside."""
-        queries = self.scratch.save(queries, "queries")
+        scratch = Scratch(self.spark, "search")  # results are lazy, and an index is searched more than once
+        queries = scratch.save(queries, "queries")
         count = queries.count()
-        audit = self.scratch.save(queries.where(F.pmod(F.xxhash64(F.lit(4), "query_id", "query"), F.lit(1 << 30)) < int(min(1.0, AUDIT / max(1, count)) * (1 << 30))), "audit")
+        audit = scratch.save(queries.where(F.pmod(F.xxhash64(F.lit(4), "query_id", "query"), F.lit(1 << 30)) < int(min(1.0, AUDIT / max(1, count)) * (1 << 30))), "audit")
         shared = self.spark.sparkContext.broadcast(audit.toArrow())
-        truth = self.scratch.save(_best(self.classes.mapInArrow(_compare(shared, self.k, self.measure), _FOUND), self.k, self.measure), "truth")
+        truth = scratch.save(_best(self.classes.mapInArrow(_compare(shared, self.k, self.measure), _FOUND), self.k, self.measure), "truth")
         all_true = truth.count()
         while probe < self.cells or rerank < BLOCK:
-            got = self._run(audit, probe, rerank).join(truth, ["query_id", "query", "vec_id"], "left_semi").count()
+            got = self._run(scratch, audit, probe, rerank, "audit").join(truth, ["query_id", "query", "vec_id"], "left_semi").count()
             if got >= recall * all_true:
                 break
             probe, rerank = (min(self.cells, probe * 4), rerank) if probe < self.cells else (probe, rerank * 4)
-        # an overfull block can hold more than BLOCK classes by chance, so all of it is asked for in the end
-        found = self._run(queries, probe, rerank if rerank < BLOCK else 1 << 62)
+        # the audit is a mean, and a few hard queries don't move it: each one goes on until four times the effort finds it nothing else
+        keys, done, found = ["query_id", "query"], [], None
+        while True:
+            # an overfull block can hold more than BLOCK classes by chance, so all of it is asked for in the end
+            now = self._run(scratch, queries, probe, rerank if rerank < BLOCK else 1 << 62, "all")
+            if probe >= self.cells and rerank >= BLOCK:
+                done.append(now)
+                break
+            now = scratch.save(now, f"found-{probe}-{rerank}")
+            if found is not None:
+                moved = scratch.save(now.join(found, [*keys, "vec_id", "score"], "left_anti").select(*keys).distinct(), f"moved-{probe}-{rerank}")
+                done.append(now.join(moved, keys, "left_anti"))
+                queries = scratch.save(queries.join(moved, keys, "left_semi"), f"queries-{probe}-{rerank}")
+                if queries.isEmpty():
+                    break
+            found, probe, rerank = now, min(self.cells, probe * 4), rerank * 4
+        found = reduce(DataFrame.unionByName, done)
         return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

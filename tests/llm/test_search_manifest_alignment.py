@@ -302,3 +302,16 @@ def test_inner_product(spark):
     for q in range(5):
         order = [i for i in np.argsort(-(x @ x[q])) if i != q][:3]
         assert [v for _, v in sorted(found[q])] == order
+
+
+def test_codes_of_cells_of_two_scales():
+    rng = np.random.default_rng(11)
+    wide = rng.random(8000) < 0.005
+    x = (rng.normal(size=(8000, 32)) * np.where(wide[:, None], 1.0, 1e-3)).astype(np.float32)
+    space = S.train(x, 10)
+    scale = np.ones(len(space.centre)) if getattr(space, "scale", None) is None else space.scale
+    for own in (x[wide], x[~wide]):
+        cell = S.nearest_centre(own, space.centre)[:, 0]
+        words = np.take_along_axis(space.book[None], space.encode(own, cell)[:, :, None, None], 2)[:, :, 0].reshape(own.shape)
+        rest = own - space.centre[cell]
+        assert ((rest - scale[cell][:, None] * words) ** 2).sum() < 0.2 * (rest**2).sum()
