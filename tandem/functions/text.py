@@ -192,9 +192,19 @@ def shortened(c: Column, most: int = 25) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
 
 
+def fixed(c: Column, digits: int = 2) -> Column:
+    """A number with ``digits`` decimals as C and Python print it: the double's exact value, halves to even. ``format_string`` rounds its shortest decimal form.
+
+    Numbers whose shortest form has fewer decimals than that (from some 10**13 on) get zeros for the rest.
+    """
+    odd = F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf")
+    return F.coalesce(odd, F.call_function("format_number", c, F.lit("0." + "0" * digits if digits else "0")))
+
+
 def mean_std(mean: Column, std: Column) -> Column:
     """Mean and deviation, or the mean alone where that has none."""
-    return F.when(std.isNull(), F.format_string("%.2f", mean)).otherwise(F.format_string("%.2f±%.2f", mean, std))
+    mean, std = fixed(mean.cast("double")), fixed(std.cast("double"))
+    return F.when(std.isNull(), mean).otherwise(F.concat(mean, F.lit("±"), std))
 
 
 def replaced(c: Column, old: str, new: str) -> Column:

@@ -365,3 +365,11 @@ def test_commands(spark, tmp_path):
     assert one(table).conversations == 4 and io.read_csv(spark, str(tmp_path / "m.csv")).count() == 4
     with pytest.raises(ValueError):
         go("combine", f"{tmp_path}/absent_*")
+
+
+def test_decimals_are_those_of_python(spark):
+    values = [0.845, 8.495, 2.985, 0.125, 0.375, -0.125, 1.005, 2.675, -0.001, 0.0, 123456.785, 1e11 + 0.125, 5e-324, 1e22, float("nan"), float("inf"), float("-inf")]
+    values += [(2 * i + 1) / 200 for i in range(2000)]
+    got = spark.createDataFrame(list(enumerate(values)), "i long, x double").select("i", X.fixed(F.col("x")).alias("x"), X.mean_std(F.col("x"), F.col("x") / 3).alias("s")).orderBy("i").collect()
+    assert [r.x for r in got] == [f"{v:.2f}" for v in values]
+    assert [r.s for r in got] == [f"{v:.2f}±{v / 3:.2f}" for v in values]
