@@ -14,6 +14,7 @@ from tandem.operators import shape as H
 from tandem.plans.base import conversations, longs, query, rounded
 from tandem.plans.views import view
 from tandem.schemas import CATEGORIES
+from tandem.sources.staging import stage
 
 _ACC = ", ".join(f"avg(CAST(coalesce(p.{c}, '') = coalesce(t.{c}, '') AS INT)) AS {c}" for c in CATEGORIES)
 _CATS = ", ".join(CATEGORIES)
@@ -186,9 +187,9 @@ def stat_self_bleu_levels(spark, sf):
     """Self-BLEU statistics of every level, model and language, with the checks on the input."""
     out = None
     group = ["language", "model", "level"]
+    every = stage(conversations(spark, sf).select("language", "model", "conversation_id", X.turns(F.col("messages")).alias("turns")).where(F.size("turns") > 0))
     for language, profile in X.PROFILES.items():
-        c = conversations(spark, sf).where(F.col("language") == language).select("language", "model", "conversation_id", X.turns(F.col("messages")).alias("turns"))
-        own = L.with_bleu_tokens(L.level_texts(c.where(F.size("turns") > 0), profile, group[:2]), group, profile)
+        own = L.with_bleu_tokens(L.level_texts(every.where(F.col("language") == language), profile, group[:2]), group, profile)
         out = own if out is None else out.unionByName(own)
     return L.checked_token_bleu(out, group)
 

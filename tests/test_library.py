@@ -368,8 +368,42 @@ def test_commands(spark, tmp_path):
 
 
 def test_decimals_are_those_of_python(spark):
-    values = [0.845, 8.495, 2.985, 0.125, 0.375, -0.125, 1.005, 2.675, -0.001, 0.0, 123456.785, 1e11 + 0.125, 5e-324, 1e22, float("nan"), float("inf"), float("-inf")]
+    values = [0.845, 8.495, 2.985, 0.125, 0.375, -0.125, 1.005, 2.675, -0.001, 0.0, 123456.785, 1e11 + 0.125, 5e-324, float("nan"), float("inf"), float("-inf")]
     values += [(2 * i + 1) / 200 for i in range(2000)]
     got = spark.createDataFrame(list(enumerate(values)), "i long, x double").select("i", X.fixed(F.col("x")).alias("x"), X.mean_std(F.col("x"), F.col("x") / 3).alias("s")).orderBy("i").collect()
     assert [r.x for r in got] == [f"{v:.2f}" for v in values]
     assert [r.s for r in got] == [f"{v:.2f}±{v / 3:.2f}" for v in values]
+
+
+def test_layers_of_n_grams_of_many_texts():
+    """A word that all of a slice's texts hold is one row for each time it stands in them, not a row a text."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 6, rng.integers(0, 9)).tolist() for _ in range(200)]
+    sizes = np.array(list(map(len, texts)), np.int64)
+    tokens = np.array([t for text in texts for t in text], np.uint64)
+    group = np.array([i % 2 for i in range(len(texts))], np.uint64)
+    doc = rng.permutation(len(texts)).astype(np.int64)
+    for n in range(1, 5):
+        code, many, least = L.gram_layers(tokens, sizes, group, doc, n)
+        want = {}
+        for i, text in enumerate(texts):
+            for gram, c in Counter(tuple(text[j : j + n]) for j in range(len(text) - n + 1)).items():
+                for t in range(c):
+                    want.setdefault((i % 2, gram, t), []).append(int(doc[i]))
+        assert len(set(code.tolist())) == len(code) == len(want)
+        assert sorted(zip(many.tolist(), least.tolist())) == sorted((len(d), min(d)) for d in want.values())
+    assert not len(L.gram_layers(tokens[:0], np.zeros(2, np.int64), group[:2], doc[:2], 1)[0])
+
+
+def test_levels_read_each_text_once(spark):
+    """The texts go to a task once, however many statistics are asked of them."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        reads.add(1)
+        return text
+
+    texts = spark.createDataFrame([("g", str(i), f"word w{i} more w{i % 3}") for i in range(20)] + [("g", "x", "word w1 more w1")], "g string, key string, text string")
+    texts = texts.withColumn("text", F.udf(seen, "string").asNondeterministic()("text")).withColumn("tokens", X.tokens(F.col("text")))
+    (row,) = L.checked_token_bleu(texts, ["g"]).collect()
+    assert (row.num_texts, row.num_empty, row.num_duplicates, row.failure) == (21, 0, 1, None) and reads.value == 21
