@@ -9,6 +9,7 @@ from tandem.functions import text as X
 from tandem.operators import lexical as L
 from tandem.operators import similarity as M
 from tandem.operators.quantiles import quantiles, with_quantiles
+from tandem.sources.staging import stage
 
 # The names a column may have in a metric file, the first that is there counts.
 ALIASES = {
@@ -71,10 +72,11 @@ def metrics_of_languages(conversations: DataFrame, embeddings: DataFrame | None
     kept = conversations.where((F.size("turns") >= 2) & F.col("language").isin(*X.PROFILES))
     if limit:
         kept = kept.withColumn("_at", F.row_number().over(Window.partitionBy(*group).orderBy("conversation_id"))).where(F.col("_at") <= limit).drop("_at")
+    kept = stage(kept)  # read for the tokens and for every language's levels
     whole, cleaned = X.formatted(F.col("turns")), F.lit(None).cast("string")
     for language, profile in X.PROFILES.items():
         cleaned = F.when(F.col("language") == language, X.clean(whole, profile)).otherwise(cleaned)
-    tokens = kept.select(*keys, X.tokens(cleaned).alias("tokens"))
+    tokens = stage(kept.select(*keys, X.tokens(cleaned).alias("tokens")))
     out = tokens.select(*keys, L.ttr(F.col("tokens")).alias("ttr")).join(L.mattr(tokens, keys, window=window), keys)
     if bleu:
         found = None
