@@ -29,8 +29,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without bytes in windows of 400 that occur elsewhere; n_chars is that of the new text."""
-    out = dedup_texts(docs)
+    """The documents without bytes in windows of 400, or of 50 words, that occur elsewhere; n_chars is that of the new text."""
+    out = dedup_texts(docs, words=50)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 

@@ -165,8 +165,8 @@ def _settle(scratch: Scratch, found: DataFrame, units: Units, kernel: Kernel, ro
     return settled
 
 
-def repeated(docs: DataFrame, units: Units, kernel: Kernel, name: str, rows: int, later: bool) -> DataFrame:
-    """Of ``docs`` (doc_id, text, any others): text, ``row`` (the other columns) and ``cut``, the token ranges [a, b) to remove.
+def repeats(docs: DataFrame, units: Units, kernel: Kernel, name: str, rows: int, later: bool) -> DataFrame:
+    """Of ``docs`` (doc_id, text, any others): the keys of rows and ``cut``, the token ranges [a, b) to remove.
 
     ``later``: remove only windows that start in a document with a smaller doc_id too; otherwise all
     windows that start at two places or more.
@@ -188,14 +188,25 @@ def repeated(docs: DataFrame, units: Units, kernel: Kernel, name: str, rows: int
     marked = cand.select("k1", "k2", "doc", "s", "g1", "g2").join(runs, ["g1", "g2"])
     if later:
         marked = marked.where("m < doc")
-    cuts = marked.groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("s") + F.col("lo")).alias("a"), (F.col("s") + F.col("hi") + units.window).alias("b"))).alias("cut"))
-    wide = docs.select(*row_keys("doc_id", "text"), "text", F.struct(*(c for c in docs.columns if c != "text")).alias("row"))
-    return wide.join(cuts, ["k1", "k2"], "left").select("text", "row", "cut")
+    return marked.groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("s") + F.col("lo")).alias("a"), (F.col("s") + F.col("hi") + units.window).alias("b"))).alias("cut"))
+
+
+def with_cuts(docs: DataFrame, **cuts: DataFrame) -> DataFrame:
+    """``docs`` as text, ``row`` (the other columns) and a column of the ranges of each of ``cuts``, null for none."""
+    out = docs.select(*row_keys("doc_id", "text"), "text", F.struct(*(c for c in docs.columns if c != "text")).alias("row"))
+    for name, cut in cuts.items():
+        out = out.join(cut.withColumnRenamed("cut", name), ["k1", "k2"], "left")
+    return out.select("text", "row", *cuts)
+
+
+def repeated(docs: DataFrame, units: Units, kernel: Kernel, name: str, rows: int, later: bool) -> DataFrame:
+    """``docs`` as text, row and ``cut``, the token ranges to remove, as ``repeats`` finds them."""
+    return with_cuts(docs, cut=repeats(docs, units, kernel, name, rows, later))
 
 
-def cut_ranges(batch: pa.RecordBatch, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cut_ranges(batch: pa.RecordBatch, base: np.ndarray, column: str = "cut") -> tuple[np.ndarray, np.ndarray]:
     """Token ranges of the batch's ``cut`` lists, as places in the concatenated tokens."""
-    cut = batch.column("cut")
+    cut = batch.column(column)
     counts = cut.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(np.arange(batch.num_rows), counts)
     flat = cut.flatten()

@@ -7,6 +7,9 @@ the cluster, is the anchor of the window (see ``spans``), as it splits suffixes
 prefix of natural text would not; suffixes whose anchor occurs once are sorted by it alone. All others go
 through the passes. Of copies of a segment two are sorted, which stand for all.
 
+Texts may lose repeated passages of words as well: a window of fifty words is fifty 64-bit hashes, so the
+same passes take a word at a time. Both kinds of windows are judged on the input.
+
 Texts are UTF-8 bytes; null and empty texts have no window, repeated rows are documents of their own,
 matches never cross documents, and other columns of any name are kept. A table without rows gives none.
 A very long text is cut into segments that overlap, so its windows are dealt out like all others.
@@ -24,9 +27,11 @@ from pyspark.sql import functions as F
 
 from tandem.llm import kernels as K
 from tandem.llm.common import batch_slices, text_buffers
-from tandem.llm.spans import SLICE_BYTES, Units, cut_ranges, repeated, rewritten
+from tandem.llm.spans import SLICE_BYTES, SPACE, Units, cut_ranges, repeated, repeats, rewritten, with_cuts
 
 DIGIT = 8
+#: Bytes, and words, of an anchor.
+GRAM, WORD_GRAM = 32, 8
 
 
 def radix_repeats(data: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
@@ -74,14 +79,16 @@ def byte_kernel(table: pa.Table, units: Units) -> dict[str, np.ndarray]:
     column = table.column("content").combine_chunks()
     data, offsets = text_buffers(column if isinstance(column, pa.Array) else column.chunk(0))
     keep = np.r_[True, (anchor[1:] != anchor[:-1]) | (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])]
+    offsets = offsets // units.size
     counts = np.where(keep, np.diff(offsets) - units.window + 1, 0)
     seg = np.repeat(np.arange(len(counts)), counts)
     starts = K.spread(offsets[:-1], counts)
     place = starts - offsets[seg]
+    starts *= units.size
     _, who = np.unique(anchor, return_inverse=True)
     group = who[seg].astype(np.int64) * (units.window + 1) + rel[seg] - place
     twin = np.flatnonzero(n[seg] > 1)  # a segment with copies stands there twice
-    flag = radix_repeats(data, np.r_[starts, starts[twin]], np.r_[group, group[twin]], units.window)[: len(starts)]
+    flag = radix_repeats(data, np.r_[starts, starts[twin]], np.r_[group, group[twin]], units.window * units.size)[: len(starts)]
     edge = np.flatnonzero(flag & np.r_[True, ~flag[:-1] | (seg[1:] != seg[:-1])]) if len(flag) else np.zeros(0, np.int64)
     stop = np.flatnonzero(flag & np.r_[~flag[1:] | (seg[1:] != seg[:-1]), True]) if len(flag) else np.zeros(0, np.int64)
     own = seg[edge]
@@ -91,7 +98,12 @@ def byte_kernel(table: pa.Table, units: Units) -> dict[str, np.ndarray]:
 def _bytes_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     for batch in batch_slices(batches, "text", SLICE_BYTES):
         data, offsets = text_buffers(batch.column("text"))
-        yield batch, data, offsets, K.covered(len(data), *cut_ranges(batch, offsets[:-1]))
+        gone = K.covered(len(data), *cut_ranges(batch, offsets[:-1]))
+        if "phrases" in batch.schema.names:
+            starts, ends, rows = K.word_spans(SPACE[data], offsets)
+            first, after = cut_ranges(batch, rows[:-1], "phrases")
+            gone |= K.covered(len(data), starts[first], ends[after - 1])
+        yield batch, data, offsets, gone
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,14 +124,23 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), batch.column("row")], ["text", "row"])
 
 
-def removed_spans(docs: DataFrame, threshold: int = 400, gram: int = 32) -> DataFrame:
+def removed_spans(docs: DataFrame, threshold: int = 400, gram: int = GRAM) -> DataFrame:
     """``docs`` as text, row and the byte ranges ``cut`` (overlapping, in any order, null for none) to remove."""
     return repeated(docs, Units(False, threshold, gram), byte_kernel, "suffix", 2000, later=False)
 
 
-def dedup_texts(docs: DataFrame, threshold: int = 400) -> DataFrame:
-    """``docs`` without the repeated bytes; a character cut in half goes too. Columns and rows stay."""
-    return rewritten(docs, removed_spans(docs, threshold), _texts)
+def dedup_texts(docs: DataFrame, threshold: int = 400, words: int = 0) -> DataFrame:
+    """``docs`` without the repeated bytes; a character cut in half goes too. Columns and rows stay.
+
+    ``words``: passages of at least so many words that start at two places or more go as well, however few their
+    bytes, from the first byte of their first word to the last of their last; 0 for none. Words are
+    ``[^\\x20\\x09-\\x0D]+``.
+    """
+    if not words:
+        return rewritten(docs, removed_spans(docs, threshold), _texts)
+    cut = repeats(docs, Units(False, threshold, GRAM), byte_kernel, "suffix", 2000, later=False)
+    phrases = repeats(docs, Units(True, words, min(WORD_GRAM, words)), byte_kernel, "suffix-words", 2000, later=False)
+    return rewritten(docs, with_cuts(docs, cut=cut, phrases=phrases), _texts)
 
 
 def suffix_digest(docs: DataFrame, threshold: int = 400) -> DataFrame:

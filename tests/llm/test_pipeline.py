@@ -88,6 +88,21 @@ def test_each_stage_on_what_the_one_before_kept(spark, made, tokenizer):  # noqa
     assert sorted(((r.doc_id, r.start, r.length, r.ids_crc32) for r in whole), key=str) == sorted(expected, key=str)
 
 
+def test_suffix_stage_takes_passages_of_over_50_words(spark):
+    """A passage of 55 words, under 400 bytes, that four documents share goes from all; the others stay as they are."""
+    rng = random.Random(5)
+    prose = lambda k: " ".join(rng.choices(ENGLISH, k=k))
+    passage, short = prose(55), prose(45)
+    assert len(passage) < 400
+    around = [(f"{prose(70)} before{i}", f"after{i} {prose(80)}") for i in range(4)]
+    rows = [(i, f"{a} {passage} {b}", -1) for i, (a, b) in enumerate(around)] + [(10 + i, f"{prose(60)} {short} {prose(20)}", -1) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.suffix_stage(spark, docs, "").collect()}
+    assert all(passage not in got[i].text and got[i].text == f"{a}  {b}" for i, (a, b) in enumerate(around))
+    assert all(got[d].text == t for d, t, _ in rows if d >= 10) and len(got) == len(rows)
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
 def test_empty_tables(spark, made, tmp_path):
     path = made[0]
     for kind, docs, items in (("docs", 0, 10), ("items", 100, 0), ("both", 0, 0)):

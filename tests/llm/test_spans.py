@@ -90,6 +90,47 @@ def test_texts_and_clashing_columns(spark):
     assert kept.count() == len(rows) and kept.columns == docs.columns
 
 
+def brute_texts(rows, window, words):
+    """Texts without the bytes of windows of bytes, or of words, that start at two places."""
+    starts = defaultdict(int)
+    data = [(t or "").encode() for _, t in rows]
+    found = [[(m.start(), m.end(), m.group()) for m in WORD.finditer(x)] for x in data]
+    for x, ws in zip(data, found, strict=True):
+        for i in range(len(x) - window + 1):
+            starts[x[i : i + window]] += 1
+        for i in range(len(ws) - words + 1):
+            starts[tuple(w for _, _, w in ws[i : i + words])] += 1
+    out = []
+    for (doc, text), x, ws in zip(rows, data, found, strict=True):
+        gone = np.zeros(len(x), bool)
+        for i in range(len(x) - window + 1):
+            if starts[x[i : i + window]] > 1:
+                gone[i : i + window] = True
+        for i in range(len(ws) - words + 1):
+            if starts[tuple(w for _, _, w in ws[i : i + words])] > 1:
+                gone[ws[i][0] : ws[i + words - 1][1]] = True
+        out.append((doc, text if text is None else np.frombuffer(x, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("hot", [1024, 3])
+@pytest.mark.parametrize("seed", [3, 4])
+def test_passages_of_words_against_brute_force(spark, monkeypatch, hot, seed):
+    """Passages of fifty words and more go whatever their bytes; some are under the 400 bytes of the other windows."""
+    monkeypatch.setattr(spans, "HOT", hot)
+    rng = random.Random(seed)
+    words = lambda k: ["".join(rng.choices("abcdé", k=rng.randint(1, 5))) for _ in range(k)]
+    passages = {k: words(k) for k in (49, 50, 53, 60, 90)}
+    assert all(len(" ".join(p).encode()) < 400 for k, p in passages.items() if k <= 60)
+    rows = [(i, " ".join(words(40) + passages[k] + words(30))) for i, k in enumerate([*passages] * 3)]
+    rows += corpus(seed, 20) + [(2000, " ".join(words(9) + passages[53] + words(9) + passages[53])), (2001, "\n".join(passages[50])), (2002, "x " * 49), (None, " ".join(passages[60])), (2003, "  ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = brute_texts(rows, 400, 50)
+    assert sorted(map(tuple, dedup_texts(docs, words=50).collect()), key=str) == expected
+    assert sorted(map(tuple, dedup_texts(docs).collect()), key=str) == brute_texts(rows, 400, 10**9) != expected
+    assert dedup_texts(docs.limit(0), words=50).count() == 0
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_digest(docs).count() == 0 and phrase_digest(docs).count() == 0
