@@ -178,11 +178,13 @@ def repeats(docs: DataFrame, units: Units, kernel: Kernel, name: str, rows: int,
     # written first: a join of two plain shuffles is one whose hot keys Spark can split
     twice = scratch.save(twice, "twice")
     cand = scratch.save(found.join(twice, "anchor"), "candidates")
-    scratch.drop("segments")
+    for done in ("segments", "twice"):
+        scratch.drop(done)
     distinct = cand.groupBy("anchor", "g1", "g2").agg(F.count("*").alias("n"), F.min("doc").alias("md"), F.min(F.struct("k1", "k2", "s", "nwin", "rel")).alias("at"))
     distinct = scratch.save(distinct, "distinct")
     wanted = distinct.groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(F.collect_list(F.struct("anchor", "g1", "g2", "n", "md", F.col("at.s").alias("s"), F.col("at.nwin").alias("nwin"), F.col("at.rel").alias("rel"))).alias("wanted"))
     content = scratch.save(keyed.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).mapInArrow(_fetch(units), CONTENT), "content")
+    scratch.drop("distinct")
     runs = scratch.save(_settle(scratch, content, units, kernel, rows), "runs")
     scratch.drop("content")
     marked = cand.select("k1", "k2", "doc", "s", "g1", "g2").join(runs, ["g1", "g2"])

@@ -5,7 +5,8 @@ bytes; after the last pass the groups of equal suffixes are exactly the repeated
 common prefixes and no full suffix array are needed. The first digit, which deals the suffixes out over
 the cluster, is the anchor of the window (see ``spans``), as it splits suffixes evenly where a fixed
 prefix of natural text would not; suffixes whose anchor occurs once are sorted by it alone. All others go
-through the passes. Of copies of a segment two are sorted, which stand for all.
+through the passes. Of copies of a segment two stand for all; their windows are known to repeat, and are
+compared only with those of which that isn't known yet.
 
 Texts may lose repeated passages of words as well: a window of fifty words is fifty 64-bit hashes, so the
 same passes take a word at a time. Both kinds of windows are judged on the input.
@@ -35,41 +36,54 @@ GRAM, WORD_GRAM = 32, 8
 
 
 def radix_repeats(data: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
-    """Which suffixes of ``data`` share their first ``depth`` bytes with another one of their group."""
-    order = np.argsort(group, kind="stable")
-    at, owner = starts[order], order
-    _, label = np.unique(group[order], return_inverse=True)
+    """Which suffixes of ``data`` share their first ``depth`` bytes with another one of their group.
+
+    A suffix that is given twice repeats itself. It stays only as long as another might equal it.
+    """
+    out = np.zeros(len(starts), bool)
+    if not len(starts):
+        return out
+    order = np.lexsort((starts, group))
+    at, label = starts[order], group[order]
+    again = np.r_[False, (at[1:] == at[:-1]) & (label[1:] == label[:-1])]
+    place = np.cumsum(~again) - 1
+    known = np.zeros(place[-1] + 1, bool)
+    known[place[again]] = True
+    out[order] = known[place]
+    at, owner, label = at[~again], order[~again], label[~again]
+    label = np.cumsum(np.r_[True, label[1:] != label[:-1]])
     padded = np.concatenate([data, np.zeros(DIGIT, np.uint8)])
     digits = np.ndarray(len(data) + 1, dtype=">u8", buffer=padded, strides=(1,))
 
-    def alone(label: np.ndarray) -> np.ndarray:
-        edge = np.flatnonzero(np.r_[True, label[1:] != label[:-1]]) if len(label) else np.zeros(0, np.int64)
-        return np.repeat(np.diff(np.r_[edge, len(label)]) == 1, np.diff(np.r_[edge, len(label)]))
+    def undecided(label: np.ndarray, known: np.ndarray) -> np.ndarray:
+        edge = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
+        size = np.diff(np.r_[edge, len(label)])
+        return np.repeat((size > 1) & (np.add.reduceat(known, edge, dtype=np.int64) < size), size)
 
+    split = True
     for done in range(0, depth, DIGIT):
-        single = alone(label)
-        if single.any():
-            at, owner, label = at[~single], owner[~single], label[~single]
+        if split:
+            go = undecided(label, known)
+            at, owner, label, known = at[go], owner[go], label[go], known[go]
         if not len(at):
-            break
+            return out
         digit = digits[at + done].astype(np.uint64)
         if depth - done < DIGIT:
             digit >>= np.uint64(8 * (DIGIT - depth + done))
         edge = np.r_[True, label[1:] != label[:-1]]
-        place = np.cumsum(edge) - 1
-        leader = digit[np.flatnonzero(edge)]
-        torn = np.zeros(len(leader), bool)
-        torn[place[digit != leader[place]]] = True
-        if not torn.any():
+        differs = ~edge[1:] & (digit[1:] != digit[:-1])
+        split = bool(differs.any())
+        if not split:
             continue
         # only groups whose digits differ are put in order
+        place = np.cumsum(edge) - 1
+        torn = np.zeros(place[-1] + 1, bool)
+        torn[place[1:][differs]] = True
         move = np.flatnonzero(torn[place])
         order = move[np.lexsort((digit[move], place[move]))]
-        at[move], owner[move], digit[move] = at[order], owner[order], digit[order]
+        at[move], owner[move], digit[move], known[move] = at[order], owner[order], digit[order], known[order]
         label = np.cumsum(np.r_[True, (place[1:] != place[:-1]) | (digit[1:] != digit[:-1])])
-    out = np.zeros(len(starts), bool)
-    if len(at):
-        out[owner[~alone(label)]] = True
+    out[owner[undecided(label, known)]] = True
     return out
 
 
@@ -95,19 +109,20 @@ def byte_kernel(table: pa.Table, units: Units) -> dict[str, np.ndarray]:
     return {"g1": g1[own], "g2": g2[own], "lo": place[edge].astype(np.int32), "hi": place[stop].astype(np.int32), "m": np.zeros(len(own), np.int64), "none": np.ones(len(own), bool)}
 
 
-def _bytes_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Batches, their bytes and offsets, and which bytes are in repeated windows of bytes, and of words where they were sought."""
     for batch in batch_slices(batches, "text", SLICE_BYTES):
         data, offsets = text_buffers(batch.column("text"))
-        gone = K.covered(len(data), *cut_ranges(batch, offsets[:-1]))
+        phrases = None
         if "phrases" in batch.schema.names:
             starts, ends, rows = K.word_spans(SPACE[data], offsets)
             first, after = cut_ranges(batch, rows[:-1], "phrases")
-            gone |= K.covered(len(data), starts[first], ends[after - 1])
-        yield batch, data, offsets, gone
+            phrases = K.covered(len(data), starts[first], ends[after - 1])
+        yield batch, data, offsets, K.covered(len(data), *cut_ranges(batch, offsets[:-1])), phrases
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, offsets, gone in _bytes_kept(batches):
+    for batch, data, offsets, gone, phrases in _covered(batches):
         total = np.r_[0, np.cumsum(gone)]
         first = gone.copy()
         first[1:] &= ~gone[:-1]
@@ -115,18 +130,30 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first[heads] = gone[heads]
         runs = np.r_[0, np.cumsum(first)]
         sha = [hashlib.sha256(data[a:b][~gone[a:b]]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("row").field("doc_id"), pa.array(np.diff(offsets)), pa.array(total[offsets[1:]] - total[offsets[:-1]]), pa.array(runs[offsets[1:]] - runs[offsets[:-1]]), pa.array(sha)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        columns = {"doc_id": batch.column("row").field("doc_id"), "n_bytes": np.diff(offsets), "n_removed": np.diff(total[offsets]), "n_spans": np.diff(runs[offsets]), "kept_sha256": sha}
+        if phrases is not None:
+            columns["n_passage_bytes"] = np.diff(np.r_[0, np.cumsum(phrases)][offsets])
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, offsets, gone in _bytes_kept(batches):
+    for batch, data, offsets, gone, phrases in _covered(batches):
+        if phrases is not None:
+            gone |= phrases
         kept = [data[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") if x else None for a, b, x in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column("text").is_valid().to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), batch.column("row")], ["text", "row"])
 
 
-def removed_spans(docs: DataFrame, threshold: int = 400, gram: int = GRAM) -> DataFrame:
-    """``docs`` as text, row and the byte ranges ``cut`` (overlapping, in any order, null for none) to remove."""
-    return repeated(docs, Units(False, threshold, gram), byte_kernel, "suffix", 2000, later=False)
+def removed_spans(docs: DataFrame, threshold: int = 400, gram: int = GRAM, words: int = 0) -> DataFrame:
+    """``docs`` as text, row and the byte ranges ``cut`` (overlapping, in any order, null for none) to remove.
+
+    With ``words``, ``phrases`` has the ranges of words of windows of so many words that start at two places or more.
+    """
+    if not words:
+        return repeated(docs, Units(False, threshold, gram), byte_kernel, "suffix", 2000, later=False)
+    cut = repeats(docs, Units(False, threshold, gram), byte_kernel, "suffix", 2000, later=False)
+    phrases = repeats(docs, Units(True, words, min(WORD_GRAM, words)), byte_kernel, "suffix-words", 2000, later=False)
+    return with_cuts(docs, cut=cut, phrases=phrases)
 
 
 def dedup_texts(docs: DataFrame, threshold: int = 400, words: int = 0) -> DataFrame:
@@ -136,14 +163,15 @@ def dedup_texts(docs: DataFrame, threshold: int = 400, words: int = 0) -> DataFr
     bytes, from the first byte of their first word to the last of their last; 0 for none. Words are
     ``[^\\x20\\x09-\\x0D]+``.
     """
-    if not words:
-        return rewritten(docs, removed_spans(docs, threshold), _texts)
-    cut = repeats(docs, Units(False, threshold, GRAM), byte_kernel, "suffix", 2000, later=False)
-    phrases = repeats(docs, Units(True, words, min(WORD_GRAM, words)), byte_kernel, "suffix-words", 2000, later=False)
-    return rewritten(docs, with_cuts(docs, cut=cut, phrases=phrases), _texts)
+    return rewritten(docs, removed_spans(docs, threshold, words=words), _texts)
+
 
+def suffix_digest(docs: DataFrame, threshold: int = 400, words: int = 0) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, by the windows of bytes alone.
 
-def suffix_digest(docs: DataFrame, threshold: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    cut = removed_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), threshold)
-    return cut.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    With ``words`` also n_passage_bytes: the bytes of passages of at least so many words that start at two places or
+    more, as ``dedup_texts`` finds them.
+    """
+    cut = removed_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), threshold, words=words)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return cut.mapInArrow(_digest, f"{schema}, n_passage_bytes long" if words else schema)

@@ -14,6 +14,7 @@ import pytest
 from tandem.llm import kernels as K
 from tandem.llm import phrase_dedup, spans, suffix_dedup
 from tandem.llm.phrase_dedup import dedup_phrases, phrase_digest
+from tandem.llm.queries import queries
 from tandem.llm.suffix_dedup import dedup_texts, suffix_digest
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -131,6 +132,62 @@ def test_passages_of_words_against_brute_force(spark, monkeypatch, hot, seed):
     assert dedup_texts(docs.limit(0), words=50).count() == 0
 
 
+def brute_passages(rows, words):
+    """By row: the bytes under windows of so many words that start at two places."""
+    starts = defaultdict(int)
+    found = [[(m.start(), m.end(), m.group()) for m in WORD.finditer((t or "").encode())] for _, t in rows]
+    for ws in found:
+        for i in range(len(ws) - words + 1):
+            starts[tuple(w for _, _, w in ws[i : i + words])] += 1
+    out = []
+    for (_, text), ws in zip(rows, found, strict=True):
+        gone = np.zeros(len((text or "").encode()), bool)
+        for i in range(len(ws) - words + 1):
+            if starts[tuple(w for _, _, w in ws[i : i + words])] > 1:
+                gone[ws[i][0] : ws[i + words - 1][1]] = True
+        out.append(int(gone.sum()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1024, 3])
+def test_query_counts_passages_of_words_beside_its_bytes(spark, monkeypatch, tmp_path, hot):
+    """Planted passages of 50 to 60 words, under 400 bytes: the contract's columns leave them, the last column has them."""
+    monkeypatch.setattr(spans, "HOT", hot)
+    rng = random.Random(6)
+    words = lambda k: ["".join(rng.choices("abcdé", k=rng.randint(1, 5))) for _ in range(k)]
+    passages = {k: words(k) for k in (50, 52, 60)}
+    assert all(len(" ".join(p).encode()) < 400 for p in passages.values())
+    planted = [(i, " ".join(words(40) + passages[k] + words(30))) for i, k in enumerate([*passages] * 3)]
+    clean = [(100 + i, " ".join(words(130))) for i in range(9)] + [(200 + i, " ".join(words(40) + passages[60][:49] + words(30))) for i in range(2)]
+    rows = planted + clean + [(3000 + i, t) for i, (_, t) in enumerate(corpus(7, 15))] + [(4000, "\n".join(passages[50])), (4001, "  ")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries()["op3_suffix_dedup"](spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"]
+    got = sorted(map(tuple, out.collect()), key=str)
+    by_bytes = {r[0]: r for r in brute_bytes(rows, 400)}
+    assert len(by_bytes) == len(rows)
+    assert got == sorted(((*by_bytes[d], n) for (d, _), n in zip(rows, brute_passages(rows, 50), strict=True)), key=str)
+    found = {r[0]: (r[2], r[5]) for r in got}
+    assert all(found[d][0] == 0 < found[d][1] for d, _ in planted) and all(found[d] == (0, 0) for d, _ in clean)
+
+
+def test_suffixes_that_are_given_twice():
+    """A suffix given twice repeats itself and makes others repeat."""
+    rng = np.random.default_rng(9)
+    data = rng.integers(97, 99, 400).astype(np.uint8)
+    for depth in (5, 8, 19):
+        starts = rng.integers(0, 400 - depth, 300)
+        starts = np.r_[starts, starts[:90]]
+        group = np.r_[rng.integers(0, 9, 300), np.zeros(90, np.int64)]
+        group[300:] = group[:90]
+        known = defaultdict(int)
+        for s, g in zip(starts.tolist(), group.tolist(), strict=True):
+            known[g, data[s : s + depth].tobytes()] += 1
+        expected = [known[g, data[s : s + depth].tobytes()] > 1 for s, g in zip(starts.tolist(), group.tolist(), strict=True)]
+        assert suffix_dedup.radix_repeats(data, starts, group, depth).tolist() == expected
+    assert not len(suffix_dedup.radix_repeats(data, starts[:0], group[:0], 8))
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_digest(docs).count() == 0 and phrase_digest(docs).count() == 0
